@@ -51,11 +51,12 @@ def leak_hit(text: Column) -> Column:
 
 def leak_matches(text: Column) -> Column:
     """Every match as 'kind:match', kinds in fixed order."""
-    found = [
-        F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m, k=kind: F.concat(F.lit(f"{k}:"), m))
-        for kind, pattern in LEAK_PATTERNS
-    ]
-    return F.coalesce(F.concat(*found), F.array().cast("array<string>"))
+    found = F.concat(*[_labelled(text, kind, pattern) for kind, pattern in LEAK_PATTERNS])
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def _labelled(text: Column, kind: str, pattern: str) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.concat(F.lit(f"{kind}:"), m))
 
 
 def personal_value(text: Column) -> Column:

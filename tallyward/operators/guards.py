@@ -43,6 +43,13 @@ def number(df: DataFrame, name: str) -> Column:
     return column
 
 
+def additive(df: DataFrame, name: str) -> Column:
+    """A numeric column ready to be summed: integers become doubles, as their sum over a huge table overflows."""
+    if isinstance(df.schema[name].dataType, (T.IntegralType, T.BooleanType)):
+        return number(df, name).cast("double")
+    return number(df, name)
+
+
 def require_columns(df: DataFrame, names: Sequence[str]) -> None:
     """Raise ValueError naming the available columns when one is missing."""
     for name in names:

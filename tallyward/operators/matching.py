@@ -114,14 +114,16 @@ def match_column(question: Column, columns: Sequence[str], examples: Mapping[str
     spoken = words(F.coalesce(question, F.lit("")))
     choice = F.lit(None).cast("string")
     for column in reversed(columns):
-        hit = F.exists(spoken, lambda w, c=column: _names_column(w, c))
-        values = [str(v).lower() for v in (examples or {}).get(column, ())]
-        if values:
-            hit = hit | F.exists(spoken, lambda w, v=values: w.isin(*v) | stem(w).isin(*v))
+        hit = _any_word(spoken, column, [str(v).lower() for v in (examples or {}).get(column, ())])
         choice = F.when(hit, F.lit(column)).otherwise(choice)
     return choice
 
 
+def _any_word(spoken: Column, column: str, values: Sequence[str]) -> Column:
+    value_hit = lambda w: (w.isin(*values) | stem(w).isin(*values)) if values else F.lit(False)
+    return F.exists(spoken, lambda w: _names_column(w, column) | value_hit(w))
+
+
 def _breakdown(text: Column, profile: TableProfile) -> tuple[Column, str | None]:
     """(group column or null, value column) of a 'by <column>' question."""
     spoken = F.regexp_extract_all(text, F.lit("(?U)" + BY_WORD), F.lit(1))

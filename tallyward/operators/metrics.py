@@ -8,10 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.operators.guards import column_ref, is_numeric_type, number, require_columns
+from tallyward.frames import small_frame
+from tallyward.operators.guards import additive, column_ref, is_numeric_type, number, require_columns
 from tallyward.operators.profile import column_counts
 from tallyward.plans.catalog import AGGREGATES, MetricDefinition
 
+# Group columns aggregated together in a whole-catalog run: at most 50 x 50 combinations of their values.
+BUNDLE = 2
+
 
 def merge_filters(base: Mapping[str, object] | None, extra: Mapping[str, object] | None) -> dict[str, object]:
     """Base filters with the user's on top."""
@@ -33,6 +37,10 @@ def _measure(df: DataFrame, column: str) -> Column:
     return column_ref(column)
 
 
+def _summand(df: DataFrame, column: str) -> Column:
+    return additive(df, column) if is_numeric_type(df.schema[column].dataType) else column_ref(column)
+
+
 def aggregate(df: DataFrame, column: str, agg: str) -> Column:
     """The aggregate expression of a metric; null where there is nothing to aggregate."""
     if agg not in AGGREGATES:
@@ -42,7 +50,7 @@ def aggregate(df: DataFrame, column: str, agg: str) -> Column:
     require_columns(df, [column])
     value = _measure(df, column)
     return {
-        "sum": lambda: F.sum(value).cast("double"),
+        "sum": lambda: F.sum(_summand(df, column)).cast("double"),
         "mean": lambda: F.avg(value).cast("double"),
         "max": lambda: F.max(value),
         "min": lambda: F.min(value),
@@ -79,9 +87,10 @@ def run_metric(
 def run_catalog(df: DataFrame, metrics: Sequence[MetricDefinition]) -> DataFrame:
     """Every given metric at once as (metric, key, value); key is null for scalars and for the null group.
 
-    All sums, means, extremes and counts, scalar or grouped, come from one pass: a grouping set per group
-    column plus the empty set, each pre-aggregated before its shuffle. Distinct counts take a second pass that
-    counts all their columns together. Metrics with base filters are run one by one.
+    All sums, means, extremes and counts, scalar or grouped, come from one scan. The group columns of a catalog
+    have few values each, so two of them are first aggregated together, and the small result is then split into
+    the breakdowns of each and the total. Distinct counts take a second scan that counts all their columns
+    together. Metrics with base filters are run one by one.
     """
     metrics = list(metrics)
     filtered = [m for m in metrics if m.base_filters]
@@ -94,9 +103,11 @@ def run_catalog(df: DataFrame, metrics: Sequence[MetricDefinition]) -> DataFrame
     if uniques:
         columns = list(dict.fromkeys(m.column for m in uniques))
         counts = column_counts(df, columns, "exact").select(F.col("name").alias("_column"), "n_unique")
-        names = df.sparkSession.createDataFrame([(m.name, m.column) for m in uniques], "metric string, _column string")
+        names = small_frame(
+            df.sparkSession, [{"metric": m.name, "_column": m.column} for m in uniques], "metric string, _column string"
+        )
         parts.append(
-            names.join(counts, "_column").select(
+            counts.join(names, "_column").select(
                 "metric", F.lit(None).cast("string").alias("key"), F.col("n_unique").cast("double").alias("value")
             )
         )
@@ -110,33 +121,54 @@ def run_catalog(df: DataFrame, metrics: Sequence[MetricDefinition]) -> DataFrame
 def _fused(df: DataFrame, metrics: Sequence[MetricDefinition]) -> DataFrame:
     groups = list(dict.fromkeys(m.groupby for m in metrics if m.groupby))
     require_columns(df, groups)
-    wanted = list(dict.fromkeys((m.column, m.agg) for m in metrics))
-    values = [aggregate(df, column, agg).cast("double").alias(f"_v{i}") for i, (column, agg) in enumerate(wanted)]
-    if groups:
-        # Group columns get their own names first: one may also be a measured column.
-        tagged = df.withColumns({f"_g{i}": column_ref(g).cast("string") for i, g in enumerate(groups)})
-        keys = [F.col(f"_g{i}") for i in range(len(groups))]
-        sets = [[]] + [[k] for k in keys]
-        totals = tagged.groupingSets(sets, *keys).agg(F.grouping_id().alias("_set"), *values)
+    columns = list(dict.fromkeys(m.column for m in metrics if m.agg != "count"))
+    require_columns(df, columns)
+    # Group columns get names of their own: one may also be a measured column.
+    source = df.select(
+        *[column_ref(g).cast("string").alias(f"g{i}") for i, g in enumerate(groups)],
+        *[_measure(df, c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)],
+    )
+    kinds = {"s": F.sum, "c": F.count, "l": F.min, "h": F.max}
+    parts = [f(f"x{i}").alias(f"{k}{i}") for i in range(len(columns)) for k, f in kinds.items()]
+    bundles = _bundles(len(groups))
+    keys = [f"g{i}" for i in range(len(groups))]
+    if len(bundles) > 1:
+        sets = [[f"g{i}" for i in bundle] for bundle in bundles]
+        partial = source.groupingSets(sets, *keys).agg(F.grouping_id().alias("set"), F.count("*").alias("n"), *parts)
     else:
-        totals = df.agg(*values).withColumn("_set", F.lit(0).cast("bigint"))
-    width = len(groups)
-    # grouping_id has a bit set for every column that is left out of the set, first column highest.
-    everything = (1 << width) - 1
-    per_set: dict[int, list[Column]] = {}
-    for metric in metrics:
-        slot = wanted.index((metric.column, metric.agg))
-        value = F.col(f"_v{slot}")
-        if metric.groupby:
-            position = groups.index(metric.groupby)
-            set_id, key = everything ^ (1 << (width - 1 - position)), F.col(f"_g{position}")
+        partial = source.groupBy(*keys).agg(F.count("*").alias("n"), *parts).withColumn("set", F.lit(0))
+    # Each partial row goes to the group columns of its bundle; those of the first bundle also to the total.
+    routes = F.lit(None)
+    for number_, bundle in enumerate(bundles):
+        targets = [F.struct(F.lit(i).alias("group"), F.col(f"g{i}").alias("key")) for i in bundle]
+        if number_ == 0:
+            targets.append(F.struct(F.lit(-1).alias("group"), F.lit(None).cast("string").alias("key")))
+        # grouping_id has a bit set for every column left out, the first column's highest.
+        left_out = sum(1 << (len(groups) - 1 - i) for i in range(len(groups)) if i not in bundle) if len(bundles) > 1 else 0
+        routes = F.when(F.col("set") == left_out, F.array(*targets)).otherwise(routes)
+    merge = {"s": F.sum, "c": F.sum, "l": F.min, "h": F.max}
+    merged = [f(f"{k}{i}").alias(f"{k}{i}") for i in range(len(columns)) for k, f in merge.items()]
+    numbers = [f"{k}{i}" for i in range(len(columns)) for k in kinds]
+    totals = partial.select("n", *numbers, F.inline(routes)).groupBy("group", "key").agg(F.sum("n").alias("n"), *merged)
+
+    def value(metric: MetricDefinition) -> Column:
+        if metric.agg == "count":
+            found = F.coalesce("n", F.lit(0)).cast("double")
         else:
-            set_id, key = everything, F.lit(None).cast("string")
-            value = F.coalesce(value, F.lit(0.0))
-        per_set.setdefault(set_id, []).append(
-            F.struct(F.lit(metric.name).alias("metric"), key.alias("key"), value.alias("value"))
-        )
-    cells = F.lit(None)
-    for set_id, structs in per_set.items():
-        cells = F.when(F.col("_set") == set_id, F.array(*structs)).otherwise(cells)
-    return totals.select(F.inline(cells))
+            i = columns.index(metric.column)
+            mean = F.when(F.col(f"c{i}") > 0, F.col(f"s{i}") / F.col(f"c{i}"))
+            found = {"sum": F.col(f"s{i}"), "mean": mean, "max": F.col(f"h{i}"), "min": F.col(f"l{i}")}[metric.agg]
+        return found if metric.groupby else F.coalesce(found, F.lit(0.0))
+
+    rows = F.lit(None)
+    for i in [-1, *range(len(groups))]:
+        mine = [m for m in metrics if (groups.index(m.groupby) if m.groupby else -1) == i]
+        if mine:
+            cells = [F.struct(F.lit(m.name).alias("metric"), F.col("key"), value(m).alias("value")) for m in mine]
+            rows = F.when(F.col("group") == i, F.array(*cells)).otherwise(rows)
+    return totals.select(F.inline(rows))
+
+
+def _bundles(groups: int) -> list[list[int]]:
+    """Group columns packed together; without any, one empty bundle that holds the total."""
+    return [list(range(i, min(i + BUNDLE, groups))) for i in range(0, groups, BUNDLE)] or [[]]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyward.frames import small_frame
 from tallyward.operators.guards import column_ref, is_numeric_type, number, require_columns
 
 # Role thresholds.
@@ -21,8 +22,9 @@ LIVE_SAMPLE_ROWS = 500
 EXAMPLES_PER_COLUMN = 3
 SAMPLE_ROWS = 5
 
-# Above this many columns distinct counts default to a sketch: exact ones shuffle every column's values.
-EXACT_DISTINCT_COLUMNS = 64
+# A column with more distinct values than this, as far as a sketch can tell, is not counted exactly by "auto".
+# Far above every threshold of the roles, so these are exact either way.
+EXACT_BELOW = 10_000
 # Longer text is compared by digest, so that counting distinct texts does not shuffle the texts.
 LONG_TEXT = 64
 
@@ -104,39 +106,51 @@ def _cell(df: DataFrame, ordinal: int, name: str) -> Column:
     )
 
 
-def column_counts(df: DataFrame, columns: Sequence[str] | None = None, distinct: str = "auto") -> DataFrame:
-    """(ordinal, name, dtype, n_rows, n_unique, n_null), one row per column, one scan of the table.
+def column_counts(df: DataFrame, columns: Sequence[str] | None = None, distinct: str = "exact") -> DataFrame:
+    """(ordinal, name, dtype, n_rows, n_unique, n_null), one row per column.
 
-    `distinct`: "exact" counts (column, value) pairs, pre-aggregated before the shuffle and spread over all
-    tasks by value, so no column is counted in one task; "approx" uses a sketch per column and shuffles one
-    row per task; "auto" is exact up to EXACT_DISTINCT_COLUMNS columns.
+    `distinct`: "exact" counts (column, value) pairs in one scan, pre-aggregated before the shuffle and spread
+    over all tasks by value, so no column is counted in one task. "approx" uses a sketch per column, one scan
+    that shuffles one row per task. "auto" runs the sketches first, then counts exactly the columns with few
+    values, whose pairs collapse before the shuffle; the others keep their estimate. Made for very large tables.
     """
     names = list(df.columns if columns is None else columns)
     require_columns(df, names)
     if distinct not in ("auto", "exact", "approx"):
         raise ValueError("distinct must be auto, exact or approx")
-    if distinct == "auto":
-        distinct = "exact" if len(names) <= EXACT_DISTINCT_COLUMNS else "approx"
-    if distinct == "approx":
-        counts = _sketched_counts(df, names)
+    places = list(enumerate(names))
+    if distinct == "exact":
+        counts = _exact_counts(df, places)
     else:
-        cells = df.select(F.explode(F.array(*[_cell(df, i, c) for i, c in enumerate(names)])).alias("cell"))
-        per_value = cells.groupBy("cell.ordinal", "cell.whole", "cell.fraction", "cell.text").agg(
-            F.count("*").alias("n")
-        )
-        missing = F.col("whole").isNull() & F.col("fraction").isNull() & F.col("text").isNull()
-        counts = per_value.groupBy("ordinal").agg(
-            F.sum("n").alias("n_rows"),
-            F.count_if(~missing).alias("n_unique"),
-            F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).alias("n_null"),
-        )
-    kinds = df.sparkSession.createDataFrame(
-        [(i, c, df.schema[c].dataType.simpleString()) for i, c in enumerate(names)],
-        "ordinal int, name string, dtype string",
+        counts = _sketched_counts(df, names)
+    if distinct == "auto":
+        sketched = [r.asDict() for r in counts.collect()]
+        few = {r["ordinal"] for r in sketched if r["n_unique"] <= EXACT_BELOW}
+        rest = [r for r in sketched if r["ordinal"] not in few]
+        counts = small_frame(df.sparkSession, rest, "ordinal int, n_rows bigint, n_unique bigint, n_null bigint")
+        if few:
+            counts = counts.unionByName(_exact_counts(df, [p for p in places if p[0] in few]))
+    label = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("ordinal"))
+    return counts.select(
+        "ordinal", label(names).alias("name"), label([df.schema[c].dataType.simpleString() for c in names]).alias("dtype"),
+        "n_rows", "n_unique", "n_null",
     )
-    # Left from the column list, so that an empty table still has its columns.
-    return kinds.join(counts, "ordinal", "left").select(
-        "ordinal", "name", "dtype", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_rows", "n_unique", "n_null")]
+
+
+def _exact_counts(df: DataFrame, places: Sequence[tuple[int, str]]) -> DataFrame:
+    cells = df.select(F.inline(F.array(*[_cell(df, i, c) for i, c in places])))
+    per_value = cells.groupBy("ordinal", "whole", "fraction", "text").agg(F.count("*").alias("n"))
+    # A row that counts nothing for each column, so that an empty table still has its columns.
+    ordinals = F.array(*[F.lit(i) for i, _ in places])
+    nothing = df.sparkSession.range(len(places)).select(
+        F.get(ordinals, F.col("id").cast("int")).alias("ordinal"), F.lit(None).cast("bigint").alias("whole"),
+        F.lit(None).cast("double").alias("fraction"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("bigint").alias("n"),
+    )
+    missing = F.col("whole").isNull() & F.col("fraction").isNull() & F.col("text").isNull()
+    return per_value.unionByName(nothing).groupBy("ordinal").agg(
+        F.sum("n").alias("n_rows"),
+        F.count_if(~missing).alias("n_unique"),
+        F.sum(F.when(missing, F.col("n")).otherwise(F.lit(0))).cast("bigint").alias("n_null"),
     )
 
 
@@ -176,9 +190,9 @@ def with_roles(counts: DataFrame) -> DataFrame:
 
 
 def profile_frame(
-    df: DataFrame, distinct: str = "auto", sample: int | None = None, columns: Sequence[str] | None = None
+    df: DataFrame, distinct: str = "exact", sample: int | None = None, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """The profile as a frame, one row per column. Exact over all rows unless a `sample` size is given."""
+    """The profile as a frame, one row per column. Exact over all rows unless told otherwise."""
     source = df if sample is None else df.limit(sample)
     return with_roles(column_counts(source, columns, distinct))
 
@@ -226,7 +240,10 @@ def _as_text(df: DataFrame, name: str) -> Column:
 def build_profile(
     df: DataFrame, name: str = "data", distinct: str = "auto", sample: int | None = None, with_examples: bool = False
 ) -> TableProfile:
-    """Run the profile and bring its one row per column to the driver."""
+    """Run the profile and bring its one row per column to the driver.
+
+    Roles are always exact; with "auto", `n_unique` of a column with very many values is an estimate.
+    """
     rows = profile_frame(df, distinct, sample).orderBy("ordinal").collect()
     examples, samples = {}, ()
     if with_examples:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions.numbers import percent, z_score
-from tallyward.operators.guards import column_ref, is_numeric_type, number, require_columns, require_numeric
+from tallyward.operators.guards import additive, column_ref, is_numeric_type, number, require_columns, require_numeric
 from tallyward.operators.profile import column_counts
 
 # Limits and names of the tools' options.
@@ -20,7 +20,7 @@ PERIODS = {"M": "MM", "W": "WEEK", "D": None}
 GROUP_AGGREGATES = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None, distinct: str = "auto") -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str] | None = None, distinct: str = "exact") -> DataFrame:
     """(column, dtype, count, mean, std, min, max, nulls, n_unique), one row per column in table order.
 
     Numeric columns get the statistics, the others their distinct count.
@@ -48,23 +48,24 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, distinct: str
 
 
 def _describe_numbers(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    rows = []
-    for name in names:
-        value = number(df, name)
-        rows.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                F.lit("numeric").alias("dtype"),
-                F.count(value).alias("count"),
-                F.avg(value).cast("double").alias("mean"),
-                F.stddev_samp(value).alias("std"),
-                F.min(value).cast("double").alias("min"),
-                F.max(value).cast("double").alias("max"),
-                (F.count("*") - F.count(value)).alias("nulls"),
-                F.lit(None).cast("bigint").alias("n_unique"),
-            )
-        )
-    return df.agg(F.array(*rows).alias("all")).select(F.inline("all"))
+    # A cell per column, aggregated by column: six aggregates whatever the width, so that generated code stays
+    # small. An empty cell per column first, for a table without rows.
+    cells = df.select(F.inline(F.array(*[_cell(n, number(df, n), True) for n in names])))
+    nothing = df.sparkSession.range(1).select(F.inline(F.array(*[_cell(n, F.lit(None), False) for n in names])))
+    return cells.unionByName(nothing).groupBy("column").agg(
+        F.lit("numeric").alias("dtype"),
+        F.count("x").alias("count"),
+        F.avg("x").alias("mean"),
+        F.stddev_samp("x").alias("std"),
+        F.min("x").alias("min"),
+        F.max("x").alias("max"),
+        F.count_if(F.col("real") & F.col("x").isNull()).alias("nulls"),
+        F.lit(None).cast("bigint").alias("n_unique"),
+    )
+
+
+def _cell(column: str, value: Column, real: bool) -> Column:
+    return F.struct(F.lit(column).alias("column"), value.cast("double").alias("x"), F.lit(real).alias("real"))
 
 
 def value_counts(df: DataFrame, column: str, top_n: int = TOP_VALUES) -> DataFrame:
@@ -81,37 +82,45 @@ def value_counts(df: DataFrame, column: str, top_n: int = TOP_VALUES) -> DataFra
     return best.withColumn("pct", percent(F.col("count"), total))
 
 
-def _pearson(df: DataFrame, a: str, b: str) -> Column:
-    """Pearson r over the rows where both are present; null where a side does not vary."""
-    x, y = number(df, a).cast("double"), number(df, b).cast("double")
-    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+def _pearson(x: Column, y: Column) -> Column:
+    """Pearson r over rows where both are present; 0.0 where a side does not vary, which `corr` would fail on."""
     spread = F.stddev_samp(x) * F.stddev_samp(y)
-    return F.when(spread > 0, F.covar_samp(x, y) / spread)
+    return F.when(spread > 0, F.covar_samp(x, y) / spread).otherwise(F.lit(0.0))
 
 
 def correlation(df: DataFrame, col_a: str, col_b: str) -> DataFrame:
     """One row (corr); 0.0 where the correlation is undefined."""
     require_numeric(df, [col_a, col_b])
-    return df.agg(F.coalesce(_pearson(df, col_a, col_b), F.lit(0.0)).alias("corr"))
+    both = df.select(number(df, col_a).cast("double").alias("x"), number(df, col_b).cast("double").alias("y")).dropna()
+    return both.agg(_pearson(F.col("x"), F.col("y")).alias("corr"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, limit: int = MATRIX_COLUMNS) -> DataFrame:
-    """Long matrix (row, col, r) over the first numeric columns; one aggregation for the upper triangle."""
+    """Long matrix (row, col, r) over the first numeric columns, from one scan.
+
+    Every row gives a cell per pair of the upper triangle; the cells are aggregated by pair before the shuffle.
+    That is three aggregates whatever the number of pairs, where one wide aggregation would need three a pair.
+    """
     numeric = [c for c in df.columns if is_numeric_type(df.schema[c].dataType)] if columns is None else list(columns)
     names = numeric[:limit]
     require_numeric(df, names)
-    cells: list[Column] = []
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    values = [F.coalesce(_pearson(df, a, b), F.lit(0.0)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-
-    def cell(row: str, col: str, r: Column) -> Column:
-        return F.struct(F.lit(row).alias("row"), F.lit(col).alias("col"), r.alias("r"))
-
-    for name in names:
-        cells.append(cell(name, name, F.lit(1.0)))
-    for i, (a, b) in enumerate(pairs):
-        cells += [cell(a, b, F.col(f"r{i}")), cell(b, a, F.col(f"r{i}"))]
-    return df.agg(*(values or [F.lit(1).alias("r0")])).select(F.inline(F.array(*cells)))
+    values = df.select(*[number(df, n).cast("double").alias(f"x{i}") for i, n in enumerate(names)])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+
+    def cell(i: int, j: int, x: Column, y: Column) -> Column:
+        return F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+    null = F.lit(None)
+    upper = [cell(i, j, F.col(f"x{i}"), F.col(f"x{j}")) for i, j in pairs if i < j]
+    every = df.sparkSession.range(1).select(F.inline(F.array(*[cell(i, j, null, null) for i, j in pairs])))
+    cells = values.select(F.inline(F.array(*upper))).dropna().unionByName(every) if upper else every
+    triangle = cells.groupBy("i", "j").agg(_pearson(F.col("x"), F.col("y")).alias("_r")).select(
+        "i", "j", F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.col("_r")).alias("r")
+    )
+    mirrored = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("r"))
+    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j", "r"))).otherwise(F.array(F.struct("i", "j", "r"), mirrored))
+    name = lambda place: F.get(F.array(*[F.lit(n) for n in names]), place)
+    return triangle.select(F.inline(both)).select(name(F.col("i")).alias("row"), name(F.col("j")).alias("col"), "r")
 
 
 def strongest_pair(df: DataFrame, columns: Sequence[str] | None = None, limit: int = MATRIX_COLUMNS) -> DataFrame:
@@ -131,7 +140,7 @@ def group_compare(df: DataFrame, value_col: str, group_col: str, agg: str = "sum
     function = GROUP_AGGREGATES.get(agg.lower())
     if function is None:
         raise ValueError(f"agg must be one of {sorted(GROUP_AGGREGATES)}")
-    value = function(number(df, value_col)).alias("value")
+    value = function(additive(df, value_col) if agg.lower() == "sum" else number(df, value_col)).alias("value")
     grouped = df.groupBy(column_ref(group_col).alias("key")).agg(value)
     return grouped.orderBy(F.desc_nulls_last("value"), F.asc_nulls_last("key"))
 
@@ -174,7 +183,7 @@ def trend(df: DataFrame, date_col: str, value_col: str, freq: str = "M", lenient
     if lenient:
         dated = dated.where(period.isNotNull())
     sums = dated.groupBy(period.alias("period")).agg(
-        F.sum(number(df, value_col)).alias("value"), F.count("*").alias("n")
+        F.sum(additive(df, value_col)).alias("value"), F.count("*").alias("n")
     )
     return sums.orderBy("period")
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.operators.guards import column_ref, number, require_numeric
+from tallyward.operators.guards import additive, column_ref, require_numeric
 from tallyward.operators.metrics import equality_filter
 from tallyward.operators.stats import period_of
 
@@ -34,7 +34,7 @@ def verified_breakdown(
     """
     require_numeric(df, [value_col])
     rows = equality_filter(df, filters)
-    return _checked(rows, column_ref(group_col), number(df, value_col)).orderBy(
+    return _checked(rows, column_ref(group_col), additive(df, value_col)).orderBy(
         F.desc_nulls_last("value"), F.asc_nulls_last("key")
     )
 
@@ -43,7 +43,7 @@ def verified_trend(df: DataFrame, date_col: str, value_col: str, freq: str = "M"
     """(key, value, breakdown_ok): a trend with the check that its periods add up to the dated total."""
     require_numeric(df, [value_col])
     dated = df.where(column_ref(date_col).isNotNull())
-    return _checked(dated, period_of(df, date_col, freq), number(df, value_col)).orderBy("key")
+    return _checked(dated, period_of(df, date_col, freq), additive(df, value_col)).orderBy("key")
 
 
 def _sums(rows: DataFrame, key: Column, value: Column) -> DataFrame:
@@ -71,14 +71,14 @@ def breakdown_check(sums: DataFrame) -> DataFrame:
 def verify_breakdown(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
     """One row (breakdown_sum, expected_total, ok) for a grouped sum."""
     require_numeric(df, [value_col])
-    return breakdown_check(_sums(df, column_ref(group_col), number(df, value_col)))
+    return breakdown_check(_sums(df, column_ref(group_col), additive(df, value_col)))
 
 
 def verify_trend_total(df: DataFrame, date_col: str, value_col: str, freq: str = "M") -> DataFrame:
     """One row (breakdown_sum, expected_total, ok) for a trend."""
     require_numeric(df, [value_col])
     dated = df.where(column_ref(date_col).isNotNull())
-    return breakdown_check(_sums(dated, period_of(df, date_col, freq), number(df, value_col)))
+    return breakdown_check(_sums(dated, period_of(df, date_col, freq), additive(df, value_col)))
 
 
 def result_flags(results: DataFrame) -> DataFrame:

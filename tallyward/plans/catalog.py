@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyward.frames import small_frame
 from tallyward.operators.profile import TableProfile
 from tallyward.operators.topn import latest_per_key, upsert
 
@@ -162,14 +163,14 @@ def generate_metrics(
 def catalog_frame(spark: SparkSession, metrics: Mapping[str, MetricDefinition], created_by: str = "system") -> DataFrame:
     """Definitions as rows of the metric catalog table."""
     rows = [
-        (
-            m.name, list(m.synonyms), m.description, m.column, m.agg, m.groupby,
-            {k: str(v) for k, v in m.base_filters.items()}, m.status, 1, created_by, None, None, None, "low",
-            m.source, None, i,
-        )
+        {
+            "name": m.name, "synonyms": m.synonyms, "description": m.description, "column": m.column, "agg": m.agg,
+            "groupby": m.groupby, "base_filters": {k: str(v) for k, v in m.base_filters.items()}, "status": m.status,
+            "version": 1, "created_by": created_by, "risk": "low", "source": m.source, "ordinal": i,
+        }
         for i, m in enumerate(metrics.values())
     ]
-    return spark.createDataFrame(rows, METRIC_SCHEMA)
+    return small_frame(spark, rows, METRIC_SCHEMA)
 
 
 def definitions(catalog: DataFrame) -> dict[str, MetricDefinition]:

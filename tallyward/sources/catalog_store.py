@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyward.frames import struct_fields
 from tallyward.operators.guards import require_tenant
 from tallyward.plans import catalog as plans
 from tallyward.plans.catalog import METRIC_SCHEMA
@@ -22,22 +23,8 @@ PROPOSAL_SCHEMA = (
 VERSION_SCHEMA = "version int, timestamp timestamp, count bigint, note string"
 
 
-def _struct(schema: str) -> str:
-    # 'a string, b map<string,string>' -> 'a: string, b: map<string,string>'
-    out, depth, field = [], 0, ""
-    for ch in schema + ",":
-        depth += {"<": 1, ">": -1}.get(ch, 0)
-        if ch == "," and depth == 0:
-            name, kind = field.strip().split(" ", 1)
-            out.append(f"{name}: {kind}")
-            field = ""
-        else:
-            field += ch
-    return ", ".join(out)
-
-
-METRIC_PROPOSALS = PROPOSAL_SCHEMA.format(fields=_struct(METRIC_SCHEMA))
-JOIN_PROPOSALS = PROPOSAL_SCHEMA.format(fields=_struct(JOIN_SCHEMA)).replace("metric struct", "join struct")
+METRIC_PROPOSALS = PROPOSAL_SCHEMA.format(fields=struct_fields(METRIC_SCHEMA))
+JOIN_PROPOSALS = PROPOSAL_SCHEMA.format(fields=struct_fields(JOIN_SCHEMA)).replace("metric struct", "join struct")
 
 KINDS = {
     "metrics": METRIC_SCHEMA, "joins": JOIN_SCHEMA, "metric_proposals": METRIC_PROPOSALS, "join_proposals": JOIN_PROPOSALS,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyward.operators.guards import column_ref, number
+from tallyward.operators.guards import additive, column_ref
 from tallyward.operators.metrics import aggregate, equality_filter
 from tallyward.plans.catalog import MetricDefinition
 
@@ -33,7 +33,7 @@ def trend_stream(rows: DataFrame, date_col: str, value_col: str, freq: str = "D"
     timed = rows.withColumn("_ts", column_ref(date_col).cast("timestamp")).withWatermark("_ts", lateness)
     # Windows count from 1970-01-01, a Thursday; four days on they start on Mondays.
     window = F.window("_ts", WINDOWS[freq], startTime="4 days") if freq == "W" else F.window("_ts", WINDOWS[freq])
-    sums = timed.groupBy(window.alias("_w")).agg(F.sum(number(rows, value_col)).alias("value"), F.count("*").alias("n"))
+    sums = timed.groupBy(window.alias("_w")).agg(F.sum(additive(rows, value_col)).alias("value"), F.count("*").alias("n"))
     return sums.select(F.to_date("_w.start").alias("period"), "value", "n")
 
 
