@@ -43,10 +43,12 @@ def prefilter_hit(text: Column) -> Column:
 
 def leak_hit(text: Column) -> Column:
     """Does the text hold an e-mail address, phone number or street address?"""
-    hit = F.lit(False)
-    for _, pattern in LEAK_PATTERNS:
-        hit = hit | text.rlike(pattern)
-    return F.coalesce(hit, F.lit(False))
+    return F.coalesce(has_email(text) | text.rlike(PHONE) | text.rlike(ADDRESS), F.lit(False))
+
+
+def has_email(text: Column) -> Column:
+    """The e-mail pattern, tried only on text with an at sign."""
+    return text.contains("@") & text.rlike(EMAIL)
 
 
 def leak_matches(text: Column) -> Column:
@@ -64,4 +66,4 @@ def personal_value(text: Column) -> Column:
 
     Stands in for entity recognition by a model, see the README.
     """
-    return F.coalesce(text.rlike(EMAIL) | (text.rlike(PHONE) & ~text.rlike(CALENDAR_VALUE)), F.lit(False))
+    return F.coalesce(has_email(text) | (text.rlike(PHONE) & ~text.rlike(CALENDAR_VALUE)), F.lit(False))

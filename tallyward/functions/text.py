@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ BLANKS = r"(?U)[\s\x1c-\x1f]+"
 TRAILING_MARKS = r"[?!.,]+$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` over a value worked out once per row, also where a lambda inside it uses the value many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_blanks(text: Column) -> Column:
     """Drop leading and trailing blanks of any kind."""
     return F.regexp_replace(text, rf"^{BLANKS}|{BLANKS}$", "")

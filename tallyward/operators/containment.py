@@ -28,8 +28,9 @@ def texts_containing(
     wanted = known_values(values, value_col)
     size = wanted.limit(small + 1).agg(F.count("*"), F.coalesce(F.sum(F.length("value")), F.lit(0))).first()
     if size[0] <= small and size[1] <= SMALL_VALUE_CHARS:
-        hit = F.lower(F.col(text_col)).contains(F.col("value"))
-        return texts.join(F.broadcast(wanted), hit, "left_semi")
+        # Lowered before the join, else it would be lowered again for every value.
+        folded = texts.withColumn("_text", F.lower(F.col(text_col)))
+        return folded.join(F.broadcast(wanted), F.col("_text").contains(F.col("value")), "left_semi").drop("_text")
     hits = matching_pairs(texts, key, text_col, wanted).select(key).distinct()
     return texts.join(hits, key, "left_semi")
 
@@ -38,32 +39,30 @@ def matching_pairs(texts: DataFrame, key: str, text_col: str, values: DataFrame)
     """(key, value) for every text that contains a value of `known_values`; an equi-join, then a check.
 
     A value is looked up under its rarest run of RUN characters, which any text containing it must have too;
-    a shorter value is its own run. Only run digests and keys are shuffled, the texts join once for the check.
+    a shorter value is its own run. Only run digests and keys take part in the first join, so texts are shuffled
+    once, for the check, and only those with a candidate are compared.
     """
     anchors = _anchors(values)
     lengths = [r[0] for r in anchors.select("length").distinct().collect()]  # at most RUN distinct lengths
     folded = texts.select(F.col(key), F.lower(F.col(text_col)).alias("_text"))
-    per_length = F.array(*[_runs(F.col("_text"), n) for n in lengths]) if lengths else F.array(F.array().cast("array<bigint>"))
-    runs = folded.select(key, F.explode(F.array_distinct(F.flatten(per_length))).alias("run"))
+    every = F.concat(*[_runs(F.col("_text"), n) for n in lengths]) if lengths else F.array().cast("array<string>")
+    runs = folded.select(key, F.explode(every).alias("run")).select(key, F.xxhash64("run").alias("run"))
     candidates = runs.join(anchors.select("run", "value"), "run").select(key, "value").distinct()
     return candidates.join(folded, key).where(F.col("_text").contains(F.col("value"))).select(key, "value")
 
 
 def _runs(text: Column, length: int) -> Column:
-    """Digests of all runs of `length` characters; linear in the text, as it is split into characters once."""
-    characters = F.split(text, "")
-    starts = F.sequence(F.lit(1), F.size(characters) - length + 1)
-    digest = lambda i: F.xxhash64(F.array_join(F.slice(characters, i, F.lit(length)), ""))
-    return F.when(F.length(text) >= length, F.transform(starts, digest)).otherwise(F.array().cast("array<bigint>"))
+    """All runs of `length` characters, overlapping; one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
 
 
 def _anchors(values: DataFrame) -> DataFrame:
-    """(value, length, run): the run each value is looked up under."""
+    """(value, length, run): the digest of the run each value is looked up under."""
     sized = values.withColumn("length", F.least(F.length("value"), F.lit(RUN)))
-    by_length = F.lit(None).cast("array<bigint>")
+    by_length = F.lit(None).cast("array<string>")
     for n in range(1, RUN + 1):
         by_length = F.when(F.col("length") == n, _runs(F.col("value"), n)).otherwise(by_length)
     runs = sized.select("value", "length", F.explode(F.array_distinct(by_length)).alias("run"))
+    runs = runs.withColumn("run", F.xxhash64("run"))
     common = runs.groupBy("run").agg(F.count("*").alias("_shared"))
-    rarest = runs.join(common, "run").groupBy("value", "length").agg(F.min_by("run", F.struct("_shared", "run")).alias("run"))
-    return rarest
+    return runs.join(common, "run").groupBy("value", "length").agg(F.min_by("run", F.struct("_shared", "run")).alias("run"))

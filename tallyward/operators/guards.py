@@ -28,26 +28,66 @@ def is_numeric_type(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.NumericType, T.BooleanType))
 
 
+def identifier(name: str) -> str:
+    """A column name as SQL text, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_literal(text: str) -> str:
+    """A string as an SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def column_ref(name: str) -> Column:
-    """A column by its literal name, whatever characters it holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """A column by its literal name."""
+    return F.col(identifier(name))
 
 
-def number(df: DataFrame, name: str) -> Column:
+# Expressions over many columns are put together as SQL text: one call builds what would take a dozen per column.
+
+
+def number_sql(df: DataFrame, name: str) -> str:
     """A numeric column ready for arithmetic: booleans become 0/1, NaN becomes null."""
-    column, data_type = column_ref(name), df.schema[name].dataType
+    column, data_type = identifier(name), df.schema[name].dataType
     if isinstance(data_type, T.BooleanType):
-        return column.cast("int")
+        return f"CAST({column} AS INT)"
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(column), column)
+        return f"nanvl({column}, CAST(NULL AS {data_type.simpleString()}))"
     return column
 
 
-def additive(df: DataFrame, name: str) -> Column:
+def additive_sql(df: DataFrame, name: str) -> str:
     """A numeric column ready to be summed: integers become doubles, as their sum over a huge table overflows."""
-    if isinstance(df.schema[name].dataType, (T.IntegralType, T.BooleanType)):
-        return number(df, name).cast("double")
-    return number(df, name)
+    whole = isinstance(df.schema[name].dataType, (T.IntegralType, T.BooleanType))
+    return f"CAST({number_sql(df, name)} AS DOUBLE)" if whole else number_sql(df, name)
+
+
+def value_sql(df: DataFrame, name: str) -> str:
+    """A column with NaN as null if it is numeric, else as it is."""
+    return number_sql(df, name) if is_numeric_type(df.schema[name].dataType) else identifier(name)
+
+
+def number(df: DataFrame, name: str) -> Column:
+    """`number_sql` as a column."""
+    return F.expr(number_sql(df, name))
+
+
+def additive(df: DataFrame, name: str) -> Column:
+    """`additive_sql` as a column."""
+    return F.expr(additive_sql(df, name))
+
+
+def inline_rows(rows: Sequence[Mapping[str, str]]) -> Column:
+    """One output row per entry; each maps field names, which are plain words, to SQL text."""
+    structs = ("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in row.items()) + ")" for row in rows)
+    return F.expr("inline(array(" + ", ".join(structs) + "))")
+
+
+def one_row_each(df: DataFrame, rows: Sequence[Mapping[str, str]]) -> DataFrame:
+    """Aggregate `df` once and turn the result into one row per entry, each of aggregate SQL text."""
+    names = [{k: f"v{i}_{k}" for k in row} for i, row in enumerate(rows)]
+    aggregates = [F.expr(f"{sql} AS {names[i][k]}") for i, row in enumerate(rows) for k, sql in row.items()]
+    return df.agg(*aggregates).select(inline_rows(names))
 
 
 def require_columns(df: DataFrame, names: Sequence[str]) -> None:

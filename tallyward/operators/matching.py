@@ -6,13 +6,14 @@ expressions, so every question is matched where it lies and nothing is shuffled.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.errors import ResourceLimitError
-from tallyward.functions.text import BLANKS, stem, words
+from tallyward.functions.text import let, stem, trim_blanks, words
 from tallyward.operators.profile import TableProfile
 from tallyward.plans.catalog import MetricDefinition
 
@@ -63,14 +64,16 @@ def _has_any(text: Column, parts: Sequence[str]) -> Column:
 
 def match_synonym(question: Column, metrics: Sequence[MetricDefinition]) -> Column:
     """Name of the first metric, in catalog order, whose name in words or any synonym is inside the question."""
-    phrases = [(m.name, s) for m in metrics for s in (m.name.replace("_", " "), *m.synonyms)]
+    phrases = [{"name": m.name, "phrase": s} for m in metrics for s in (m.name.replace("_", " "), *m.synonyms)]
     if len(phrases) > MAX_LITERAL_SYNONYMS:
         raise ResourceLimitError("catalog too large for literals; use containment.matching_pairs")
-    if not phrases:
-        return F.lit(None).cast("string")
-    table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("phrase")) for n, s in phrases])
-    text = _lowered(question)
-    return F.get(F.filter(table, lambda p: F.contains(text, p["phrase"])), F.lit(0))["name"]
+    table = _table(phrases, "name: string, phrase: string")
+    return let(_lowered(question), lambda text: F.get(F.filter(table, lambda p: F.contains(text, p["phrase"])), F.lit(0))["name"])
+
+
+def _table(rows: Sequence[Mapping[str, object]], fields: str) -> Column:
+    """Metadata as a literal array of structs."""
+    return F.from_json(F.lit(json.dumps(list(rows))), f"array<struct<{fields}>>")
 
 
 def pick_sum_metric(question: Column, metrics: Sequence[MetricDefinition]) -> Column:
@@ -97,13 +100,13 @@ def pick_sum_metric(question: Column, metrics: Sequence[MetricDefinition]) -> Co
 # ---- columns --------------------------------------------------------------------------------------------
 
 
-def _names_column(word: Column, column: str) -> Column:
+def _names_column(word: Column, singular: Column, column: Column) -> Column:
     """Does one word of a question name a column: itself, its singular, one of its parts, or a piece of it?"""
-    low = column.lower()
-    singular, parts = low.rstrip("s"), low.split("_")
-    exact = (word == low) | (stem(word) == singular) | word.isin(*parts) | stem(word).isin(*[p.rstrip("s") for p in parts])
-    piece = F.contains(F.lit(low), word) | F.contains(word, F.lit(low)) | F.contains(F.lit(singular), stem(word))
-    return exact | ((F.length(word) >= 3) & piece)
+    exact = F.array_contains(column["words"], word) | F.array_contains(column["singulars"], singular)
+    low = column["low"]
+    piece = F.contains(low, word) | F.contains(word, low) | F.contains(column["singular"], singular)
+    example = F.array_contains(column["examples"], word) | F.array_contains(column["examples"], singular)
+    return exact | ((F.length(word) >= 3) & piece) | example
 
 
 def match_column(question: Column, columns: Sequence[str], examples: Mapping[str, Sequence[str]] | None = None) -> Column:
@@ -111,17 +114,22 @@ def match_column(question: Column, columns: Sequence[str], examples: Mapping[str
 
     `examples` lets a word that is one of a column's example values name the column too.
     """
-    spoken = words(F.coalesce(question, F.lit("")))
-    choice = F.lit(None).cast("string")
-    for column in reversed(columns):
-        hit = _any_word(spoken, column, [str(v).lower() for v in (examples or {}).get(column, ())])
-        choice = F.when(hit, F.lit(column)).otherwise(choice)
-    return choice
-
-
-def _any_word(spoken: Column, column: str, values: Sequence[str]) -> Column:
-    value_hit = lambda w: (w.isin(*values) | stem(w).isin(*values)) if values else F.lit(False)
-    return F.exists(spoken, lambda w: _names_column(w, column) | value_hit(w))
+    rows = []
+    for column in columns:
+        low = column.lower()
+        parts = low.split("_")
+        rows.append(
+            {
+                "name": column, "low": low, "singular": low.rstrip("s"), "words": [low, *parts],
+                "singulars": [low.rstrip("s"), *[p.rstrip("s") for p in parts]],
+                "examples": [str(v).lower() for v in (examples or {}).get(column, ())],
+            }
+        )
+    fields = "name: string, low: string, singular: string, words: array<string>, singulars: array<string>, examples: array<string>"
+    table = _table(rows, fields)
+    spoken = F.transform(words(F.coalesce(question, F.lit(""))), lambda w: F.struct(w.alias("word"), stem(w).alias("stem")))
+    named = lambda said: F.filter(table, lambda c: F.exists(said, lambda w: _names_column(w["word"], w["stem"], c)))
+    return let(spoken, lambda said: F.get(named(said), F.lit(0))["name"])
 
 
 def _breakdown(text: Column, profile: TableProfile) -> tuple[Column, str | None]:
@@ -158,7 +166,10 @@ def _resolution(plan: str, target: Column | None, route: str, value: Column | No
 
 def intent(question: Column, profile: TableProfile, metrics: Sequence[MetricDefinition]) -> Column:
     """The fixed intent rules as a struct (plan_type, target, value_col, group_col, agg, route); null when none applies."""
-    text = F.regexp_replace(_lowered(question), rf"^{BLANKS}|{BLANKS}$", "")
+    return let(trim_blanks(_lowered(question)), lambda text: _rules(text, profile, metrics))
+
+
+def _rules(text: Column, profile: TableProfile, metrics: Sequence[MetricDefinition]) -> Column:
     asks = lambda pattern: text.rlike("(?U)" + pattern)
     group, value = _breakdown(text, profile)
     total = asks(TOTAL_QUESTION) & asks(TOTAL_SUBJECT) & ~asks(EXTREME_QUESTION)
@@ -185,29 +196,34 @@ def _typed() -> str:
 
 def fallback(question: Column, profile: TableProfile, metrics: Mapping[str, MetricDefinition]) -> Column:
     """Schema matching for questions no rule answers: a struct like `intent`'s, null when nothing matches."""
-    text = _lowered(question)
+    return let(_lowered(question), lambda text: _schema_match(text, profile, metrics))
+
+
+def _schema_match(text: Column, profile: TableProfile, metrics: Mapping[str, MetricDefinition]) -> Column:
     examples = {c.name: c.examples for c in profile.columns if c.is_categorical}
-    number = match_column(text, profile.numeric)
-    group = match_column(text, profile.categorical, examples)
+    matches = F.struct(
+        match_column(text, profile.numeric).alias("number"),
+        match_column(text, profile.categorical, examples).alias("group"),
+        match_synonym(text, list(metrics.values())).alias("synonym"),
+    )
+    return let(matches, lambda m: _schema_plan(text, m["number"], m["group"], m["synonym"], list(metrics)))
+
+
+def _schema_plan(text: Column, number: Column, group: Column, synonym: Column, names: Sequence[str]) -> Column:
     average = _has_any(text, AVERAGE_WORDS)
     # 'compare', 'vs' and 'between' are group words already, so a matched group adds nothing to the test.
-    grouped = _has_any(text, GROUP_WORDS)
-    prefix = F.when(average, F.lit("avg_")).otherwise(F.lit(""))
-    pair = F.concat(prefix, number, F.lit("_by_"), group)
-    names = [F.lit(n) for n in metrics]
-    known = lambda name: F.array_contains(F.array(*names), name) if names else F.lit(False)
+    wants_group = _has_any(text, GROUP_WORDS) & number.isNotNull() & group.isNotNull()
+    pair = F.concat(F.when(average, F.lit("avg_")).otherwise(F.lit("")), number, F.lit("_by_"), group)
+    known = lambda name: F.coalesce(name.isin(*names), F.lit(False))
     grouped_metric = _resolution(METRIC_PLAN, pair, "grouped")
     compare = _resolution(
         TOOL_PLAN, F.lit("group_compare"), "grouped", number, group, F.when(average, F.lit("mean")).otherwise(F.lit("sum"))
     )
     single_average = F.concat(F.lit("avg_"), number)
-    synonym = match_synonym(text, list(metrics.values()))
     wants_outliers = _has_any(text, OUTLIER_WORDS) & number.isNotNull()
-    overview = _has_any(text, OVERVIEW_WORDS)
-    wants_group = grouped & number.isNotNull() & group.isNotNull()
     return (
         F.when(wants_outliers, _resolution(TOOL_PLAN, F.lit("anomaly_detect"), "outliers", number))
-        .when(overview, _resolution(TOOL_PLAN, F.lit("describe"), "overview"))
+        .when(_has_any(text, OVERVIEW_WORDS), _resolution(TOOL_PLAN, F.lit("describe"), "overview"))
         .when(wants_group & known(pair), grouped_metric)
         .when(wants_group, compare)
         .when(average & number.isNotNull() & known(single_average), _resolution(METRIC_PLAN, single_average, "average"))

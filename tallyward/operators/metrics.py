@@ -9,7 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.frames import small_frame
-from tallyward.operators.guards import additive, column_ref, is_numeric_type, number, require_columns
+from tallyward.operators.guards import (
+    additive_sql,
+    column_ref,
+    identifier,
+    inline_rows,
+    is_numeric_type,
+    require_columns,
+    value_sql,
+)
 from tallyward.operators.profile import column_counts
 from tallyward.plans.catalog import AGGREGATES, MetricDefinition
 
@@ -31,16 +39,6 @@ def equality_filter(df: DataFrame, filters: Mapping[str, object] | None) -> Data
     return df.where(reduce(lambda a, b: a & b, tests))
 
 
-def _measure(df: DataFrame, column: str) -> Column:
-    if column in df.columns and is_numeric_type(df.schema[column].dataType):
-        return number(df, column)
-    return column_ref(column)
-
-
-def _summand(df: DataFrame, column: str) -> Column:
-    return additive(df, column) if is_numeric_type(df.schema[column].dataType) else column_ref(column)
-
-
 def aggregate(df: DataFrame, column: str, agg: str) -> Column:
     """The aggregate expression of a metric; null where there is nothing to aggregate."""
     if agg not in AGGREGATES:
@@ -48,14 +46,14 @@ def aggregate(df: DataFrame, column: str, agg: str) -> Column:
     if agg == "count":
         return F.count("*")
     require_columns(df, [column])
-    value = _measure(df, column)
-    return {
-        "sum": lambda: F.sum(_summand(df, column)).cast("double"),
-        "mean": lambda: F.avg(value).cast("double"),
-        "max": lambda: F.max(value),
-        "min": lambda: F.min(value),
-        "nunique": lambda: F.count_distinct(value),
-    }[agg]()
+    value = value_sql(df, column)
+    if agg == "sum" and is_numeric_type(df.schema[column].dataType):
+        value = additive_sql(df, column)
+    sql = {
+        "sum": "CAST(sum({}) AS DOUBLE)", "mean": "CAST(avg({}) AS DOUBLE)", "max": "max({})", "min": "min({})",
+        "nunique": "count(DISTINCT {})",
+    }
+    return F.expr(sql[agg].format(value))
 
 
 def run_metric(
@@ -74,7 +72,7 @@ def run_metric(
     rows = equality_filter(df, merge_filters(metric.base_filters, filters))
     value = aggregate(rows, metric.column, metric.agg)
     if metric.agg == "nunique" and approx_rsd is not None:
-        value = F.approx_count_distinct(_measure(rows, metric.column), approx_rsd)
+        value = F.approx_count_distinct(F.expr(value_sql(rows, metric.column)), approx_rsd)
     if metric.groupby and (metric.agg != "nunique" or grouped_nunique):
         require_columns(rows, [metric.groupby])
         result = rows.groupBy(column_ref(metric.groupby).alias("key")).agg(value.alias("value"))
@@ -124,49 +122,53 @@ def _fused(df: DataFrame, metrics: Sequence[MetricDefinition]) -> DataFrame:
     columns = list(dict.fromkeys(m.column for m in metrics if m.agg != "count"))
     require_columns(df, columns)
     # Group columns get names of their own: one may also be a measured column.
-    source = df.select(
-        *[column_ref(g).cast("string").alias(f"g{i}") for i, g in enumerate(groups)],
-        *[_measure(df, c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)],
+    source = df.selectExpr(
+        *[f"CAST({identifier(g)} AS STRING) AS g{i}" for i, g in enumerate(groups)],
+        *[f"CAST({value_sql(df, c)} AS DOUBLE) AS x{i}" for i, c in enumerate(columns)],
     )
-    kinds = {"s": F.sum, "c": F.count, "l": F.min, "h": F.max}
-    parts = [f(f"x{i}").alias(f"{k}{i}") for i in range(len(columns)) for k, f in kinds.items()]
+    measures = [(f"s{i}", "sum", f"x{i}") for i in range(len(columns))] + [(f"c{i}", "count", f"x{i}") for i in range(len(columns))]
+    measures += [(f"l{i}", "min", f"x{i}") for i in range(len(columns))] + [(f"h{i}", "max", f"x{i}") for i in range(len(columns))]
+    parts = [F.expr("count(*) AS n"), *[F.expr(f"{f}({x}) AS {name}") for name, f, x in measures]]
     bundles = _bundles(len(groups))
     keys = [f"g{i}" for i in range(len(groups))]
     if len(bundles) > 1:
         sets = [[f"g{i}" for i in bundle] for bundle in bundles]
-        partial = source.groupingSets(sets, *keys).agg(F.grouping_id().alias("set"), F.count("*").alias("n"), *parts)
+        partial = source.groupingSets(sets, *keys).agg(F.grouping_id().alias("set"), *parts)
     else:
-        partial = source.groupBy(*keys).agg(F.count("*").alias("n"), *parts).withColumn("set", F.lit(0))
+        partial = source.groupBy(*keys).agg(*parts).withColumn("set", F.lit(0))
     # Each partial row goes to the group columns of its bundle; those of the first bundle also to the total.
-    routes = F.lit(None)
-    for number_, bundle in enumerate(bundles):
-        targets = [F.struct(F.lit(i).alias("group"), F.col(f"g{i}").alias("key")) for i in bundle]
-        if number_ == 0:
-            targets.append(F.struct(F.lit(-1).alias("group"), F.lit(None).cast("string").alias("key")))
+    routes = []
+    for position, bundle in enumerate(bundles):
+        targets = [f"named_struct('group', {i}, 'key', g{i})" for i in bundle]
+        if position == 0:
+            targets.append("named_struct('group', -1, 'key', CAST(NULL AS STRING))")
         # grouping_id has a bit set for every column left out, the first column's highest.
         left_out = sum(1 << (len(groups) - 1 - i) for i in range(len(groups)) if i not in bundle) if len(bundles) > 1 else 0
-        routes = F.when(F.col("set") == left_out, F.array(*targets)).otherwise(routes)
-    merge = {"s": F.sum, "c": F.sum, "l": F.min, "h": F.max}
-    merged = [f(f"{k}{i}").alias(f"{k}{i}") for i in range(len(columns)) for k, f in merge.items()]
-    numbers = [f"{k}{i}" for i in range(len(columns)) for k in kinds]
-    totals = partial.select("n", *numbers, F.inline(routes)).groupBy("group", "key").agg(F.sum("n").alias("n"), *merged)
-
-    def value(metric: MetricDefinition) -> Column:
-        if metric.agg == "count":
-            found = F.coalesce("n", F.lit(0)).cast("double")
-        else:
-            i = columns.index(metric.column)
-            mean = F.when(F.col(f"c{i}") > 0, F.col(f"s{i}") / F.col(f"c{i}"))
-            found = {"sum": F.col(f"s{i}"), "mean": mean, "max": F.col(f"h{i}"), "min": F.col(f"l{i}")}[metric.agg]
-        return found if metric.groupby else F.coalesce(found, F.lit(0.0))
-
-    rows = F.lit(None)
-    for i in [-1, *range(len(groups))]:
-        mine = [m for m in metrics if (groups.index(m.groupby) if m.groupby else -1) == i]
-        if mine:
-            cells = [F.struct(F.lit(m.name).alias("metric"), F.col("key"), value(m).alias("value")) for m in mine]
-            rows = F.when(F.col("group") == i, F.array(*cells)).otherwise(rows)
-    return totals.select(F.inline(rows))
+        routes.append(f"WHEN set = {left_out} THEN array({', '.join(targets)})")
+    merge = [F.expr(f"{'sum' if f == 'count' else f}({name}) AS {name}") for name, f, _ in measures]
+    routed = partial.selectExpr("n", *[name for name, _, _ in measures], f"inline(CASE {' '.join(routes)} END)")
+    totals = routed.groupBy("group", "key").agg(F.expr("sum(n) AS n"), *merge)
+    wanted = list(dict.fromkeys((m.column if m.agg != "count" else "*", m.agg) for m in metrics))
+    slots = inline_rows([{"slot": str(i), "value": _slot_sql(columns, *w)} for i, w in enumerate(wanted)])
+    values = totals.select("group", "key", slots)
+    rows = [
+        {
+            "metric": m.name, "group": groups.index(m.groupby) if m.groupby else -1,
+            "slot": wanted.index((m.column if m.agg != "count" else "*", m.agg)),
+        }
+        for m in metrics
+    ]
+    named = small_frame(df.sparkSession, rows, "metric string, group int, slot int")
+    value = F.when(F.col("group") == -1, F.coalesce("value", F.lit(0.0))).otherwise(F.col("value"))
+    return values.join(named, ["group", "slot"]).select("metric", "key", value.alias("value"))
+
+
+def _slot_sql(columns: Sequence[str], column: str, agg: str) -> str:
+    """One aggregate of one column from the merged sums, counts and extremes."""
+    if agg == "count":
+        return "CAST(n AS DOUBLE)"
+    i = columns.index(column)
+    return {"sum": f"s{i}", "mean": f"CASE WHEN c{i} > 0 THEN s{i} / c{i} END", "max": f"h{i}", "min": f"l{i}"}[agg]
 
 
 def _bundles(groups: int) -> list[list[int]]:

@@ -4,78 +4,93 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyward.operators.guards import column_ref, number
 
-# The sketch places GRID + 1 fence values; its rank error is a tenth of the distance between two of them.
-GRID = 2_000
-ACCURACY = 20_000
+# A sketch places GRID + 1 fence values; its rank error is a tenth of the distance between two of them. Sketches
+# stay small on purpose: those of all tasks meet in one task per group. A second pass narrows further instead.
+GRID = 200
+ACCURACY = 2_000
+PASSES = 2
+FENCES = [i / GRID for i in range(GRID + 1)]
 
 
 def percentile_summary(
-    df: DataFrame,
-    keys: Sequence[str],
-    value_col: str,
-    percents: Sequence[float] = (50, 95),
-    grid: int = GRID,
-    accuracy: int = ACCURACY,
+    df: DataFrame, keys: Sequence[str], value_col: str, percents: Sequence[float] = (50, 95), passes: int = PASSES
 ) -> DataFrame:
     """(keys, n, mean, p<percent> …) with linear interpolation between the two neighbouring ranks.
 
     The built-in `percentile` keeps every distinct value of a group in one aggregation buffer. Here a sketch
-    fences in the wanted ranks; rows below the fence are only counted, and just the distinct values between the
-    fences are sorted. The result is exact whatever the sketch's error, as the fences lie beyond its bound.
+    fences in the wanted ranks, about a fortieth of a group at each pass; values below the fence are only
+    counted, and just the distinct values between the last fences are sorted. The result is exact whatever the
+    sketch's error, as the fences lie beyond its bound. Each pass is a scan.
     """
-    measured = df.select(*[column_ref(k) for k in keys], number(df, value_col).cast("double").alias("_v"))
+    groups = list(keys) or ["_all"]
+    source = df if keys else df.withColumn("_all", F.lit(0))
+    measured = source.select(*[column_ref(k) for k in groups], number(df, value_col).cast("double").alias("_v"))
     measured = measured.where(F.col("_v").isNotNull())
-    fences = [i / grid for i in range(grid + 1)]
-    sketch = measured.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.avg("_v").alias("mean"),
-        F.percentile_approx("_v", fences, accuracy).alias("_fences"),
-    )
-    brackets = []
-    for i, percent in enumerate(percents):
-        rank = (F.col("n") - 1) * F.lit(percent / 100.0)
-        low, high = F.floor(rank), F.least(F.floor(rank) + 1, F.col("n") - 1)
-        # Two fences of slack on each side: one for the sketch's error, one for rounding of ranks.
-        from_fence = F.greatest(F.floor(low / F.col("n") * grid) - 2, F.lit(0)).cast("int")
-        to_fence = F.least(F.ceil((high + 1) / F.col("n") * grid) + 2, F.lit(grid)).cast("int")
-        brackets.append(
-            F.struct(
-                F.lit(i).alias("i"), low.alias("low"), high.alias("high"), (rank - low).alias("part"),
-                F.get("_fences", from_fence).alias("start"), F.get("_fences", to_fence).alias("end"),
-            )
-        )
-    plan = sketch.select(*keys, F.array(*brackets).alias("_brackets"))
-    on = [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys]
-    paired = measured.alias("a").join(plan.alias("b"), on, "inner") if keys else measured.alias("a").join(plan.alias("b"))
-    picked = paired.select(
-        *[F.col(f"a.`{k}`") for k in keys],
-        "_v",
-        F.explode(F.filter("_brackets", lambda b: F.col("_v") <= b["end"])).alias("b"),
-    )
+    brackets = _first_brackets(measured, groups, percents)
+    for _ in range(passes - 1):
+        brackets = _narrowed(measured, brackets, groups)
     inside = F.when(F.col("_v") >= F.col("b.start"), F.col("_v"))
-    counted = picked.groupBy(*keys, F.col("b"), inside.alias("_value")).agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(*keys, "b").orderBy(F.asc_nulls_first("_value"))
+    counted = _paired(measured, brackets, groups).groupBy(*groups, "b", inside.alias("_value")).agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(*groups, "b").orderBy(F.asc_nulls_first("_value"))
     ranked = counted.withColumn("_upto", F.sum("_n").over(upto))
-    ends = ranked.groupBy(*keys, "b").agg(
+    ends = ranked.groupBy(*groups, "b").agg(
         F.min(F.when(F.col("_upto") > F.col("b.low"), F.col("_value"))).alias("_low"),
         F.min(F.when(F.col("_upto") > F.col("b.high"), F.col("_value"))).alias("_high"),
     )
     exact = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("b.part")
-    values = ends.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("b.i") == i, exact)).alias(f"p{percent:g}") for i, percent in enumerate(percents)]
+    return ends.groupBy(*groups).agg(
+        F.max("b.n").alias("n"), F.max("b.mean").alias("mean"),
+        *[F.max(F.when(F.col("b.i") == i, exact)).alias(f"p{percent:g}") for i, percent in enumerate(percents)],
+    ).drop("_all")
+
+
+def _first_brackets(measured: DataFrame, groups: Sequence[str], percents: Sequence[float]) -> DataFrame:
+    sketch = measured.groupBy(*groups).agg(
+        F.count("*").alias("n"), F.avg("_v").alias("mean"), F.percentile_approx("_v", FENCES, ACCURACY).alias("_fences")
     )
-    head, tail = sketch.drop("_fences").alias("h"), values.alias("t")
-    names = [f"p{percent:g}" for percent in percents]
-    if not keys:
-        return head.join(tail).select("n", "mean", *names)
-    same = [F.col(f"h.`{k}`").eqNullSafe(F.col(f"t.`{k}`")) for k in keys]
-    return head.join(tail, same).select(*[F.col(f"h.`{k}`") for k in keys], "n", "mean", *names)
+    wanted = [F.struct(F.lit(i).alias("i"), ((F.col("n") - 1) * F.lit(p / 100.0)).alias("rank")) for i, p in enumerate(percents)]
+    ranks = sketch.withColumn("_w", F.explode(F.array(*wanted)))
+    low = F.floor("_w.rank")
+    high = F.least(low + 1, F.col("n") - 1)
+    start, end = _fence(F.col("_fences"), low, high, F.col("n"))
+    bracket = F.struct(
+        F.col("_w.i").alias("i"), "n", "mean", low.alias("low"), high.alias("high"), (F.col("_w.rank") - low).alias("part"),
+        start.alias("start"), end.alias("end"),
+    )
+    return ranks.select(*groups, bracket.alias("b"))
+
+
+def _narrowed(measured: DataFrame, brackets: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """The same ranks fenced in by a sketch of the values between the present fences only."""
+    inside = F.when(F.col("_v") >= F.col("b.start"), F.col("_v"))
+    sketch = _paired(measured, brackets, groups).groupBy(*groups, "b").agg(
+        F.count(inside).alias("_m"), F.count_if(inside.isNull()).alias("_below"),
+        F.percentile_approx(inside, FENCES, ACCURACY).alias("_fences"),
+    )
+    start, end = _fence(F.col("_fences"), F.col("b.low") - F.col("_below"), F.col("b.high") - F.col("_below"), F.col("_m"))
+    return sketch.select(*groups, F.col("b").withField("start", start).withField("end", end).alias("b"))
+
+
+def _fence(fences: Column, low: Column, high: Column, n: Column) -> tuple[Column, Column]:
+    # Two fences of slack on each side: one for the sketch's error, one for rounding of ranks.
+    first = F.greatest(F.floor(low / n * GRID) - 2, F.lit(0)).cast("int")
+    last = F.least(F.ceil((high + 1) / n * GRID) + 2, F.lit(GRID)).cast("int")
+    return F.get(fences, first), F.get(fences, last)
+
+
+def _paired(measured: DataFrame, brackets: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Every value with the brackets of its group that it is not above."""
+    per_group = brackets.groupBy(*groups).agg(F.collect_list("b").alias("_b"))  # one entry per percent
+    same = [F.col(f"a.`{k}`").eqNullSafe(F.col(f"c.`{k}`")) for k in groups]
+    joined = measured.alias("a").join(per_group.alias("c"), same)
+    fitting = F.filter("_b", lambda b: F.col("_v") <= b["end"])
+    return joined.select(*[F.col(f"a.`{k}`") for k in groups], "_v", F.explode(fitting).alias("b"))
 
 
 def percentile_sketch(

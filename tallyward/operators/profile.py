@@ -10,7 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.frames import small_frame
-from tallyward.operators.guards import column_ref, is_numeric_type, number, require_columns
+from tallyward.operators.guards import (
+    column_ref,
+    identifier,
+    inline_rows,
+    number_sql,
+    one_row_each,
+    require_columns,
+    text_literal,
+    value_sql,
+)
 
 # Role thresholds.
 CATEGORY_CEILING = 50
@@ -25,6 +34,7 @@ SAMPLE_ROWS = 5
 # A column with more distinct values than this, as far as a sketch can tell, is not counted exactly by "auto".
 # Far above every threshold of the roles, so these are exact either way.
 EXACT_BELOW = 10_000
+NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 # Longer text is compared by digest, so that counting distinct texts does not shuffle the texts.
 LONG_TEXT = 64
 
@@ -80,30 +90,25 @@ class TableProfile:
 # ---- counts ---------------------------------------------------------------------------------------------
 
 
-def _cell(df: DataFrame, ordinal: int, name: str) -> Column:
-    """One cell as a struct with the value in the slot of its type, ready to be counted across columns."""
-    data_type, column = df.schema[name].dataType, column_ref(name)
-    whole = fraction = text = None
+def _cell(df: DataFrame, ordinal: int, name: str) -> dict[str, str]:
+    """One cell with the value in the slot of its type, ready to be counted across columns."""
+    data_type, column = df.schema[name].dataType, identifier(name)
+    whole, fraction, text = "CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS STRING)"
     if isinstance(data_type, (T.IntegralType, T.BooleanType)):
-        whole = column.cast("bigint")
+        whole = f"CAST({column} AS BIGINT)"
     elif isinstance(data_type, T.DateType):
-        whole = F.unix_date(column).cast("bigint")
+        whole = f"CAST(unix_date({column}) AS BIGINT)"
     elif isinstance(data_type, T.TimestampType):
-        whole = F.unix_micros(column)
+        whole = f"unix_micros({column})"
+    elif isinstance(data_type, T.TimestampNTZType):
+        # The same instant for every row's zone, so equal and different values stay so.
+        whole = f"unix_micros(to_utc_timestamp({column}, 'UTC'))"
     elif isinstance(data_type, (T.FloatType, T.DoubleType)):
-        fraction = number(df, name).cast("double")
-    elif isinstance(data_type, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-        text = F.to_json(column)
+        fraction = f"CAST({number_sql(df, name)} AS DOUBLE)"
     else:
-        text = column.cast("string")
-    if text is not None:
-        text = F.when(F.length(text) > LONG_TEXT, F.sha2(text, 256)).otherwise(text)
-    return F.struct(
-        F.lit(ordinal).alias("ordinal"),
-        (F.lit(None).cast("bigint") if whole is None else whole).alias("whole"),
-        (F.lit(None).cast("double") if fraction is None else fraction).alias("fraction"),
-        (F.lit(None).cast("string") if text is None else text).alias("text"),
-    )
+        text = f"to_json({column})" if isinstance(data_type, NESTED) else f"CAST({column} AS STRING)"
+        text = f"CASE WHEN length({text}) > {LONG_TEXT} THEN sha2({text}, 256) ELSE {text} END"
+    return {"ordinal": str(ordinal), "whole": whole, "fraction": fraction, "text": text}
 
 
 def column_counts(df: DataFrame, columns: Sequence[str] | None = None, distinct: str = "exact") -> DataFrame:
@@ -130,7 +135,7 @@ def column_counts(df: DataFrame, columns: Sequence[str] | None = None, distinct:
         counts = small_frame(df.sparkSession, rest, "ordinal int, n_rows bigint, n_unique bigint, n_null bigint")
         if few:
             counts = counts.unionByName(_exact_counts(df, [p for p in places if p[0] in few]))
-    label = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("ordinal"))
+    label = lambda values: F.expr(f"get(array({', '.join(map(text_literal, values))}), ordinal)")
     return counts.select(
         "ordinal", label(names).alias("name"), label([df.schema[c].dataType.simpleString() for c in names]).alias("dtype"),
         "n_rows", "n_unique", "n_null",
@@ -138,14 +143,11 @@ def column_counts(df: DataFrame, columns: Sequence[str] | None = None, distinct:
 
 
 def _exact_counts(df: DataFrame, places: Sequence[tuple[int, str]]) -> DataFrame:
-    cells = df.select(F.inline(F.array(*[_cell(df, i, c) for i, c in places])))
+    cells = df.select(inline_rows([_cell(df, i, c) for i, c in places]))
     per_value = cells.groupBy("ordinal", "whole", "fraction", "text").agg(F.count("*").alias("n"))
     # A row that counts nothing for each column, so that an empty table still has its columns.
-    ordinals = F.array(*[F.lit(i) for i, _ in places])
-    nothing = df.sparkSession.range(len(places)).select(
-        F.get(ordinals, F.col("id").cast("int")).alias("ordinal"), F.lit(None).cast("bigint").alias("whole"),
-        F.lit(None).cast("double").alias("fraction"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("bigint").alias("n"),
-    )
+    schema = "ordinal int, whole bigint, fraction double, text string, n bigint"
+    nothing = small_frame(df.sparkSession, [{"ordinal": i, "n": 0} for i, _ in places], schema)
     missing = F.col("whole").isNull() & F.col("fraction").isNull() & F.col("text").isNull()
     return per_value.unionByName(nothing).groupBy("ordinal").agg(
         F.sum("n").alias("n_rows"),
@@ -155,20 +157,14 @@ def _exact_counts(df: DataFrame, places: Sequence[tuple[int, str]]) -> DataFrame
 
 
 def _sketched_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    aggregates = []
+    rows = []
     for i, name in enumerate(names):
-        value = number(df, name) if is_numeric_type(df.schema[name].dataType) else column_ref(name)
-        if isinstance(df.schema[name].dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-            value = F.xxhash64(F.to_json(value))
-        aggregates.append(
-            F.struct(
-                F.lit(i).alias("ordinal"),
-                F.count("*").alias("n_rows"),
-                F.approx_count_distinct(value).alias("n_unique"),
-                (F.count("*") - F.count(value)).alias("n_null"),
-            ).alias(f"c{i}")
-        )
-    return df.agg(F.array(*aggregates).alias("all")).select(F.inline("all"))
+        value = value_sql(df, name)
+        if isinstance(df.schema[name].dataType, NESTED):
+            value = f"xxhash64(to_json({value}))"
+        counts = {"n_rows": "count(*)", "n_unique": f"approx_count_distinct({value})", "n_null": f"count(*) - count({value})"}
+        rows.append({"ordinal": f"any_value({i})", **counts})
+    return one_row_each(df, rows)
 
 
 # ---- roles ----------------------------------------------------------------------------------------------
@@ -209,20 +205,16 @@ def filterable_columns(profile: DataFrame) -> DataFrame:
 
 def example_values(df: DataFrame, per_column: int = EXAMPLES_PER_COLUMN, scan: int = PROFILE_SAMPLE_ROWS) -> DataFrame:
     """First non-null values of each column as text, from a bounded scan: (ordinal, name, examples)."""
-    head = df.limit(scan)
-    lists = head.agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("ordinal"),
-                    F.lit(c).alias("name"),
-                    F.slice(F.collect_list(_as_text(df, c)), 1, per_column).alias("examples"),
-                )
-                for i, c in enumerate(df.columns)
-            ]
-        ).alias("all")
-    )
-    return lists.select(F.inline("all"))
+    def first(name: str) -> str:
+        nested = isinstance(df.schema[name].dataType, NESTED)
+        text = f"to_json({identifier(name)})" if nested else f"CAST({identifier(name)} AS STRING)"
+        return f"slice(collect_list({text}), 1, {per_column})"
+
+    rows = [
+        {"ordinal": f"any_value({i})", "name": f"any_value({text_literal(c)})", "examples": first(c)}
+        for i, c in enumerate(df.columns)
+    ]
+    return one_row_each(df.limit(scan), rows)
 
 
 def sample_rows(df: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
@@ -233,7 +225,7 @@ def sample_rows(df: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def _as_text(df: DataFrame, name: str) -> Column:
-    nested = isinstance(df.schema[name].dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
+    nested = isinstance(df.schema[name].dataType, NESTED)
     return F.to_json(column_ref(name)) if nested else column_ref(name).cast("string")
 
 

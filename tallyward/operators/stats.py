@@ -7,8 +7,21 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyward.frames import small_frame
 from tallyward.functions.numbers import percent, z_score
-from tallyward.operators.guards import additive, column_ref, is_numeric_type, number, require_columns, require_numeric
+from tallyward.operators.guards import (
+    additive,
+    column_ref,
+    inline_rows,
+    is_numeric_type,
+    number,
+    number_sql,
+    one_row_each,
+    require_columns,
+    require_numeric,
+    text_literal,
+    value_sql,
+)
 from tallyward.operators.profile import column_counts
 
 # Limits and names of the tools' options.
@@ -48,24 +61,27 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, distinct: str
 
 
 def _describe_numbers(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    # A cell per column, aggregated by column: six aggregates whatever the width, so that generated code stays
-    # small. An empty cell per column first, for a table without rows.
-    cells = df.select(F.inline(F.array(*[_cell(n, number(df, n), True) for n in names])))
-    nothing = df.sparkSession.range(1).select(F.inline(F.array(*[_cell(n, F.lit(None), False) for n in names])))
-    return cells.unionByName(nothing).groupBy("column").agg(
-        F.lit("numeric").alias("dtype"),
-        F.count("x").alias("count"),
-        F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-        F.count_if(F.col("real") & F.col("x").isNull()).alias("nulls"),
-        F.lit(None).cast("bigint").alias("n_unique"),
+    # A cell per column, aggregated by column: six aggregates whatever the width, so that generated code stays small.
+    cells = df.select(
+        inline_rows([{"column": text_literal(n), "x": f"CAST({number_sql(df, n)} AS DOUBLE)"} for n in names])
+    )
+    found = cells.groupBy("column").agg(
+        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
+        F.max("x").alias("max"), (F.count("*") - F.count("x")).alias("nulls"),
+    )
+    rows = _with_every(found, "column", [(n,) for n in names])
+    return rows.select(
+        "column", F.lit("numeric").alias("dtype"), F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min", "max",
+        F.coalesce("nulls", F.lit(0)).alias("nulls"), F.lit(None).cast("bigint").alias("n_unique"),
     )
 
 
-def _cell(column: str, value: Column, real: bool) -> Column:
-    return F.struct(F.lit(column).alias("column"), value.cast("double").alias("x"), F.lit(real).alias("real"))
+def _with_every(found: DataFrame, keys: str, wanted: Sequence[tuple]) -> DataFrame:
+    """A small result with a row of nulls for every wanted key it lacks, as a table without rows leaves no cells."""
+    names = keys.split()
+    kinds = ", ".join(f"{n} {found.schema[n].dataType.simpleString()}" for n in names)
+    every = small_frame(found.sparkSession, [dict(zip(names, w)) for w in wanted], kinds)
+    return every.join(found, names, "left")
 
 
 def value_counts(df: DataFrame, column: str, top_n: int = TOP_VALUES) -> DataFrame:
@@ -104,23 +120,18 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, limi
     numeric = [c for c in df.columns if is_numeric_type(df.schema[c].dataType)] if columns is None else list(columns)
     names = numeric[:limit]
     require_numeric(df, names)
-    values = df.select(*[number(df, n).cast("double").alias(f"x{i}") for i, n in enumerate(names)])
+    values = df.selectExpr(*[f"CAST({number_sql(df, n)} AS DOUBLE) AS x{i}" for i, n in enumerate(names)])
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-
-    def cell(i: int, j: int, x: Column, y: Column) -> Column:
-        return F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), x.cast("double").alias("x"), y.cast("double").alias("y"))
-
-    null = F.lit(None)
-    upper = [cell(i, j, F.col(f"x{i}"), F.col(f"x{j}")) for i, j in pairs if i < j]
-    every = df.sparkSession.range(1).select(F.inline(F.array(*[cell(i, j, null, null) for i, j in pairs])))
-    cells = values.select(F.inline(F.array(*upper))).dropna().unionByName(every) if upper else every
-    triangle = cells.groupBy("i", "j").agg(_pearson(F.col("x"), F.col("y")).alias("_r")).select(
-        "i", "j", F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.col("_r")).alias("r")
-    )
+    # A single column has no pair; its cell with itself keeps the frame's shape.
+    upper = [(i, j) for i, j in pairs if i < j] or pairs
+    cells = values.select(inline_rows([{"i": str(i), "j": str(j), "x": f"x{i}", "y": f"x{j}"} for i, j in upper])).dropna()
+    found = cells.groupBy("i", "j").agg(_pearson(F.col("x"), F.col("y")).alias("_r"))
+    r = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.coalesce("_r", F.lit(0.0)))
+    triangle = _with_every(found, "i j", pairs).select("i", "j", r.alias("r"))
     mirrored = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("r"))
     both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j", "r"))).otherwise(F.array(F.struct("i", "j", "r"), mirrored))
-    name = lambda place: F.get(F.array(*[F.lit(n) for n in names]), place)
-    return triangle.select(F.inline(both)).select(name(F.col("i")).alias("row"), name(F.col("j")).alias("col"), "r")
+    listed = ", ".join(map(text_literal, names))
+    return triangle.select(F.inline(both)).selectExpr(f"get(array({listed}), i) AS row", f"get(array({listed}), j) AS col", "r")
 
 
 def strongest_pair(df: DataFrame, columns: Sequence[str] | None = None, limit: int = MATRIX_COLUMNS) -> DataFrame:
@@ -149,16 +160,11 @@ def missingness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     """(column, total, nulls, null_pct), one row per column in the order given; one aggregation."""
     names = list(df.columns if columns is None else columns)
     require_columns(df, names)
-    present = lambda c: number(df, c) if is_numeric_type(df.schema[c].dataType) else column_ref(c)
     rows = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.count("*").alias("total"),
-            (F.count("*") - F.count(present(c))).alias("nulls"),
-        )
+        {"column": f"any_value({text_literal(c)})", "total": "count(*)", "nulls": f"count(*) - count({value_sql(df, c)})"}
         for c in names
     ]
-    counts = df.agg(F.array(*rows).alias("all")).select(F.inline("all"))
+    counts = one_row_each(df, rows)
     return counts.withColumn("null_pct", percent(F.col("nulls"), F.col("total")))
 
 

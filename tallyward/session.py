@@ -13,6 +13,8 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Without call-site capture, building an expression on the driver takes a fraction of the time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

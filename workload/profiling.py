@@ -80,7 +80,7 @@ def generated_sql(name: str, source: str | None = None) -> str:
 
 def generated(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Catalog rows generated from a table's exact profile."""
-    found = profile.build_profile(table(spark, sf_dir, name), name, "exact")
+    found = profile.build_profile(table(spark, sf_dir, name), name)
     return catalog.catalog_frame(spark, catalog.generate_metrics(found))
 
 

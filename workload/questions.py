@@ -12,7 +12,7 @@ from workload.inputs import QUESTIONS, oracle, table, view
 
 def _catalog(spark: SparkSession, sf_dir: str):
     rows = table(spark, sf_dir, "events")
-    found = profile.build_profile(rows, "events", "exact")
+    found = profile.build_profile(rows, "events")
     return found, generate_metrics(found)
 
 

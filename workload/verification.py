@@ -63,12 +63,12 @@ def _null_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _profiled(spark: SparkSession, sf_dir: str, name: str):
     rows = table(spark, sf_dir, name)
-    return rows, profile.build_profile(rows, name, "exact", with_examples=True)
+    return rows, profile.build_profile(rows, name, with_examples=True)
 
 
 def _insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _holes(spark, sf_dir)
-    found = profile.build_profile(rows, "events", "exact")
+    found = profile.build_profile(rows, "events")
     return insights.insights(rows, found, profile.profile_frame(rows, "exact"), generate_metrics(found))
 
 
