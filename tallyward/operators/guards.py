@@ -163,23 +163,28 @@ def run_with_timeout(spark: SparkSession, action: Callable[[], R], seconds: floa
     limit = QUERY_TIMEOUT_SECONDS if seconds is None else seconds
     if limit <= 0:
         return action()
-    tag, expired = f"limit-{uuid.uuid4().hex}", threading.Event()
+    # A tag of the context, not of the session: the session's tags are known only to the thread that set them.
+    context, tag = spark.sparkContext, f"limit-{uuid.uuid4().hex}"
+    expired, done = threading.Event(), threading.Event()
 
-    def expire() -> None:
+    def watch() -> None:
+        if done.wait(limit):
+            return
         expired.set()
-        spark.interruptTag(tag)
+        # Again and again, as the action may be planning its next job at the moment of a cancel.
+        while not done.wait(0.1):
+            context.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(limit, expire)
-    timer.daemon = True
-    spark.addTag(tag)
-    timer.start()
+    context.addJobTag(tag)
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
     try:
-        result = action()
+        return action()
     except Exception as error:
         if expired.is_set():
             raise ResourceLimitError(f"query took longer than {limit} s") from error
         raise
     finally:
-        timer.cancel()
-        spark.removeTag(tag)
-    return result
+        done.set()
+        watcher.join()
+        context.removeJobTag(tag)

@@ -7,9 +7,10 @@ import time
 from collections import OrderedDict
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyward.session import checkpoint_root
+
 # Refresh modes, default time to live and the number of snapshots kept.
 MODES = ("always", "ttl")
 TTL_SECONDS = 30
@@ -20,8 +21,10 @@ class LiveTable:
     """Frames of a live source under a refresh policy.
 
     `read` makes a frame from the source, given an optional query or condition as its key. In `always` mode it
-    is called for every frame. In `ttl` mode the frame is persisted (spilling to disk) and handed out until it is
-    older than the time to live; the oldest of more than MAX_SNAPSHOTS frames is dropped.
+    is called for every frame. In `ttl` mode the frame is checkpointed and handed out until it is older than the
+    time to live; the oldest of more than MAX_SNAPSHOTS frames is dropped. A checkpoint lies in the shared folder,
+    so a lost executor does not make part of a snapshot anew from a source that has moved on; Spark removes the
+    files of dropped frames when spark.cleaner.referenceTracking.cleanCheckpoints is on.
     """
 
     def __init__(
@@ -46,24 +49,26 @@ class LiveTable:
             made, frame = self._snapshots.get(key, (None, None))
             if frame is not None and now - made < self._ttl:
                 return frame
-            if frame is not None:
-                frame.unpersist()
-            fresh = self._read(key).persist(StorageLevel.MEMORY_AND_DISK)
+            fresh = _snapshot(self._read(key))
             self._snapshots[key] = (now, fresh)
             self._snapshots.move_to_end(key)
             while len(self._snapshots) > MAX_SNAPSHOTS:
-                _, (_, oldest) = self._snapshots.popitem(last=False)
-                oldest.unpersist()
+                self._snapshots.popitem(last=False)
             return fresh
 
     def clear(self) -> None:
         """Drop every snapshot."""
         with self._lock:
-            for _, frame in self._snapshots.values():
-                frame.unpersist()
             self._snapshots.clear()
 
 
+def _snapshot(frame: DataFrame) -> DataFrame:
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_root(frame.sparkSession))
+    return frame.checkpoint()
+
+
 def live_files(spark: SparkSession, path: str, mode: str = "always", ttl_seconds: float = TTL_SECONDS, file_format: str = "parquet") -> LiveTable:
     """A growing folder: every fresh frame lists its files again."""
 
