@@ -100,9 +100,6 @@ def _cell(df: DataFrame, ordinal: int, name: str) -> dict[str, str]:
         whole = f"CAST(unix_date({column}) AS BIGINT)"
     elif isinstance(data_type, T.TimestampType):
         whole = f"unix_micros({column})"
-    elif isinstance(data_type, T.TimestampNTZType):
-        # The same instant for every row's zone, so equal and different values stay so.
-        whole = f"unix_micros(to_utc_timestamp({column}, 'UTC'))"
     elif isinstance(data_type, (T.FloatType, T.DoubleType)):
         fraction = f"CAST({number_sql(df, name)} AS DOUBLE)"
     else:

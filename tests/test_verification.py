@@ -102,3 +102,12 @@ def test_charts(spark, n):
 
 def test_heatmap(orders):
     assert charts.heatmap_data(stats.correlation_matrix(orders)).columns == ["row", "col", "value"]
+
+
+def test_plans_gather_kinds_only(spark):
+    rows = [{"i": i, "target": "row_count", "value": 9.0, "source_rows": 5, "truncated": i == 1, "plan_type": "single_metric"} for i in range(3)]
+    rows.append({"i": 9, "target": "x", "value": 1.0, "plan_type": "other"})
+    plans = {r["plan_type"]: r for r in verify.verify_plan_results(small_frame(spark, rows, SCHEMA).withColumn("plan_id", F.lit(1))).collect()}
+    bad = plans["single_metric"]
+    assert (bad["n_flags"], bad["kinds"], bad["confidence"], bad["passed"]) == (4, ["count_exceeds_row_count", "result_truncated"], "low", False)
+    assert (plans["other"]["n_flags"], plans["other"]["kinds"], plans["other"]["confidence"]) == (0, [], "medium")

@@ -50,7 +50,7 @@ def _confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = verify.verify_plan_results(_results(spark, sf_dir))
-    return checked.select("plan_id", "plan_type", F.size("flags").alias("n_flags"), "confidence", "passed")
+    return checked.withColumn("kinds", F.concat_ws(",", "kinds"))
 
 
 def _rounded(frame: DataFrame) -> DataFrame:
@@ -117,7 +117,29 @@ QUERIES = {
     "chart_heatmap": lambda s, d: charts.heatmap_data(stats.correlation_matrix(table(s, d, "lineitem"))).withColumn("value", F.round("value", 6)),
 }
 
+# What stands out in the events with holes: the same checks, each as a query over them.
+INSIGHTS = f"""
+WITH h AS ({HOLES}), p AS ({roles_sql('events', f'({HOLES})')}),
+s AS (SELECT avg(event_id) AS m, stddev_samp(event_id) AS sd FROM h),
+o AS (SELECT least(count(*), 20) AS n FROM h, s WHERE abs((event_id - m) / nullif(sd, 0)) >= 2.0),
+b AS (SELECT event_type AS key, sum(event_id) AS value FROM h GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
+c AS (SELECT * FROM (SELECT 'event_id' AS a, 'user_id' AS b, corr(event_id, user_id) AS r FROM h
+      UNION ALL SELECT 'event_id', 'value', corr(event_id, value) FROM h UNION ALL SELECT 'user_id', 'value', corr(user_id, value) FROM h)
+      ORDER BY abs(r) DESC LIMIT 1)
+SELECT * FROM (
+  SELECT 'notice' AS severity, CAST(1 AS INTEGER) AS check_no, CAST(0 AS INTEGER) AS position, 'outlier' AS type,
+         'Outliers found in event_id' AS title, n || ' statistical outlier(s) detected.' AS detail FROM o WHERE n > 0
+  UNION ALL SELECT 'info', 2, 0, 'trend', 'event_id trend over ts', 'See chart for movement over time.' FROM (SELECT 1 FROM h LIMIT 1)
+  UNION ALL SELECT 'info', 3, 0, 'breakdown', 'Breakdown by event_type',
+         coalesce(key, 'None') || ' leads at ' || format('{{:,.2f}}', CAST(value AS DOUBLE)) || '.' FROM b
+  UNION ALL SELECT 'notice', 4, ordinal, 'missingness', name || ' has missing values',
+         format('{{:.1f}}% of rows are missing {{}}.', n_null / n_rows * 100, name) FROM p WHERE n_null / n_rows > 0.05
+  UNION ALL SELECT 'info', 5, 0, 'correlation', a || ' and ' || b || ' are correlated', format('Correlation of {{:.2f}}.', r) FROM c WHERE abs(r) > 0.5)
+ORDER BY severity = 'info', check_no, position LIMIT 4
+"""
+
 ORACLES = {
+    "insights": INSIGHTS,
     "verify_breakdown": "SELECT round(sum(l_extendedprice), 2) AS breakdown_sum, round(sum(l_extendedprice), 2) AS expected_total, true AS ok FROM lineitem",
     "verify_breakdown_nulls": f"SELECT round(sum(value), 2) AS breakdown_sum, round(sum(value), 2) AS expected_total, true AS ok FROM ({HOLES})",
     "verify_trend_total": "SELECT round(sum(o_totalprice), 2) AS breakdown_sum, round(sum(o_totalprice), 2) AS expected_total, true AS ok FROM orders",
@@ -128,9 +150,12 @@ ORACLES = {
         results=RESULTS, f=FLAGGED,
     ),
     "verify_plans": oracle(
-        """SELECT plan_id, plan_type, n_flags, CASE WHEN bad OR n_flags > 0 THEN 'low' WHEN plan_type = 'single_metric' THEN 'high'
+        """SELECT plan_id, plan_type, n_flags, concat_ws(',', CASE WHEN k1 THEN 'count_exceeds_row_count' END, CASE WHEN k2 THEN 'unexpected_negative' END,
+           CASE WHEN k3 THEN 'breakdown_total_mismatch' END, CASE WHEN k4 THEN 'result_truncated' END) AS kinds, CASE WHEN bad OR n_flags > 0 THEN 'low' WHEN plan_type = 'single_metric' THEN 'high'
            ELSE 'medium' END AS confidence, NOT (bad OR n_flags > 0) AS passed FROM
-           (SELECT plan_id, plan_type, CAST(sum(len(flags)) AS INTEGER) AS n_flags, bool_or(coalesce(error, '') <> '') AS bad FROM f GROUP BY 1, 2)""",
+           (SELECT plan_id, plan_type, CAST(sum(len(flags)) AS BIGINT) AS n_flags,
+            bool_or(contains(array_to_string(flags, ','), 'count_exceeds')) AS k1, bool_or(contains(array_to_string(flags, ','), 'unexpected')) AS k2,
+            bool_or(contains(array_to_string(flags, ','), 'mismatch')) AS k3, bool_or(contains(array_to_string(flags, ','), 'truncated')) AS k4, bool_or(coalesce(error, '') <> '') AS bad FROM f GROUP BY 1, 2)""",
         results=RESULTS, f=FLAGGED,
     ),
     "insight_leader": "SELECT o_orderpriority AS key, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1",
