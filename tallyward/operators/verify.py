@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.operators.guards import additive, column_ref, require_numeric
+from tallyward.operators.guards import additive, column_ref, inline_rows, require_numeric
 from tallyward.operators.metrics import equality_filter
 from tallyward.operators.stats import period_of
 
@@ -31,7 +31,7 @@ def verified_breakdown(
 ) -> DataFrame:
     """(key, value, breakdown_ok): a grouped sum with the check that its groups add up to the total.
 
-    Groups and grand total come from one rollup, one scan; a null group is told from the total by grouping id.
+    Groups and grand total come from one scan; a null group is told from the total by a flag.
     """
     require_numeric(df, [value_col])
     rows = equality_filter(df, filters)
@@ -48,9 +48,17 @@ def verified_trend(df: DataFrame, date_col: str, value_col: str, freq: str = "M"
 
 
 def _sums(rows: DataFrame, key: Column, value: Column) -> DataFrame:
-    return rows.select(key.alias("key"), value.alias("_x")).rollup("key").agg(
-        F.sum("_x").alias("value"), (F.grouping_id() == 1).alias("is_total")
+    """(key, value, is_total): the groups and the grand total, from one scan.
+
+    A rollup spelled out. Being an aggregate, `is_total` can not be pushed below the shuffle as a rollup's grouping
+    id is, so that readers of the groups and of the total share one shuffle instead of scanning once each.
+    """
+    pairs = rows.select(key.alias("k"), value.alias("x"))
+    nothing = f"CAST(NULL AS {pairs.schema['k'].dataType.simpleString()})"
+    both = pairs.select(
+        inline_rows([{"key": "k", "total": "false", "x": "x"}, {"key": nothing, "total": "true", "x": "x"}])
     )
+    return both.groupBy("key", "total").agg(F.sum("x").alias("value"), F.max("total").alias("is_total")).drop("total")
 
 
 def _checked(rows: DataFrame, key: Column, value: Column) -> DataFrame:

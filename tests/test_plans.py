@@ -30,6 +30,13 @@ def test_one_scan(lines):
     assert scans(metrics.run_catalog(lines, generated)) == 1
 
 
+def test_groups_and_total_share_a_shuffle(lines):
+    for frame in (verify.verified_breakdown(lines, "l_tax", "l_returnflag"), stats.value_counts(lines, "l_partkey")):
+        frame.collect()
+        final = plan(frame).split("== Initial Plan ==")[0]
+        assert "ReusedExchange" in final
+
+
 def test_filter_and_columns_reach_the_scan(lines):
     metric = MetricDefinition("m", "l_quantity", "sum", "l_linenumber")
     text = plan(metrics.run_metric(lines, metric, {"l_returnflag": "A"}))
