@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyward.functions.numbers import correlation_strength, grouped_number
 from tallyward.operators import stats
@@ -14,11 +15,17 @@ from tallyward.operators.metrics import run_metric
 from tallyward.operators.profile import TableProfile
 from tallyward.plans.catalog import MetricDefinition
 
-# Thresholds and caps.
+# ---- Fixed values: thresholds, caps and wording ---------------------------------------------------------
 MAX_INSIGHTS = 4
 NULL_THRESHOLD = 0.05
 CORRELATION_THRESHOLD = 0.5
 REPORT_VALUES = 8
+OUTLIER_TITLE, OUTLIER_DETAIL = "Outliers found in {column}", "%d statistical outlier(s) detected."
+TREND_TITLE, TREND_DETAIL = "{column} trend over {date}", "See chart for movement over time."
+BREAKDOWN_TITLE, BREAKDOWN_DETAIL = "Breakdown by {column}", "%s leads at %s."
+MISSING_TITLE, MISSING_DETAIL = "%s has missing values", "%.1f%% of rows are missing %s."
+CORRELATION_TITLE, CORRELATION_DETAIL = "%s and %s are correlated", "Correlation of %.2f."
+# ---------------------------------------------------------------------------------------------------------
 
 
 def _insight(frame: DataFrame, severity: str, check_no: int, kind: str, title: Column, detail: Column, position: Column | None = None) -> DataFrame:
@@ -32,17 +39,16 @@ def _insight(frame: DataFrame, severity: str, check_no: int, kind: str, title: C
 def outlier_insight(df: DataFrame, column: str) -> DataFrame:
     """At most one row: how many of the reported outliers the column has."""
     found = stats.anomaly_detect(df, column).agg(F.count("*").alias("n")).where("n > 0")
-    detail = F.concat(F.col("n").cast("string"), F.lit(" statistical outlier(s) detected."))
-    return _insight(found, "notice", 1, "outlier", F.lit(f"Outliers found in {column}"), detail)
+    title = F.lit(OUTLIER_TITLE.format(column=column))
+    return _insight(found, "notice", 1, "outlier", title, F.format_string(OUTLIER_DETAIL, "n"))
 
 
 def trend_insight(df: DataFrame, date_col: str, column: str) -> DataFrame:
     """At most one row: there is a daily series to look at."""
     # Text in a column called a date may not be one; such a row is no reason to fail the whole list.
     series = stats.trend(df, date_col, column, "D", lenient=True).limit(1)
-    return _insight(
-        series, "info", 2, "trend", F.lit(f"{column} trend over {date_col}"), F.lit("See chart for movement over time.")
-    )
+    title = F.lit(TREND_TITLE.format(column=column, date=date_col))
+    return _insight(series, "info", 2, "trend", title, F.lit(TREND_DETAIL))
 
 
 def leader(breakdown: DataFrame) -> DataFrame:
@@ -52,28 +58,24 @@ def leader(breakdown: DataFrame) -> DataFrame:
 
 def breakdown_insight(df: DataFrame, metric: MetricDefinition) -> DataFrame:
     """At most one row: which group leads."""
-    detail = F.concat(
-        F.coalesce(F.col("key").cast("string"), F.lit("None")), F.lit(" leads at "), grouped_number(F.col("value")), F.lit(".")
-    )
-    return _insight(leader(run_metric(df, metric)), "info", 3, "breakdown", F.lit(f"Breakdown by {metric.groupby}"), detail)
+    key = F.coalesce(F.col("key").cast("string"), F.lit("None"))
+    detail = F.format_string(BREAKDOWN_DETAIL, key, grouped_number(F.col("value")))
+    title = F.lit(BREAKDOWN_TITLE.format(column=metric.groupby))
+    return _insight(leader(run_metric(df, metric)), "info", 3, "breakdown", title, detail)
 
 
 def missing_insight(profile: DataFrame, threshold: float = NULL_THRESHOLD) -> DataFrame:
     """One row per column with too many nulls."""
     share = F.col("n_null") / F.col("n_rows")
     gaps = profile.where((F.col("n_rows") > 0) & (share > threshold))
-    percent = F.format_string("%.1f%%", share * 100)
-    detail = F.concat(percent, F.lit(" of rows are missing "), F.col("name"), F.lit("."))
-    return _insight(
-        gaps, "notice", 4, "missingness", F.concat(F.col("name"), F.lit(" has missing values")), detail, F.col("ordinal")
-    )
+    title, detail = F.format_string(MISSING_TITLE, "name"), F.format_string(MISSING_DETAIL, share * 100, "name")
+    return _insight(gaps, "notice", 4, "missingness", title, detail, F.col("ordinal"))
 
 
 def correlation_insight(df: DataFrame, columns: list[str], threshold: float = CORRELATION_THRESHOLD) -> DataFrame:
     """At most one row: the strongest pair, when it is strong enough."""
     pair = stats.strongest_pair(df, columns).where(F.abs("r") > threshold)
-    title = F.concat(F.col("row"), F.lit(" and "), F.col("col"), F.lit(" are correlated"))
-    detail = F.concat(F.lit("Correlation of "), F.format_string("%.2f", "r"), F.lit("."))
+    title, detail = F.format_string(CORRELATION_TITLE, "row", "col"), F.format_string(CORRELATION_DETAIL, "r")
     return _insight(pair, "info", 5, "correlation", title, detail)
 
 
@@ -114,7 +116,10 @@ def insights(
 
 
 def baseline_report(df: DataFrame, profile: TableProfile) -> DataFrame:
-    """(section, position, label, value): overview, key findings, statistics, gaps, top values, monthly trend."""
+    """(section, position, label, value): overview, key findings, statistics, gaps, top values, monthly trend.
+
+    Within a section rows are ordered by position, then label.
+    """
     numeric, temporal, groups = profile.numeric, profile.temporal, profile.categorical
     parts = []
 
@@ -148,10 +153,11 @@ def baseline_report(df: DataFrame, profile: TableProfile) -> DataFrame:
     long = summary.select("column", place.alias("place"), F.inline(cells)).where("v is not null")
     add(long, "statistics", F.col("place"), F.concat_ws(".", "column", "f"), F.col("v"))
     gaps = stats.missingness(df).where("nulls > 0")
-    add(gaps, "missing", F.lit(0), F.col("column"), F.col("nulls"))
+    add(gaps, "missing", place, F.col("column"), F.col("nulls"))
     if groups:
         counts = stats.value_counts(df, groups[0], REPORT_VALUES)
-        add(counts, "distribution", F.lit(0), F.col("value"), F.col("count"))
+        rank = F.row_number().over(Window.orderBy(F.desc("count"), F.asc_nulls_last("value")))  # of eight rows
+        add(counts.withColumn("rank", rank), "distribution", F.col("rank"), F.col("value"), F.col("count"))
     if numeric and temporal:
         series = stats.trend(df, temporal[0], numeric[0], "M", lenient=True)
         add(series, "trend", F.lit(0), F.col("period"), F.round("value", 2))

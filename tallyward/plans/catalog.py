@@ -43,6 +43,11 @@ SUM_BY_SYNONYMS = (
 )
 MEAN_BY_SYNONYMS = ("average {raw} by {group}", "avg {raw} per {group}", "mean {raw} by {group}")
 COUNT_BY_SYNONYMS = ("count by {group}", "number of items per {group}", "distribution of {group}")
+ROW_COUNT_TEXT = "Total number of rows in the table."
+UNIQUE_TEXT = "Number of unique values in {raw}."
+SUM_BY_TEXT = "Sum of {raw} grouped by {group}."
+MEAN_BY_TEXT = "Average of {raw} grouped by {group}."
+COUNT_BY_TEXT = "Row count grouped by {group}."
 ID_NAMES = ("id", "index", "row_id", "pk")
 # ---------------------------------------------------------------------------------------------------------
 
@@ -134,28 +139,28 @@ def generate_metrics(
             (name,), (text,) = _phrases([name], column), _phrases([text], column)
             add(name, column, agg, None, column_synonyms(column, agg), text)
 
-    add("row_count", "*", "count", None, ROW_COUNT_SYNONYMS, "Total number of rows in the table.")
+    add("row_count", "*", "count", None, ROW_COUNT_SYNONYMS, ROW_COUNT_TEXT)
 
     loose = [c.name for c in profile.columns if (identifier(c.name) if strict_ids else "id" in c.name.lower())]
     varied = [c.name for c in profile.columns if c.is_categorical and c.n_unique > HIGH_CARDINALITY]
     for column in loose + varied:
         (name,), synonyms = _phrases(["unique_{name}"], column), _phrases(UNIQUE_SYNONYMS, column)
-        add(name, column, "nunique", None, synonyms, f"Number of unique values in {column}.")
+        add(name, column, "nunique", None, synonyms, UNIQUE_TEXT.format(raw=column))
 
     for column in profile.numeric:
         if strict_ids and identifier(column):
             continue
         for group in profile.categorical:
             pair = f"{column.replace(' ', '_')}_by_{group.replace(' ', '_')}"
-            add(pair, column, "sum", group, _phrases(SUM_BY_SYNONYMS, column, group), f"Sum of {column} grouped by {group}.")
+            add(pair, column, "sum", group, _phrases(SUM_BY_SYNONYMS, column, group), SUM_BY_TEXT.format(raw=column, group=group))
             add(
                 f"avg_{pair}", column, "mean", group, _phrases(MEAN_BY_SYNONYMS, column, group),
-                f"Average of {column} grouped by {group}.",
+                MEAN_BY_TEXT.format(raw=column, group=group),
             )
     for group in profile.categorical:
         add(
             f"count_by_{group.replace(' ', '_')}", "*", "count", group, _phrases(COUNT_BY_SYNONYMS, "", group),
-            f"Row count grouped by {group}.",
+            COUNT_BY_TEXT.format(group=group),
         )
     return metrics
 
