@@ -33,9 +33,14 @@ def valid_action(action_type: Column) -> Column:
 
 
 def sanitize(rows: DataFrame) -> DataFrame:
-    """Rows ready to be stored: known actions only, details stripped of secrets and as JSON text; null when empty."""
+    """Rows ready to be stored: known actions only, details clean."""
+    return with_clean_details(rows.where(valid_action(F.col("action_type"))))
+
+
+def with_clean_details(rows: DataFrame) -> DataFrame:
+    """Details stripped of secrets and as JSON text; null when empty."""
     details = F.when(F.size("details") > 0, F.to_json(without_secrets(F.col("details"))))
-    return rows.where(valid_action(F.col("action_type"))).withColumn("details", details)
+    return rows.withColumn("details", details)
 
 
 def rejected(rows: DataFrame) -> DataFrame:

@@ -115,6 +115,10 @@ def insights(
     return reduce(DataFrame.unionByName, found).orderBy(rank, "check_no", "position").limit(limit)
 
 
+def _two_decimals(value: Column) -> Column:
+    return F.when(value.isNotNull(), F.format_string("%.2f", value.cast("double")))
+
+
 def baseline_report(df: DataFrame, profile: TableProfile) -> DataFrame:
     """(section, position, label, value): overview, key findings, statistics, gaps, top values, monthly trend.
 
@@ -145,9 +149,10 @@ def baseline_report(df: DataFrame, profile: TableProfile) -> DataFrame:
         found = stats.anomaly_detect(df, numeric[0]).agg(F.count("*").alias("n")).where("n > 0")
         add(found, "outliers", F.lit(0), F.lit(numeric[0]), F.col("n"))
     summary = stats.describe(df)
-    fields = ("count", "mean", "std", "min", "max", "nulls", "n_unique")
+    counts, measures = ("count", "nulls", "n_unique"), ("mean", "std", "min", "max")
     cells = F.array(
-        *[F.struct(F.lit(f).alias("f"), F.round(F.col(f).cast("double"), 2).alias("v")) for f in fields]
+        *[F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v")) for f in counts],
+        *[F.struct(F.lit(f).alias("f"), _two_decimals(F.col(f)).alias("v")) for f in measures],
     )
     place = F.array_position(F.array(*[F.lit(c) for c in df.columns]), F.col("column"))
     long = summary.select("column", place.alias("place"), F.inline(cells)).where("v is not null")
@@ -160,5 +165,5 @@ def baseline_report(df: DataFrame, profile: TableProfile) -> DataFrame:
         add(counts.withColumn("rank", rank), "distribution", F.col("rank"), F.col("value"), F.col("count"))
     if numeric and temporal:
         series = stats.trend(df, temporal[0], numeric[0], "M", lenient=True)
-        add(series, "trend", F.lit(0), F.col("period"), F.round("value", 2))
+        add(series, "trend", F.lit(0), F.col("period"), _two_decimals(F.col("value")))
     return reduce(DataFrame.unionByName, parts)

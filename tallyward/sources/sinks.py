@@ -12,6 +12,7 @@ AUDIT_SCHEMA = (
     "id bigint, timestamp timestamp, username string, role string, action_type string, details string, "
     "ip_address string, tenant_id string"
 )
+UNKNOWN_ACTION = "unknown action_type"
 EXPORT_FORMATS = ("csv", "json")
 
 
@@ -33,13 +34,22 @@ def read_telemetry(spark: SparkSession, path: str, file_format: str = "parquet")
 
 
 def append_audit(rows: DataFrame, path: str, now: Column | None = None) -> None:
-    """Append audit rows. Fails, writing nothing, if any row has an unknown action type; drops secret details."""
-    if not audit.rejected(rows).isEmpty():
-        raise ValueError(f"unknown action_type; known: {sorted(audit.ACTION_TYPES)}")
-    stamped = audit.sanitize(rows)
+    """Append audit rows. Fails, writing nothing, if any row has an unknown action type; drops secret details.
+
+    The check is part of the write, so the rows are read once and what is written is what was checked.
+    """
+    checked = F.when(audit.valid_action(F.col("action_type")), F.col("action_type")).otherwise(
+        F.raise_error(F.concat(F.lit(UNKNOWN_ACTION + " "), F.coalesce("action_type", F.lit("null"))))
+    )
+    stamped = audit.with_clean_details(rows).withColumn("action_type", checked)
     if "timestamp" not in stamped.columns:
         stamped = stamped.withColumn("timestamp", F.current_timestamp() if now is None else now)
-    _by_tenant(stamped).write.partitionBy("tenant_id").mode("append").parquet(path)
+    try:
+        _by_tenant(stamped).write.partitionBy("tenant_id").mode("append").parquet(path)
+    except Exception as error:
+        if UNKNOWN_ACTION in str(error):
+            raise ValueError(f"unknown action_type; known: {sorted(audit.ACTION_TYPES)}") from error
+        raise
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:

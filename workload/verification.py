@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tallyward.operators import charts, insights, metrics, profile, stats, verify
 from tallyward.plans.catalog import MetricDefinition, generate_metrics
 from workload.inputs import oracle, table, view
-from workload.profiling import roles_sql
-from workload.statistics import HOLES, LINE_MATRIX, _holes, matrix_sql
+from workload.profiling import COLUMNS, roles_sql
+from workload.statistics import HOLES, LINE_MATRIX, _holes, describe_sql, matrix_sql
 
 # Step results per customer: what a plan might have returned, some of it wrong.
 RESULTS = """
@@ -138,8 +138,30 @@ SELECT * FROM (
 ORDER BY severity = 'info', check_no, position LIMIT 4
 """
 
+# The report of the orders table, section by section.
+REPORT = f"""
+WITH d AS ({describe_sql('orders', ['o_orderkey', 'o_custkey', 'o_totalprice'], ['o_orderstatus', 'o_orderdate', 'o_orderpriority'])}),
+r AS (SELECT corr(o_orderkey, o_custkey) AS r FROM orders),
+s AS (SELECT avg(o_orderkey) AS m, stddev_samp(o_orderkey) AS sd FROM orders),
+g AS (SELECT o_orderstatus AS key, sum(o_orderkey) AS value, count(*) AS n FROM orders GROUP BY 1),
+m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, sum(o_orderkey) AS value FROM orders GROUP BY 1)
+SELECT section, CAST(position AS INTEGER) AS position, label, value FROM (
+  SELECT 'overview' AS section, 0 AS position, 'rows' AS label, CAST(count(*) AS VARCHAR) AS value FROM orders
+  UNION ALL SELECT 'overview', 1, 'columns', '6'
+  UNION ALL (SELECT 'top segment', 0, key, format('{{:,.2f}}', CAST(value AS DOUBLE)) FROM g ORDER BY value DESC, key LIMIT 1)
+  UNION ALL SELECT 'correlation', 0, CASE WHEN abs(r) > 0.6 THEN 'strong' WHEN abs(r) > 0.3 THEN 'moderate' ELSE 'weak' END, format('{{:+.2f}}', r) FROM r
+  UNION ALL SELECT 'outliers', 0, 'o_orderkey', CAST(least(count(*), 20) AS VARCHAR) FROM orders, s WHERE abs((o_orderkey - m) / sd) >= 2.0 HAVING count(*) > 0
+  UNION ALL SELECT 'statistics', list_position({list(COLUMNS['orders'])}, "column"), "column" || '.' || f, v FROM (
+    SELECT "column", unnest(['count', 'nulls', 'n_unique', 'mean', 'std', 'min', 'max']) AS f,
+           unnest([CAST(count AS VARCHAR), CAST(nulls AS VARCHAR), CAST(n_unique AS VARCHAR), format('{{:.2f}}', mean), format('{{:.2f}}', std),
+                   format('{{:.2f}}', min), format('{{:.2f}}', max)]) AS v FROM d) WHERE v IS NOT NULL
+  UNION ALL SELECT 'distribution', row_number() OVER (ORDER BY n DESC, key), key, CAST(n AS VARCHAR) FROM g
+  UNION ALL SELECT 'trend', 0, CAST(period AS VARCHAR), format('{{:.2f}}', CAST(value AS DOUBLE)) FROM m)
+"""
+
 ORACLES = {
     "insights": INSIGHTS,
+    "baseline_report": REPORT,
     "verify_breakdown": "SELECT round(sum(l_extendedprice), 2) AS breakdown_sum, round(sum(l_extendedprice), 2) AS expected_total, true AS ok FROM lineitem",
     "verify_breakdown_nulls": f"SELECT round(sum(value), 2) AS breakdown_sum, round(sum(value), 2) AS expected_total, true AS ok FROM ({HOLES})",
     "verify_trend_total": "SELECT round(sum(o_totalprice), 2) AS breakdown_sum, round(sum(o_totalprice), 2) AS expected_total, true AS ok FROM orders",
