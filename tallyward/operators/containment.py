@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A value list up to this size is broadcast whole; beyond it, texts and values meet on character runs.
-SMALL_VALUES = 1_000
+SMALL_VALUES = 300
 SMALL_VALUE_CHARS = 1_000_000
 RUN = 8
 

@@ -55,13 +55,6 @@ def mask_frame(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def mask_columns_by_name(df: DataFrame) -> DataFrame:
-    """Only the by-name half of the masking."""
-    personal = set(name_masked_columns(df))
-    tokens = {c: _name_token(c) for c in df.columns if c in personal and _name_token(c) is not None}
-    return df.withColumns({c: F.when(column_ref(c).isNotNull(), F.lit(t)) for c, t in tokens.items()})
-
-
 def personal_columns(df: DataFrame, sample: int | None = None) -> DataFrame:
     """(column, by_name, by_value) for the text columns, one aggregation over the whole table.
 

@@ -155,7 +155,14 @@ def _plain_id(name: str) -> bool:
 RESOLUTION = "plan_type string, target string, value_col string, group_col string, agg string, route string"
 
 
-def _resolution(plan: str, target: Column | None, route: str, value: Column | None = None, group: Column | None = None, agg: Column | None = None) -> Column:
+def _resolution(
+    plan: str,
+    target: Column | None,
+    route: str,
+    value: Column | None = None,
+    group: Column | None = None,
+    agg: Column | None = None,
+) -> Column:
     null = F.lit(None).cast("string")
     of = lambda c: null if c is None else c
     return F.struct(

@@ -24,7 +24,7 @@ def first_per_key(
     a unique last column when the result must be the same on every run.
     """
     threshold = int(df.sparkSession.conf.get(GROUP_LIMIT_SETTING, "1000"))
-    if n > threshold:
+    if n >= threshold:
         hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
         salted = df.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(SALT_BUCKETS)))
         part = Window.partitionBy(*keys, "_salt").orderBy(*order)

@@ -19,10 +19,17 @@ SUMMARY_DAYS = 30
 TURNS_PER_SESSION = 5
 # ---------------------------------------------------------------------------------------------------------
 
+QUERIES_PER_DAY = DEFAULT_LIMITS["max_queries_per_day"]
 QUERY, LLM_CALL, UPLOAD = "query", "llm_call", "upload"
 
 
-def recent_events(events: DataFrame, event_type: str | None = None, limit: int = RECENT_EVENTS, ts_col: str = "timestamp", id_col: str = "id") -> DataFrame:
+def recent_events(
+    events: DataFrame,
+    event_type: str | None = None,
+    limit: int = RECENT_EVENTS,
+    ts_col: str = "timestamp",
+    id_col: str = "id",
+) -> DataFrame:
     """Newest events, after the filter on their type."""
     if event_type:
         events = events.where(F.col("event_type") == event_type)
@@ -63,7 +70,13 @@ def day_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 
 
-def accepted_requests(requests: DataFrame, limits: DataFrame | None = None, default_limit: int = DEFAULT_LIMITS["max_queries_per_day"], ts_col: str = "timestamp", id_col: str = "id") -> DataFrame:
+def accepted_requests(
+    requests: DataFrame,
+    limits: DataFrame | None = None,
+    default_limit: int = QUERIES_PER_DAY,
+    ts_col: str = "timestamp",
+    id_col: str = "id",
+) -> DataFrame:
     """The requests a daily quota lets through, numbered from 1 per tenant and day in `request_no`.
 
     `limits` (tenant_id, daily_limit) overrides the default. A refused request is not counted, so only the
@@ -87,7 +100,13 @@ def _with_limit(rows: DataFrame, limits: DataFrame, default_limit: int) -> DataF
     return joined.withColumn("daily_limit", F.coalesce("daily_limit", F.lit(default_limit)))
 
 
-def refused_requests(requests: DataFrame, limits: DataFrame | None = None, default_limit: int = DEFAULT_LIMITS["max_queries_per_day"], ts_col: str = "timestamp", id_col: str = "id") -> DataFrame:
+def refused_requests(
+    requests: DataFrame,
+    limits: DataFrame | None = None,
+    default_limit: int = QUERIES_PER_DAY,
+    ts_col: str = "timestamp",
+    id_col: str = "id",
+) -> DataFrame:
     """The requests over the daily quota: those that come after the last accepted one of their tenant and day.
 
     The last accepted request is one row per tenant and day; every other row is only compared with it.
@@ -110,7 +129,12 @@ def refused_requests(requests: DataFrame, limits: DataFrame | None = None, defau
     return over.unionByName(closed)
 
 
-def quota_status(requests: DataFrame, limits: DataFrame | None = None, default_limit: int = DEFAULT_LIMITS["max_queries_per_day"], ts_col: str = "timestamp") -> DataFrame:
+def quota_status(
+    requests: DataFrame,
+    limits: DataFrame | None = None,
+    default_limit: int = QUERIES_PER_DAY,
+    ts_col: str = "timestamp",
+) -> DataFrame:
     """(tenant_id, day, requests, daily_limit, accepted, refused, exceeded); a plain count, no ordering needed."""
     counts = requests.groupBy("tenant_id", F.to_date(ts_col).alias("day")).agg(F.count("*").alias("requests"))
     if limits is None:

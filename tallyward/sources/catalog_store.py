@@ -47,14 +47,14 @@ class CatalogStore:
         return self.spark.createDataFrame([], schema)
 
     def versions(self, kind: str = "metrics") -> DataFrame:
-        """(version, timestamp, count, note), newest first."""
+        """(version, timestamp, count, note, label), newest first; the label is the version as v001."""
         try:
             rows = self.spark.read.schema(VERSION_SCHEMA).parquet(f"{self.root}/{kind}_versions")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             rows = self._empty(VERSION_SCHEMA)
-        return rows.orderBy(F.desc("version"))
+        return rows.withColumn("label", F.format_string("v%03d", "version")).orderBy(F.desc("version"))
 
     def latest_version(self, kind: str = "metrics") -> int:
         """Number of the newest version, 0 when there is none."""

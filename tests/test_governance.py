@@ -178,6 +178,11 @@ def test_telemetry_round_trip(spark, folder):
 # ---- sessions and evaluation --------------------------------------------------------------------------
 
 
+def test_day_text(spark):
+    row = spark.range(1).select(usage.day_text(F.lit("2024-03-05 23:59:59").cast("timestamp_ntz"))).first()
+    assert row[0] == "2024-03-05"
+
+
 def test_session_context(spark):
     turns = spark.createDataFrame([("s", i, f"q{i}", "t" if i % 2 else None) for i in range(8)], "sid string, turn int, q string, target string")
     line = usage.turn_line(F.col("q"), F.lit("stats_tool"), F.col("target"), F.lit("region"), F.lit(None).cast("string"))
@@ -222,7 +227,7 @@ def test_seed_once_and_versions(spark, store, orders):
     generated = catalog.catalog_frame(spark, Dataset("data", orders).metrics)
     assert store.seed(generated) == generated.count() and store.seed(generated) == 0
     store.save(store.load().where("agg = 'sum'"), note="only sums")
-    assert [(r["version"], r["note"]) for r in store.versions().collect()] == [(2, "only sums"), (1, "auto-seed from datasource")]
+    assert [(r["version"], r["label"], r["note"]) for r in store.versions().collect()] == [(2, "v002", "only sums"), (1, "v001", "auto-seed from datasource")]
     assert store.load(version=1).count() == generated.count() > store.load().count()
     assert {m.agg for m in catalog.definitions(store.load()).values()} == {"sum"}
 

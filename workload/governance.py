@@ -9,7 +9,7 @@ from tallyward.frames import small_frame
 from tallyward.operators import audit, evaluation, guards, usage
 from tallyward.plans import catalog, steps
 from tallyward.operators.stats import TOOLS
-from workload.inputs import AUDIT, LIMITS, USAGE, oracle, table, view
+from workload.inputs import AUDIT, LIMITS, USAGE, oracle, view
 from workload.profiling import generated
 
 NOW = "2024-01-20 12:00:00"
