@@ -190,6 +190,12 @@ def profile_frame(
     return with_roles(column_counts(source, columns, distinct))
 
 
+def column_list(df: DataFrame) -> DataFrame:
+    """(ordinal, name, dtype) from the schema alone."""
+    rows = [{"ordinal": i, "name": f.name, "dtype": f.dataType.simpleString()} for i, f in enumerate(df.schema.fields)]
+    return small_frame(df.sparkSession, rows, "ordinal int, name string, dtype string")
+
+
 def table_summary(df: DataFrame) -> DataFrame:
     """Row and column count."""
     return df.agg(F.count("*").alias("n_rows")).withColumn("n_cols", F.lit(len(df.columns)))

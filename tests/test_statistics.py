@@ -177,6 +177,12 @@ def test_profile_counts_every_type(spark):
     }
 
 
+def test_column_list_reads_nothing(orders):
+    listed = profile.column_list(orders)
+    assert [r["name"] for r in listed.collect()] == orders.columns
+    assert listed.collect()[6]["dtype"] == "date"
+
+
 def test_auto_profile_keeps_roles_exact(spark):
     df = spark.range(30_000).select(F.col("id"), (F.col("id") % 50).cast("string").alias("few"), (F.col("id") % 51).cast("string").alias("more"))
     found = profile.build_profile(df)

@@ -123,8 +123,7 @@ FROM {events}
 def _proposal_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     proposals = spark.sql(PROPOSALS.replace('"', "`"), events=events)
-    columns = profile.column_counts(events, distinct="approx").select("name")
-    return catalog.validate_proposals(proposals, columns)
+    return catalog.validate_proposals(proposals, profile.column_list(events))
 
 
 def _synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
