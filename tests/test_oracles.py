@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry_points
 from tests.oracle import connect, difference
+from workload import all_oracles, all_queries
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")

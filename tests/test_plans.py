@@ -2,11 +2,11 @@
 
 import pytest
 
-import __spark_entry__ as entry_points
 from tallyward.operators import metrics, profile, stats, topn, verify
 from tallyward.plans.catalog import MetricDefinition, generate_metrics
 from pyspark.sql import functions as F
 from tests.conftest import scans
+from workload import all_queries
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -54,7 +54,7 @@ def test_first_rows_are_limited_before_the_shuffle(lines):
     assert text.count("WindowGroupLimit") == 2
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_no_python_and_no_cartesian_product(spark, name):
-    text = plan(entry_points.queries()[name](spark, SF_DIR))
+    text = plan(all_queries()[name](spark, SF_DIR))
     assert "Python" not in text and "Pandas" not in text and "CartesianProduct" not in text
