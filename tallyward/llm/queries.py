@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyward.llm import bpe
+from tallyward.llm import bpe, decontaminate, line_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,11 +21,25 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against all windows of the benchmark."""
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document judged by its counts and by the lines its source repeats."""
+    return line_quality.quality(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     """Query by name."""
-    return {"op1_byte_bpe": op1_byte_bpe}
+    return {
+        "op1_byte_bpe": op1_byte_bpe,
+        "op6_decontaminate": op6_decontaminate,
+        "op7_line_frequency": op7_line_frequency,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
     """Oracle SQL by query."""
-    return {}
+    return {"op6_decontaminate": decontaminate.ORACLE, "op7_line_frequency": line_quality.ORACLE}
