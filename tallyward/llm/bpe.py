@@ -21,14 +21,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import documents, text_bytes
+from tallyward.llm.common import documents, slices, text_bytes
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A vocabulary travels to every task; files above this are refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Automaton states and remembered pieces kept by a Python worker before it starts anew. They bound memory, not results.
-MAX_STATES = 200_000
-MAX_PIECES = 200_000
+MAX_STATES = 400_000
+MAX_PIECES = 150_000
+MAX_PIECE = 64
 
 
 def load_ranks(path: str) -> bytes:
@@ -98,82 +99,90 @@ class Merges:
 class Transducer:
     """The subset construction, made as far as texts need it.
 
-    A guess is (tokens held back, last token, open bytes). A state is a tuple of guesses; `moves[state][byte]` is the next
-    state and the tokens emitted on the way.
+    A guess is (ids held back, last token, open bytes), a state a tuple of guesses. `moves` leads from a state's number, times
+    256, plus a byte to the next state's number, times 256, and the ids emitted on the way.
     """
 
     def __init__(self, merges: Merges, max_states: int = MAX_STATES) -> None:
         self.merges, self.max_states = merges, max_states
         self._reset()
 
-    def _reset(self) -> None:
-        start = (((), b"", b""),)
-        self.guesses = [start]
-        self.ids = {start: 0}
-        self.moves: list[dict[int, tuple[int, tuple[bytes, ...]]]] = [{}]
+    def _reset(self, *kept: tuple) -> None:
+        self.guesses: list[tuple] = []
+        self.numbers: dict[tuple, int] = {}
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        for state in ((((), b"", b""),), *kept):
+            self._number(state)
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[bytes, ...]]:
+    def _number(self, state: tuple) -> int:
+        number = self.numbers.setdefault(state, len(self.guesses) << 8)
+        if number == len(self.guesses) << 8:
+            self.guesses.append(state)
+        return number
+
+    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         merges, found = self.merges, []
-        for waiting, last, opened in self.guesses[state]:
-            opened += bytes((byte,))
-            if opened in merges.prefixes:
+        prefixes, ranks, end = merges.prefixes, merges.ranks, bytes((byte,))
+        for waiting, last, opened in self.guesses[state >> 8]:
+            opened += end
+            if opened in prefixes:
                 found.append((waiting, last, opened))
-                if merges.formed(opened) and (not last or merges.stable(last, opened)):
-                    found.append((waiting + (opened,), opened, b""))
-        shared = 0
-        first = found[0][0]
-        while all(len(w) > shared and w[shared] == first[shared] for w, _, _ in found) and shared < len(first):
-            shared += 1
-        # Guesses that only differ in tokens already emitted would be one; the open bytes tell the rest apart.
-        key = tuple((waiting[shared:], last, opened) for waiting, last, opened in found)
-        if key not in self.ids:
-            self.ids[key] = len(self.guesses)
-            self.guesses.append(key)
-            self.moves.append({})
-        move = self.moves[state][byte] = (self.ids[key], first[:shared])
+                if opened in ranks and merges.formed(opened) and (not last or merges.stable(last, opened)):
+                    found.append(((*waiting, ranks[opened]), opened, b""))
+        first, shared = found[0][0], 0
+        if first:
+            while shared < len(first) and all(len(w) > shared and w[shared] == first[shared] for w, _, _ in found):
+                shared += 1
+            if shared:
+                found = [(waiting[shared:], last, opened) for waiting, last, opened in found]
+        if len(self.guesses) >= self.max_states:  # start anew from here
+            self._reset(tuple(found))
+            return self._number(tuple(found)), first[:shared]
+        move = self.moves[state + byte] = (self._number(tuple(found)), first[:shared])
         return move
 
-    def encode(self, piece: bytes) -> list[bytes]:
-        """The tokens of one piece."""
-        if len(self.guesses) > self.max_states:
-            self._reset()
-        state, out = 0, []
+    def encode(self, piece: bytes) -> list[int]:
+        """The ids of one piece."""
+        state, out, moves = 0, [], self.moves
         for byte in piece:
-            move = self.moves[state].get(byte) or self._move(state, byte)
-            state = move[0]
-            if move[1]:
-                out += move[1]
-            if len(self.guesses) > 2 * self.max_states:  # one piece without an end
-                kept = self.guesses[state]
-                self._reset()
-                state = self.ids.setdefault(kept, len(self.guesses))
-                if state:
-                    self.guesses.append(kept)
-                    self.moves.append({})
-        for waiting, _, opened in self.guesses[state]:
+            move = moves.get(state + byte)
+            if move is None:
+                move = self._move(state, byte)
+                moves = self.moves
+            state, emitted = move
+            if emitted:
+                out += emitted
+        for waiting, _, opened in self.guesses[state >> 8]:
             if not opened:
                 out += waiting
-                return out
         return out
 
 
 class Encoder:
-    """Texts to ids: pieces by the pattern, each through the transducer, with the last pieces remembered."""
+    """Texts to ids: pieces by the pattern, each through the transducer, with pieces met lately remembered.
+
+    Remembered pieces have two generations: when the young one is full it becomes the old one, from where a piece that is
+    met again comes back, so that frequent pieces stay.
+    """
 
     def __init__(self, data: bytes, pattern: str, max_pieces: int = MAX_PIECES) -> None:
         self.ranks = parse_ranks(data)
         self.transducer = Transducer(Merges(self.ranks))
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.max_pieces = max_pieces
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        """The ids of one piece; a piece that is a token itself is that token."""
-        data = piece.encode()
-        ids = (self.ranks[data],) if data in self.ranks else tuple(map(self.ranks.__getitem__, self.transducer.encode(data)))
+        """The ids of one piece that is not among the young ones; a piece that is a token itself is that token."""
+        ids = self.old.get(piece)
+        if ids is None:
+            data = piece.encode()
+            rank = self.ranks.get(data)
+            ids = tuple(self.transducer.encode(data)) if rank is None else (rank,)
         if len(self.known) >= self.max_pieces:
-            self.known.clear()
-        if len(piece) <= 64:
+            self.old, self.known = self.known, {}
+        if len(piece) <= MAX_PIECE:
             self.known[piece] = ids
         return ids
 
@@ -249,7 +258,7 @@ def encode(frame: DataFrame, path: str | None = None, pattern: str = public_toke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _codec(Encoder, data.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             lists = [np.array(coder.encode(t.decode(errors="replace")), "int32") for t in text_bytes(batch.column(1))]
             ends = np.cumsum([0, *map(len, lists)], dtype="int32")
             flat = np.concatenate([np.zeros(0, "int32"), *lists])
@@ -266,10 +275,10 @@ def decode(frame: DataFrame, path: str | None = None, id_column: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _codec(Decoder, data.value)
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column(1)
-            flat = column.values.to_numpy(zero_copy_only=False)
             ends = column.offsets.to_numpy()
+            flat = column.values.to_numpy(zero_copy_only=False)
             texts = ["".join(coder.pieces(flat[a:b].tolist())) for a, b in zip(ends, ends[1:])]
             yield pa.record_batch([batch.column(0), column, pa.array(texts, pa.string())], ["id", "ids", "text"])
 

@@ -26,6 +26,13 @@ def text_bytes(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that what is made of a batch does not add up in memory."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def held(frame: DataFrame, name: str) -> DataFrame:
     """The frame, written once as Parquet below spark.checkpoint.dir and read back.
 
