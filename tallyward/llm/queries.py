@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyward.llm import bpe, decontaminate, line_quality
+from tallyward.llm import bpe, decontaminate, hilbert, licences, line_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,15 +31,31 @@ def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op9_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences named in every document."""
+    return licences.report(table(spark, sf_dir, "documents"))
+
+
+def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its place along the curve."""
+    return hilbert.document_shards(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     """Query by name."""
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op6_decontaminate": op6_decontaminate,
         "op7_line_frequency": op7_line_frequency,
+        "op9_licence_sentences": op9_licence_sentences,
+        "op10_hilbert_shards": op10_hilbert_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Oracle SQL by query."""
-    return {"op6_decontaminate": decontaminate.ORACLE, "op7_line_frequency": line_quality.ORACLE}
+    return {
+        "op6_decontaminate": decontaminate.ORACLE,
+        "op7_line_frequency": line_quality.ORACLE,
+        "op9_licence_sentences": licences.ORACLE,
+    }
