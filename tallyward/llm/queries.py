@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyward.llm import bpe, decontaminate, hilbert, licences, line_quality
+from tallyward.llm import bpe, decontaminate, hilbert, licences, line_quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,11 @@ def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and component."""
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op9_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licences named in every document."""
     return licences.report(table(spark, sf_dir, "documents"))
@@ -47,6 +52,7 @@ def queries() -> dict[str, Query]:
         "op1_byte_bpe": op1_byte_bpe,
         "op6_decontaminate": op6_decontaminate,
         "op7_line_frequency": op7_line_frequency,
+        "op8_simhash_anchors": op8_simhash_anchors,
         "op9_licence_sentences": op9_licence_sentences,
         "op10_hilbert_shards": op10_hilbert_shards,
     }
