@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -28,7 +29,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Automaton states and remembered pieces kept by a Python worker before it starts anew. They bound memory, not results.
 MAX_STATES = 400_000
-MAX_PIECES = 150_000
+MAX_PIECES = 300_000
 MAX_PIECE = 64
 
 
@@ -237,15 +238,14 @@ class Decoder:
             yield pending.decode(errors="replace")
 
 
-_CODECS: dict[tuple, object] = {}
+_CODECS: dict[type, tuple] = {}
 
 
 def _codec(kind: type, *key: object) -> object:
-    """One encoder or decoder per Python worker, with the states it has already made."""
-    if (kind, *key) not in _CODECS:
-        _CODECS.clear()
-        _CODECS[(kind, *key)] = kind(*key)
-    return _CODECS[(kind, *key)]
+    """One encoder and one decoder per Python worker, with the states they have already made."""
+    if kind not in _CODECS or _CODECS[kind][0] != key:
+        _CODECS[kind] = (key, kind(*key))
+    return _CODECS[kind][1]
 
 
 def encode(frame: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_column: str = "doc_id",
@@ -287,11 +287,27 @@ def decode(frame: DataFrame, path: str | None = None, id_column: str = "doc_id",
     return source.mapInArrow(run, f"id {kind}, ids array<int>, text string").withColumnRenamed("id", id_column)
 
 
-def round_trip(frame: DataFrame, path: str | None = None) -> DataFrame:
-    """Per document the number of ids, the digest of the ids as decimal text, and the digest of what they decode to."""
-    return decode(encode(frame, path), path).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
-    )
+def round_trip(frame: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_column: str = "doc_id",
+               text_column: str = "text") -> DataFrame:
+    """Per document the number of ids, the digest of the ids as decimal text, and the digest of what they decode to.
+
+    Encodes and decodes as `encode` and `decode` do, in one pass, so that the ids of a corpus are not moved about for a digest.
+    """
+    data = frame.sparkSession.sparkContext.broadcast(load_ranks(path or public_tokenizers.path(VOCABULARY)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, decoder = _codec(Encoder, data.value, pattern), _codec(Decoder, data.value)
+        names = [str(i) for i in range(max(decoder.tokens) + 1)]
+        for batch in slices(batches):
+            counts, digests, back = [], [], []
+            for text in text_bytes(batch.column(1)):
+                ids = coder.encode(text.decode(errors="replace"))
+                counts.append(len(ids))
+                digests.append(sha256(" ".join([names[i] for i in ids]).encode()).hexdigest())
+                back.append(sha256("".join(decoder.pieces(ids)).encode()).hexdigest())
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())]
+            yield pa.record_batch(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    source = documents(frame, id_column, text_column)
+    shape = f"id {source.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return source.mapInArrow(run, shape).withColumnRenamed("id", id_column)

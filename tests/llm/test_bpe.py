@@ -62,3 +62,7 @@ def test_rows(spark):
     ]
     assert got == sorted(expected)
     assert bpe.round_trip(frame.limit(0)).count() == 0
+    back = bpe.decode(bpe.encode(frame)).collect()
+    assert sorted((r["doc_id"] or 0, tuple(r["ids"]), r["text"]) for r in back) == sorted(
+        (i or 0, tuple(THEIRS.encode_ordinary(t or "")), t or "") for i, t, _ in rows)
+    assert [r["text"] for r in bpe.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).collect()] == [""]
