@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyward.llm import bpe, decontaminate, hilbert, licences, line_quality, simhash
+from tallyward.llm import bpe, decontaminate, hilbert, html_text, language, licences, line_quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,16 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op2_text_to_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.report(table(spark, sf_dir, "pages"))
+
+
+def op4_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned outside the held-out fold."""
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against all windows of the benchmark."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -50,6 +60,8 @@ def queries() -> dict[str, Query]:
     """Query by name."""
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_text_to_tag": op2_text_to_tag,
+        "op4_word_backoff": op4_word_backoff,
         "op6_decontaminate": op6_decontaminate,
         "op7_line_frequency": op7_line_frequency,
         "op8_simhash_anchors": op8_simhash_anchors,
