@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyward.llm import bpe, decontaminate, hilbert, html_text, language, licences, line_quality, simhash
+from tallyward.llm import bpe, decontaminate, hilbert, html_text, language, licences, line_quality, simhash, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,11 @@ def op4_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what is removed of it as repeated."""
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against all windows of the benchmark."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -62,6 +67,7 @@ def queries() -> dict[str, Query]:
         "op1_byte_bpe": op1_byte_bpe,
         "op2_text_to_tag": op2_text_to_tag,
         "op4_word_backoff": op4_word_backoff,
+        "op5_suffix_arrays": op5_suffix_arrays,
         "op6_decontaminate": op6_decontaminate,
         "op7_line_frequency": op7_line_frequency,
         "op8_simhash_anchors": op8_simhash_anchors,
