@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyward.llm import bpe, decontaminate, hilbert, html_text, language, licences, line_quality, simhash, suffix_dedup
+from tallyward.llm import bpe, context_tree, decontaminate, hilbert, html_text, language, licences, line_quality, simhash, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables, whole."""
+    """One of the given tables, whole. Python workers are told where this package is, should the session not say so."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,6 +31,11 @@ def op2_text_to_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.report(table(spark, sf_dir, "pages"))
 
 
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored, learned outside the held-out fold."""
+    return context_tree.report(table(spark, sf_dir, "documents"))
+
+
 def op4_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned outside the held-out fold."""
     return language.report(table(spark, sf_dir, "documents"))
@@ -66,6 +76,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_text_to_tag": op2_text_to_tag,
+        "op3_context_tree": op3_context_tree,
         "op4_word_backoff": op4_word_backoff,
         "op5_suffix_arrays": op5_suffix_arrays,
         "op6_decontaminate": op6_decontaminate,
