@@ -32,9 +32,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id; of equal ids the smallest text."""
-    rows = _numbered(docs)
-    classes = simhash.near_duplicates(rows.select(F.struct("doc_id", "text_hash", ROW).alias("place"), "text"), "place")
+    """One document of each group of near-duplicates: the one with the smallest id, of equal ids the first in the files.
+
+    Rows are written with a number first, so that they keep it whatever happens to the tasks that read them.
+    """
+    rows = held(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", ROW)
+    classes = simhash.near_duplicates(rows.select(place.alias("place"), "text"), "place")
     first = classes.where(F.col("place") == F.col("component")).select(F.col(f"place.{ROW}").alias(ROW))
     return rows.join(first, ROW, "left_semi").select(*_columns(docs))
 
@@ -73,12 +77,6 @@ def _columns(docs: DataFrame) -> list[str]:
     return [f"`{c}`" for c in docs.columns]
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows with a number of their own and the text's hash. The input is read from files that do not change meanwhile, so a row
-    has the same number whenever it is read."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id()).withColumn("text_hash", F.xxhash64("text"))
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pipeline over documents."""
     docs = table(spark, sf_dir, "documents")
