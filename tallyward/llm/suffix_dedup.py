@@ -198,9 +198,10 @@ def _found(rows: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
 def repeated_windows(keyed: DataFrame, texts: DataFrame, length: int, gram: int, shard: int) -> DataFrame:
     """(k1, k2, start, after): stretches of window starts, per distinct text, whose window also starts somewhere else."""
     every = held(runs(keyed, length, gram), "runs")
-    shared = every.groupBy("mark").agg(
+    # Written first, so that the join is of two plain tables, whose hot marks Spark can split.
+    shared = held(every.groupBy("mark").agg(
         F.count("*").alias("n"), (F.min("c1") != F.max("c1")).alias("differ"), (F.min("c2") != F.max("c2")).alias("differ2")
-    ).where("n > 1").select("mark", (F.col("differ") | F.col("differ2")).alias("mixed"))
+    ).where("n > 1").select("mark", (F.col("differ") | F.col("differ2")).alias("mixed")), "marks")
     candidates = held(every.join(shared, "mark"), "candidates")
 
     place = F.struct("k1", "k2", "start", "windows")
@@ -213,7 +214,7 @@ def repeated_windows(keyed: DataFrame, texts: DataFrame, length: int, gram: int,
     # No content is longer than twice the length, so that a bound on their number bounds their bytes.
     most = max(1, shard // (4 * length))
     crowded = candidates.where("mixed").select("mark", "c1", "c2").distinct().groupBy("mark").agg(F.count("*").alias("n"))
-    crowded = crowded.where(F.col("n") > most).select("mark", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
+    crowded = held(crowded.where(F.col("n") > most).select("mark", F.ceil(F.col("n") / most).cast("int").alias("blocks")), "crowded")
     dealt = cut.join(crowded, "mark", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("c1", "c2"), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
