@@ -7,6 +7,7 @@ up; the language with the highest sum is the answer, its share of the total prob
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -51,13 +52,18 @@ def _logs(counts: dict[str, dict[str, int]], languages: tuple[str, ...]) -> dict
 
 def fit(frame: DataFrame, text_column: str = "text", lang_column: str = "lang", max_texts: int = MAX_TEXTS,
         max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """A model of the languages of the rows with a text and a language.
+    """A model of the languages of the rows with a text and a language. Copies of a text count once.
 
     Runs jobs. What comes to the driver is at most `max_words` words and `LONGEST * max_grams` n-grams per language, counted in
     at most `max_texts` whole texts of each.
     """
     rows = documents(frame, text_column, lang_column).toDF("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    sample = first_per_key(rows.withColumn("_hash", F.xxhash64("text")), ["lang"], [F.col("_hash"), F.col("text")], max_texts)
+    hashed = rows.withColumn("hash", F.xxhash64("text"))
+    # Only hashes are ranked; each language's last one then picks the texts. Copies of a text are one.
+    first = first_per_key(hashed.select("lang", "hash").distinct(), ["lang"], [F.col("hash")], max_texts)
+    last = {r["lang"]: r["last"] for r in first.groupBy("lang").agg(F.max("hash").alias("last")).collect()}
+    bounds = F.create_map(*[F.lit(x) for pair in last.items() for x in pair]) if last else F.create_map().cast("map<string,long>")
+    sample = hashed.where(F.col("hash") <= F.try_element_at(bounds, F.col("lang"))).groupBy("lang", "text").agg(F.count("*").alias("copies"))
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))
     words = sample.select("lang", F.explode(found).alias("item")).groupBy("lang", "item").agg(F.count("*").alias("n"))
     padded = F.concat(F.lit(" "), "item", F.lit(" "))
@@ -123,16 +129,27 @@ class Scorer:
         return self.model.languages[best], float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum())
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def _scorer(key: str, model: Model) -> Scorer:
+    """The scorer of a model, kept with its words between the tasks of a Python worker."""
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(model)
+    return _SCORERS[key]
+
+
 def predict(frame: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The id column, `lang_pred` and `score` of each whole text.
 
     A null or empty text, one without letters, or a model without languages gives `und` with score 0. Ties go to the first
     language by name. Repeated rows and null ids are kept as they are. Other columns are ignored.
     """
-    sent = frame.sparkSession.sparkContext.broadcast(model)  # bounded by the limits of fit()
+    sent = frame.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))  # bounded by the limits of fit()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = _scorer(*sent.value)
         for batch in slices(batches, 2048):
             found = [scorer.predict(t.decode(errors="replace")) for t in text_bytes(batch.column(1))]
             columns = [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
