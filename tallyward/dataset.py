@@ -8,13 +8,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from tallyward.operators.masking import mask_frame, name_masked_columns
-from tallyward.operators.profile import TableProfile, build_profile
+from tallyward.operators.profile import LIVE_SAMPLE_ROWS, TableProfile, build_profile
 from tallyward.plans.catalog import MetricDefinition, generate_metrics
 
 
 @dataclass
 class Dataset:
-    """A lazy table; profile and metrics are made on first use and kept."""
+    """A lazy table; profile and metrics are made on first use and kept. A live one is profiled on a few rows."""
 
     name: str
     df: DataFrame
@@ -36,7 +36,8 @@ class Dataset:
     def profile(self) -> TableProfile:
         """Profile of the table; the first access runs one aggregation."""
         if self._profile is None:
-            self._profile = build_profile(self.df, self.name, sample=self.sample, with_examples=True)
+            sample = LIVE_SAMPLE_ROWS if self.live and self.sample is None else self.sample
+            self._profile = build_profile(self.df, self.name, sample=sample, with_examples=True)
         return self._profile
 
     @property

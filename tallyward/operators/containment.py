@@ -46,7 +46,7 @@ def matching_pairs(texts: DataFrame, key: str, text_col: str, values: DataFrame)
     lengths = [r[0] for r in anchors.select("length").distinct().collect()]  # at most RUN distinct lengths
     folded = texts.select(F.col(key), F.lower(F.col(text_col)).alias("_text"))
     every = F.concat(*[_runs(F.col("_text"), n) for n in lengths]) if lengths else F.array().cast("array<string>")
-    runs = folded.select(key, F.explode(every).alias("run")).select(key, F.xxhash64("run").alias("run"))
+    runs = folded.select(key, F.explode(F.array_distinct(every)).alias("run")).select(key, F.xxhash64("run").alias("run"))
     candidates = runs.join(anchors.select("run", "value"), "run").select(key, "value").distinct()
     return candidates.join(folded, key).where(F.col("_text").contains(F.col("value"))).select(key, "value")
 

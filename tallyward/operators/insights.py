@@ -37,8 +37,8 @@ def _insight(frame: DataFrame, severity: str, check_no: int, kind: str, title: C
 
 
 def outlier_insight(df: DataFrame, column: str) -> DataFrame:
-    """At most one row: how many of the reported outliers the column has."""
-    found = stats.anomaly_detect(df, column).agg(F.count("*").alias("n")).where("n > 0")
+    """At most one row: how many outliers the column has."""
+    found = stats.outlier_scores(df, column).agg(F.count("*").alias("n")).where("n > 0")
     title = F.lit(OUTLIER_TITLE.format(column=column))
     return _insight(found, "notice", 1, "outlier", title, F.format_string(OUTLIER_DETAIL, "n"))
 
@@ -146,7 +146,7 @@ def baseline_report(df: DataFrame, profile: TableProfile) -> DataFrame:
         r = stats.correlation(df, numeric[0], numeric[1])
         add(r, "correlation", F.lit(0), correlation_strength(F.col("corr")), F.format_string("%+.2f", "corr"))
     if numeric:
-        found = stats.anomaly_detect(df, numeric[0]).agg(F.count("*").alias("n")).where("n > 0")
+        found = stats.outlier_scores(df, numeric[0]).agg(F.count("*").alias("n")).where("n > 0")
         add(found, "outliers", F.lit(0), F.lit(numeric[0]), F.col("n"))
     summary = stats.describe(df)
     counts, measures = ("count", "nulls", "n_unique"), ("mean", "std", "min", "max")

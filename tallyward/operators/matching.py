@@ -12,7 +12,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.errors import ResourceLimitError
 from tallyward.functions.text import let, stem, trim_blanks, words
 from tallyward.operators.profile import TableProfile
 from tallyward.plans.catalog import MetricDefinition
@@ -42,9 +41,6 @@ GROUP_WORDS = (
 FALLBACK_THRESHOLD = 1.5
 # ---------------------------------------------------------------------------------------------------------
 
-# Literals beyond this belong in a table: match those with containment.matching_pairs.
-MAX_LITERAL_SYNONYMS = 20_000
-
 NO_MATCH, TOOL_PLAN, METRIC_PLAN = "no_match", "stats_tool", "single_metric"
 
 
@@ -65,8 +61,6 @@ def _has_any(text: Column, parts: Sequence[str]) -> Column:
 def match_synonym(question: Column, metrics: Sequence[MetricDefinition]) -> Column:
     """Name of the first metric, in catalog order, whose name in words or any synonym is inside the question."""
     phrases = [{"name": m.name, "phrase": s} for m in metrics for s in (m.name.replace("_", " "), *m.synonyms)]
-    if len(phrases) > MAX_LITERAL_SYNONYMS:
-        raise ResourceLimitError("catalog too large for literals; use containment.matching_pairs")
     table = _table(phrases, "name: string, phrase: string")
     return let(_lowered(question), lambda text: F.get(F.filter(table, lambda p: F.contains(text, p["phrase"])), F.lit(0))["name"])
 
@@ -152,7 +146,7 @@ def _plain_id(name: str) -> bool:
 
 # ---- whole questions ------------------------------------------------------------------------------------
 
-RESOLUTION = "plan_type string, target string, value_col string, group_col string, agg string, route string"
+RESOLUTION = "plan_type string, target string, value_col string, group_col string, agg string, route string, threshold double, columns array<string>"
 
 
 def _resolution(
@@ -162,12 +156,16 @@ def _resolution(
     value: Column | None = None,
     group: Column | None = None,
     agg: Column | None = None,
+    threshold: float | None = None,
+    columns: Sequence[str] | None = None,
 ) -> Column:
     null = F.lit(None).cast("string")
     of = lambda c: null if c is None else c
+    listed = F.lit(None) if columns is None else F.array(*[F.lit(c) for c in columns])
     return F.struct(
         F.lit(plan).alias("plan_type"), of(target).alias("target"), of(value).alias("value_col"),
         of(group).alias("group_col"), of(agg).alias("agg"), F.lit(route).alias("route"),
+        F.lit(threshold).cast("double").alias("threshold"), listed.cast("array<string>").alias("columns"),
     )
 
 
@@ -213,10 +211,12 @@ def _schema_match(text: Column, profile: TableProfile, metrics: Mapping[str, Met
         match_column(text, profile.categorical, examples).alias("group"),
         match_synonym(text, list(metrics.values())).alias("synonym"),
     )
-    return let(matches, lambda m: _schema_plan(text, m["number"], m["group"], m["synonym"], list(metrics)))
+    return let(matches, lambda m: _schema_plan(text, m["number"], m["group"], m["synonym"], list(metrics), profile.numeric))
 
 
-def _schema_plan(text: Column, number: Column, group: Column, synonym: Column, names: Sequence[str]) -> Column:
+def _schema_plan(
+    text: Column, number: Column, group: Column, synonym: Column, names: Sequence[str], numeric: Sequence[str]
+) -> Column:
     average = _has_any(text, AVERAGE_WORDS)
     # 'compare', 'vs' and 'between' are group words already, so a matched group adds nothing to the test.
     wants_group = _has_any(text, GROUP_WORDS) & number.isNotNull() & group.isNotNull()
@@ -229,8 +229,8 @@ def _schema_plan(text: Column, number: Column, group: Column, synonym: Column, n
     single_average = F.concat(F.lit("avg_"), number)
     wants_outliers = _has_any(text, OUTLIER_WORDS) & number.isNotNull()
     return (
-        F.when(wants_outliers, _resolution(TOOL_PLAN, F.lit("anomaly_detect"), "outliers", number))
-        .when(_has_any(text, OVERVIEW_WORDS), _resolution(TOOL_PLAN, F.lit("describe"), "overview"))
+        F.when(wants_outliers, _resolution(TOOL_PLAN, F.lit("anomaly_detect"), "outliers", number, threshold=FALLBACK_THRESHOLD))
+        .when(_has_any(text, OVERVIEW_WORDS), _resolution(TOOL_PLAN, F.lit("describe"), "overview", columns=numeric))
         .when(wants_group & known(pair), grouped_metric)
         .when(wants_group, compare)
         .when(average & number.isNotNull() & known(single_average), _resolution(METRIC_PLAN, single_average, "average"))
@@ -239,7 +239,7 @@ def _schema_plan(text: Column, number: Column, group: Column, synonym: Column, n
 
 
 def resolve_questions(questions: DataFrame, question_col: str, profile: TableProfile, metrics: Mapping[str, MetricDefinition]) -> DataFrame:
-    """Adds plan_type, target, value_col, group_col, agg and route to every question.
+    """Adds plan_type, target, value_col, group_col, agg, route, threshold and columns to every question.
 
     The rules come first; where they give nothing or a refusal, schema matching decides, else it is no_match.
     """

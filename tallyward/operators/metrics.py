@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,8 +21,10 @@ from tallyward.operators.guards import (
 from tallyward.operators.profile import column_counts
 from tallyward.plans.catalog import AGGREGATES, MetricDefinition
 
-# Group columns aggregated together in a whole-catalog run: at most 50 x 50 combinations of their values.
+# Group columns known to have few values that are aggregated together in a whole-catalog run: at most 50 x 50 combinations.
 BUNDLE = 2
+# Group columns of one aggregation; an id of its grouping sets has a bit for each and 64 bits in all.
+MOST_GROUPS = 60
 
 
 def merge_filters(base: Mapping[str, object] | None, extra: Mapping[str, object] | None) -> dict[str, object]:
@@ -82,13 +84,15 @@ def run_metric(
     return rows.agg(value.alias("value"))
 
 
-def run_catalog(df: DataFrame, metrics: Sequence[MetricDefinition]) -> DataFrame:
+def run_catalog(df: DataFrame, metrics: Sequence[MetricDefinition], few: Collection[str] = ()) -> DataFrame:
     """Every given metric at once as (metric, key, value); key is null for scalars and for the null group.
 
-    All sums, means, extremes and counts, scalar or grouped, come from one scan. The group columns of a catalog
-    have few values each, so two of them are first aggregated together, and the small result is then split into
-    the breakdowns of each and the total. Distinct counts take a second scan that counts all their columns
-    together. Metrics with base filters are run one by one.
+    All sums, means, extremes and counts, scalar or grouped, come from one scan for every 60 group columns. `few`
+    names group columns known to have few values, as a profile's categorical ones: two of them are first
+    aggregated together, and the small result is then split into the breakdowns of each and the total. Any other
+    group column is aggregated by itself, as two of many values would make their product. Distinct counts take a
+    second scan that counts all their columns together. Metrics with base filters are run one by one. All values
+    share one column of doubles, which holds whole numbers up to 2 ** 53 exactly; run a metric by itself beyond.
     """
     metrics = list(metrics)
     filtered = [m for m in metrics if m.base_filters]
@@ -96,8 +100,12 @@ def run_catalog(df: DataFrame, metrics: Sequence[MetricDefinition]) -> DataFrame
     uniques = [m for m in plain if m.agg == "nunique"]
     fused = [m for m in plain if m.agg != "nunique"]
     parts = []
-    if fused:
-        parts.append(_fused(df, fused))
+    groups = list(dict.fromkeys(m.groupby for m in fused if m.groupby))
+    for at in range(0, max(1, len(groups)), MOST_GROUPS):
+        chosen = groups[at : at + MOST_GROUPS]
+        batch = [m for m in fused if m.groupby in chosen or not m.groupby and at == 0]
+        if batch:
+            parts.append(_fused(df, batch, few))
     if uniques:
         columns = list(dict.fromkeys(m.column for m in uniques))
         counts = column_counts(df, columns, "exact").select(F.col("name").alias("_column"), "n_unique")
@@ -116,7 +124,7 @@ def run_catalog(df: DataFrame, metrics: Sequence[MetricDefinition]) -> DataFrame
     return reduce(DataFrame.unionByName, parts)
 
 
-def _fused(df: DataFrame, metrics: Sequence[MetricDefinition]) -> DataFrame:
+def _fused(df: DataFrame, metrics: Sequence[MetricDefinition], few: Collection[str]) -> DataFrame:
     groups = list(dict.fromkeys(m.groupby for m in metrics if m.groupby))
     require_columns(df, groups)
     columns = list(dict.fromkeys(m.column for m in metrics if m.agg != "count"))
@@ -129,7 +137,7 @@ def _fused(df: DataFrame, metrics: Sequence[MetricDefinition]) -> DataFrame:
     measures = [(f"s{i}", "sum", f"x{i}") for i in range(len(columns))] + [(f"c{i}", "count", f"x{i}") for i in range(len(columns))]
     measures += [(f"l{i}", "min", f"x{i}") for i in range(len(columns))] + [(f"h{i}", "max", f"x{i}") for i in range(len(columns))]
     parts = [F.expr("count(*) AS n"), *[F.expr(f"{f}({x}) AS {name}") for name, f, x in measures]]
-    bundles = _bundles(len(groups))
+    bundles = _bundles(groups, few)
     keys = [f"g{i}" for i in range(len(groups))]
     if len(bundles) > 1:
         sets = [[f"g{i}" for i in bundle] for bundle in bundles]
@@ -171,6 +179,8 @@ def _slot_sql(columns: Sequence[str], column: str, agg: str) -> str:
     return {"sum": f"s{i}", "mean": f"CASE WHEN c{i} > 0 THEN s{i} / c{i} END", "max": f"h{i}", "min": f"l{i}"}[agg]
 
 
-def _bundles(groups: int) -> list[list[int]]:
-    """Group columns packed together; without any, one empty bundle that holds the total."""
-    return [list(range(i, min(i + BUNDLE, groups))) for i in range(0, groups, BUNDLE)] or [[]]
+def _bundles(groups: Sequence[str], few: Collection[str]) -> list[list[int]]:
+    """Group columns aggregated together, as places; without any, one empty bundle that holds the total."""
+    small = [i for i, g in enumerate(groups) if g in few]
+    pairs = [small[at : at + BUNDLE] for at in range(0, len(small), BUNDLE)]
+    return pairs + [[i] for i, g in enumerate(groups) if g not in few] or [[]]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.frames import small_frame
+from tallyward.operators.topn import first_per_key
 from tallyward.operators.guards import (
     column_ref,
     identifier,
@@ -26,14 +27,10 @@ CATEGORY_CEILING = 50
 CATEGORY_FLOOR = 10
 ROWS_PER_CATEGORY = 20
 FILTERABLE_CEILING = 30
-PROFILE_SAMPLE_ROWS = 10_000
 LIVE_SAMPLE_ROWS = 500
 EXAMPLES_PER_COLUMN = 3
 SAMPLE_ROWS = 5
 
-# A column with more distinct values than this, as far as a sketch can tell, is not counted exactly by "auto".
-# Far above every threshold of the roles, so these are exact either way.
-EXACT_BELOW = 10_000
 NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 # Longer text is compared by digest, so that counting distinct texts does not shuffle the texts.
 LONG_TEXT = 64
@@ -62,6 +59,7 @@ class TableProfile:
     n_rows: int
     columns: tuple[ColumnProfile, ...]
     sample_rows: tuple[dict, ...] = field(default=())
+    distinct: str = "exact"
 
     @property
     def n_cols(self) -> int:
@@ -113,25 +111,13 @@ def column_counts(df: DataFrame, columns: Sequence[str] | None = None, distinct:
 
     `distinct`: "exact" counts (column, value) pairs in one scan, pre-aggregated before the shuffle and spread
     over all tasks by value, so no column is counted in one task. "approx" uses a sketch per column, one scan
-    that shuffles one row per task. "auto" runs the sketches first, then counts exactly the columns with few
-    values, whose pairs collapse before the shuffle; the others keep their estimate. Made for very large tables.
+    that shuffles one row per task; every column is then an estimate. The caller chooses, never the size.
     """
     names = list(df.columns if columns is None else columns)
     require_columns(df, names)
-    if distinct not in ("auto", "exact", "approx"):
-        raise ValueError("distinct must be auto, exact or approx")
-    places = list(enumerate(names))
-    if distinct == "exact":
-        counts = _exact_counts(df, places)
-    else:
-        counts = _sketched_counts(df, names)
-    if distinct == "auto":
-        sketched = [r.asDict() for r in counts.collect()]
-        few = {r["ordinal"] for r in sketched if r["n_unique"] <= EXACT_BELOW}
-        rest = [r for r in sketched if r["ordinal"] not in few]
-        counts = small_frame(df.sparkSession, rest, "ordinal int, n_rows bigint, n_unique bigint, n_null bigint")
-        if few:
-            counts = counts.unionByName(_exact_counts(df, [p for p in places if p[0] in few]))
+    if distinct not in ("exact", "approx"):
+        raise ValueError("distinct must be exact or approx")
+    counts = _exact_counts(df, list(enumerate(names))) if distinct == "exact" else _sketched_counts(df, names)
     label = lambda values: F.expr(f"get(array({', '.join(map(text_literal, values))}), ordinal)")
     return counts.select(
         "ordinal", label(names).alias("name"), label([df.schema[c].dataType.simpleString() for c in names]).alias("dtype"),
@@ -206,18 +192,37 @@ def filterable_columns(profile: DataFrame) -> DataFrame:
     return profile.where("is_filterable").select("ordinal", "name")
 
 
-def example_values(df: DataFrame, per_column: int = EXAMPLES_PER_COLUMN, scan: int = PROFILE_SAMPLE_ROWS) -> DataFrame:
-    """First non-null values of each column as text, from a bounded scan: (ordinal, name, examples)."""
-    def first(name: str) -> str:
-        nested = isinstance(df.schema[name].dataType, NESTED)
-        text = f"to_json({identifier(name)})" if nested else f"CAST({identifier(name)} AS STRING)"
-        return f"slice(collect_list({text}), 1, {per_column})"
+def example_values(df: DataFrame, categorical: Sequence[str] = (), per_column: int = EXAMPLES_PER_COLUMN) -> DataFrame:
+    """(ordinal, name, examples): values of each column as text, the same on every run.
 
-    rows = [
-        {"ordinal": f"any_value({i})", "name": f"any_value({text_literal(c)})", "examples": first(c)}
-        for i, c in enumerate(df.columns)
-    ]
-    return one_row_each(df.limit(scan), rows)
+    Categorical columns give their most frequent values; these are few and are counted before the shuffle. Of
+    the others, which may all differ, the smallest and the largest value are shown.
+    """
+    def text(name: str) -> str:
+        nested = isinstance(df.schema[name].dataType, NESTED)
+        return f"to_json({identifier(name)})" if nested else f"CAST({identifier(name)} AS STRING)"
+
+    def ends(name: str) -> str:
+        value = text(name) if isinstance(df.schema[name].dataType, NESTED) else identifier(name)
+        both = f"array_distinct(array(min({value}), max({value})))"
+        return f"transform(filter({both}, x -> x IS NOT NULL), x -> CAST(x AS STRING))"
+
+    few = set(categorical)
+    require_columns(df, list(few))
+    parts = []
+    rest = [(i, c) for i, c in enumerate(df.columns) if c not in few]
+    if rest:
+        parts.append(one_row_each(df, [
+            {"ordinal": f"any_value({i})", "name": f"any_value({text_literal(c)})", "examples": ends(c)} for i, c in rest
+        ]))
+    if few:
+        places = [(i, c) for i, c in enumerate(df.columns) if c in few]
+        cells = df.select(inline_rows([{"ordinal": str(i), "name": text_literal(c), "value": text(c)} for i, c in places]))
+        counted = cells.groupBy("ordinal", "name", "value").agg(F.count("value").alias("n"))
+        best = first_per_key(counted, ["ordinal", "name"], [F.desc("n"), F.asc_nulls_last("value")], per_column)
+        listed = best.groupBy("ordinal", "name").agg(F.sort_array(F.collect_list(F.struct("position", "value"))).alias("v"))
+        parts.append(listed.select("ordinal", "name", F.filter("v.value", lambda x: x.isNotNull()).alias("examples")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def sample_rows(df: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
@@ -233,16 +238,19 @@ def _as_text(df: DataFrame, name: str) -> Column:
 
 
 def build_profile(
-    df: DataFrame, name: str = "data", distinct: str = "auto", sample: int | None = None, with_examples: bool = False
+    df: DataFrame, name: str = "data", distinct: str = "exact", sample: int | None = None, with_examples: bool = False
 ) -> TableProfile:
     """Run the profile and bring its one row per column to the driver.
 
-    Roles are always exact; with "auto", `n_unique` of a column with very many values is an estimate.
+    With distinct="approx" the distinct counts, and the roles that follow from them, are estimates; the profile
+    says so in `distinct`.
     """
     rows = profile_frame(df, distinct, sample).orderBy("ordinal").collect()
     examples, samples = {}, ()
     if with_examples:
-        examples = {r["name"]: tuple(r["examples"]) for r in example_values(df).collect()}
+        source = df if sample is None else df.limit(sample)
+        found = example_values(source, [r["name"] for r in rows if r["is_categorical"]])
+        examples = {r["name"]: tuple(r["examples"]) for r in found.collect()}
         samples = tuple(r.asDict() for r in sample_rows(df).collect())
     columns = tuple(
         ColumnProfile(
@@ -251,4 +259,4 @@ def build_profile(
         )
         for r in rows
     )
-    return TableProfile(name, rows[0]["n_rows"] if rows else 0, columns, samples)
+    return TableProfile(name, rows[0]["n_rows"] if rows else 0, columns, samples, distinct)

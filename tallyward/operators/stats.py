@@ -28,7 +28,8 @@ from tallyward.operators.profile import column_counts
 TOP_VALUES = 10
 ANOMALY_THRESHOLD = 2.0
 ANOMALY_ROWS = 20
-MATRIX_COLUMNS = 8
+# Columns that meet one column in a row of the correlation matrix: bounds the aggregates of its one aggregation.
+MATRIX_WIDTH = 8
 PERIODS = {"M": "MM", "W": "WEEK", "D": None}
 GROUP_AGGREGATES = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}
 
@@ -111,30 +112,36 @@ def correlation(df: DataFrame, col_a: str, col_b: str) -> DataFrame:
     return both.agg(_pearson(F.col("x"), F.col("y")).alias("corr"))
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, limit: int = MATRIX_COLUMNS) -> DataFrame:
-    """Long matrix (row, col, r) over the first numeric columns, from one scan.
+def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Long matrix (row, col, r) over the named columns, by default all numeric ones, from one scan.
 
-    Every row gives a cell per pair of the upper triangle; the cells are aggregated by pair before the shuffle.
-    That is three aggregates whatever the number of pairs, where one wide aggregation would need three a pair.
+    Every row gives, for each column, a cell with the columns after it, a block of them at a time. The cells are
+    aggregated by column and block before the shuffle: the aggregates are those of one block, whatever the width
+    of the table. `limit` keeps the first columns only.
     """
     numeric = [c for c in df.columns if is_numeric_type(df.schema[c].dataType)] if columns is None else list(columns)
-    names = numeric[:limit]
+    names = numeric if limit is None else numeric[:limit]
     require_numeric(df, names)
     values = df.selectExpr(*[f"CAST({number_sql(df, n)} AS DOUBLE) AS x{i}" for i, n in enumerate(names)])
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     # A single column has no pair; its cell with itself keeps the frame's shape.
-    upper = [(i, j) for i, j in pairs if i < j] or pairs
-    cells = values.select(inline_rows([{"i": str(i), "j": str(j), "x": f"x{i}", "y": f"x{j}"} for i, j in upper])).dropna()
-    found = cells.groupBy("i", "j").agg(_pearson(F.col("x"), F.col("y")).alias("_r"))
+    blocks = [(i, list(range(at, min(at + MATRIX_WIDTH, len(names))))) for i in range(len(names)) for at in range(i + 1, len(names), MATRIX_WIDTH)]
+    blocks = blocks or [(0, [0])]
+    width = max(len(js) for _, js in blocks)
+    slots = lambda js: {f"y{k}": f"x{js[k]}" if k < len(js) else "CAST(NULL AS DOUBLE)" for k in range(width)}
+    cells = values.select(inline_rows([{"i": str(i), "j": str(js[0]), "x": f"x{i}", **slots(js)} for i, js in blocks]))
+    both = lambda k: (F.when(F.col(f"y{k}").isNotNull(), F.col("x")), F.when(F.col("x").isNotNull(), F.col(f"y{k}")))
+    found = cells.groupBy("i", "j").agg(F.array(*[_pearson(*both(k)) for k in range(width)]).alias("rs"))
+    pairs = found.select("i", F.col("j").alias("first"), F.posexplode("rs").alias("k", "_r")).select("i", (F.col("first") + F.col("k")).alias("j"), "_r")
     r = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.coalesce("_r", F.lit(0.0)))
-    triangle = _with_every(found, "i j", pairs).select("i", "j", r.alias("r"))
+    wanted = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    triangle = _with_every(pairs, "i j", wanted).select("i", "j", r.alias("r"))
     mirrored = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("r"))
-    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j", "r"))).otherwise(F.array(F.struct("i", "j", "r"), mirrored))
+    both_ways = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j", "r"))).otherwise(F.array(F.struct("i", "j", "r"), mirrored))
     listed = ", ".join(map(text_literal, names))
-    return triangle.select(F.inline(both)).selectExpr(f"get(array({listed}), i) AS row", f"get(array({listed}), j) AS col", "r")
+    return triangle.select(F.inline(both_ways)).selectExpr(f"get(array({listed}), i) AS row", f"get(array({listed}), j) AS col", "r")
 
 
-def strongest_pair(df: DataFrame, columns: Sequence[str] | None = None, limit: int = MATRIX_COLUMNS) -> DataFrame:
+def strongest_pair(df: DataFrame, columns: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
     """(row, col, r) of the largest |r|; of equal ones the pair that comes first in table order."""
     numeric = [c for c in df.columns if is_numeric_type(df.schema[c].dataType)] if columns is None else list(columns)
     place = F.array(*[F.lit(n) for n in numeric])

@@ -25,7 +25,7 @@ def first_per_key(
     """
     threshold = int(df.sparkSession.conf.get(GROUP_LIMIT_SETTING, "1000"))
     if n >= threshold:
-        hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if not _holds_map(f.dataType)]
         salted = df.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(SALT_BUCKETS)))
         part = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = salted.withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= n).drop("_rank", "_salt")
@@ -33,6 +33,15 @@ def first_per_key(
     return df.withColumn(position, F.row_number().over(whole)).where(F.col(position) <= n)
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    """Whether a type has a part that can not be hashed."""
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key: the first under `order`."""
     return first_per_key(df, keys, order, 1, "_position").drop("_position")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyward.errors import QuotaExceededError
 from tallyward.operators.audit import since
@@ -70,6 +71,30 @@ def day_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 
 
+def _numbered(requests: DataFrame, limits: DataFrame | None, default_limit: int, ts_col: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of minutes that begin below the quota, numbered in `request_no`; rows of minutes that begin with it used up).
+
+    A tenant's day is never sorted whole, whatever its limit: requests are counted per minute, the counts, at most
+    1,440 a day, give each minute the number it starts from, and only the rows of a minute are put in order.
+    """
+    timed = requests.withColumns({"day": F.to_date(ts_col), "_minute": F.date_trunc("minute", F.col(ts_col))})
+    counts = timed.groupBy("tenant_id", "day", "_minute").agg(F.count("*").alias("_n"))
+    if limits is None:
+        counts = counts.withColumn("daily_limit", F.lit(default_limit).cast("bigint"))
+    else:
+        counts = _with_limit(counts, limits, default_limit)
+    before = Window.partitionBy("tenant_id", "day").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    keys = ["tenant_id", "day", "_minute"]
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    joined = timed.alias("r").join(starts.alias("s"), same).select("r.*", "s._before", "s.daily_limit")
+    within = Window.partitionBy(*keys).orderBy(F.asc(ts_col), F.asc(id_col))
+    open_ = joined.where(F.col("_before") < F.col("daily_limit")).withColumn(
+        "request_no", (F.col("_before") + F.row_number().over(within)).cast("bigint")
+    )
+    return open_.drop("_before", "_minute"), joined.where(F.col("_before") >= F.col("daily_limit")).drop("_before", "_minute")
+
+
 def accepted_requests(
     requests: DataFrame,
     limits: DataFrame | None = None,
@@ -79,25 +104,11 @@ def accepted_requests(
 ) -> DataFrame:
     """The requests a daily quota lets through, numbered from 1 per tenant and day in `request_no`.
 
-    `limits` (tenant_id, daily_limit) overrides the default. A refused request is not counted, so only the
-    first requests of a day ever get a number: at most the largest limit of rows per tenant and day is kept by
-    each map task, and no tenant's day is sorted whole.
+    `limits` (tenant_id, daily_limit) overrides the default. A refused request is not counted.
     """
-    day = requests.withColumn("day", F.to_date(ts_col))
-    largest = default_limit
-    if limits is not None:
-        top = limits.agg(F.max("daily_limit")).first()[0]
-        largest = max(default_limit, int(top or 0))
-    first = first_per_key(day, ["tenant_id", "day"], [F.asc(ts_col), F.asc(id_col)], largest, "request_no")
-    if limits is None:
-        return first
-    return _with_limit(first, limits, default_limit).where(F.col("request_no") <= F.col("daily_limit"))
-
-
-def _with_limit(rows: DataFrame, limits: DataFrame, default_limit: int) -> DataFrame:
-    own = limits.select("tenant_id", F.col("daily_limit").cast("int").alias("daily_limit"))
-    joined = rows.join(own, "tenant_id", "left")
-    return joined.withColumn("daily_limit", F.coalesce("daily_limit", F.lit(default_limit)))
+    first, _ = _numbered(requests, limits, default_limit, ts_col, id_col)
+    accepted = first.where(F.col("request_no") <= F.col("daily_limit"))
+    return accepted.drop("daily_limit") if limits is None else accepted
 
 
 def refused_requests(
@@ -107,26 +118,15 @@ def refused_requests(
     ts_col: str = "timestamp",
     id_col: str = "id",
 ) -> DataFrame:
-    """The requests over the daily quota: those that come after the last accepted one of their tenant and day.
+    """The requests over the daily quota: those that come after the last accepted one of their tenant and day."""
+    first, over = _numbered(requests, limits, default_limit, ts_col, id_col)
+    return first.where(F.col("request_no") > F.col("daily_limit")).drop("request_no").unionByName(over)
 
-    The last accepted request is one row per tenant and day; every other row is only compared with it.
-    """
-    accepted = accepted_requests(requests, limits, default_limit, ts_col, id_col)
-    own_limit = F.lit(default_limit) if limits is None else F.first("daily_limit")
-    last = accepted.groupBy("tenant_id", "day").agg(
-        F.max(F.struct(F.col(ts_col).alias("ts"), F.col(id_col).alias("id"))).alias("_last"),
-        F.count("*").alias("_accepted"),
-        own_limit.alias("daily_limit"),
-    )
-    # Only a full quota refuses. A limit of zero accepts nothing and so has no last request.
-    full = last.where(F.col("_accepted") >= F.col("daily_limit")).drop("_accepted")
-    day = requests.withColumn("day", F.to_date(ts_col))
-    here = F.struct(F.col(ts_col).alias("ts"), F.col(id_col).alias("id"))
-    over = day.join(full, ["tenant_id", "day"]).where(here > F.col("_last")).drop("_last")
-    if limits is None:
-        return over
-    closed = _with_limit(day, limits, default_limit).where(F.col("daily_limit") <= 0)
-    return over.unionByName(closed)
+
+def _with_limit(rows: DataFrame, limits: DataFrame, default_limit: int) -> DataFrame:
+    own = limits.select("tenant_id", F.col("daily_limit").cast("bigint").alias("daily_limit"))
+    joined = rows.join(own, "tenant_id", "left")
+    return joined.withColumn("daily_limit", F.coalesce("daily_limit", F.lit(default_limit).cast("bigint")))
 
 
 def quota_status(
@@ -138,7 +138,7 @@ def quota_status(
     """(tenant_id, day, requests, daily_limit, accepted, refused, exceeded); a plain count, no ordering needed."""
     counts = requests.groupBy("tenant_id", F.to_date(ts_col).alias("day")).agg(F.count("*").alias("requests"))
     if limits is None:
-        limited = counts.withColumn("daily_limit", F.lit(default_limit))
+        limited = counts.withColumn("daily_limit", F.lit(default_limit).cast("bigint"))
     else:
         limited = _with_limit(counts, limits, default_limit)
     accepted = F.least("requests", F.greatest("daily_limit", F.lit(0)).cast("bigint"))

@@ -90,6 +90,21 @@ def verify_trend_total(df: DataFrame, date_col: str, value_col: str, freq: str =
     return breakdown_check(_sums(dated, period_of(df, date_col, freq), additive(df, value_col)))
 
 
+def source_total(rows: DataFrame, value_col: str) -> DataFrame:
+    """One row (expected_total): the sum over a table, by itself."""
+    require_numeric(rows, [value_col])
+    return rows.agg(F.coalesce(F.sum(additive(rows, value_col)).cast("double"), F.lit(0.0)).alias("expected_total"))
+
+
+def delivered_check(delivered: DataFrame, rows: DataFrame, value_col: str) -> DataFrame:
+    """One row (breakdown_sum, expected_total, ok): whether a delivered (key, value) frame adds up to the total of the
+    table it is said to come from. Unlike `verify_breakdown` it looks at the result as it was handed over."""
+    parts = delivered.agg(F.sum(F.col("value").cast("double")).alias("breakdown_sum"))
+    both = parts.withColumn("expected_total", source_total(rows, value_col).scalar())
+    close = close_to(F.coalesce("breakdown_sum", F.lit(0.0)), F.col("expected_total"))
+    return both.withColumn("ok", (F.col("expected_total") == 0) | close)
+
+
 def result_flags(results: DataFrame) -> DataFrame:
     """Adds `flags` to step results (target, value, source_rows, breakdown_sum, expected_total, truncated).
 

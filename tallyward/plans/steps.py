@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.dataset import Dataset
 from tallyward.operators import stats, verify
-from tallyward.operators.guards import allowed_filters, cap_steps
+from tallyward.operators.guards import allowed_filters, cap_rows, cap_steps, column_ref
 from tallyward.operators.masking import scrub_result
 from tallyward.operators.metrics import equality_filter, merge_filters, run_metric
 from tallyward.plans.catalog import JoinPolicy, MetricDefinition
@@ -34,18 +35,28 @@ class RefusedPlan(ValueError):
     """A step is outside the allowlist, so nothing of the plan is run."""
 
 
+@dataclass(frozen=True)
+class CheckedSteps:
+    """What of a plan is run, and what of it is left out: steps beyond the limit, and filters outside the allowlist by step."""
+
+    steps: tuple[Step, ...]
+    left_out: tuple[Step, ...] = ()
+    dropped_filters: tuple[tuple[str, ...], ...] = ()
+
+
 def check_steps(
     steps: Sequence[Step],
     metrics: Mapping[str, MetricDefinition],
     policies: Mapping[str, JoinPolicy],
     filter_columns: Sequence[str],
     max_steps: int | None = None,
-) -> list[Step]:
+) -> CheckedSteps:
     """The steps to run, filters reduced to allowed columns; raises RefusedPlan if any step is not allowed.
 
-    An unknown action counts as a metric run. Every step is checked, also those beyond the step limit.
+    An unknown action counts as a metric run. Every step is checked, also those beyond the step limit. What is
+    not run, or not filtered by, is named in the result.
     """
-    checked = []
+    checked, dropped = [], []
     for step in steps:
         action = step.action if step.action in (RUN_METRIC, RUN_STATS) else RUN_METRIC
         if action == RUN_METRIC and step.target not in metrics:
@@ -54,8 +65,11 @@ def check_steps(
             raise RefusedPlan(f"tool {step.target!r} is not allowed")
         if step.join_policy and (step.join_policy not in policies or policies[step.join_policy].status != "approved"):
             raise RefusedPlan(f"join policy {step.join_policy!r} is not approved")
-        checked.append(replace(step, action=action, filters=allowed_filters(step.filters, filter_columns)))
-    return cap_steps(checked, max_steps)
+        allowed = allowed_filters(step.filters, filter_columns)
+        dropped.append(tuple(k for k in step.filters if k not in allowed))
+        checked.append(replace(step, action=action, filters=allowed))
+    kept = cap_steps(checked, max_steps)
+    return CheckedSteps(tuple(kept), tuple(checked[len(kept) :]), tuple(dropped[: len(kept)]))
 
 
 def validate_step_table(steps: DataFrame, metrics: DataFrame, tools: DataFrame, policies: DataFrame, plan_col: str = "plan_id") -> DataFrame:
@@ -78,43 +92,84 @@ def validate_step_table(steps: DataFrame, metrics: DataFrame, tools: DataFrame,
     return known.groupBy(plan_col).agg(F.count("*").alias("steps"), F.bool_and(fine).alias("ok"))
 
 
-def run_step(
+def step_source(
     dataset: Dataset,
     step: Step,
-    metrics: Mapping[str, MetricDefinition] | None = None,
     registry: DatasetRegistry | None = None,
     policies: Mapping[str, JoinPolicy] | None = None,
-) -> DataFrame:
-    """The lazy result of one checked step; on a join policy it runs over the joined view."""
-    target = dataset
-    if step.join_policy:
-        if registry is None or not policies or step.join_policy not in policies:
-            raise RefusedPlan(f"join policy {step.join_policy!r} is not approved")
-        target = Dataset(f"joined_{step.join_policy}", registry.joined_view(policies[step.join_policy]))
+) -> Dataset:
+    """The table a step runs on: the dataset, or the joined view of its policy, masked as every loaded table is."""
+    if not step.join_policy:
+        return dataset
+    if registry is None or not policies or step.join_policy not in policies:
+        raise RefusedPlan(f"join policy {step.join_policy!r} is not approved")
+    return Dataset.from_frame(registry.joined_view(policies[step.join_policy]), f"joined_{step.join_policy}")
+
+
+def _run(target: Dataset, step: Step, metrics: Mapping[str, MetricDefinition]) -> DataFrame:
     if step.action == RUN_STATS:
         return stats.run_tool(target.df, step.target, step.args)
-    known = target.metrics if step.join_policy or metrics is None else metrics
-    if step.target not in known:
+    if step.target not in metrics:
         raise RefusedPlan(f"metric {step.target!r} is not in the catalog")
-    return run_metric(target.df, known[step.target], step.filters)
+    return run_metric(target.df, metrics[step.target], step.filters)
 
 
-def expected_total(dataset: Dataset, step: Step, metrics: Mapping[str, MetricDefinition]) -> DataFrame | None:
-    """One row (breakdown_sum, expected_total, ok) for steps whose parts must add up, else None."""
+def run_step(
+    dataset: Dataset,
+    step: Step,
+    metrics: Mapping[str, MetricDefinition] | None = None,
+    registry: DatasetRegistry | None = None,
+    policies: Mapping[str, JoinPolicy] | None = None,
+) -> DataFrame:
+    """The lazy result of one checked step; on a join policy it runs over the joined, masked view and its own metrics."""
+    target = step_source(dataset, step, registry, policies)
+    known = target.metrics if step.action != RUN_STATS and (step.join_policy or metrics is None) else metrics or {}
+    return _run(target, step, known)
+
+
+def expected_total(target: Dataset, step: Step, metrics: Mapping[str, MetricDefinition]) -> DataFrame | None:
+    """One row (expected_total) for steps whose parts must add up, worked out from the table by itself, else None."""
     if step.action == RUN_METRIC:
         metric = metrics[step.target]
         if metric.agg != "sum" or not metric.groupby:
             return None
-        rows = equality_filter(dataset.df, merge_filters(metric.base_filters, step.filters))
-        return verify.verify_breakdown(rows, metric.column, metric.groupby)
+        return verify.source_total(equality_filter(target.df, merge_filters(metric.base_filters, step.filters)), metric.column)
     args = step.args
     if step.target == "group_compare" and args.get("agg", "sum") == "sum":
-        return verify.verify_breakdown(dataset.df, args["value_col"], args["group_col"])
+        return verify.source_total(target.df, args["value_col"])
     if step.target == "trend":
-        return verify.verify_trend_total(dataset.df, args["date_col"], args["value_col"], args.get("freq", "M"))
+        return verify.source_total(target.df.where(column_ref(args["date_col"]).isNotNull()), args["value_col"])
     return None
 
 
+@dataclass(frozen=True)
+class PlanRun:
+    """A plan's lazy results in order, one row of checks per step, and what was left out."""
+
+    results: tuple[tuple[Step, DataFrame], ...]
+    checks: DataFrame
+    left_out: tuple[Step, ...]
+
+
+def step_check(number: int, step: Step, delivered: DataFrame, target: Dataset, total: DataFrame | None, plan_type: str, notes: str) -> DataFrame:
+    """One row about a delivered result: its scalar value, whether it was cut, the sum of its parts next to the total
+    of the table, the table's rows, and the lineage."""
+    scalar = "value" in delivered.columns and "key" not in delivered.columns and "period" not in delivered.columns
+    # Whether the scalar is a number is known from its type; a sum of parts is only asked for where a total is.
+    value = F.max(F.col("value").cast("double")) if scalar and total is None else F.lit(None).cast("double")
+    parts = F.sum(F.col("value").cast("double")) if total is not None else F.lit(None).cast("double")
+    row = delivered.agg(
+        value.alias("value"), parts.alias("breakdown_sum"), F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("truncated")
+    )
+    row = row.withColumns({
+        "step": F.lit(number), "target": F.lit(step.target), "plan_type": F.lit(plan_type),
+        "source_rows": target.df.agg(F.count("*")).scalar(),
+        "expected_total": F.lit(None).cast("double") if total is None else total.scalar(),
+    })
+    lineage = verify.with_lineage(row, [step.target], step.filters, notes)
+    return lineage.select("step", "target", "plan_type", "value", "source_rows", "breakdown_sum", "expected_total", "truncated", "lineage")
+
+
 def run_plan(
     dataset: Dataset,
     steps: Sequence[Step],
@@ -122,8 +177,40 @@ def run_plan(
     registry: DatasetRegistry | None = None,
     policies: Mapping[str, JoinPolicy] | None = None,
     max_steps: int | None = None,
-) -> list[tuple[Step, DataFrame]]:
-    """Check a whole plan, then give each step's scrubbed lazy result. A single bad step refuses the plan."""
+    max_rows: int | None = None,
+) -> PlanRun:
+    """Check a whole plan, then give each step's lazy result, capped and scrubbed, and the checks on all of them.
+
+    A single bad step refuses the plan. A result has a `truncated` column that tells whether the row cap cut it.
+    `checks` has a row per step with the flags, the confidence that follows from them and the lineage; a
+    breakdown is held against a total of its own, so a result that lost a part is flagged.
+    """
     known = dataset.metrics if metrics is None else metrics
-    checked = check_steps(steps, known, policies or {}, dataset.profile.filterable, max_steps)
-    return [(step, scrub_result(run_step(dataset, step, known, registry, policies))) for step in checked]
+    plan = check_steps(steps, known, policies or {}, dataset.profile.filterable, max_steps)
+    plan_type = "multi_step" if len(plan.steps) > 1 else "single_metric" if plan.steps and plan.steps[0].action == RUN_METRIC else "stats_tool"
+    results, checks = [], []
+    for number, (step, dropped) in enumerate(zip(plan.steps, plan.dropped_filters)):
+        target = step_source(dataset, step, registry, policies)
+        own = target.metrics if step.action == RUN_METRIC and step.join_policy else known
+        result = _run(target, step, own)
+        delivered = cap_rows(result, max_rows, result_order(result))
+        notes = f"filters not allowed: {', '.join(dropped)}" if dropped else ""
+        checks.append(step_check(number, step, delivered, target, expected_total(target, step, own), plan_type, notes))
+        results.append((step, scrub_result(delivered)))
+    every = reduce(DataFrame.unionByName, checks) if checks else dataset.df.sparkSession.createDataFrame([], CHECKS)
+    return PlanRun(tuple(results), verify.with_confidence(verify.result_flags(every)), plan.left_out)
+
+
+CHECKS = (
+    "step int, target string, plan_type string, value double, source_rows bigint, breakdown_sum double, expected_total double, "
+    "truncated boolean, lineage struct<metrics_or_tools_used:array<string>,filters_applied:map<string,string>,notes:string>"
+)
+
+
+def result_order(result: DataFrame) -> list:
+    """The order in which a result's rows are kept when it is cut: breakdowns by value, series by period, others as they come."""
+    if "period" in result.columns:
+        return [F.col("period")]
+    if {"key", "value"} <= set(result.columns):
+        return [F.desc_nulls_last("value"), F.asc_nulls_last("key")]
+    return []

@@ -15,15 +15,20 @@ from tallyward.operators.guards import check_input_size
 Schema = StructType | str | None
 
 
-def read_csv(spark: SparkSession, path: str, schema: Schema = None, sep: str = ",") -> DataFrame:
-    """Delimited text with a header row. Give a schema for large input: inferring one reads the files twice."""
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", False)
+def read_csv(spark: SparkSession, path: str, schema: Schema = None, sep: str = ",", multi_line: bool = True) -> DataFrame:
+    """Delimited text with a header row; quotes inside quoted values are doubled.
+
+    A quoted value may hold line breaks. A file is then one task, as a break does not tell where a record ends;
+    give `multi_line=False` for large files known to have none, which can be split. Give a schema for large
+    input: inferring one reads the files twice.
+    """
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multi_line)
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
-def read_tsv(spark: SparkSession, path: str, schema: Schema = None) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, schema: Schema = None, multi_line: bool = True) -> DataFrame:
     """Tab-separated text with a header row."""
-    return read_csv(spark, path, schema, "\t")
+    return read_csv(spark, path, schema, "\t", multi_line)
 
 
 def read_parquet(spark: SparkSession, path: str, schema: Schema = None) -> DataFrame:

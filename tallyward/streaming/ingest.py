@@ -21,7 +21,8 @@ def clean_telemetry(events: DataFrame, lateness: str = LATENESS, deduplicate: bo
     """Valid events without secrets, each once.
 
     An event needs a tenant, a type and a readable time; a line that is no JSON has none of them. A repeated
-    event id is dropped as long as it comes within the lateness, so the state stays bounded.
+    event id is dropped as long as it comes within the lateness, so the state stays bounded. Lines without an
+    event id can not be told to be repeats and are all kept.
     """
     timed = events.withColumn("timestamp", F.try_to_timestamp("timestamp"))
     tenant = F.trim("tenant_id")
@@ -31,7 +32,10 @@ def clean_telemetry(events: DataFrame, lateness: str = LATENESS, deduplicate: bo
     )
     if not deduplicate:
         return clean
-    return clean.withWatermark("timestamp", lateness).dropDuplicatesWithinWatermark(["event_id"])
+    known_by = F.when(F.col("event_id").isNotNull(), F.struct(F.lit(True).alias("given"), F.col("event_id").alias("id")))
+    own = F.struct(F.lit(False).alias("given"), F.uuid().alias("id"))
+    named = clean.withColumn("_known_by", F.coalesce(known_by, own)).withWatermark("timestamp", lateness)
+    return named.dropDuplicatesWithinWatermark(["_known_by"]).drop("_known_by")
 
 
 def write_telemetry(clean: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -67,6 +67,26 @@ def test_quota_equals_brute_force(spark, skewed):
     assert tuple(status) == (len(accepted), len(refused))
 
 
+def test_large_quota_of_one_tenant(spark):
+    rows = spark.range(5000).select(
+        F.expr("timestamp'2024-01-01' + make_dt_interval(0, 0, 0, CAST(id % 977 AS DECIMAL(18,6)))").alias("timestamp"), "id",
+        F.when(F.col("id") % 10 > 0, "a").alias("tenant_id"),
+    )
+    limits = spark.createDataFrame([("a", 3_000_000_000), ("b", 1)], "tenant_id string, daily_limit bigint")
+    assert usage.refused_requests(rows.where("tenant_id = 'a'"), limits, 2).count() == 0
+    assert usage.accepted_requests(rows, limits, 2).groupBy("tenant_id").count().where("tenant_id IS NULL").first()["count"] == 2
+    assert usage.refused_requests(rows, limits, 2).count() == 498
+
+
+def test_map_inside_a_struct(spark):
+    df = spark.range(40).select((F.col("id") % 3).alias("k"), F.struct(F.create_map(F.lit("a"), F.col("id")).alias("m")).alias("s"), "id")
+    spark.conf.set(topn.GROUP_LIMIT_SETTING, 1)
+    try:
+        assert topn.first_per_key(df, ["k"], [F.asc("id")], 2).count() == 6
+    finally:
+        spark.conf.unset(topn.GROUP_LIMIT_SETTING)
+
+
 def test_quota_without_limits(skewed):
     df, rows = skewed
     assert usage.accepted_requests(df, None, 10**6).count() == len(rows)
@@ -313,11 +333,24 @@ def test_plan_is_refused_whole(spark, orders):
         steps.run_plan(data, [Step("total_revenue", join_policy="secret")])
     # order_date and few-valued revenue are filterable, so a filter on a column outside the list is the only one dropped.
     results = steps.run_plan(data, [Step("total_revenue", filters={"region": "South", "nope": 1})] * 4)
-    assert len(results) == 3 and values(results[0][1]) == [(600.0,)]
-    assert steps.expected_total(data, Step("revenue_by_region"), data.metrics).first()["ok"]
+    assert len(results.results) == 3 and values(results.results[0][1]) == [(600.0, False)]
+    assert [s.target for s in results.left_out] == ["total_revenue"]
+    checks = results.checks.orderBy("step").collect()
+    assert [c["lineage"]["notes"] for c in checks] == ["filters not allowed: nope"] * 3
+    assert checks[0]["lineage"]["filters_applied"] == {"region": "South"} and checks[0]["source_rows"] == 6
+    assert steps.expected_total(data, Step("revenue_by_region"), data.metrics).first()[0] == 1400.0
     assert steps.expected_total(data, Step("total_revenue"), data.metrics) is None
     trend = Step("trend", "run_stats", args={"date_col": "order_date", "value_col": "revenue"})
-    assert steps.expected_total(data, trend, data.metrics).first()["ok"]
+    assert steps.expected_total(data, trend, data.metrics).first()[0] == 1400.0
+    run = steps.run_plan(data, [Step("revenue_by_region"), trend], max_rows=3)
+    first, second = run.checks.orderBy("step").collect()
+    # Three of four regions do not add up to the total, nor do three of six months.
+    assert first["flags"] == ["breakdown_total_mismatch:revenue_by_region", "result_truncated:revenue_by_region"]
+    assert (first["breakdown_sum"], first["expected_total"], first["confidence"]) == (1250.0, 1400.0, "low")
+    assert second["truncated"] and second["confidence"] == "low"
+    whole = steps.run_plan(data, [Step("revenue_by_region")])
+    assert [tuple(r) for r in whole.checks.select("flags", "confidence", "passed").collect()] == [([], "high", True)]
+    assert steps.run_plan(data, []).checks.count() == 0
 
 
 def test_steps_over_a_join(spark, orders):
@@ -330,4 +363,9 @@ def test_steps_over_a_join(spark, orders):
     metric = steps.run_step(data, steps.Step("revenue_by_tier", join_policy="oc"), None, registry, policies)
     assert values(metric) == [("gold", 700.0), ("iron", 700.0)]
     tool = steps.Step("group_compare", "run_stats", args={"value_col": "revenue", "group_col": "tier", "agg": "max"}, join_policy="oc")
-    assert values(steps.run_plan(data, [tool], None, registry, policies)[0][1]) == [("iron", 400.0), ("gold", 250.0)]
+    run = steps.run_plan(data, [tool], None, registry, policies)
+    assert values(run.results[0][1]) == [("iron", 400.0, False), ("gold", 250.0, False)]
+    registry.register_table("customers", customers.withColumn("customer_name", F.lit("alice smith")))
+    names = steps.Step("value_counts", "run_stats", args={"column": "customer_name"}, join_policy="oc")
+    shown = values(steps.run_plan(data, [names], None, registry, policies).results[0][1], "value")
+    assert len(shown) == 1 and "alice" not in str(shown)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tallyward import Dataset
 from tallyward.operators import metrics, profile
@@ -86,7 +87,7 @@ def test_run_catalog_equals_single_runs(spark, groups):
     df = df.select("item_id", "x", *[f"g{i}" for i in range(groups)])
     generated = list(generate_metrics(profile.build_profile(df)).values())
     generated.append(MetricDefinition("filtered", "x", "sum", base_filters={"item_id": 3}))
-    fused = {(r["metric"], r["key"]): r["value"] for r in metrics.run_catalog(df, generated).collect()}
+    fused = {(r["metric"], r["key"]): r["value"] for r in metrics.run_catalog(df, generated, [f"g{i}" for i in range(0, groups, 2)]).collect()}
     single = {}
     for metric in generated:
         for row in metrics.run_metric(df, metric).collect():
@@ -97,6 +98,14 @@ def test_run_catalog_equals_single_runs(spark, groups):
         assert fused[key] == (None if value is None else pytest.approx(value)), key
 
 
+def test_run_catalog_with_seventy_groups(spark):
+    df = spark.range(30).select("id", *[(F.col("id") % (i % 9 + 2)).cast("string").alias(f"g{i}") for i in range(70)])
+    wanted = [MetricDefinition(f"m{i}", "id", "sum", f"g{i}") for i in range(70)] + [MetricDefinition("all", "id", "sum")]
+    got = {(r["metric"], r["key"]): r["value"] for r in metrics.run_catalog(df, wanted).collect()}
+    expected = {(f"m{i}", str(k)): float(sum(x for x in range(30) if x % (i % 9 + 2) == k)) for i in range(70) for k in range(i % 9 + 2)}
+    assert got == expected | {("all", None): 435.0}
+
+
 def test_run_catalog_on_empty_table(orders):
     empty = orders.where("1 = 0")
     generated = generate_metrics(profile.build_profile(orders))

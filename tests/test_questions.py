@@ -43,7 +43,15 @@ def test_resolution(resolved, question):
 def test_arguments(resolved):
     row = resolved["Show me revenue by region"]
     assert (row["value_col"], row["group_col"], row["agg"], row["route"]) == ("revenue", "region", "sum", "breakdown")
-    assert resolved["unusual revenue values"]["value_col"] == "revenue"
+    unusual, overview = resolved["unusual revenue values"], resolved["give me strategic recommendations"]
+    assert (unusual["value_col"], unusual["threshold"], unusual["columns"]) == ("revenue", 1.5, None)
+    assert (overview["threshold"], overview["columns"]) == (None, ["order_id", "customer_id", "revenue", "quantity"])
+
+
+def test_catalog_of_many_phrases(spark):
+    many = [MetricDefinition(f"metric_{i:05d}", "x", "sum", None, (f"word{i:05d} a", f"word{i:05d} b")) for i in range(8000)]
+    frame = spark.createDataFrame([("show WORD07999 b please",), ("nothing",)], "q string")
+    assert [r[0] for r in frame.select(matching.match_synonym(F.col("q"), many)).collect()] == ["metric_07999", None]
 
 
 def test_product_guard_falls_through_to_matching(spark, orders):

@@ -1,9 +1,11 @@
+import datetime
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyward.errors import ResourceLimitError
+from tallyward.frames import small_frame
 from tallyward.sources import files, jdbc, refresh
 from tallyward.sources.refresh import LiveTable, live_files
 from tests.conftest import values
@@ -27,6 +29,29 @@ def test_csv_and_tsv(spark, folder):
     assert dict(given.df.dtypes)["due_date"] == "string"
 
 
+def test_quotes_commas_and_line_breaks(spark, folder):
+    rows = [(1, 'say "hi", twice'), (2, "line one\nline two"), (3, '{"k": 1, "b": "2,3"}'), (4, None), (5, '""')]
+    frame = spark.createDataFrame(rows, "id int, note string")
+    for name, sep in (("a.csv", ","), ("b.tsv", "\t")):
+        frame.coalesce(1).write.option("header", True).option("escape", '"').option("sep", sep).csv(f"{folder}/{name}")
+        read = files.READERS["." + name.split(".")[1]](spark, f"{folder}/{name}", "id int, note string")
+        assert sorted(values(read)) == rows
+
+
+def test_exported_audit_reads_back(spark, folder):
+    from tallyward.operators import audit
+    from tallyward.sources import sinks
+
+    now = datetime.datetime(2024, 1, 2, tzinfo=datetime.timezone.utc)
+    row = {"id": "1", "timestamp": "2024-01-01T00:00:00", "username": 'a "b"', "role": "r", "action_type": "QUERY",
+           "details": '{"q": "x, y"}\nz', "ip_address": "::1", "tenant_id": "t"}
+    rows = small_frame(spark, [row], "id string, timestamp timestamp, username string, role string, action_type string, details string, ip_address string, tenant_id string")
+    expected = audit.export(rows, "t", F.lit(now), 30)
+    sinks.export_audit(rows, f"{folder}/out.csv", "t", F.lit(now), 30, "csv")
+    kinds = ", ".join(f"{n} string" for n in expected.columns)
+    assert values(files.read_csv(spark, f"{folder}/out.csv", kinds), "username", "details", "tenant_id") == values(expected, "username", "details", "tenant_id")
+
+
 def test_json(spark, folder):
     rows = [{"a": 1, "b": "x"}, {"a": 2, "b": "y"}]
     assert values(files.load_file(spark, write(folder, "a.json", json.dumps(rows, indent=1))).df) == [(1, "x"), (2, "y")]

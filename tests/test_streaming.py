@@ -51,6 +51,16 @@ def test_ingest_cleans_and_deduplicates(spark, folder):
     assert spark.read.parquet(f"{folder}/out").count() == 2
 
 
+def test_lines_without_an_id_are_all_kept(spark, folder):
+    line = {"timestamp": "2024-01-01T10:00:00+00:00", "tenant_id": "a", "event_type": "ask"}
+    lines = [json.dumps({**line, "details": {"n": str(i % 4)}}) for i in range(5)] + [json.dumps({**line, "event_id": "1"})] * 2
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{folder}/in")
+    clean = ingest.clean_telemetry(ingest.read_telemetry_stream(spark, f"{folder}/in"))
+    finish(ingest.write_telemetry(clean, f"{folder}/out", f"{folder}/cp"))
+    got = spark.read.parquet(f"{folder}/out")
+    assert got.count() == 6 and got.where("event_id IS NULL").count() == 5 and "_known_by" not in got.columns
+
+
 def test_live_metric_and_trend_follow_the_data(spark, folder, orders):
     rows = orders.withColumn("order_date", F.col("order_date").cast("timestamp"))
     path, metric = f"{folder}/in", MetricDefinition("m", "revenue", "sum", "region")

@@ -71,6 +71,19 @@ def test_outlier_and_breakdown_insights(spark):
     assert rows["breakdown"]["detail"] == "N leads at 110.00."
 
 
+def test_all_outliers_are_counted(spark):
+    df = spark.range(30_000).select((F.when(F.col("id") % 30 == 0, 100.0).otherwise(1.0)).alias("x"))
+    assert insights.outlier_insight(df, "x").first()["detail"] == "1000 statistical outlier(s) detected."
+
+
+def test_delivered_breakdown(spark, orders):
+    by_region = stats.group_compare(orders, "revenue", "region")
+    assert verify.delivered_check(by_region, orders, "revenue").first()["ok"]
+    lost = verify.delivered_check(by_region.where("key != 'East'"), orders, "revenue").first()
+    assert (lost["breakdown_sum"], lost["expected_total"], lost["ok"]) == (1250.0, 1400.0, False)
+    assert not verify.delivered_check(by_region.limit(0), orders, "revenue").first()["ok"]
+
+
 def test_missing_and_correlation_insights(spark):
     df = spark.createDataFrame([(None if i % 4 == 0 else "ok", i, -2 * i) for i in range(20)], "status string, x int, y int")
     rows = {r["type"]: r for r in found(df)}

@@ -162,8 +162,8 @@ QUERIES = {
     "trust_summary": lambda s, d: evaluation.trust_summary(_graded(s, d)),
 }
 
-LIMITED = f"""SELECT u.id, u.tenant_id, CAST(u.timestamp AS DATE) AS day, coalesce(l.daily_limit, {DAILY_LIMIT}) AS daily_limit,
-    CAST(row_number() OVER (PARTITION BY u.tenant_id, CAST(u.timestamp AS DATE) ORDER BY u.timestamp, u.id) AS INTEGER) AS request_no
+LIMITED = f"""SELECT u.id, u.tenant_id, CAST(u.timestamp AS DATE) AS day, CAST(coalesce(l.daily_limit, {DAILY_LIMIT}) AS BIGINT) AS daily_limit,
+    CAST(row_number() OVER (PARTITION BY u.tenant_id, CAST(u.timestamp AS DATE) ORDER BY u.timestamp, u.id) AS BIGINT) AS request_no
     FROM u LEFT JOIN l ON u.tenant_id = l.tenant_id WHERE u.event_type = 'query'"""
 
 ORACLES = {

@@ -30,7 +30,7 @@ FROM {events}
 
 # Tenants with a daily limit of their own: those with an event of a high value.
 LIMITS = """
-SELECT concat('tenant-', user_id) AS tenant_id, CAST(floor(min(event_id) / 1000.0) AS INTEGER) AS daily_limit
+SELECT concat('tenant-', user_id) AS tenant_id, CAST(floor(min(event_id) / 1000.0) AS BIGINT) AS daily_limit
 FROM {events} WHERE value > 90 GROUP BY user_id
 """
 

@@ -51,12 +51,19 @@ def _known_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _known_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every part name met in a page or document address."""
+    """Pages that hold the first word of a part's name."""
     texts = table(spark, sf_dir, "pages")
     names = table(spark, sf_dir, "part").select(F.substring_index("p_name", " ", 1).alias("word"))
     return containment.texts_containing(texts, "page_id", "html", names, "word").select("page_id", "url")
 
 
+def _known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part descriptions that hold the name of a part of odd key: more names than a short list."""
+    parts = table(spark, sf_dir, "part")
+    texts = parts.select("p_partkey", F.concat_ws(" ", "p_type", F.upper("p_name"), "p_brand").alias("text"))
+    return containment.texts_containing(texts, "p_partkey", "text", parts.where("p_partkey % 2 = 1"), "p_name").select("p_partkey")
+
+
 QUERIES = {
     "join_inner": lambda s, d: _orders_customers(s, d).select("o_orderkey", "o_custkey", "c_custkey", "c_mktsegment", "c_acctbal"),
     "join_left": _left,
@@ -66,6 +73,7 @@ QUERIES = {
     "join_group_compare": _compare,
     "leak_known_values": _known_values,
     "leak_known_words": _known_words,
+    "leak_known_names": _known_names,
 }
 
 ORACLES = {
@@ -83,6 +91,8 @@ ORACLES = {
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
     "leak_known_values": """SELECT doc_id, source FROM documents d
         WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(lower(d.text), lower(b.text)))""",
+    "leak_known_names": """WITH w AS (SELECT DISTINCT lower(p_name) AS name FROM part WHERE p_partkey % 2 = 1)
+        SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM w WHERE contains(lower(concat_ws(' ', p_type, upper(p_name), p_brand)), name))""",
     "leak_known_words": """WITH w AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS word FROM part)
         SELECT page_id, url FROM pages WHERE EXISTS (SELECT 1 FROM w WHERE contains(lower(html), word))""",
 }

@@ -33,12 +33,24 @@ def _null_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _run_all(name: str, digits: int):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = table(spark, sf_dir, name)
-        generated = generate_metrics(profile.build_profile(rows, name))
-        return metrics.run_catalog(rows, list(generated.values())).withColumn("value", F.round("value", digits))
+        found = profile.build_profile(rows, name)
+        generated = generate_metrics(found)
+        return metrics.run_catalog(rows, list(generated.values()), found.categorical).withColumn("value", F.round("value", digits))
 
     return query
 
 
+MANY = [
+    MetricDefinition(f"{agg}_{column}_by_{group}", column, agg, group)
+    for group in ("l_suppkey", "l_partkey", "l_returnflag") for column, agg in (("l_quantity", "sum"), ("l_tax", "max"), ("*", "count"))
+]
+
+
+def _run_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog whose group columns a user approved although they have many values."""
+    return metrics.run_catalog(table(spark, sf_dir, "lineitem"), MANY, ["l_returnflag"]).withColumn("value", F.round("value", 2))
+
+
 def run_all_sql(name: str, numbers: list[str], groups: list[str], uniques: list[str], digits: int) -> str:
     """Every generated metric of a table, one after the other."""
     rounded = lambda e: f"round(CAST({e} AS DOUBLE), {digits})"
@@ -83,6 +95,7 @@ QUERIES = {
     "metric_null_group": _null_group,
     "catalog_run_all": _run_all("events", 4),
     "catalog_run_all_wide": _run_all("lineitem", 2),
+    "catalog_run_many_values": _run_many,
 }
 
 ORACLES = {
@@ -106,6 +119,10 @@ ORACLES = {
                               WHERE l_returnflag = 'A' AND l_linestatus = 'F' GROUP BY 1""",
     "metric_empty": "SELECT coalesce(round(sum(l_quantity), 2), 0.0) AS value FROM lineitem WHERE l_returnflag = 'none'",
     "metric_null_group": "SELECT nullif(event_type, 'error') AS key, round(sum(value), 2) AS value FROM events GROUP BY 1",
+    "catalog_run_many_values": " UNION ALL ".join(
+        f"SELECT '{m.name}' AS metric, CAST({m.groupby} AS VARCHAR) AS key, round(CAST({m.agg}({m.column}) AS DOUBLE), 2) AS value FROM lineitem GROUP BY {m.groupby}"
+        for m in MANY
+    ),
     "catalog_run_all": run_all_sql("events", ["event_id", "user_id", "value"], ["event_type"], ["event_id", "user_id"], 4),
     "catalog_run_all_wide": run_all_sql(
         "lineitem",

@@ -120,6 +120,16 @@ def _constant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.correlation(lines, "l_quantity", "one")
 
 
+TEN = [*LINE_NUMBERS, *[f"half_{c}" for c in LINE_NUMBERS], "l_linenumber", "l_suppkey"]
+
+
+def _ten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten named columns, some with nulls."""
+    lines = table(spark, sf_dir, "lineitem")
+    halves = {f"half_{c}": F.when(F.col("l_partkey") % 2 == 0, F.col(c)) for c in LINE_NUMBERS}
+    return stats.correlation_matrix(lines.withColumns(halves), TEN).withColumn("r", F.round("r", 6))
+
+
 def _strongest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.strongest_pair(table(spark, sf_dir, "lineitem")).withColumn("r", F.round("r", 6))
 
@@ -173,6 +183,7 @@ QUERIES = {
     "anomaly_threshold": _anomaly("orders", "o_totalprice", 1.5, 20, ["o_orderkey"]),
     "outlier_rows": _outliers,
     "corr_matrix": _matrix,
+    "corr_matrix_ten": _ten,
     "corr_strongest": _strongest,
     "corr_strength": _strength,
     "latency_summary": _latency,
@@ -211,6 +222,9 @@ ORACLES = {
     "outlier_rows": """WITH s AS (SELECT avg(value) AS m, stddev_samp(value) AS sd FROM events)
         SELECT event_id, value, round((value - m) / sd, 2) AS z_score FROM events, s WHERE abs((value - m) / sd) >= 1.5""",
     "corr_matrix": matrix_sql("lineitem", LINE_MATRIX),
+    "corr_matrix_ten": matrix_sql(
+        "(SELECT *, " + ", ".join(f"CASE WHEN l_partkey % 2 = 0 THEN {c} END AS half_{c}" for c in LINE_NUMBERS) + " FROM lineitem)", TEN
+    ),
     "corr_strongest": f"""SELECT row, col, r FROM ({matrix_sql('lineitem', LINE_MATRIX)}) WHERE row <> col
         ORDER BY abs(r) DESC, list_position({LINE_MATRIX}, row), list_position({LINE_MATRIX}, col) LIMIT 1""",
     "corr_strength": f"""SELECT row, col, CASE WHEN abs(r) > 0.6 THEN 'strong' WHEN abs(r) > 0.3 THEN 'moderate' ELSE 'weak' END

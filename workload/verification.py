@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.operators import charts, insights, metrics, profile, stats, verify
-from tallyward.plans.catalog import MetricDefinition, generate_metrics
+from tallyward.dataset import Dataset
+from tallyward.plans.catalog import JoinPolicy, MetricDefinition, generate_metrics
+from tallyward.plans.steps import Step, run_plan
+from tallyward.sources.registry import DatasetRegistry
 from workload.inputs import oracle, table, view
 from workload.profiling import COLUMNS, roles_sql
 from workload.statistics import HOLES, LINE_MATRIX, _holes, describe_sql, matrix_sql
@@ -100,7 +103,48 @@ def _line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.line_data(daily).withColumn("value", F.round("value", 2))
 
 
+PRIORITY_SUMS = MetricDefinition("price_by_priority", "o_totalprice", "sum", "o_orderpriority")
+DAILY = Step("trend", "run_stats", args={"date_col": "o_orderdate", "value_col": "o_totalprice", "freq": "D"})
+
+
+def _checks(run) -> DataFrame:
+    return run.checks.select(
+        "step", "target", F.round("breakdown_sum", 2).alias("breakdown_sum"), F.round("expected_total", 2).alias("expected_total"),
+        "source_rows", "truncated", F.concat_ws(",", "flags").alias("flags"), "confidence", F.col("lineage.notes").alias("notes"),
+    )
+
+
+def _plan_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three steps of a plan of four, the second cut by the row cap, so that its days no longer add up."""
+    orders = Dataset.from_frame(table(spark, sf_dir, "orders"), "orders", mask=False)
+    steps = [Step("price_by_priority", filters={"o_orderstatus": "F", "o_totalprice": 1}), DAILY, Step("price_by_priority"), DAILY]
+    return _checks(run_plan(orders, steps, {"price_by_priority": PRIORITY_SUMS}, max_rows=50))
+
+
+def _plan_run_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' names through a join, masked as every loaded table is."""
+    registry = DatasetRegistry()
+    registry.register_table("orders", table(spark, sf_dir, "orders"))
+    registry.register_table("customers", table(spark, sf_dir, "customer").withColumn("customer_name", F.col("c_name")))
+    policies = {"oc": JoinPolicy("oc", "orders", "customers", "o_custkey", "c_custkey", status="approved")}
+    orders = Dataset.from_frame(table(spark, sf_dir, "orders"), "orders", mask=False)
+    run = run_plan(orders, [Step("value_counts", "run_stats", args={"column": "customer_name"}, join_policy="oc")], {}, registry, policies)
+    return run.results[0][1]
+
+
+def _delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A breakdown as delivered, and one that lost a group on the way."""
+    lines = table(spark, sf_dir, "lineitem")
+    whole = stats.group_compare(lines, "l_extendedprice", "l_returnflag")
+    frames = {"whole": whole, "lost": whole.where("key != 'R'")}
+    checks = [_rounded(verify.delivered_check(f, lines, "l_extendedprice")).withColumn("result", F.lit(n)) for n, f in frames.items()]
+    return checks[0].unionByName(checks[1])
+
+
 QUERIES = {
+    "plan_run": _plan_run,
+    "plan_run_joined": _plan_run_joined,
+    "verify_delivered": _delivered,
     "verify_breakdown": lambda s, d: _rounded(verify.verify_breakdown(table(s, d, "lineitem"), "l_extendedprice", "l_returnflag")),
     "verify_breakdown_nulls": _null_breakdown,
     "verify_trend_total": lambda s, d: _rounded(verify.verify_trend_total(table(s, d, "orders"), "o_orderdate", "o_totalprice", "M")),
@@ -111,6 +155,7 @@ QUERIES = {
     "insight_leader": _leader,
     "insight_missing": _missing,
     "insight_corr": _corr,
+    "insight_outliers": lambda s, d: insights.outlier_insight(table(s, d, "events"), "value").select("title", "detail", "severity"),
     "baseline_report": _report,
     "chart_bar": _bar,
     "chart_line": _line,
@@ -121,7 +166,7 @@ QUERIES = {
 INSIGHTS = f"""
 WITH h AS ({HOLES}), p AS ({roles_sql('events', f'({HOLES})')}),
 s AS (SELECT avg(event_id) AS m, stddev_samp(event_id) AS sd FROM h),
-o AS (SELECT least(count(*), 20) AS n FROM h, s WHERE abs((event_id - m) / nullif(sd, 0)) >= 2.0),
+o AS (SELECT count(*) AS n FROM h, s WHERE abs((event_id - m) / nullif(sd, 0)) >= 2.0),
 b AS (SELECT event_type AS key, sum(event_id) AS value FROM h GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
 c AS (SELECT * FROM (SELECT 'event_id' AS a, 'user_id' AS b, corr(event_id, user_id) AS r FROM h
       UNION ALL SELECT 'event_id', 'value', corr(event_id, value) FROM h UNION ALL SELECT 'user_id', 'value', corr(user_id, value) FROM h)
@@ -150,7 +195,7 @@ SELECT section, CAST(position AS INTEGER) AS position, label, value FROM (
   UNION ALL SELECT 'overview', 1, 'columns', '6'
   UNION ALL (SELECT 'top segment', 0, key, format('{{:,.2f}}', CAST(value AS DOUBLE)) FROM g ORDER BY value DESC, key LIMIT 1)
   UNION ALL SELECT 'correlation', 0, CASE WHEN abs(r) > 0.6 THEN 'strong' WHEN abs(r) > 0.3 THEN 'moderate' ELSE 'weak' END, format('{{:+.2f}}', r) FROM r
-  UNION ALL SELECT 'outliers', 0, 'o_orderkey', CAST(least(count(*), 20) AS VARCHAR) FROM orders, s WHERE abs((o_orderkey - m) / sd) >= 2.0 HAVING count(*) > 0
+  UNION ALL SELECT 'outliers', 0, 'o_orderkey', CAST(count(*) AS VARCHAR) FROM orders, s WHERE abs((o_orderkey - m) / sd) >= 2.0 HAVING count(*) > 0
   UNION ALL SELECT 'statistics', list_position({list(COLUMNS['orders'])}, "column"), "column" || '.' || f, v FROM (
     SELECT "column", unnest(['count', 'nulls', 'n_unique', 'mean', 'std', 'min', 'max']) AS f,
            unnest([CAST(count AS VARCHAR), CAST(nulls AS VARCHAR), CAST(n_unique AS VARCHAR), format('{{:.2f}}', mean), format('{{:.2f}}', std),
@@ -160,6 +205,19 @@ SELECT section, CAST(position AS INTEGER) AS position, label, value FROM (
 """
 
 ORACLES = {
+    "plan_run": """
+        WITH d AS (SELECT sum(o_totalprice) AS value FROM orders GROUP BY CAST(o_orderdate AS DATE) ORDER BY CAST(o_orderdate AS DATE) LIMIT 50),
+        t AS (SELECT sum(o_totalprice) AS whole, sum(o_totalprice) FILTER (o_orderstatus = 'F') AS part, count(*) AS n,
+                     count(DISTINCT CAST(o_orderdate AS DATE)) > 50 AS cut FROM orders)
+        SELECT CAST(0 AS INTEGER) AS step, 'price_by_priority' AS target, round(part, 2) AS breakdown_sum, round(part, 2) AS expected_total, n AS source_rows,
+               false AS truncated, '' AS flags, 'medium' AS confidence, 'filters not allowed: o_totalprice' AS notes FROM t
+        UNION ALL SELECT 1, 'trend', round((SELECT sum(value) FROM d), 2), round(whole, 2), n, cut,
+               CASE WHEN cut THEN 'breakdown_total_mismatch:trend,result_truncated:trend' ELSE '' END, CASE WHEN cut THEN 'low' ELSE 'medium' END, '' FROM t
+        UNION ALL SELECT 2, 'price_by_priority', round(whole, 2), round(whole, 2), n, false, '', 'medium', '' FROM t""",
+    "plan_run_joined": """SELECT 'Customer [REDACTED]' AS value, count(*) AS count, 100.0::DOUBLE AS pct, false AS truncated
+        FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "verify_delivered": """WITH t AS (SELECT round(sum(l_extendedprice), 2) AS whole, round(sum(l_extendedprice) FILTER (l_returnflag <> 'R'), 2) AS part FROM lineitem)
+        SELECT 'whole' AS result, whole AS breakdown_sum, whole AS expected_total, true AS ok FROM t UNION ALL SELECT 'lost', part, whole, false FROM t""",
     "insights": INSIGHTS,
     "baseline_report": REPORT,
     "verify_breakdown": "SELECT round(sum(l_extendedprice), 2) AS breakdown_sum, round(sum(l_extendedprice), 2) AS expected_total, true AS ok FROM lineitem",
@@ -184,6 +242,9 @@ ORACLES = {
     "insight_missing": f"""SELECT ordinal AS position, 'notice' AS severity, name || ' has missing values' AS title,
         format('{{:.1f}}% of rows are missing {{}}.', n_null / n_rows * 100, name) AS detail
         FROM (SELECT * FROM ({roles_sql('events', f'({HOLES})')})) WHERE n_null / n_rows > 0.05""",
+    "insight_outliers": """WITH s AS (SELECT avg(value) AS m, stddev_samp(value) AS sd FROM events)
+        SELECT 'Outliers found in value' AS title, count(*) || ' statistical outlier(s) detected.' AS detail, 'notice' AS severity
+        FROM events, s WHERE abs((value - m) / sd) >= 2.0 HAVING count(*) > 0""",
     "insight_corr": f"""SELECT row || ' and ' || col || ' are correlated' AS title, format('Correlation of {{:.2f}}.', r) AS detail, 'info' AS severity
         FROM (SELECT row, col, r FROM ({matrix_sql('lineitem', LINE_MATRIX)}) WHERE row <> col
         ORDER BY abs(r) DESC, list_position({LINE_MATRIX}, row), list_position({LINE_MATRIX}, col) LIMIT 1)""",
