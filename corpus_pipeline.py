@@ -18,7 +18,6 @@ from tallyward.llm.queries import table
 
 #: The share of probability a document's language must have.
 MIN_LANGUAGE_SCORE = 0.5
-ROW = "_row"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The model is learned from the documents outside the held-out fold, all documents are judged. Null and empty texts go.
     """
-    told = language.predict(docs.select(F.struct(*_columns(docs)).alias("doc"), "text"), language.trained(docs), "doc")
+    told = language.predict(_packed(docs), language.trained(docs), "doc")
     kept = told.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE))
     return kept.select("doc.*")
 
@@ -34,25 +33,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id, of equal ids the first in the files.
 
-    Rows are written with a number first, so that they keep it whatever happens to the tasks that read them.
+    Documents without an id come last. Rows are written with a number first, so that they keep it whatever happens to the tasks
+    that read them.
     """
-    rows = held(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", ROW)
+    rows = held(_packed(docs).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    place = F.struct(F.col("doc.doc_id").isNull().alias("null"), F.col("doc.doc_id").alias("id"), "row")
     classes = simhash.near_duplicates(rows.select(place.alias("place"), "text"), "place")
-    first = classes.where(F.col("place") == F.col("component")).select(F.col(f"place.{ROW}").alias(ROW))
-    return rows.join(first, ROW, "left_semi").select(*_columns(docs))
+    first = classes.where(F.col("place") == F.col("component")).select("place.row")
+    return rows.join(first, "row", "left_semi").select("doc.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that are repeated anywhere; n_chars is that of the text left."""
-    keep = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    left = suffix_dedup.dedup(docs, keep, with_text=True)
-    return left.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*_columns(docs))
+    """All documents, without the passages that are repeated anywhere; n_chars is that of the text left, which may be empty."""
+    left = suffix_dedup.dedup(_packed(docs, "text"), ("doc",), with_text=True)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return left.select(*[new[c].alias(c) if c in new else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not contaminated by the benchmark."""
-    found = decontaminate.scan(docs.select(F.struct(*_columns(docs)).alias("doc"), "text"), table(spark, sf_dir, "benchmark"), id_column="doc")
+    found = decontaminate.scan(_packed(docs), table(spark, sf_dir, "benchmark"), id_column="doc")
     return found.where(~decontaminate.contaminated()).select("doc.*")
 
 
@@ -73,8 +73,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
-def _columns(docs: DataFrame) -> list[str]:
-    return [f"`{c}`" for c in docs.columns]
+def _packed(docs: DataFrame, *without: str) -> DataFrame:
+    """The documents as one column, so that none of theirs can clash with an operator's, and the text."""
+    columns = [F.col(f"`{c}`") for c in docs.columns if c not in without]
+    return docs.select(F.struct(*columns).alias("doc"), "text")
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,24 @@ def test_columns(spark, stages):
         assert stage(spark, frame, "").schema.simpleString() == frame.schema.simpleString()
 
 
+def test_further_columns_and_empty_tables(spark, tmp_path):
+    """Columns named as the operators' own come through every stage unchanged; an empty table stays empty."""
+    rows, items = corpus()
+    names = ["doc", "row", "id", "bits", "spans", "kept", "place", "score", "n_removed", "k1", "lang_pred", "_row", "component"]
+    shape = COLUMNS + ", " + ", ".join(f"{n} string" for n in names)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(*r, *names) for r in rows if r[0] not in (81, 82)], shape)
+    docs.write.parquet(f"{tmp_path}/docs")
+    for frame in (spark.read.parquet(f"{tmp_path}/docs"), docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, frame, str(tmp_path))
+            assert out.columns == docs.columns, name
+            got = out.collect()
+            assert (len(got) > 30) == (frame.count() > 0)
+            assert all(tuple(r[len(rows[0]) :]) == tuple(names) for r in got)
+        assert corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).count() == frame.count()
+
+
 def test_language(stages):
     rows, _ = corpus()
     assert stages[0][0] == sorted((r for r in rows if r[0] not in (50, 51, 52)), key=str)
