@@ -16,8 +16,9 @@ tasks, at most FREQUENT_GRAMS of them, the others are looked up by a join. So it
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,8 @@ FREQUENT_GRAMS = 1 << 21
 FREQUENT_WORDS = 1 << 18
 #: Buckets the count tables are dealt to.
 BUCKETS = 2048
-#: Distinct grams or words a task holds before it passes them on.
-HELD_GRAMS = 1 << 22
-HELD_WORDS = 1 << 19
+#: Entries of the count tables a task holds before it adds them up or passes them on.
+HELD_ENTRIES = 1 << 21
 #: Text positions worked on at once, and rows of the model.
 CHUNK = 1 << 20
 END = b"\n"
@@ -107,42 +107,41 @@ def _count_step():
         names = ["gram", "bucket", "data"]
         return pa.record_batch([pa.array(np.full(len(cuts), gram)), pa.array(buckets[cuts].astype(np.int32)), pa.array(tables, pa.binary())], names)
 
-    def words_out(seen: Counter) -> pa.RecordBatch:
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in seen], np.uint64).view(np.int64)
-        return emit(False, *added([(hashes, np.fromiter(seen.values(), np.int64, len(seen)))]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        tables: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        held_tables: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {False: [], True: []}
+        size = {False: 0, True: 0}
         for batch in slices(batches, 512):
             for held_out in (False, True):
                 part = batch.filter(pc.equal(batch.column(0), held_out))
                 texts = [t.lower().split() for t in text_bytes(part.column(1))]
+                found = [(True, keys) for keys, _ in chunks([stream(words) for words in texts])]
                 if not held_out:
-                    for words in texts:
-                        seen.update(words)
-                    if len(seen) >= HELD_WORDS:
-                        yield words_out(seen)
-                        seen = Counter()
-                for keys, _ in chunks([stream(words) for words in texts]):
+                    found.append((False, word_hashes(texts)))
+                for gram, keys in found:
                     keys, counts = np.unique(keys, return_counts=True)
-                    tables.append((keys, np.zeros_like(counts) if held_out else counts))
-                    size += len(keys)
-            if size >= HELD_GRAMS:
-                tables = [added(tables)]
-                size = len(tables[0][0])
-                if size >= HELD_GRAMS // 2:
-                    yield emit(True, *tables[0])
-                    tables, size = [], 0
-        if seen:
-            yield words_out(seen)
-        if size:
-            yield emit(True, *added(tables))
+                    held_tables[gram].append((keys, np.zeros_like(counts) if held_out else counts))
+                    size[gram] += len(keys)
+                del texts, found
+            for gram, tables in held_tables.items():
+                if size[gram] >= HELD_ENTRIES:
+                    tables[:] = [added(tables)]
+                    size[gram] = len(tables[0][0])
+                    if size[gram] >= HELD_ENTRIES // 2:
+                        yield emit(gram, *tables[0])
+                        tables.clear()
+                        size[gram] = 0
+        for gram, tables in held_tables.items():
+            if size[gram]:
+                yield emit(gram, *added(tables))
 
     return run
 
 
+def word_hashes(texts: list[list[bytes]]) -> np.ndarray:
+    """The hashes of all words of some texts, one text after the other."""
+    return np.array(list(map(xxhash.xxh64_intdigest, chain.from_iterable(texts))), np.uint64).view(np.int64)
+
+
 def added(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Count tables made one, sorted by key."""
     keys = np.concatenate([k for k, _ in tables])
@@ -400,21 +399,26 @@ def least_level(sizes: DataFrame, limit: int) -> int:
 
 
 class Lookup:
-    """Values by key, in an open table of numpy arrays."""
+    """Values by key, in an open table of numpy arrays. -1 marks a free place and can be no key: it is counted as rare."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.bits = max(4, (4 * len(keys) // 3 + 1).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.values = np.zeros(1 << self.bits, np.float64)
+        self.values = np.zeros(1 << self.bits, np.float32)
+        for at in range(0, len(keys), CHUNK // 4):
+            self._put(keys[at : at + CHUNK // 4], values[at : at + CHUNK // 4])
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        keys, values = keys[keys != -1], values[keys != -1]
         slot = self._slots(keys)
-        left = np.arange(len(keys))
-        while len(left):
-            free = self.keys[slot[left]] == -1
-            taken, first = np.unique(slot[left[free]], return_index=True)
-            placed = left[free][first]
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] == -1)
+            taken, first = np.unique(slot[free], return_index=True)
+            placed = free[first]
             self.keys[taken], self.values[taken] = keys[placed], values[placed]
-            left = np.setdiff1d(left, placed, assume_unique=True)
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            left = np.ones(len(keys), bool)
+            left[placed] = False
+            keys, values, slot = keys[left], values[left], (slot[left] + 1) & ((1 << self.bits) - 1)
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -424,7 +428,8 @@ class Lookup:
         slot = self._slots(keys)
         met = self.keys[slot]
         found = met == keys
-        values = np.where(found, self.values[slot], 0.0)
+        values = np.where(found, self.values[slot], 0.0).astype(float)
+        found &= met != -1
         left = np.flatnonzero(~found & (met != -1))
         while len(left):
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
@@ -443,39 +448,45 @@ def _score_step(words_sent, grams_sent):
     """Texts to the parts of their scores that frequent words and grams give, with the others by name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_logs = dict(zip(*(x.tolist() for x in words_sent.value)))
-        table = Lookup(*grams_sent.value)
+        word_table, gram_table = _lookups(words_sent), _lookups(grams_sent)
         for batch in slices(batches, 512):
             texts = [t.lower().split() for t in text_bytes(batch.column(2))]
-            known, base, rare_words = [], [], []
-            digest = xxhash.xxh64_intdigest
-            for words in texts:
-                hashes = [_signed(digest(w)) for w in words]
-                logs = [word_logs.get(h) for h in hashes]
-                rare = [h for h, x in zip(hashes, logs) if x is None]
-                known.append(len(words) - len(rare))
-                base.append(sum(x for x in logs if x is not None))
-                rare_words.append(rare)
-            scores = np.zeros(len(texts))
-            rare_grams: list[list[int]] = [[] for _ in texts]
+            n = len(texts)
+            sizes = np.array([len(w) for w in texts], np.int64)
+            hashes, owner = word_hashes(texts), np.repeat(np.arange(n), sizes)
+            logs, known = word_table.get(hashes)
+            base = np.bincount(owner, logs, n)
+            rare_words = _lists(owner[~known], hashes[~known], n)
+            scores, missing = np.zeros(n), []
             for keys, owner in chunks([stream(words) for words in texts]):
-                values, found = table.get(keys)
-                scores += np.bincount(owner, values, len(texts))
-                for at in np.flatnonzero(~found):
-                    rare_grams[owner[at]].append(int(keys[at]))
-            yield pa.record_batch(
-                [
-                    batch.column(0), batch.column(1), pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()), pa.array(scores), pa.array(rare_words, pa.list_(pa.int64())), pa.array(rare_grams, pa.list_(pa.int64())),
-                ],
-                ["id", "held_out", "n_tokens", "n_known", "base", "score", "rare_words", "rare_grams"],
-            )
+                values, found = gram_table.get(keys)
+                scores += np.bincount(owner, values, n)
+                missing.append((owner[~found], keys[~found]))
+            rare_grams = _lists(*(np.concatenate(x) for x in zip(*missing)), n)
+            counts = sizes - np.diff(rare_words.offsets.to_numpy())
+            columns = [batch.column(0), batch.column(1), *(pa.array(x) for x in (sizes + 1, counts, base, scores)), rare_words, rare_grams]
+            yield pa.record_batch(columns, ["id", "held_out", "n_tokens", "n_known", "base", "score", "rare_words", "rare_grams"])
 
     return run
 
 
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
+def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """The values of each of n owners, which come in order."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
+_LOOKUPS: dict[str, Lookup] = {}
+
+
+def _lookups(sent) -> Lookup:
+    """The table of a broadcast, made once per Python worker; tables of an earlier model go."""
+    key, model, keys, values = sent.value
+    for other in [k for k in _LOOKUPS if not k.startswith(model)]:
+        del _LOOKUPS[other]
+    if key not in _LOOKUPS:
+        _LOOKUPS[key] = Lookup(keys, values)
+    return _LOOKUPS[key]
 
 
 def score(frame: DataFrame, held_out: str, id_column: str = "doc_id", text_column: str = "text", frequent_words: int = FREQUENT_WORDS,
@@ -502,8 +513,10 @@ def score(frame: DataFrame, held_out: str, id_column: str = "doc_id", text_colum
     least_word = least_level(words.groupBy(level.alias("level")).count(), frequent_words)
     least_gram = least_level(scored.levels(), frequent_grams)
     word_logs = words.select("key", F.log10(F.col("n") + 0.5).alias("log10"), level.alias("level"))
-    few_words = tuple(c.to_numpy() for c in word_logs.where(F.col("level") >= least_word).select("key", "log10").toArrow().columns)
-    step = _score_step(context.broadcast(few_words), context.broadcast(scored.frequent(least_gram)))
+    few_words = [c.to_numpy() for c in word_logs.where(F.col("level") >= least_word).select("key", "log10").toArrow().columns]
+    name = uuid.uuid4().hex
+    sent = [context.broadcast((f"{name}-{kind}", name, keys, values.astype(np.float32))) for kind, (keys, values) in enumerate((few_words, scored.frequent(least_gram)))]
+    step = _score_step(*sent)
     kind = rows.schema["id"].dataType.simpleString()
     first = rows.mapInArrow(step, f"id {kind}, held_out boolean, {_SCORED}").withColumn("row", F.monotonically_increasing_id())
     first = held(first, "scores")

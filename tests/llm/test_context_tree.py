@@ -114,10 +114,11 @@ def test_log_gamma():
 
 def test_lookup():
     rng = np.random.default_rng(1)
-    keys = np.unique(rng.integers(0, 1 << 48, 5000))
-    values, found = ct.Lookup(keys, keys * 0.5).get(np.concatenate([keys, keys + (1 << 50)]))
-    assert found.tolist() == [True] * len(keys) + [False] * len(keys) and (values[: len(keys)] == keys * 0.5).all()
+    keys = np.append(np.unique(rng.integers(0, 1 << 48, 5000)), -7)
+    values, found = ct.Lookup(keys, keys % 1000 * 0.5).get(np.concatenate([keys, keys + (1 << 50)]))
+    assert found.tolist() == [True] * len(keys) + [False] * len(keys) and (values[: len(keys)] == keys % 1000 * 0.5).all()
     assert not ct.Lookup(keys[:0], keys[:0] * 0.5).get(keys)[1].any()
+    assert ct.Lookup(np.array([-1, 5]), np.array([1.0, 2.0])).get(np.array([-1, 5]))[1].tolist() == [False, True]
 
 
 def test_nothing_to_learn_from(spark):
