@@ -14,29 +14,39 @@ from tallyward.operators.guards import column_ref, number
 # stay small on purpose: those of all tasks meet in one task per group. A second pass narrows further instead.
 GRID = 200
 ACCURACY = 2_000
-PASSES = 2
 FENCES = [i / GRID for i in range(GRID + 1)]
+# A pass leaves about this part of a group between the fences; passes are made until the largest group has at most
+# SORTED values left to sort.
+NARROWING = 40
+SORTED = 500_000
+# Fences of up to this many groups are sent to all tasks; those of more are joined.
+SENT_GROUPS = 10_000
 
 
 def percentile_summary(
-    df: DataFrame, keys: Sequence[str], value_col: str, percents: Sequence[float] = (50, 95), passes: int = PASSES
+    df: DataFrame, keys: Sequence[str], value_col: str, percents: Sequence[float] = (50, 95), sorted_values: int = SORTED
 ) -> DataFrame:
     """(keys, n, mean, p<percent> …) with linear interpolation between the two neighbouring ranks.
 
     The built-in `percentile` keeps every distinct value of a group in one aggregation buffer. Here a sketch
     fences in the wanted ranks, about a fortieth of a group at each pass; values below the fence are only
     counted, and just the distinct values between the last fences are sorted. The result is exact whatever the
-    sketch's error, as the fences lie beyond its bound. Each pass is a scan.
+    sketch's error, as the fences lie beyond its bound. Each pass is a scan, and their number follows from the rows
+    of the largest group, which are counted by a job when the frame is built.
     """
     groups = list(keys) or ["_all"]
     source = df if keys else df.withColumn("_all", F.lit(0))
     measured = source.select(*[column_ref(k) for k in groups], number(df, value_col).cast("double").alias("_v"))
     measured = measured.where(F.col("_v").isNotNull())
+    sizes = measured.groupBy(*groups).agg(F.count("*").alias("n")).agg(F.count("*").alias("groups"), F.max("n").alias("largest")).first()
+    send = sizes["groups"] <= SENT_GROUPS
     brackets = _first_brackets(measured, groups, percents)
-    for _ in range(passes - 1):
-        brackets = _narrowed(measured, brackets, groups)
+    left = (sizes["largest"] or 0) / NARROWING
+    while left > sorted_values:
+        brackets = _narrowed(measured, brackets, groups, send)
+        left /= NARROWING
     inside = F.when(F.col("_v") >= F.col("b.start"), F.col("_v"))
-    counted = _paired(measured, brackets, groups).groupBy(*groups, "b", inside.alias("_value")).agg(F.count("*").alias("_n"))
+    counted = _paired(measured, brackets, groups, send).groupBy(*groups, "b", inside.alias("_value")).agg(F.count("*").alias("_n"))
     upto = Window.partitionBy(*groups, "b").orderBy(F.asc_nulls_first("_value"))
     ranked = counted.withColumn("_upto", F.sum("_n").over(upto))
     ends = ranked.groupBy(*groups, "b").agg(
@@ -66,10 +76,10 @@ def _first_brackets(measured: DataFrame, groups: Sequence[str], percents: Sequen
     return ranks.select(*groups, bracket.alias("b"))
 
 
-def _narrowed(measured: DataFrame, brackets: DataFrame, groups: Sequence[str]) -> DataFrame:
+def _narrowed(measured: DataFrame, brackets: DataFrame, groups: Sequence[str], send: bool) -> DataFrame:
     """The same ranks fenced in by a sketch of the values between the present fences only."""
     inside = F.when(F.col("_v") >= F.col("b.start"), F.col("_v"))
-    sketch = _paired(measured, brackets, groups).groupBy(*groups, "b").agg(
+    sketch = _paired(measured, brackets, groups, send).groupBy(*groups, "b").agg(
         F.count(inside).alias("_m"), F.count_if(inside.isNull()).alias("_below"),
         F.percentile_approx(inside, FENCES, ACCURACY).alias("_fences"),
     )
@@ -84,11 +94,11 @@ def _fence(fences: Column, low: Column, high: Column, n: Column) -> tuple[Column
     return F.get(fences, first), F.get(fences, last)
 
 
-def _paired(measured: DataFrame, brackets: DataFrame, groups: Sequence[str]) -> DataFrame:
+def _paired(measured: DataFrame, brackets: DataFrame, groups: Sequence[str], send: bool) -> DataFrame:
     """Every value with the brackets of its group that it is not above."""
     per_group = brackets.groupBy(*groups).agg(F.collect_list("b").alias("_b"))  # one entry per percent
     same = [F.col(f"a.`{k}`").eqNullSafe(F.col(f"c.`{k}`")) for k in groups]
-    joined = measured.alias("a").join(per_group.alias("c"), same)
+    joined = measured.alias("a").join((F.broadcast(per_group) if send else per_group).alias("c"), same)
     fitting = F.filter("_b", lambda b: F.col("_v") <= b["end"])
     return joined.select(*[F.col(f"a.`{k}`") for k in groups], "_v", F.explode(fitting).alias("b"))
 
