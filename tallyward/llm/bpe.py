@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import documents, slices, text_bytes
+from tallyward.llm.common import documents, resident, slices, text_bytes
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A vocabulary travels to every task; files above this are refused.
@@ -238,14 +238,12 @@ class Decoder:
             yield pending.decode(errors="replace")
 
 
-_CODECS: dict[type, tuple] = {}
+def _encoder(data: bytes, pattern: str) -> Encoder:
+    return resident(("bpe", data, pattern), "encoder", lambda: Encoder(data, pattern))
 
 
-def _codec(kind: type, *key: object) -> object:
-    """One encoder and one decoder per Python worker, with the states they have already made."""
-    if kind not in _CODECS or _CODECS[kind][0] != key:
-        _CODECS[kind] = (key, kind(*key))
-    return _CODECS[kind][1]
+def _decoder(data: bytes, pattern: str = public_tokenizers.PATTERN) -> Decoder:
+    return resident(("bpe", data, pattern), "decoder", lambda: Decoder(data))
 
 
 def encode(frame: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_column: str = "doc_id",
@@ -257,7 +255,7 @@ def encode(frame: DataFrame, path: str | None = None, pattern: str = public_toke
     data = frame.sparkSession.sparkContext.broadcast(load_ranks(path or public_tokenizers.path(VOCABULARY)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _codec(Encoder, data.value, pattern)
+        coder = _encoder(data.value, pattern)
         for batch in slices(batches):
             lists = [np.array(coder.encode(t.decode(errors="replace")), "int32") for t in text_bytes(batch.column(1))]
             ends = np.cumsum([0, *map(len, lists)], dtype="int32")
@@ -274,7 +272,7 @@ def decode(frame: DataFrame, path: str | None = None, id_column: str = "doc_id",
     data = frame.sparkSession.sparkContext.broadcast(load_ranks(path or public_tokenizers.path(VOCABULARY)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _codec(Decoder, data.value)
+        coder = _decoder(data.value)
         for batch in slices(batches):
             column = batch.column(1)
             ends = column.offsets.to_numpy()
@@ -296,7 +294,7 @@ def round_trip(frame: DataFrame, path: str | None = None, pattern: str = public_
     data = frame.sparkSession.sparkContext.broadcast(load_ranks(path or public_tokenizers.path(VOCABULARY)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, decoder = _codec(Encoder, data.value, pattern), _codec(Decoder, data.value)
+        coder, decoder = _encoder(data.value, pattern), _decoder(data.value, pattern)
         names = [str(i) for i in range(max(decoder.tokens) + 1)]
         for batch in slices(batches):
             counts, digests, back = [], [], []

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,21 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
+_RESIDENT: dict = {}
+
+
+def resident(model: object, name: str = "", make: Callable[[], object] | None = None) -> object:
+    """What a Python worker keeps of a model between its tasks: `make()`, made once. Workers live on from operator to operator, so
+    all that belongs to another model goes first; without `make`, nothing is kept."""
+    if _RESIDENT.get("model") != model:
+        _RESIDENT.clear()
+        gc.collect()
+        _RESIDENT["model"] = model
+    if make is not None and name not in _RESIDENT:
+        _RESIDENT[name] = make()
+    return _RESIDENT.get(name)
+
+
 def held(frame: DataFrame, name: str) -> DataFrame:
     """The frame, written once as Parquet below spark.checkpoint.dir and read back.
 

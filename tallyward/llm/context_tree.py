@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import documents, held, slices, text_bytes
+from tallyward.llm.common import documents, held, resident, slices, text_bytes
 from tallyward.llm.language import fold
 
 DEPTH = 6
@@ -108,6 +108,7 @@ def _count_step():
         return pa.record_batch([pa.array(np.full(len(cuts), gram)), pa.array(buckets[cuts].astype(np.int32)), pa.array(tables, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident(None)
         held_tables: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {False: [], True: []}
         size = {False: 0, True: 0}
         for batch in slices(batches, 512):
@@ -476,17 +477,10 @@ def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
-_LOOKUPS: dict[str, Lookup] = {}
-
-
 def _lookups(sent) -> Lookup:
-    """The table of a broadcast, made once per Python worker; tables of an earlier model go."""
-    key, model, keys, values = sent.value
-    for other in [k for k in _LOOKUPS if not k.startswith(model)]:
-        del _LOOKUPS[other]
-    if key not in _LOOKUPS:
-        _LOOKUPS[key] = Lookup(keys, values)
-    return _LOOKUPS[key]
+    """The table of a broadcast, made once per Python worker."""
+    name, model, keys, values = sent.value
+    return resident(model, name, lambda: Lookup(keys, values))
 
 
 def score(frame: DataFrame, held_out: str, id_column: str = "doc_id", text_column: str = "text", frequent_words: int = FREQUENT_WORDS,
@@ -515,7 +509,7 @@ def score(frame: DataFrame, held_out: str, id_column: str = "doc_id", text_colum
     word_logs = words.select("key", F.log10(F.col("n") + 0.5).alias("log10"), level.alias("level"))
     few_words = [c.to_numpy() for c in word_logs.where(F.col("level") >= least_word).select("key", "log10").toArrow().columns]
     name = uuid.uuid4().hex
-    sent = [context.broadcast((f"{name}-{kind}", name, keys, values.astype(np.float32))) for kind, (keys, values) in enumerate((few_words, scored.frequent(least_gram)))]
+    sent = [context.broadcast((str(kind), name, keys, values.astype(np.float32))) for kind, (keys, values) in enumerate((few_words, scored.frequent(least_gram)))]
     step = _score_step(*sent)
     kind = rows.schema["id"].dataType.simpleString()
     first = rows.mapInArrow(step, f"id {kind}, held_out boolean, {_SCORED}").withColumn("row", F.monotonically_increasing_id())

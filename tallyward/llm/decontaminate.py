@@ -17,7 +17,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import documents, text_bytes
+from tallyward.llm.common import documents, resident, text_bytes
 
 WINDOW = 13
 #: Words in the windows of one automaton, some 50 bytes each in a task. More windows make further automata, used in turn.
@@ -83,16 +83,10 @@ class Matcher:
             yield last + 1 - length, last + 1, items
 
 
-_MATCHER: dict[str, Matcher] = {}
-
-
 def _matcher(block: Broadcast) -> Matcher:
     """The automaton of a block, kept between the tasks of a Python worker."""
     key, windows = block.value
-    if key not in _MATCHER:
-        _MATCHER.clear()
-        _MATCHER[key] = Matcher(windows)
-    return _MATCHER[key]
+    return resident(key, "matcher", lambda: Matcher(windows))
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import documents, slices, text_bytes
+from tallyward.llm.common import documents, resident, slices, text_bytes
 from tallyward.operators.topn import first_per_key
 
 #: Training texts per language: those with the smallest hash. They bound the fit; predictions cover all rows.
@@ -129,17 +129,6 @@ class Scorer:
         return self.model.languages[best], float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum())
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def _scorer(key: str, model: Model) -> Scorer:
-    """The scorer of a model, kept with its words between the tasks of a Python worker."""
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model)
-    return _SCORERS[key]
-
-
 def predict(frame: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The id column, `lang_pred` and `score` of each whole text.
 
@@ -149,7 +138,8 @@ def predict(frame: DataFrame, model: Model, id_column: str = "doc_id", text_colu
     sent = frame.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))  # bounded by the limits of fit()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(*sent.value)
+        key, own = sent.value
+        scorer = resident(key, "scorer", lambda: Scorer(own))
         for batch in slices(batches, 2048):
             found = [scorer.predict(t.decode(errors="replace")) for t in text_bytes(batch.column(1))]
             columns = [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]

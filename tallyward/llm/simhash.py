@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import documents, held, slices, text_bytes
+from tallyward.llm.common import documents, held, resident, slices, text_bytes
 from tallyward.llm.components import components
 
 SHINGLE = 4
@@ -61,6 +61,7 @@ def fingerprints(frame: DataFrame, id_column: str = "doc_id", text_column: str =
     """The id column and `bits`, the whole text's fingerprint as a signed long. A null or empty text has 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident(None)
         for batch in slices(batches, 2048):
             bits = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column(1))], dtype=np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(bits.view(np.int64))], ["id", "bits"])

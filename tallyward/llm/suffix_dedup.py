@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import documents, held, slices, text_bytes
+from tallyward.llm.common import documents, held, resident, slices, text_bytes
 from tallyward.llm.suffix_arrays import Shard, merge, repeated
 
 LENGTH = 400
@@ -124,6 +124,7 @@ def runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     """(k1, k2, mark, c1, c2, start, windows) of every run of every row; c1 and c2 are the hash of the run's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident(None)
         digest = xxhash.xxh3_128_digest
         for batch in slices(batches, 1024):
             keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
@@ -147,6 +148,7 @@ def _shard_step(length: int, shard: int):
     """Contents that come sorted by (mark, block, other) to (c1, c2, first, after): the windows that start elsewhere too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident(None)
         pending: list[tuple] = []
         size, last = 0, None
         for batch in batches:
