@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyward.operators.guards import additive, column_ref
 from tallyward.operators.metrics import aggregate, equality_filter
@@ -37,15 +38,20 @@ def trend_stream(rows: DataFrame, date_col: str, value_col: str, freq: str = "D"
     return sums.select(F.to_date("_w.start").alias("period"), "value", "n")
 
 
-def upsert_sink(path: str) -> Callable[[DataFrame, int], None]:
+def upsert_sink(path: str, keys: list[str] | None = None, compact_every: int = 0) -> Callable[[DataFrame, int], None]:
     """A foreachBatch writer that keeps the newest value of every key.
 
     Each batch is written under its own number, overwriting an earlier try of the same batch, so a replay after
-    a failure changes nothing; `read_latest` picks the newest batch per key.
+    a failure changes nothing; `read_latest` picks the newest batch per key. With `keys`, every `compact_every`
+    batches the newest values so far are also written as one snapshot, after which `read_current` reads only the
+    snapshot and the batches since.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if keys and compact_every and (batch_id + 1) % compact_every == 0:
+            current = read_current(batch.sparkSession, path, keys, batch.schema, batch_id)
+            current.write.mode("overwrite").parquet(f"{path}/snapshots/upto={batch_id}")
 
     return write
 
@@ -56,11 +62,42 @@ def read_latest(written: DataFrame, keys: list[str]) -> DataFrame:
     return written.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in others])
 
 
-def write_updates(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def read_current(spark: SparkSession, path: str, keys: list[str], schema: StructType, upto: int | None = None) -> DataFrame:
+    """The newest value per key: those of the last snapshot, if there is one, overwritten by the batches since.
+
+    `upto` leaves out what comes after that batch; a snapshot counts if it is older. Only the folders needed are read.
+    """
+    last = -1
+    snapshots = _folder(spark, f"{path}/snapshots", schema, "upto")
+    if snapshots is not None:
+        older = snapshots if upto is None else snapshots.where(F.col("upto") < upto)
+        last = older.agg(F.max("upto")).first()[0]
+        last = -1 if last is None else last
+    batches = _folder(spark, path, schema, "batch").where(F.col("batch") > last)
+    if upto is not None:
+        batches = batches.where(F.col("batch") <= upto)
+    if last >= 0:
+        batches = batches.unionByName(snapshots.where(F.col("upto") == last).withColumnRenamed("upto", "batch"))
+    return read_latest(batches, keys).select(*schema.fieldNames())
+
+
+def _folder(spark: SparkSession, path: str, schema: StructType, number: str) -> DataFrame | None:
+    """The numbered folders below a path as one frame; None if there is nothing yet."""
+    # The glob keeps other folders out, the base path keeps the number as a column.
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{number}=*")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    if found is None or not len(found):
+        return None
+    whole = StructType([*schema.fields, StructField(number, LongType())])
+    return spark.read.schema(whole).option("basePath", path).parquet(f"{path}/{number}=*")
+
+
+def write_updates(
+    stream: DataFrame, path: str, checkpoint: str, available_now: bool = True, keys: list[str] | None = None, compact_every: int = 0
+) -> StreamingQuery:
     """Start the stream in update mode into `upsert_sink`."""
-    writer = (
-        stream.writeStream.outputMode("update").foreachBatch(upsert_sink(path)).option("checkpointLocation", checkpoint)
-    )
+    sink = upsert_sink(path, keys, compact_every)
+    writer = stream.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()

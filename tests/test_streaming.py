@@ -79,3 +79,19 @@ def test_live_metric_and_trend_follow_the_data(spark, folder, orders):
     assert update() == {"North": 400.0, "South": 600.0, "East": 150.0, "West": 250.0}
     weekly = live_metric.read_latest(spark.read.parquet(f"{folder}/trend"), ["period"])
     assert sorted(values(weekly, "period", "value", "n")) == values(stats.trend(orders, "order_date", "revenue", "W"))
+
+
+def test_snapshots_replace_the_batches_before(spark, folder):
+    path, shape = f"{folder}/state", "key string, value double"
+    sink = live_metric.upsert_sink(path, ["key"], 3)
+    batches = [[("a", 1.0), (None, 1.0)], [("b", 2.0)], [("a", 3.0)], [("c", 4.0)], [("b", 5.0)], [(None, 6.0)], [("a", 7.0)]]
+    for number, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, shape)
+        sink(frame, number)
+        sink(frame, number)  # a replay changes nothing
+    current = live_metric.read_current(spark, path, ["key"], frame.schema)
+    assert sorted(values(current), key=str) == [("a", 7.0), ("b", 5.0), ("c", 4.0), (None, 6.0)]
+    files = current.inputFiles()
+    assert any("upto=5" in f for f in files)
+    batch = live_metric.read_current(spark, path, ["key"], frame.schema, upto=2)
+    assert sorted(values(batch), key=str) == [("a", 3.0), ("b", 2.0), (None, 1.0)]
