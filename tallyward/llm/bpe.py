@@ -256,7 +256,7 @@ def encode(frame: DataFrame, path: str | None = None, pattern: str = public_toke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(data.value, pattern)
-        for batch in slices(batches):
+        for batch in slices(batches, 256, 1):
             lists = [np.array(coder.encode(t.decode(errors="replace")), "int32") for t in text_bytes(batch.column(1))]
             ends = np.cumsum([0, *map(len, lists)], dtype="int32")
             flat = np.concatenate([np.zeros(0, "int32"), *lists])
@@ -296,7 +296,7 @@ def round_trip(frame: DataFrame, path: str | None = None, pattern: str = public_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, decoder = _encoder(data.value, pattern), _decoder(data.value, pattern)
         names = [str(i) for i in range(max(decoder.tokens) + 1)]
-        for batch in slices(batches):
+        for batch in slices(batches, 256, 1):
             counts, digests, back = [], [], []
             for text in text_bytes(batch.column(1)):
                 ids = coder.encode(text.decode(errors="replace"))

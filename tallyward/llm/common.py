@@ -6,7 +6,9 @@ import gc
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +26,17 @@ def text_bytes(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in smaller ones, so that what is made of a batch does not add up in memory."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, text: int | None = None, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that what is made of a batch does not add up in memory: of so many rows at most and, if the
+    place of a text column is given, of one text or so many bytes of texts."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        lengths = np.zeros(batch.num_rows) if text is None else pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(lengths), 0
+        while start < batch.num_rows:
+            full = int(np.searchsorted(ends, ends[start] - lengths[start] + size, side="right"))
+            stop = min(start + rows, max(start + 1, full))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 _RESIDENT: dict = {}

@@ -41,7 +41,7 @@ BUCKETS = 2048
 #: Entries of the count tables a task holds before it adds them up or passes them on.
 HELD_ENTRIES = 1 << 21
 #: Text positions worked on at once, and rows of the model.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 END = b"\n"
 
 _LN_HALF = float(np.log(0.5))
@@ -111,7 +111,7 @@ def _count_step():
         resident(None)
         held_tables: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {False: [], True: []}
         size = {False: 0, True: 0}
-        for batch in slices(batches, 512):
+        for batch in slices(batches, 512, 1):
             for held_out in (False, True):
                 part = batch.filter(pc.equal(batch.column(0), held_out))
                 texts = [t.lower().split() for t in text_bytes(part.column(1))]
@@ -278,6 +278,7 @@ _INNER = "keys binary, counts binary, p binary, node long, zeros double, ones do
 
 def _inner_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets to their grams and decisions' probabilities and, as rows of their own, the sums for the next shorter contexts."""
+    resident(None)
     names = ["keys", "counts", "p", "node", "zeros", "ones", "worth"]
     for keys, counts in buckets(batches):
         found, level = inner_levels(keys, counts)
@@ -353,32 +354,34 @@ class GramTable:
 
         return self.rows.select("counts").mapInArrow(run, "level int, count long").groupBy("level").agg(F.sum("count").alias("count"))
 
-    def parted(self, least: int, above: bool) -> DataFrame:
-        """(keys, logs) of the grams whose level is at least, or is under, `least`."""
+    def frequent(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The grams from level `least` on and their logarithms, on the driver."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for keys, counts, logs in zip(*(c.to_pylist() for c in batch.columns)):
-                    chosen = (_level(np.frombuffer(counts, np.int64)) >= least) == above
-                    parts = [np.frombuffer(keys, np.int64)[chosen], np.frombuffer(logs, np.float64)[chosen]]
-                    yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in parts], ["keys", "logs"])
+            for keys, logs in _parted(batches, least, True):
+                blobs = [keys.tobytes(), logs.astype(np.float32).tobytes()]
+                yield pa.record_batch([pa.array([x], pa.binary()) for x in blobs], ["keys", "logs"])
 
-        return self.rows.mapInArrow(run, "keys binary, logs binary")
-
-    def frequent(self, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """The grams from level `least` on and their logarithms, on the driver."""
-        found = self.parted(least, True).toArrow().to_pydict()
-        return np.frombuffer(b"".join(found["keys"]), np.int64), np.frombuffer(b"".join(found["logs"]), np.float64)
+        found = self.rows.mapInArrow(run, "keys binary, logs binary").toArrow().to_pydict()
+        return np.frombuffer(b"".join(found["keys"]), np.int64), np.frombuffer(b"".join(found["logs"]), np.float32)
 
     def rare(self, least: int) -> DataFrame:
         """(key, log10) of the other grams."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for keys, logs in zip(*(c.to_pylist() for c in batch.columns)):
-                    yield pa.record_batch([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(logs, np.float64))], ["key", "log10"])
+            for keys, logs in _parted(batches, least, False):
+                yield pa.record_batch([pa.array(keys), pa.array(logs)], ["key", "log10"])
+
+        return self.rows.mapInArrow(run, "key long, log10 double")
 
-        return self.parted(least, False).mapInArrow(run, "key long, log10 double")
+
+def _parted(batches: Iterator[pa.RecordBatch], least: int, above: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, logs) of the grams of packed rows whose level is at least, or is under, `least`."""
+    resident(None)
+    for batch in batches:
+        for keys, counts, logs in zip(*batch.columns):
+            chosen = (_level(np.frombuffer(counts.as_py(), np.int64)) >= least) == above
+            yield np.frombuffer(keys.as_py(), np.int64)[chosen], np.frombuffer(logs.as_py(), np.float64)[chosen]
 
 
 def _level(counts: np.ndarray) -> np.ndarray:
@@ -450,7 +453,7 @@ def _score_step(words_sent, grams_sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_table, gram_table = _lookups(words_sent), _lookups(grams_sent)
-        for batch in slices(batches, 512):
+        for batch in slices(batches, 512, 2):
             texts = [t.lower().split() for t in text_bytes(batch.column(2))]
             n = len(texts)
             sizes = np.array([len(w) for w in texts], np.int64)

@@ -183,7 +183,7 @@ def extract(frame: DataFrame, html_column: str = "html", keep: tuple[str, ...] =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 256, len(keep)):
             texts = [main_text(h.decode(errors="replace"), sigma, threshold) for h in text_bytes(batch.column(len(keep)))]
             yield pa.record_batch([*batch.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, "text"])
 

@@ -140,7 +140,7 @@ def predict(frame: DataFrame, model: Model, id_column: str = "doc_id", text_colu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = sent.value
         scorer = resident(key, "scorer", lambda: Scorer(own))
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, 2048, 1):
             found = [scorer.predict(t.decode(errors="replace")) for t in text_bytes(batch.column(1))]
             columns = [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
             yield pa.record_batch(columns, ["id", "lang_pred", "score"])

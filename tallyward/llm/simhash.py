@@ -62,7 +62,7 @@ def fingerprints(frame: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resident(None)
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, 2048, 1):
             bits = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column(1))], dtype=np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(bits.view(np.int64))], ["id", "bits"])
 

@@ -126,7 +126,7 @@ def runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resident(None)
         digest = xxhash.xxh3_128_digest
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 1024, 2):
             keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
             for data, valid, numbers, offsets, ends in pieces(list(text_bytes(batch.column(2))), length):
                 marks, starts, windows = runs_of(data, valid, length, gram)
@@ -248,7 +248,7 @@ def _remove_step(length: int, with_text: bool):
     """Texts with their stretches to what is removed and left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 256, 2):
             counts, numbers, digests, lists, left = [], [], [], [], []
             for text, stretches in zip(text_bytes(batch.column(2)), batch.column(3)):
                 spans = merged_spans([(s["start"], s["after"]) for s in stretches.as_py() or ()], length)
