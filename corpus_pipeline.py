@@ -31,16 +31,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id, of equal ids the first in the files.
+    """One document of each group of near-duplicates: the one with the smallest id, of equal ids the one with the smallest hash of
+    its text. Rows equal in id and text are one document, of which any row stays; documents without an id come last.
 
-    Documents without an id come last. Rows are written with a number first, so that they keep it whatever happens to the tasks
-    that read them.
+    Rows are named by hashes of id and text, which stay the same whenever they are read.
     """
-    rows = held(_packed(docs).withColumn("row", F.monotonically_increasing_id()), "numbered")
-    place = F.struct(F.col("doc.doc_id").isNull().alias("null"), F.col("doc.doc_id").alias("id"), "row")
-    classes = simhash.near_duplicates(rows.select(place.alias("place"), "text"), "place")
-    first = classes.where(F.col("place") == F.col("component")).select("place.row")
-    return rows.join(first, "row", "left_semi").select("doc.*")
+    name = [F.xxhash64(F.lit(seed), "doc_id", "text") for seed in (0, 1)]
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text", name[0].alias("h1"), name[1].alias("h2"))
+    place = F.struct(F.col("doc.doc_id").isNull().alias("null"), F.col("doc.doc_id").alias("id"), "h1", "h2")
+    classes = simhash.near_duplicates(named.select(place.alias("place"), "text"), "place")
+    first = classes.where(F.col("place") == F.col("component")).select("place.h1", "place.h2")
+    kept = named.select("doc", "h1", "h2").join(first, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    return kept.select("doc.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,9 +34,9 @@ LENGTH = 400
 #: Bytes of a gram: 8, 16 or 32.
 GRAM = 32
 #: A longer text is cut into pieces of this many windows to find its runs; no window is lost.
-PIECE = 2 << 20
+PIECE = 512 << 10
 #: Bytes of the contents in one suffix array; a mark with more is cut into blocks of half of it.
-SHARD = 4 << 20
+SHARD = 1 << 20
 
 _KEY = ["k1", "k2"]
 
