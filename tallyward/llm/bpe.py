@@ -29,7 +29,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Automaton states and remembered pieces kept by a Python worker before it starts anew. They bound memory, not results.
 MAX_STATES = 400_000
-MAX_PIECES = 300_000
+MAX_PIECES = 220_000
 MAX_PIECE = 64
 
 
@@ -53,7 +53,8 @@ class Merges:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.prefixes = {token[:n] for token in ranks for n in range(1, len(token) + 1)}
+        # Each prefix of a token, by itself: guesses share one object for equal bytes.
+        self.prefixes = {p: p for token in ranks for p in (token[:n] for n in range(1, len(token) + 1))}
         self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
 
     def halves(self, token: bytes) -> tuple[bytes, bytes] | None:
@@ -101,7 +102,7 @@ class Transducer:
     """The subset construction, made as far as texts need it.
 
     A guess is (ids held back, last token, open bytes), a state a tuple of guesses. `moves` leads from a state's number, times
-    256, plus a byte to the next state's number, times 256, and the ids emitted on the way.
+    256, plus a byte to the next state's number, times 256, plus 1 if ids are emitted on the way; these are in `emits`.
     """
 
     def __init__(self, merges: Merges, max_states: int = MAX_STATES) -> None:
@@ -111,7 +112,9 @@ class Transducer:
     def _reset(self, *kept: tuple) -> None:
         self.guesses: list[tuple] = []
         self.numbers: dict[tuple, int] = {}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.moves: dict[int, int] = {}
+        self.emits: dict[int, tuple[int, ...]] = {}
+        self.shared: dict[tuple[int, ...], tuple[int, ...]] = {}
         for state in ((((), b"", b""),), *kept):
             self._number(state)
 
@@ -122,11 +125,12 @@ class Transducer:
         return number
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """The next state's number and the ids emitted, worked out and remembered unless the tables start anew."""
         merges, found = self.merges, []
         prefixes, ranks, end = merges.prefixes, merges.ranks, bytes((byte,))
         for waiting, last, opened in self.guesses[state >> 8]:
-            opened += end
-            if opened in prefixes:
+            opened = prefixes.get(opened + end)
+            if opened is not None:
                 found.append((waiting, last, opened))
                 if opened in ranks and merges.formed(opened) and (not last or merges.stable(last, opened)):
                     found.append(((*waiting, ranks[opened]), opened, b""))
@@ -139,20 +143,28 @@ class Transducer:
         if len(self.guesses) >= self.max_states:  # start anew from here
             self._reset(tuple(found))
             return self._number(tuple(found)), first[:shared]
-        move = self.moves[state + byte] = (self._number(tuple(found)), first[:shared])
-        return move
+        move, emitted = self._number(tuple(found)), first[:shared]
+        if emitted:
+            self.moves[state + byte] = move + 1
+            self.emits[state + byte] = self.shared.setdefault(emitted, emitted)
+        else:
+            self.moves[state + byte] = move
+        return move, emitted
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one piece."""
-        state, out, moves = 0, [], self.moves
+        state, out, moves, emits = 0, [], self.moves, self.emits
         for byte in piece:
             move = moves.get(state + byte)
             if move is None:
-                move = self._move(state, byte)
-                moves = self.moves
-            state, emitted = move
-            if emitted:
+                state, emitted = self._move(state, byte)
                 out += emitted
+                moves, emits = self.moves, self.emits
+            elif move & 1:
+                out += emits[state + byte]
+                state = move - 1
+            else:
+                state = move
         for waiting, _, opened in self.guesses[state >> 8]:
             if not opened:
                 out += waiting
