@@ -18,6 +18,9 @@ from tallyward.llm.queries import table
 
 #: The share of probability a document's language must have.
 MIN_LANGUAGE_SCORE = 0.5
+#: What a worker of the last stage remembers: pieces of text and states of the transducer.
+MAX_PIECES = 100_000
+MAX_STATES = 200_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +62,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document the token ids' number and digest, and the digest of the text they decode to."""
-    return bpe.round_trip(docs)
+    """Per document the token ids' number and digest, and the digest of the text they decode to.
+
+    Executors have grown in the stages before, so less is remembered here than `bpe` does by itself.
+    """
+    return bpe.round_trip(docs, max_pieces=MAX_PIECES, max_states=MAX_STATES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -178,9 +178,9 @@ class Encoder:
     met again comes back, so that frequent pieces stay.
     """
 
-    def __init__(self, data: bytes, pattern: str, max_pieces: int = MAX_PIECES) -> None:
+    def __init__(self, data: bytes, pattern: str, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES) -> None:
         self.ranks = parse_ranks(data)
-        self.transducer = Transducer(Merges(self.ranks))
+        self.transducer = Transducer(Merges(self.ranks), max_states)
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
@@ -250,8 +250,8 @@ class Decoder:
             yield pending.decode(errors="replace")
 
 
-def _encoder(data: bytes, pattern: str) -> Encoder:
-    return resident(("bpe", data, pattern), "encoder", lambda: Encoder(data, pattern))
+def _encoder(data: bytes, pattern: str, max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES) -> Encoder:
+    return resident(("bpe", data, pattern), f"encoder-{max_pieces}-{max_states}", lambda: Encoder(data, pattern, max_pieces, max_states))
 
 
 def _decoder(data: bytes, pattern: str = public_tokenizers.PATTERN) -> Decoder:
@@ -298,15 +298,16 @@ def decode(frame: DataFrame, path: str | None = None, id_column: str = "doc_id",
 
 
 def round_trip(frame: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_column: str = "doc_id",
-               text_column: str = "text") -> DataFrame:
+               text_column: str = "text", max_pieces: int = MAX_PIECES, max_states: int = MAX_STATES) -> DataFrame:
     """Per document the number of ids, the digest of the ids as decimal text, and the digest of what they decode to.
 
     Encodes and decodes as `encode` and `decode` do, in one pass, so that the ids of a corpus are not moved about for a digest.
+    `max_pieces` and `max_states` bound the memory of a worker; results do not depend on them.
     """
     data = frame.sparkSession.sparkContext.broadcast(load_ranks(path or public_tokenizers.path(VOCABULARY)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, decoder = _encoder(data.value, pattern), _decoder(data.value, pattern)
+        coder, decoder = _encoder(data.value, pattern, max_pieces, max_states), _decoder(data.value, pattern)
         names = [str(i) for i in range(max(decoder.tokens) + 1)]
         for batch in slices(batches, 256, 1):
             counts, digests, back = [], [], []
