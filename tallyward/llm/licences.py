@@ -1,12 +1,16 @@
 """Licence scan by sentence rules, with DataFrame operations only.
 
 A text is cut into sentences, each is normalised, and a sentence that is known from licence texts and notices becomes its
-identifier; runs of other sentences become a gap. Ordered rules then match sequences of identifiers. A rule that matches
-takes its identifiers out of the sequence, so that a licence's full text is not also found as the notice it contains.
+identifier, also when it is wrapped over the lines of a paragraph; runs of other sentences become a gap. Ordered rules then match
+sequences of identifiers, passing over list numbers, lines without a word and lines that are a URL. A rule that matches takes its
+identifiers out of the sequence, so that a licence's full text is not also found as the notice it contains.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +63,15 @@ SENTENCES = {
     "AllRights": ["all rights reserved"],
 }
 
+# Further forms of the same sentences, normalised alike. A bar is where a form has a sentence end of its own.
+FORMS = {
+    "Apache2Copy": [f"you may obtain a copy of the license at {scheme} www.apache.org licenses license 2.0" for scheme in ("http", "https")],
+    "Gpl3OrLater": [SENTENCES["Gpl3OrLater"][0].replace(" either ", " | either ")],
+    "Gpl2OrLater": [SENTENCES["Gpl2OrLater"][0].replace(" either ", " | either ")],
+}
+#: Every known sentence holds one of these, so that a text without them has none.
+KEYS = ("licens", "software", "warranty", "redistribution", "rights", "cc0")
+
 # Fixed order: longer sequences first, so that what a rule takes is not left for a weaker one. (licence, identifiers in order)
 RULES = [
     ("Apache-2.0", ("Apache2Grant", "Apache2Grant", "Apache2Copy", "Apache2AsIs", "Apache2See")),
@@ -96,16 +109,52 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(ended, "\n"), lambda s: F.trim(s) != "")
 
 
-def normal(sentence: Column) -> Column:
-    """Lower case, only a-z, 0-9 and points inside numbers or names, single spaces."""
-    kept = F.regexp_replace(F.lower(sentence), r"[^a-z0-9.]+", " ")
-    return F.trim(F.regexp_replace(kept, r"\.+( |$)", " "))
+#: Ends in a normalised text: a line break is one that a sentence may run over, `_END` is none. `_PASSED` is a piece without words.
+_PASSED, _END = "\uf8f0", "\uf8f1"
+_START, _STOP = rf"(?<![^\n{_END}])", rf"(?=[\n{_END}]|\z)"
+
+# Each pattern with what replaces it, in order. The text is in lower case.
+_STEPS = [
+    (r"[\uE000-\uF8FF]", "#"),
+    (r"([.:;?!])[ \t\r]+", rf"$1{_END}"),
+    (r"""([.:;?!]["')\]\u201D\u2019]*+[ \t\r]*+)(?=\n|\z)""", rf"$1{_END}"),
+    # List numbers in brackets.
+    (rf"{_START}[^\p{{L}}\p{{N}}\n{_END}]*+(?:[0-9]{{1,3}}|[a-z]|[ivx]{{1,5}})\)[ \t]+", f"{_PASSED}{_END}"),
+    # Pieces that are a URL; that have words, but none of a-z and 0-9; that have no words.
+    (rf"{_START}[^\p{{L}}\p{{N}}\n{_END}]*+(?:https?://|www\.)[^\s{_END}]++[ \t\r]*+{_STOP}", _PASSED),
+    (rf"{_START}[^\p{{L}}\p{{N}}\n{_END}]*+[\p{{L}}\p{{N}}&&[^a-z0-9]][^a-z0-9\n{_END}]*+{_STOP}", "zz"),
+    (rf"{_START}(?= *+[^ \n{_END}])[^a-z0-9\n{_END}]++{_STOP}", _PASSED),
+    # Only a-z, 0-9 and points inside numbers or names, single spaces.
+    (rf"[^a-z0-9.\n{_PASSED}{_END}]+", " "),
+    (r"\.++(?![a-z0-9])", " "),
+    (r" {2,}", " "),
+    (rf" ?([\n{_END}]) ?", "$1"),
+    # A line of blanks ends a sentence.
+    (rf"[\n{_END}]{{2,}}", _END),
+    (r"\A[ \n]+| \z", ""),
+    # List numbers with a point.
+    (rf"{_START}(?:[0-9]{{1,3}}|[a-z]|[ivx]{{1,5}})(?={_END})", _PASSED),
+]
+
 
+def _pattern(sentence: str) -> str:
+    """A normalised sentence that fills whole pieces, its words parted by spaces or single line breaks."""
+    parts = [r"[ \n]".join(word.replace(".", r"\.") for word in part.split()) for part in sentence.split("|")]
+    return _START + rf"[\n{_END}]".join(parts) + _STOP
 
-def known() -> Column:
-    """The identifier's mark by normalised sentence, as a map literal."""
-    pairs = [(text, _MARKS[name]) for name, texts in SENTENCES.items() for text in texts]
-    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+
+def sequence(text: Column) -> Column:
+    """The text's known sentences as marks, all other pieces as gaps or, if the rules pass over them, as `_PASSED`.
+
+    The longest sentences are looked for first: a title may be the end of a wrapped notice.
+    """
+    out = F.lower(text)
+    for pattern, new in _STEPS:
+        out = F.regexp_replace(out, pattern, new)
+    pairs = [(sentence, mark) for name, mark in _MARKS.items() for sentence in SENTENCES[name] + FORMS.get(name, [])]
+    for sentence, mark in sorted(pairs, key=lambda pair: -len(pair[0])):
+        out = F.regexp_replace(out, _pattern(sentence), mark)
+    return F.regexp_replace(F.regexp_replace(out, "[a-z0-9. ]+", _GAP), rf"[\n{_END}]", "")
 
 
 def scan(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -117,12 +166,17 @@ def scan(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """
     rows = documents(frame, id_column, text_column)
     marks = "".join(_MARKS.values())
-    table = known()
+    text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
+    lower, pieces = F.lower(text), F.size(sentences(text)).cast("long")
+    any_key = reduce(or_, [F.contains(lower, F.lit(key)) for key in KEYS])
     found = rows.select(
-        F.col(f"`{id_column}`").alias("_id"),
-        F.transform(sentences(F.col(f"`{text_column}`")), lambda s: F.coalesce(F.try_element_at(table, normal(s)), F.lit(_GAP))).alias("_marks"),
-    ).select("_id", F.size("_marks").cast("long").alias("n_sentences"), F.regexp_replace(F.array_join("_marks", ""), r"\.+", _GAP).alias("_seen"))
-    left, hits = F.col("_seen"), []
+        F.col(f"`{id_column}`").alias("_id"), pieces.alias("n_sentences"), F.when(any_key, sequence(text)).alias("_marks"),
+    ).select(
+        "_id", "n_sentences",
+        F.coalesce(F.regexp_replace("_marks", rf"[{_GAP}{_PASSED}]+", _GAP), F.when(F.col("n_sentences") > 0, _GAP).otherwise("")).alias("_seen"),
+        F.coalesce(F.regexp_replace(F.regexp_replace("_marks", _PASSED, ""), r"\.+", _GAP), F.lit(_GAP)).alias("_taken"),
+    )
+    left, hits = F.col("_taken"), []
     step = found.withColumn("_left", left)
     for at, (licence, names) in enumerate(RULES):
         wanted = "".join(_MARKS[n] for n in names)

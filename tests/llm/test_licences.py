@@ -1,5 +1,7 @@
 """Known notices, full texts that are not also their notices, and odd input."""
 
+import re
+
 import pytest
 
 from tallyward.llm import licences
@@ -44,3 +46,105 @@ def test_sequence(spark):
 @pytest.mark.parametrize("name", sorted({n for _, rule in licences.RULES for n in rule}))
 def test_rules_use_known_sentences(name):
     assert name in licences.SENTENCES
+
+
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+"""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+APACHE_TEXT = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+CANONICAL = {
+    "MIT": MIT_TEXT, "BSD-2-Clause": BSD_TEXT, "BSD-3-Clause": BSD_TEXT + ENDORSE, "GPL-3.0-or-later": GPL_TEXT, "Apache-2.0": APACHE_TEXT,
+    "GPL-2.0-or-later": GPL_TEXT.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2"),
+}
+
+
+def test_canonical_texts(spark):
+    """Whole licence texts: wrapped, in comments, with other line ends, unwrapped, with other list marks."""
+    changes = [
+        lambda t: t,
+        lambda t: "".join(f" * {line}\n" for line in t.split("\n")),
+        lambda t: "".join(f"# {line}\n".replace("#  ", "# ") for line in t.split("\n")),
+        lambda t: t.replace("\n", "\r\n"),
+        lambda t: re.sub(r"(?<!\n)\n(?!\n) *", " ", t),
+        lambda t: re.sub(r"(?m)^(\d)\.", r"(\1)", t),
+        lambda t: re.sub(r"(?m)^\d\.", "*", t),
+        lambda t: f"Some words.\nA line before\n\n{t}\nand one after",
+    ]
+    rows = [(name, change(text)) for name, text in CANONICAL.items() for change in changes]
+    frame = spark.createDataFrame(rows, "doc_id string, text string").coalesce(1)
+    got = [(r["doc_id"], r["licences"], r["unmatched"]) for r in licences.report(frame).collect()]
+    assert [g for g in got if g[1] != g[0]] == []
+    assert {g for g in got if g[2]} <= {("MIT", "MIT", 1)}  # its title
+
+
+def test_sentences_end(spark):
+    """A sentence runs over single line breaks only, not over its end or a blank line."""
+    cases = [
+        ("Licensed under the\nApache License,\n  Version 2.0", "Apache-2.0"), ("Licensed under the\n\nApache License, Version 2.0", ""),
+        ("Licensed under the.\nApache License, Version 2.0", ""), ("Licensed under\n *\n * the MIT License", ""),
+        ("It is\nreleased under the MIT License\nas such", "MIT"), ("Somebody released under the\nMIT License", ""),
+        ("许可\nAll rights reserved.", "All-Rights-Reserved"), ("All rights\n许可\nreserved.", ""), ("", ""),
+        (MIT_TEXT.replace("\n\nThe above", "\n\n许可\n\nThe above"), ""),
+        ("You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", ""),
+    ]
+    frame = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string").coalesce(1)
+    got = licences.report(frame).collect()
+    assert [r["licences"] for r in got] == [expected for _, expected in cases]
+    assert got[-1]["sentence_ids"] == "Apache2Copy"
+
+
+def test_every_sentence_holds_a_key():
+    forms = [s for table in (licences.SENTENCES, licences.FORMS) for texts in table.values() for s in texts]
+    assert [s for s in forms if not any(key in s for key in licences.KEYS)] == []
