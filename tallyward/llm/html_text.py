@@ -4,7 +4,8 @@ The standard library's parser streams a page as events. A line is the text of on
 characters by the tags met in it, 0 inside elements that are never content (menus, page headers and footers, sidebars, forms,
 adverts, notices, reader comments). The ratios are smoothed by a Gaussian, so that a short line among long ones counts as its
 neighbours do. Lines over the threshold, a share of the standard deviation, form clusters. What is returned is the container
-that holds the heaviest clusters: all its lines but those that are never content.
+that holds the heaviest clusters: all its lines but those that are never content. An element around the page is content, whatever
+its class says.
 """
 
 from __future__ import annotations
@@ -31,18 +32,27 @@ BLOCKS = frozenset(
     "h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 #: Elements that hold no article text, whatever their attributes.
-NEVER = frozenset("aside button datalist dialog fieldset footer form head iframe label menu nav noscript object option select svg template textarea".split())
+NEVER = frozenset("aside button datalist dialog fieldset footer head iframe label menu nav noscript object option select svg template textarea".split())
 #: Elements whose text the parser gives out as data, but which is none.
 RAW = frozenset(["script", "style"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(["article", "main"])
-#: Words in class, id or role that mark an element that is never content.
+#: Elements that no class, id or role marks.
+PAGE = MAIN | {"html", "body"}
+#: Elements that are text or lists of it, no containers of an article.
+PIECES = frozenset("address blockquote caption dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr legend li ol p pre summary ul".split())
+#: Words in class, id or role that mark an element that is never content, unless it is around the page.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent "
     "contentinfo cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice overlay pagination "
     "popup promo promoted recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe toolbar widget".split()
 )
+#: Of these, what may be longer than the article.
+COMMENTS = frozenset("comment comments disqus replies respond".split())
+#: Words that make a class tell what a page has or which state it is in: has-sidebar, page-with-sidebar, comments-open, search-page.
+HAVING = frozenset("has have no not with without".split())
+STATES = frozenset("active closed disabled enabled hidden layout off on open opened page template visible".split())
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -56,6 +66,20 @@ class Line:
     around: tuple[int, ...]
 
 
+@dataclass
+class Element:
+    """A tracked element: its name, the words of MARKS that mark it (a form is marked by its name), the place of the one around it,
+    and what its lines hold in all: characters, those of list items, lines with a main heading or in `main`, lines in MAIN."""
+
+    tag: str
+    marks: frozenset[str]
+    parent: int | None
+    held: int = 0
+    items: int = 0
+    heads: int = 0
+    mains: int = 0
+
+
 class Lines(HTMLParser):
     """Turns parser events into lines. Only block elements are tracked; an end tag without its start is passed over."""
 
@@ -64,17 +88,16 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.text: list[str] = []
         self.tags = 0
-        self.open: list[tuple[str, bool, int]] = []  # (name, can hold content, number)
+        self.elements: list[Element] = []
+        self.open: list[tuple[str, int]] = []  # (name, place in elements)
         self.main: set[int] = set()
         self.raw = 0
-        self.number = 0
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text.clear()
         if text:
-            content = not self.open or self.open[-1][1]
-            self.lines.append(Line(text, max(1, self.tags), content, tuple(n for _, _, n in self.open)))
+            self.lines.append(Line(text, max(1, self.tags), True, tuple(n for _, n in self.open)))
             self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -85,20 +108,16 @@ class Lines(HTMLParser):
         if tag == "br":
             self.text.append(" ")
             return
-        if tag not in BLOCKS and tag not in NEVER and not _marked(attrs) or tag in VOID:
+        marks = _marks(tag, attrs)
+        if tag not in BLOCKS and tag not in NEVER and not marks or tag in VOID:
             return
         self._end_line()
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and self.open and self.open[-1][0] == tag:
             self.open.pop()  # these end where the next one starts
         if tag == "body":
             self.open.clear()
-        inside = not self.open or self.open[-1][1]
-        in_main = any(n in self.main for _, _, n in self.open)
-        content = inside and tag not in NEVER and not _marked(attrs) and (tag != "header" or in_main)
-        self.number += 1
-        if tag in MAIN and content:
-            self.main.add(self.number)
-        self.open.append((tag, content, self.number))
+        self.elements.append(Element(tag, marks, self.open[-1][1] if self.open else None))
+        self.open.append((tag, len(self.elements) - 1))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -120,11 +139,73 @@ class Lines(HTMLParser):
     def finish(self) -> list[Line]:
         self.close()
         self._end_line()
+        self._judge()
         return self.lines
 
-
-def _marked(attrs: list[tuple[str, str | None]]) -> bool:
-    return any(name in ("class", "id", "role") and value and not MARKS.isdisjoint(_WORD.findall(value.lower())) for name, value in attrs)
+    def _judge(self) -> None:
+        """Says which lines can be content, and which containers of the article are met. An element comes after the one around it."""
+        page = self._count()
+        dropped: set[int | None] = set()
+        outer: dict[int | None, int] = {}  # the outermost of MAIN around an element or itself
+        inner: set[int | None] = set()  # what is inside an element of `main`
+        for number, element in enumerate(self.elements):
+            if element.parent in self.main or element.parent in inner:
+                inner.add(number)
+            if (
+                element.parent in dropped or element.tag in NEVER or element.tag == "header" and number not in inner
+                or element.marks and not _around_page(element, self.elements[outer[element.parent]] if element.parent in outer else None, page)
+            ):
+                dropped.add(number)
+            elif element.tag in MAIN:
+                self.main.add(number)
+            if element.parent in outer or element.tag in MAIN:
+                outer[number] = outer.get(element.parent, number)
+        for line in self.lines:
+            line.content = not line.around or line.around[-1] not in dropped
+
+    def _count(self) -> Element:
+        """Counts what the elements hold, and returns the page's counts. What is never content does not count, nor do comments in
+        what is around them."""
+        page = Element("", frozenset(), None)
+        for line in self.lines:
+            around = [self.elements[n] for n in line.around]
+            tags = {x.tag for x in around}
+            if not NEVER.isdisjoint(tags):
+                continue
+            item = len(line.text) if around and around[-1].tag in ("li", "dt", "dd") else 0
+            for x in [*reversed(around), page]:
+                x.held += len(line.text)
+                x.items += item
+                x.heads += not tags.isdisjoint(("h1", "main"))
+                x.mains += not tags.isdisjoint(MAIN)
+                if not x.marks.isdisjoint(COMMENTS):
+                    break
+        return page
+
+
+def _around_page(element: Element, main: Element | None, page: Element) -> bool:
+    """If a marked element is around the page's article: it holds most of the text and the only main heading, or nearly all text, not in
+    lists. `main` is around the element. Comments may hold most of the text, and have articles, without being the page's."""
+    comments = not element.marks.isdisjoint(COMMENTS)
+    whole, own = (page.held + element.held, 0) if comments else (page.held, 1)
+    if 2 * element.held <= whole or page.mains > (main.mains if main else own * element.mains):
+        return False
+    if page.heads <= own * element.heads and (element.heads or own and element.mains):
+        return True
+    return not comments and 2 * element.items < element.held and 5 * element.held >= 4 * whole
+
+
+def _marks(tag: str, attrs: list[tuple[str, str | None]]) -> frozenset[str]:
+    """The words of MARKS in class, id or role, or the name of a form. A class that tells what a page has is no mark."""
+    if tag in PAGE:
+        return frozenset()
+    found = {"form"} if tag == "form" else set()
+    for name, value in attrs:
+        if name in ("class", "id", "role") and value and not MARKS.isdisjoint(_WORD.findall(value.lower())):
+            for words in map(_WORD.findall, value.lower().split()):
+                if HAVING.isdisjoint(words) and not (len(words) > 1 and words[-1] in STATES):
+                    found |= MARKS.intersection(words)
+    return frozenset(found)
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -135,8 +216,8 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full / np.convolve(np.ones(len(ratios)), kernel)[reach : reach + len(ratios)]
 
 
-def content_lines(lines: list[Line], main: set[int], sigma: float = SIGMA, threshold: float = THRESHOLD) -> list[Line]:
-    """The lines of the content regions, in page order."""
+def content_lines(lines: list[Line], main: set[int], pieces: set[int], sigma: float = SIGMA, threshold: float = THRESHOLD) -> list[Line]:
+    """The lines of the content regions, in page order. `main` are the containers of an article, `pieces` those elements that are none."""
     if not lines:
         return []
     ratios = np.array([len(x.text) / x.tags if x.content else 0.0 for x in lines])
@@ -154,13 +235,11 @@ def content_lines(lines: list[Line], main: set[int], sigma: float = SIGMA, thres
         # A page may have its text in several articles beside each other; teasers are much shorter.
         homes = {n for n in marked if weight[n] >= 0.2 * weight[heaviest]}
         return [x for x in lines if x.content and not homes.isdisjoint(x.around)]
-    # Without a marked container: the innermost one that holds most of the chosen text.
+    # Without a marked container: the innermost one that holds most of the chosen text, else the page.
     whole = sum(len(lines[at].text) for at in chosen)
-    holders = [n for n in weight if weight[n] >= 0.75 * whole]
-    home = max(holders, default=None)
+    home = max((n for n in weight if weight[n] >= 0.75 * whole and n not in pieces), default=None)
     picked = set(chosen.tolist())
-    first, last = min(picked), max(picked)
-    return [x for i, x in enumerate(lines) if x.content and (i in picked or home is not None and home in x.around and first <= i <= last)]
+    return [x for i, x in enumerate(lines) if x.content and (i in picked or home is None or home in x.around)]
 
 
 _OPEN_TAG = re.compile(r"<[A-Za-z/!][^<>]*\Z")
@@ -171,7 +250,8 @@ def main_text(html: str, sigma: float = SIGMA, threshold: float = THRESHOLD) ->
     parser = Lines()
     parser.feed(_OPEN_TAG.sub("", html))
     lines = parser.finish()
-    return "\n".join(x.text for x in content_lines(lines, parser.main, sigma, threshold))
+    pieces = {n for n, element in enumerate(parser.elements) if element.tag in PIECES}
+    return "\n".join(x.text for x in content_lines(lines, parser.main, pieces, sigma, threshold))
 
 
 def extract(frame: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url"), sigma: float = SIGMA,

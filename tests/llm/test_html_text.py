@@ -67,3 +67,49 @@ def test_rows(spark):
     got = [tuple(r) for r in html_text.report(frame).collect()]
     assert got == [(1, "u", "", 0), (1, "u", "", 0), (None, None, EXPECTED, len(EXPECTED)), (1, "u", EXPECTED, len(EXPECTED))]
     assert html_text.report(frame.limit(0)).count() == 0
+
+
+MARKED = [
+    "<body class='has-sidebar'>{}", "<body class='search-page'>{}", "<body class='no-comments left-sidebar'>{}", "<html class='menu'><body>{}",
+    "<body><main class='with-sidebar'>{}</main>", "<body><div class='page-with-sidebar'>{}</div>", "<body><div id='search'>{}</div>",
+    "<body><form action='/' method='post'>{}</form>", "<body><form id='f'><div class='modal'><div class='layout--has-menu'>{}</div></div></form>",
+]
+
+
+@pytest.mark.parametrize("page", MARKED)
+def test_marks_around_the_page(page):
+    """What is around the page is content, whatever its class says; what is marked inside it is left out as ever."""
+    around = "".join(part for name, part in AROUND.items() if name != "header" or "<main" not in page)  # the main element's own header is text
+    for article in (ARTICLE, ARTICLE.replace("<article>", "<article class='post comments-open'>"), ARTICLE.replace("<article>", "<article class='related'>")):
+        assert html_text.main_text(page.format(around + article + around)) == EXPECTED
+    plain = ARTICLE.replace("article>", "div>")
+    assert html_text.main_text(page.format(AROUND["menu"] + plain + AROUND["sidebar"] + AROUND["form"])) == EXPECTED
+    assert html_text.main_text(page.format(AROUND["menu"] + plain.replace("h1>", "p>") + AROUND["comments"])) == EXPECTED
+
+
+def test_long_marked_elements():
+    """Comments and menus that are longer than the article are no article."""
+    comments = "<div class='comment-list'>" + "<article class='comment'><p>I read it all and it is a very fine article indeed.</p></article>" * 20 + "</div>"
+    menu = "<div class='menu'><ul>" + "<li><a href='/a'>All the news of the day in one place</a></li>" * 50 + "</ul></div>"
+    for article in (ARTICLE, ARTICLE.replace("article>", "div>")):
+        assert html_text.main_text(f"<body>{menu}{article}{comments}{AROUND['form'] * 30}") == EXPECTED
+    assert html_text.main_text(f"<body>{menu}<p>Not found.</p>") == "Not found."
+    assert html_text.main_text(f"<body><article><form>{ARTICLE[9:-10]}</form>{comments}</article>") == EXPECTED
+
+
+def test_large_pages_take_linear_time():
+    many = "".join(f"<div class='widget'><p>Some words in widget {i}.</p></div><form><b>x</b></form>" for i in range(20_000))
+    assert html_text.main_text(f"<body>{ARTICLE}{many}") == EXPECTED
+    assert html_text.main_text("<div class='menu'>" * 20_000 + ARTICLE) == EXPECTED
+
+
+def test_edges_of_a_page_without_an_article_element():
+    """The container's first and last lines are kept, however short."""
+    text = "".join(f"<p>Paragraph {i} with a number of words that make it a line of text, no menu.</p>" for i in range(8))
+    lines = [f"Paragraph {i} with a number of words that make it a line of text, no menu." for i in range(8)]
+    page = "<h1>Head</h1><p>By</p><p>Me</p><p>Today</p><p>At</p><p>Noon</p>" + text + "<p>So</p><p>it</p><p>was.</p><p>The</p><p>End</p>"
+    expected = ["Head", "By", "Me", "Today", "At", "Noon", *lines, "So", "it", "was.", "The", "End"]
+    for whole in (f"<body>{AROUND['menu'] * 3}<div>{page}</div>{AROUND['footer']}", f"<body><div class='ad'>x</div>{page}", page):
+        assert html_text.main_text(whole).split("\n") == expected
+    long = "<p>" + "one very long paragraph " * 99 + "</p>"
+    assert html_text.main_text(f"<body><div><h1>Head</h1>{long}<p>End</p></div>").split("\n")[::2] == ["Head", "End"]
