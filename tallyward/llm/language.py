@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +22,9 @@ from pyspark.sql import functions as F
 from tallyward.llm.common import documents, resident, slices, text_bytes
 from tallyward.operators.topn import first_per_key
 
-#: Training texts per language: those with the smallest hash. They bound the fit; predictions cover all rows.
+#: Training texts per language: those with the smallest hash. They bound the fit; predictions cover all rows. All their words and
+#: n-grams are kept, with their counts in every language.
 MAX_TEXTS = 2_000
-#: Frequent words and n-grams (of each length) kept per language.
-MAX_WORDS = 20_000
-MAX_GRAMS = 5_000
 LONGEST = 4
 #: Words with their scores remembered by a Python worker.
 MAX_REMEMBERED = 200_000
@@ -36,26 +35,28 @@ _WORDS = regex.compile(r"\p{L}+").findall
 
 @dataclass(frozen=True)
 class Model:
-    """The languages in order, and per word and n-gram the log frequency in each."""
+    """The languages in order, and per word and n-gram its row of log frequencies, one in each language."""
 
     languages: tuple[str, ...]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[str, tuple[float, ...]]
+    words: dict[str, int]
+    word_logs: np.ndarray
+    grams: dict[str, int]
+    gram_logs: np.ndarray
 
 
-def _logs(counts: dict[str, dict[str, int]], languages: tuple[str, ...]) -> dict[str, tuple[float, ...]]:
-    """Log frequencies by item, from counts by item and language, with half a count added everywhere."""
-    sums = [sum(c.get(x, 0) for c in counts.values()) for x in languages]
-    shares = [(0.5, s + 0.5 * (len(counts) + 1)) for s in sums]
-    return {item: tuple(float(np.log((own.get(x, 0) + half) / whole)) for x, (half, whole) in zip(languages, shares)) for item, own in counts.items()}
+def _logs(counts: pa.Table, languages: list[str]) -> tuple[list[str], np.ndarray]:
+    """The items and their log frequencies, from all counts by item and language, with half a count added everywhere."""
+    items = counts.column("item").combine_chunks().dictionary_encode()
+    table = np.zeros((len(items.dictionary), len(languages)))
+    table[items.indices.to_numpy(), pc.index_in(counts.column("lang"), pa.array(languages, pa.string())).to_numpy()] = counts.column("n").to_numpy()
+    return items.dictionary.to_pylist(), np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * (len(table) + 1)))
 
 
-def fit(frame: DataFrame, text_column: str = "text", lang_column: str = "lang", max_texts: int = MAX_TEXTS,
-        max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def fit(frame: DataFrame, text_column: str = "text", lang_column: str = "lang", max_texts: int = MAX_TEXTS) -> Model:
     """A model of the languages of the rows with a text and a language. Copies of a text count once.
 
-    Runs jobs. What comes to the driver is at most `max_words` words and `LONGEST * max_grams` n-grams per language, counted in
-    at most `max_texts` whole texts of each.
+    Runs jobs. What comes to the driver is every distinct word and n-gram, with its counts by language, of at most `max_texts`
+    whole texts of each.
     """
     rows = documents(frame, text_column, lang_column).toDF("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     hashed = rows.withColumn("hash", F.xxhash64("text"))
@@ -72,31 +73,31 @@ def fit(frame: DataFrame, text_column: str = "text", lang_column: str = "lang",
     pieces = pieces.select("lang", "n", "word", "size", F.explode("starts").alias("at")).where(F.expr("at + size <= length(word) + 1"))
     grams = pieces.select("lang", "size", F.expr("substring(word, at, size)").alias("item"), "n").where("trim(item) != ''")
     grams = grams.groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
-    order = [F.desc("n"), F.col("item")]
-    top_words = first_per_key(words, ["lang"], order, max_words).select(F.lit(0).alias("size"), "lang", "item", "n")
-    top_grams = first_per_key(grams, ["lang", "size"], order, max_grams).select("size", "lang", "item", "n")
-    tables: list[dict[str, dict[str, int]]] = [{} for _ in range(LONGEST + 1)]
-    columns = top_words.unionByName(top_grams).toArrow().to_pydict()
-    for size, lang, item, n in zip(*(columns[c] for c in ("size", "lang", "item", "n"))):
-        tables[size].setdefault(item, {})[lang] = n
-    languages = tuple(sorted(set(columns["lang"])))
-    grams_logs: dict[str, tuple[float, ...]] = {}
-    for table in tables[1:]:
-        grams_logs |= _logs(table, languages)
-    return Model(languages, _logs(tables[0], languages), grams_logs)
-
-
-def word_score(model: Model, word: str) -> tuple[float, ...]:
+    found = words.select(F.lit(0).alias("size"), "lang", "item", "n").unionByName(grams).toArrow()
+    languages = pc.unique(found.column("lang")).to_pylist()
+    languages.sort()
+    sizes = [found.filter(pc.equal(found.column("size"), size)) for size in range(LONGEST + 1)]
+    words_kept, word_logs = _logs(sizes[0], languages)
+    places: dict[str, int] = {}
+    tables = []
+    for counts in sizes[1:]:
+        items, logs = _logs(counts, languages)
+        places |= zip(items, range(len(places), len(places) + len(items)))
+        tables.append(logs)
+    return Model(tuple(languages), {word: i for i, word in enumerate(words_kept)}, word_logs, places, np.concatenate(tables))
+
+
+def word_score(model: Model, word: str) -> np.ndarray:
     """The score of a word in each language; zeros if not even a character of it is known."""
     known = model.words.get(word)
     if known is not None:
-        return known
+        return model.word_logs[known]
     padded = f" {word} "
     for size in range(LONGEST, 0, -1):
         pieces = [model.grams[g] for g in (padded[i : i + size] for i in range(len(padded) - size + 1)) if g in model.grams]
         if pieces:
-            return tuple(sum(column) / len(pieces) for column in zip(*pieces))
-    return (0.0,) * len(model.languages)
+            return model.gram_logs[pieces].sum(axis=0) / len(pieces)
+    return np.zeros(len(model.languages))
 
 
 class Scorer:
@@ -135,7 +136,7 @@ def predict(frame: DataFrame, model: Model, id_column: str = "doc_id", text_colu
     A null or empty text, one without letters, or a model without languages gives `und` with score 0. Ties go to the first
     language by name. Repeated rows and null ids are kept as they are. Other columns are ignored.
     """
-    sent = frame.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))  # bounded by the limits of fit()
+    sent = frame.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))  # bounded by the training texts of fit()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = sent.value

@@ -81,3 +81,18 @@ def test_held_out_accuracy(spark):
     found = language.report(docs).join(docs, "doc_id").where("held_out AND lang_pred != 'und'")
     right, n = found.select(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
     assert n > 150 and right / n >= 0.97
+
+
+def test_all_words_and_pieces_are_kept(spark):
+    """More words and n-grams than any list of frequent ones, some frequent in one language and rare in the other."""
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    rare = " ".join(name(i) for i in range(30_000))
+    common = " ".join(f"{name(i)} {name(i)}" for i in range(21_000, 51_000))
+    training = [("aa", rare), ("bb", common)]
+    model = language.fit(spark.createDataFrame(training, "lang string, text string"))
+    assert len(model.words) == 51_000
+    scorer = language.Scorer(model)
+    for text in (name(29_999), name(20_999), name(25_000), name(50_999), f"{name(100)} {name(22_000)}", name(29_998) + "q", "zzzq"):
+        expected = plain(training, text)
+        lang, score = scorer.predict(text)
+        assert lang == expected[0] and score == pytest.approx(expected[1], abs=1e-9)
