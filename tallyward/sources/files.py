@@ -55,14 +55,19 @@ def load_file(
     schema: Schema = None,
     max_mb: float | None = None,
     mask: bool = True,
+    multi_line: bool = True,
 ) -> Dataset:
-    """Load a file or folder by its suffix as a masked dataset; `max_mb` limits its size."""
+    """Load a file or folder by its suffix as a masked dataset; `max_mb` limits its size.
+
+    `multi_line=False` lets Spark split large CSV and TSV files, which then must have no line breaks in values. Other types ignore it.
+    """
     suffix = PurePosixPath(path).suffix.lower()
     if suffix not in READERS:
         raise ValueError(f"unsupported file type {suffix!r}; known: {sorted(READERS)}")
     if max_mb is not None:
         check_input_size(spark, path, max_mb)
-    return Dataset.from_frame(READERS[suffix](spark, path, schema), name, mask)
+    options = {"multi_line": multi_line} if suffix in (".csv", ".tsv") else {}
+    return Dataset.from_frame(READERS[suffix](spark, path, schema, **options), name, mask)
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
