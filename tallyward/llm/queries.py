@@ -7,7 +7,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyward.llm import bpe, context_tree, decontaminate, hilbert, html_text, language, licences, line_quality, simhash, suffix_dedup
+from tallyward.llm import (
+    bpe, context_tree, decontaminate, divergence, hard_negatives, hilbert, html_text, language, licences, line_quality, simhash, suffix_dedup,
+    window_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +74,21 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.document_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ, and by which terms."""
+    return divergence.report(table(spark, sf_dir, "documents"))
+
+
+def op12_residue_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth row, against all rows."""
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words removed as repeated from an earlier one."""
+    return window_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     """Query by name."""
     return {
@@ -84,6 +102,9 @@ def queries() -> dict[str, Query]:
         "op8_simhash_anchors": op8_simhash_anchors,
         "op9_licence_sentences": op9_licence_sentences,
         "op10_hilbert_shards": op10_hilbert_shards,
+        "op11_run_lengths": op11_run_lengths,
+        "op12_residue_negatives": op12_residue_negatives,
+        "op13_count_min": op13_count_min,
     }
 
 
@@ -93,4 +114,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontaminate": decontaminate.ORACLE,
         "op7_line_frequency": line_quality.ORACLE,
         "op9_licence_sentences": licences.ORACLE,
+        "op11_run_lengths": divergence.ORACLE,
+        "op12_residue_negatives": hard_negatives.ORACLE,
+        "op13_count_min": window_dedup.ORACLE,
     }
