@@ -176,6 +176,7 @@ def pair_values(terms: DataFrame, groups: DataFrame, block: int = BLOCK, tile: i
     layout = groups.groupBy("lang").agg(F.count("*").alias("sources")).join(size, "lang", "left").select(
         "lang", F.greatest(F.ceil(F.coalesce("n", F.lit(0)) / block), F.lit(1)).cast("int").alias("blocks"), F.ceil(F.col("sources") / tile).cast("int").alias("tiles")
     )
+    layout = held(layout, "layout")  # a row for each language, whose size Spark then knows
 
     def tile_of(source: Column) -> Column:
         return F.pmod(F.xxhash64(source), F.col("tiles")).cast("int")

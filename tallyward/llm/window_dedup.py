@@ -321,6 +321,7 @@ def repeated_runs(texts: DataFrame, length: int, gram: int, bits: int) -> DataFr
     inside = later.groupBy("c1", "c2").agg(F.collect_set("offset").alias("offsets"))
 
     known = classes.select("c1", "c2", F.col("id").alias("first"), "n").join(inside, ["c1", "c2"], "left").where("n > 1 OR offsets IS NOT NULL")
+    known = held(known, "known")  # so that the join is of two plain tables, and Spark can split a class of many copies
     whole = F.when(F.col("id").isNull(), F.col("first").isNotNull()).otherwise(F.col("id") > F.col("first"))
     placed = every.join(known, ["c1", "c2"]).withColumn("whole", whole).where("whole OR offsets IS NOT NULL")
     return placed.select("id", "k", "start", "windows", F.when(~F.col("whole"), F.col("offsets")).alias("offsets"))
