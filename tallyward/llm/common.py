@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,12 +49,21 @@ def resident(model: object, name: str = "", make: Callable[[], object] | None =
     if _RESIDENT.get("model") != model:
         _RESIDENT.clear()
         gc.collect()
+        _give_back()
         _RESIDENT["model"] = model
     if make is not None and name not in _RESIDENT:
         _RESIDENT[name] = make()
     return _RESIDENT.get(name)
 
 
+def _give_back() -> None:
+    """Memory that was freed goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def held(frame: DataFrame, name: str) -> DataFrame:
     """The frame, written once as Parquet below spark.checkpoint.dir and read back.
 

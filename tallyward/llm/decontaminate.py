@@ -17,7 +17,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import documents, resident, text_bytes
+from tallyward.llm.common import documents, held, resident, text_bytes
 
 WINDOW = 13
 #: Words in the windows of one automaton, some 50 bytes each in a task. More windows make further automata, used in turn.
@@ -83,10 +83,9 @@ class Matcher:
             yield last + 1 - length, last + 1, items
 
 
-def _matcher(block: Broadcast) -> Matcher:
+def _matcher(key: str, block: Broadcast) -> Matcher:
     """The automaton of a block, kept between the tasks of a Python worker."""
-    key, windows = block.value
-    return resident(key, "matcher", lambda: Matcher(windows))
+    return resident(key, "matcher", lambda: Matcher(block.value))
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -130,17 +129,17 @@ def scan(frame: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_words
     pending = None
     for windows in blocks(benchmark, item_column, item_text, size, block_words):
         if pending is not None:  # the automata of all blocks would be in memory at once if they were one stage
-            found = found.mapInArrow(_step(pending), shape).checkpoint()
-        pending = context.broadcast((uuid.uuid4().hex, windows))
+            found = held(found.mapInArrow(_step(*pending), shape), "hits")
+        pending = uuid.uuid4().hex, context.broadcast(windows)
     last = f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
-    return found.mapInArrow(_step(pending, True), last).withColumnRenamed("id", id_column)
+    return found.mapInArrow(_step(*pending, True), last).withColumnRenamed("id", id_column)
 
 
-def _step(block: Broadcast, last: bool = False):
+def _step(key: str, block: Broadcast, last: bool = False):
     """A pass over the documents with one automaton, adding to the runs and items of the passes before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(block)
+        matcher = _matcher(key, block)
         for batch in batches:
             runs, items, counts, hits, spans = [], [], [], [], []
             before = zip(batch.column(2), batch.column(3))

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,21 +37,40 @@ _WORDS = regex.compile(r"\p{L}+").findall
 
 @dataclass(frozen=True)
 class Model:
-    """The languages in order, and per word and n-gram its row of log frequencies, one in each language."""
+    """The languages in order, and for words and n-grams their 64-bit hashes, sorted, and a row of log frequencies for each, one in
+    each language. Hashes in an array take a fraction of the memory of a table of strings."""
 
     languages: tuple[str, ...]
-    words: dict[str, int]
+    words: np.ndarray
     word_logs: np.ndarray
-    grams: dict[str, int]
+    grams: np.ndarray
     gram_logs: np.ndarray
 
 
-def _logs(counts: pa.Table, languages: list[str]) -> tuple[list[str], np.ndarray]:
-    """The items and their log frequencies, from all counts by item and language, with half a count added everywhere."""
+def _hashes(items: Iterable[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(item.encode()) for item in items], np.uint64)
+
+
+def _logs(counts: pa.Table, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the items and their log frequencies, from all counts by item and language, with half a count added everywhere."""
     items = counts.column("item").combine_chunks().dictionary_encode()
     table = np.zeros((len(items.dictionary), len(languages)))
     table[items.indices.to_numpy(), pc.index_in(counts.column("lang"), pa.array(languages, pa.string())).to_numpy()] = counts.column("n").to_numpy()
-    return items.dictionary.to_pylist(), np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * (len(table) + 1)))
+    return _hashes(items.dictionary.to_pylist()), np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * (len(table) + 1)))
+
+
+def _sorted(hashes: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(hashes)
+    return hashes[order], logs[order]
+
+
+def _rows(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the hashes are in a sorted table, the rows of those)."""
+    if not len(table):
+        return np.zeros(len(wanted), bool), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    known = table[at] == wanted
+    return known, at[known]
 
 
 def fit(frame: DataFrame, text_column: str = "text", lang_column: str = "lang", max_texts: int = MAX_TEXTS) -> Model:
@@ -77,27 +98,24 @@ def fit(frame: DataFrame, text_column: str = "text", lang_column: str = "lang",
     languages = pc.unique(found.column("lang")).to_pylist()
     languages.sort()
     sizes = [found.filter(pc.equal(found.column("size"), size)) for size in range(LONGEST + 1)]
-    words_kept, word_logs = _logs(sizes[0], languages)
-    places: dict[str, int] = {}
-    tables = []
-    for counts in sizes[1:]:
-        items, logs = _logs(counts, languages)
-        places |= zip(items, range(len(places), len(places) + len(items)))
-        tables.append(logs)
-    return Model(tuple(languages), {word: i for i, word in enumerate(words_kept)}, word_logs, places, np.concatenate(tables))
-
-
-def word_score(model: Model, word: str) -> np.ndarray:
-    """The score of a word in each language; zeros if not even a character of it is known."""
-    known = model.words.get(word)
-    if known is not None:
-        return model.word_logs[known]
-    padded = f" {word} "
-    for size in range(LONGEST, 0, -1):
-        pieces = [model.grams[g] for g in (padded[i : i + size] for i in range(len(padded) - size + 1)) if g in model.grams]
-        if pieces:
-            return model.gram_logs[pieces].sum(axis=0) / len(pieces)
-    return np.zeros(len(model.languages))
+    # An n-gram's length is in its text, so that all lengths share a table.
+    grams, gram_logs = zip(*[_logs(counts, languages) for counts in sizes[1:]])
+    return Model(tuple(languages), *_sorted(*_logs(sizes[0], languages)), *_sorted(np.concatenate(grams), np.concatenate(gram_logs)))
+
+
+def word_scores(model: Model, words: list[str]) -> np.ndarray:
+    """The score of each word in each language; zeros if not even a character of it is known."""
+    out = np.zeros((len(words), len(model.languages)))
+    known, rows = _rows(model.words, _hashes(words))
+    out[known] = model.word_logs[rows]
+    for i in np.flatnonzero(~known):
+        padded = f" {words[i]} "
+        for size in range(LONGEST, 0, -1):
+            rows = _rows(model.grams, _hashes(padded[i : i + size] for i in range(len(padded) - size + 1)))[1]
+            if len(rows):
+                out[i] = model.gram_logs[rows].sum(axis=0) / len(rows)
+                break
+    return out
 
 
 class Scorer:
@@ -118,13 +136,10 @@ class Scorer:
         while chunk := [pair for pair, _ in zip(words, range(self.limit))]:
             if len(self.places) + len(chunk) > self.limit:
                 self.places.clear()
-            at = np.empty(len(chunk), np.int64)
-            for i, (word, _) in enumerate(chunk):
-                place = self.places.get(word)
-                if place is None:
-                    place = self.places[word] = len(self.places)
-                    self.scores[place] = word_score(self.model, word)
-                at[i] = place
+            known = len(self.places)
+            at = np.array([self.places.setdefault(word, len(self.places)) for word, _ in chunk])
+            if len(self.places) > known:
+                self.scores[known : len(self.places)] = word_scores(self.model, list(islice(reversed(self.places), len(self.places) - known))[::-1])
             total += np.array([n for _, n in chunk], float) @ self.scores[at]
         best = int(total.argmax())
         return self.model.languages[best], float(1.0 / np.exp(np.maximum(total - total[best], -700.0)).sum())
@@ -136,11 +151,11 @@ def predict(frame: DataFrame, model: Model, id_column: str = "doc_id", text_colu
     A null or empty text, one without letters, or a model without languages gives `und` with score 0. Ties go to the first
     language by name. Repeated rows and null ids are kept as they are. Other columns are ignored.
     """
-    sent = frame.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))  # bounded by the training texts of fit()
+    key, sent = uuid.uuid4().hex, frame.sparkSession.sparkContext.broadcast(model)  # bounded by the training texts of fit()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own = sent.value
-        scorer = resident(key, "scorer", lambda: Scorer(own))
+        # What another operator has left goes before the model is loaded.
+        scorer = resident(key, "scorer", lambda: Scorer(sent.value))
         for batch in slices(batches, 2048, 1):
             found = [scorer.predict(t.decode(errors="replace")) for t in text_bytes(batch.column(1))]
             columns = [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
