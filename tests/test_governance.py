@@ -1,5 +1,8 @@
 import datetime
+import pathlib
 import random
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from tallyward.operators import audit, evaluation, guards, topn, usage
 from tallyward.plans import catalog, steps
 from tallyward.plans.catalog import JoinPolicy, generate_metrics
 from tallyward.sources import sinks
+from tallyward.sources.commits import CommitLog
 from tallyward.sources.catalog_store import JOIN_PROPOSALS, METRIC_PROPOSALS, CatalogStore
 from tallyward.frames import small_frame
 from tallyward.sources.registry import DatasetRegistry
@@ -293,6 +297,42 @@ def test_an_unfinished_version_is_not_seen(spark, store, orders):
     assert store.save(generated.limit(3)) == 2 and store.load().count() == 3
 
 
+def test_writers_at_the_same_time_lose_nothing(spark, folder):
+    stores = [CatalogStore(spark, folder, "acme") for _ in range(4)]
+    start = threading.Barrier(len(stores))
+
+    def add(number):
+        start.wait()
+        stores[number].propose(proposal(spark, f"p{number}", f"m{number}"))
+        return stores[number].save(stores[number].load("metrics"))
+
+    with ThreadPoolExecutor(len(stores)) as pool:
+        found = list(pool.map(add, range(len(stores))))
+    assert sorted(found) == [1, 2, 3, 4] == sorted(r["version"] for r in stores[0].versions("metric_proposals").collect())
+    assert sorted(r["proposal_id"] for r in stores[0].load("metric_proposals").collect()) == ["p0", "p1", "p2", "p3"]
+    assert [stores[0].load("metric_proposals", v).count() for v in (1, 2, 3, 4)] == [1, 2, 3, 4]
+
+
+def test_two_approvals_at_once(spark, folder):
+    store = CatalogStore(spark, folder, "acme")
+    store.propose(proposal(spark, "p1", "net"))
+    store.propose(proposal(spark, "p2", "gross"))
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda key: CatalogStore(spark, folder, "acme").approve(key, "boss"), ("p1", "p2")))
+    assert sorted(r["name"] for r in store.load().collect()) == ["gross", "net"]
+    assert {r["status"] for r in store.load("metric_proposals").collect()} == {"approved"}
+
+
+def test_commits_are_put_once(spark, folder):
+    log = CommitLog(spark, f"{folder}/log")
+    assert log.numbers() == [] and log.last() is None and log.read(1) is None
+    assert log.put(1, {"a": "é"}) and not log.put(1, {"a": 2}) and log.put(12, {})
+    assert log.read(1) == {"a": "é"} and log.numbers() == [1, 12] and (log.last(), log.last(12), log.last(1)) == (12, 1, None)
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(lambda n: CommitLog(spark, f"{folder}/log").put(20, {"n": n}), range(8))) == 1
+    assert [p.name for p in pathlib.Path(f"{folder}/log").iterdir() if p.name.startswith("_")] == []
+
+
 def test_join_life_cycle(spark, store):
     policy = {"name": "oc", "left_table": "orders", "right_table": "customers", "left_key": "customer_id", "right_key": "customer_id", "join_type": "inner", "status": "pending"}
     rows = [{"proposal_id": k, "join": policy} for k in ("j1", "j2")]
