@@ -35,7 +35,7 @@ def words(text: Column) -> Column:
 
 def stem(word: Column) -> Column:
     """Strip every trailing plural s."""
-    return F.regexp_replace(word, "s+$", "")
+    return F.rtrim(word, F.lit("s"))
 
 
 def sorted_map_json(pairs: Column) -> Column:

@@ -1,7 +1,7 @@
 """Matching a table of questions against a catalog: which metric or tool answers each.
 
-The catalog and the profile are metadata, one entry per column or metric; they become literals of column
-expressions, so every question is matched where it lies and nothing is shuffled.
+Here are the rules. `match_synonym` and `match_column` apply them to a column by trying each entry of a short list; whole logs of
+questions go through `question_index`, which looks the entries up.
 """
 
 from __future__ import annotations
@@ -77,6 +77,12 @@ def pick_sum_metric(question: Column, metrics: Sequence[MetricDefinition]) -> Co
     no metric without a score. Of equal scores the last name wins. The score does not depend on the question,
     so the choice is between two names.
     """
+    best, money = sum_choices(metrics)
+    return chosen_sum(_lowered(question), F.lit(best).cast("string"), F.lit(money).cast("string"))
+
+
+def sum_choices(metrics: Sequence[MetricDefinition]) -> tuple[str | None, str | None]:
+    """The best sum metric of a catalog, for any question and for one about money."""
     scored = []
     for m in metrics:
         low = m.column.strip().lower()
@@ -85,10 +91,12 @@ def pick_sum_metric(question: Column, metrics: Sequence[MetricDefinition]) -> Co
         money = 10 if m.column.lower() in MONEY_COLUMNS else 0
         synonyms = " ".join(m.synonyms).lower()
         scored.append((money + (5 if any(w in synonyms for w in MONEY_COLUMNS) else 0), m.name))
-    best = max(scored, default=(0, None))[1]
-    best_money = max((s for s in scored if s[0] > 0), default=(0, None))[1]
-    wants_money = _lowered(question).rlike(MONEY_QUESTION)
-    return F.when(wants_money, F.lit(best_money).cast("string")).otherwise(F.lit(best).cast("string"))
+    return max(scored, default=(0, None))[1], max((s for s in scored if s[0] > 0), default=(0, None))[1]
+
+
+def chosen_sum(text: Column, best: Column, best_money: Column) -> Column:
+    """Which of the two a lowered question takes."""
+    return F.when(text.rlike(MONEY_QUESTION), best_money).otherwise(best)
 
 
 # ---- columns --------------------------------------------------------------------------------------------
@@ -135,11 +143,21 @@ def _breakdown(text: Column, profile: TableProfile) -> tuple[Column, str | None]
     for low, name in reversed(by_name.items()):
         # The word itself is tried first, its singular only when no column is called by the word.
         group = F.when((last == low) | (~last.isin(*by_name) & (stem(last) == low)), F.lit(name)).otherwise(group)
-    numbers = [n for n in profile.numeric if not _plain_id(n)]
-    value = next((n for n in numbers if n.lower() in MONEY_COLUMNS), numbers[0] if numbers else None)
+    value = value_column(profile)
     return (group if value else F.lit(None).cast("string")), value
 
 
+def value_column(profile: TableProfile) -> str | None:
+    """The column a breakdown sums up: the first about money, else the first that is no identifier."""
+    numbers = [n for n in profile.numeric if not _plain_id(n)]
+    return next((n for n in numbers if n.lower() in MONEY_COLUMNS), numbers[0] if numbers else None)
+
+
+def has_product(profile: TableProfile) -> bool:
+    """Is there a column of products?"""
+    return any(c.name.lower() in PRODUCT_COLUMNS for c in profile.columns)
+
+
 def _plain_id(name: str) -> bool:
     return name.lower() == "id" or name.lower().endswith("_id")
 
@@ -157,11 +175,11 @@ def _resolution(
     group: Column | None = None,
     agg: Column | None = None,
     threshold: float | None = None,
-    columns: Sequence[str] | None = None,
+    columns: Column | None = None,
 ) -> Column:
     null = F.lit(None).cast("string")
     of = lambda c: null if c is None else c
-    listed = F.lit(None) if columns is None else F.array(*[F.lit(c) for c in columns])
+    listed = F.lit(None) if columns is None else columns
     return F.struct(
         F.lit(plan).alias("plan_type"), of(target).alias("target"), of(value).alias("value_col"),
         of(group).alias("group_col"), of(agg).alias("agg"), F.lit(route).alias("route"),
@@ -175,82 +193,71 @@ def intent(question: Column, profile: TableProfile, metrics: Sequence[MetricDefi
 
 
 def _rules(text: Column, profile: TableProfile, metrics: Sequence[MetricDefinition]) -> Column:
-    asks = lambda pattern: text.rlike("(?U)" + pattern)
     group, value = _breakdown(text, profile)
+    return ruled(text, group, F.lit(value).cast("string"), pick_sum_metric(text, metrics), F.lit(has_product(profile)))
+
+
+def ruled(text: Column, group: Column, value: Column, pick: Column, products: Column) -> Column:
+    """The fixed rules in order, given what the catalog has for each: the column to group by, the one to sum up, the sum metric."""
+    asks = lambda pattern: text.rlike("(?U)" + pattern)
     total = asks(TOTAL_QUESTION) & asks(TOTAL_SUBJECT) & ~asks(EXTREME_QUESTION)
-    pick = pick_sum_metric(text, metrics)
-    has_product = any(c.name.lower() in PRODUCT_COLUMNS for c in profile.columns)
     rules = F.when(text == "", F.lit(None).cast(f"struct<{_typed()}>"))
-    if not has_product:
-        rules = rules.when(asks(PRODUCT_QUESTION), _resolution(NO_MATCH, None, "product"))
     return (
-        rules.when(asks(DESCRIBE_QUESTION), _resolution(TOOL_PLAN, F.lit("describe"), "describe"))
+        rules.when(~products & asks(PRODUCT_QUESTION), _resolution(NO_MATCH, None, "product"))
+        .when(asks(DESCRIBE_QUESTION), _resolution(TOOL_PLAN, F.lit("describe"), "describe"))
         .when(asks(ROW_COUNT_QUESTION), _resolution(TOOL_PLAN, F.lit("describe"), "row_count"))
         .when(asks(OUTLIER_QUESTION), _resolution(TOOL_PLAN, F.lit("anomaly_detect"), "outliers"))
         .when(total & pick.isNotNull(), _resolution(METRIC_PLAN, pick, "total"))
-        .when(
-            group.isNotNull(),
-            _resolution(TOOL_PLAN, F.lit("group_compare"), "breakdown", F.lit(value).cast("string"), group, F.lit("sum")),
-        )
+        .when(group.isNotNull(), _resolution(TOOL_PLAN, F.lit("group_compare"), "breakdown", value, group, F.lit("sum")))
     )
 
 
+def nothing() -> Column:
+    """The answer to a question that nothing matches."""
+    return _resolution(NO_MATCH, None, "none")
+
+
 def _typed() -> str:
     return ", ".join(f"{part.split()[0]}: {part.split()[1]}" for part in RESOLUTION.split(", "))
 
 
-def fallback(question: Column, profile: TableProfile, metrics: Mapping[str, MetricDefinition]) -> Column:
-    """Schema matching for questions no rule answers: a struct like `intent`'s, null when nothing matches."""
-    return let(_lowered(question), lambda text: _schema_match(text, profile, metrics))
+def asks_average(text: Column) -> Column:
+    """Is a lowered question about a mean?"""
+    return _has_any(text, AVERAGE_WORDS)
 
 
-def _schema_match(text: Column, profile: TableProfile, metrics: Mapping[str, MetricDefinition]) -> Column:
-    examples = {c.name: c.examples for c in profile.columns if c.is_categorical}
-    matches = F.struct(
-        match_column(text, profile.numeric).alias("number"),
-        match_column(text, profile.categorical, examples).alias("group"),
-        match_synonym(text, list(metrics.values())).alias("synonym"),
-    )
-    return let(matches, lambda m: _schema_plan(text, m["number"], m["group"], m["synonym"], list(metrics), profile.numeric))
+def grouped_name(average: Column, number: Column, group: Column) -> Column:
+    """The name a grouped metric of two columns has in a catalog."""
+    return F.concat(F.when(average, F.lit("avg_")).otherwise(F.lit("")), number, F.lit("_by_"), group)
 
 
-def _schema_plan(
-    text: Column, number: Column, group: Column, synonym: Column, names: Sequence[str], numeric: Sequence[str]
+def schema_plan(
+    text: Column, number: Column, group: Column, synonym: Column, pair_known: Column, average_known: Column, numeric: Column
 ) -> Column:
-    average = _has_any(text, AVERAGE_WORDS)
+    """Schema matching for lowered questions no rule answers, given what they name and whether the catalog has the grouped metric
+    and the mean of it: a struct like `intent`'s, null when nothing matches."""
+    average = asks_average(text)
     # 'compare', 'vs' and 'between' are group words already, so a matched group adds nothing to the test.
     wants_group = _has_any(text, GROUP_WORDS) & number.isNotNull() & group.isNotNull()
-    pair = F.concat(F.when(average, F.lit("avg_")).otherwise(F.lit("")), number, F.lit("_by_"), group)
-    known = lambda name: F.coalesce(name.isin(*names), F.lit(False))
-    grouped_metric = _resolution(METRIC_PLAN, pair, "grouped")
     compare = _resolution(
         TOOL_PLAN, F.lit("group_compare"), "grouped", number, group, F.when(average, F.lit("mean")).otherwise(F.lit("sum"))
     )
-    single_average = F.concat(F.lit("avg_"), number)
     wants_outliers = _has_any(text, OUTLIER_WORDS) & number.isNotNull()
     return (
         F.when(wants_outliers, _resolution(TOOL_PLAN, F.lit("anomaly_detect"), "outliers", number, threshold=FALLBACK_THRESHOLD))
         .when(_has_any(text, OVERVIEW_WORDS), _resolution(TOOL_PLAN, F.lit("describe"), "overview", columns=numeric))
-        .when(wants_group & known(pair), grouped_metric)
+        .when(wants_group & pair_known, _resolution(METRIC_PLAN, grouped_name(average, number, group), "grouped"))
         .when(wants_group, compare)
-        .when(average & number.isNotNull() & known(single_average), _resolution(METRIC_PLAN, single_average, "average"))
+        .when(average & number.isNotNull() & average_known, _resolution(METRIC_PLAN, F.concat(F.lit("avg_"), number), "average"))
         .when(synonym.isNotNull(), _resolution(METRIC_PLAN, synonym, "synonym"))
     )
 
 
 def resolve_questions(questions: DataFrame, question_col: str, profile: TableProfile, metrics: Mapping[str, MetricDefinition]) -> DataFrame:
-    """Adds plan_type, target, value_col, group_col, agg, route, threshold and columns to every question.
+    """Adds plan_type, target, value_col, group_col, agg, route, threshold and columns to every question; see question_index."""
+    from tallyward.operators import question_index
 
-    The rules come first; where they give nothing or a refusal, schema matching decides, else it is no_match.
-    """
-    question = F.col(question_col)
-    ruled = questions.withColumn("_rule", intent(question, profile, list(metrics.values())))
-    open_ = F.col("_rule").isNull() | (F.col("_rule.plan_type") == NO_MATCH)
-    matched = ruled.withColumn("_fall", F.when(open_, fallback(question, profile, metrics)))
-    answer = F.coalesce("_fall", "_rule", _resolution(NO_MATCH, None, "none"))
-    resolved = matched.withColumn("_answer", answer)
-    fields = [part.split()[0] for part in RESOLUTION.split(", ")]
-    return resolved.withColumns({f: F.col(f"_answer.{f}") for f in fields}).drop("_rule", "_fall", "_answer")
+    return question_index.resolve(questions, question_col, {"": question_index.Catalog(profile, metrics)})
 
 
 def coverage(resolved: DataFrame, expected_col: str) -> DataFrame:

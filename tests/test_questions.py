@@ -1,9 +1,10 @@
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyward.operators import matching, profile
+from tallyward.operators import matching, profile, question_index
 from tallyward.plans.catalog import MetricDefinition, generate_metrics
 
 QUESTIONS = {
@@ -102,3 +103,38 @@ def test_coverage(spark, orders):
     frame = matching.resolve_questions(spark.createDataFrame(rows, "q string, expected string"), "q", found, generate_metrics(found))
     got = {r["expected"]: (r["n"], r["answered_as_expected"], r["share"]) for r in matching.coverage(frame, "expected").collect()}
     assert got == {"single_metric": (2, 1, 0.5), "no_match": (1, 1, 1.0)}
+
+
+def test_index_equals_the_plain_rules(spark, orders):
+    """Questions of random words and pieces of names about two catalogs, and one that has no catalog."""
+    random.seed(4)
+    first = profile.build_profile(orders, with_examples=True)
+    second = profile.build_profile(orders.select(F.col("revenue").alias("Net_Prices"), F.col("region").alias("s"), F.col("category").alias("cat_s")), with_examples=True)
+    odd = [MetricDefinition(f"m{i}", "x", "sum", None, (p,)) for i, p in enumerate(("q", "né", "price of all things", "zz zz", "the price of", "t"))]
+    metrics = {"a": generate_metrics(first), "b": {m.name: m for m in (*generate_metrics(second).values(), *odd)}}
+    catalogs = {"a": question_index.Catalog(first, metrics["a"]), "b": question_index.Catalog(second, metrics["b"])}
+    names = [*first.numeric, *first.categorical, *second.numeric, *second.categorical, "north", "Souths", "A", "bs", "sss", "s", "né", "q"]
+    spoken = [*names, *[n[1:] for n in names], *[n[:4] for n in names], *[f"x{n}y" for n in names], "by", "total", "average", "per", "price", "of all things", "zz"]
+    texts = [" ".join(random.choices(spoken, k=random.randrange(7))) for _ in range(300)] + [None, "", "  ", *(p for m in odd for p in m.synonyms)]
+    for phrases in (p for ms in metrics.values() for m in ms.values() for p in m.synonyms):
+        texts.append(random.choice(["x", " ", ""]) + phrases.upper() + random.choice(["y", " z"]))
+    rows = [(i, d, t) for i, t in enumerate(texts) for d in ("a", "b", "c", None)] * 2
+    asked = spark.createDataFrame(rows, "i int, d string, t string")
+    found = question_index.match_questions(asked, "t", catalogs, F.col("d"))
+    got = {(r["i"], r["d"]): (r["number"], r["category"], r["synonym"]) for r in found.collect()}
+    assert found.count() == len(rows) and {v for (_, d), v in got.items() if d not in ("a", "b")} == {(None, None, None)}
+    for name, catalog in catalogs.items():
+        own = asked.where(F.col("d") == name).distinct()
+        examples = {c.name: c.examples for c in catalog.profile.columns if c.is_categorical}
+        plain = own.select("i", matching.match_column(F.col("t"), catalog.profile.numeric), matching.match_column(F.col("t"), catalog.profile.categorical, examples), matching.match_synonym(F.col("t"), list(catalog.metrics.values())))
+        assert {r[0]: tuple(r)[1:] for r in plain.collect()} == {i: v for (i, d), v in got.items() if d == name}
+    resolved = question_index.resolve(asked, "t", catalogs, F.col("d"))
+    assert resolved.count() == len(rows) and resolved.where("d IS NULL OR d = 'c'").select("route").distinct().collect() == [("none",)]
+
+
+def test_phrases_are_looked_up(spark):
+    many = {f"metric_{i:05d}": MetricDefinition(f"metric_{i:05d}", "x", "sum", None, (f"total word{i:05d} a",)) for i in range(3000)}
+    catalog = question_index.Catalog(profile.build_profile(spark.range(3)), many)
+    found = question_index.match_questions(spark.createDataFrame([("show TOTAL WORD02999 A please",), ("total word",)], "q string"), "q", {"": catalog})
+    assert [r["synonym"] for r in found.orderBy("q").collect()] == ["metric_02999", None]
+    assert "word02999" not in found._jdf.queryExecution().executedPlan().toString()

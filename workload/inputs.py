@@ -48,6 +48,32 @@ SELECT event_id AS question_id, user_id,
 FROM {events}
 """
 
+# A question per event about one of two datasets, of every kind that the rules tell apart.
+QUESTION_LOG = """
+SELECT event_id AS question_id, CASE WHEN user_id % 2 = 0 THEN 'events' ELSE 'orders' END AS dataset,
+       CASE event_id % 20
+            WHEN 0 THEN concat('Describe the data for ', event_type)
+            WHEN 1 THEN concat('How many records of ', event_type, '?')
+            WHEN 2 THEN concat(' Any anomaly in ', event_type, ' events')
+            WHEN 3 THEN concat('Total revenue of user ', user_id)
+            WHEN 4 THEN concat('overall amount by event_type, ', event_type)
+            WHEN 5 THEN concat('Show me VALUES by event_types for user ', user_id)
+            WHEN 6 THEN concat('unusual totalprice or values of ', user_id)
+            WHEN 7 THEN concat('give me strategic insights on ', event_type)
+            WHEN 8 THEN concat('average value per event_type in case ', event_id)
+            WHEN 9 THEN concat('avg  totalprice for each o_orderpriority, user ', user_id)
+            WHEN 10 THEN concat('compare user_ids versus event types or orderstatus of ', event_type)
+            WHEN 11 THEN concat('mean o_custkey please, user ', user_id)
+            WHEN 12 THEN concat('what distribution of event_type and distribution of o_orderstatus has ', event_type)
+            WHEN 13 THEN concat('highest o totalprice or highest value ever, ', user_id)
+            WHEN 14 THEN concat('how are products doing with total value, ', event_type)
+            WHEN 15 THEN ''
+            WHEN 17 THEN concat('Tell me a joke, ', event_type)
+            WHEN 18 THEN concat('Sum of sales in the top ', user_id)
+            WHEN 19 THEN concat('what is the typical value or o totalprice average in ', event_id) END AS question
+FROM {events}
+"""
+
 # Customers in the shape the masking knows, with their nation as the city.
 CUSTOMERS = """
 SELECT c_custkey AS customer_id, 'Customer' AS first_name, substring(c_name, 10) AS last_name,
