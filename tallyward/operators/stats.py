@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from math import isfinite
+from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,10 @@ from tallyward.operators.profile import column_counts
 TOP_VALUES = 10
 ANOMALY_THRESHOLD = 2.0
 ANOMALY_ROWS = 20
-# Columns that meet one column in a row of the correlation matrix: bounds the aggregates of its one aggregation.
+# Columns of a group of the correlation matrix: bounds the aggregates of its one aggregation.
 MATRIX_WIDTH = 8
+# Rows looked at to find about the middle of the columns' values.
+MATRIX_LOOK = 100
 PERIODS = {"M": "MM", "W": "WEEK", "D": None}
 GROUP_AGGREGATES = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}
 
@@ -105,6 +109,28 @@ def _pearson(x: Column, y: Column) -> Column:
     return F.when(spread > 0, F.covar_samp(x, y) / spread).otherwise(F.lit(0.0))
 
 
+def _block_moments(cells: DataFrame, names: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """(a, b, i, j, _r): Pearson r of pairs of the named columns in each block, null where it is undefined."""
+    pattern = " + ".join(f"IF({n} IS NULL, {1 << k}, 0)" for k, n in enumerate(names))
+    filled = cells.selectExpr("a", "b", f"{pattern} AS pattern", *names, *[f"coalesce({n}, 0D) AS _{n}" for n in names])
+    used = sorted({k for pair in pairs for k in pair})
+    sums = [F.count("*").alias("n")]
+    sums += [F.expr(f"{f} AS {f[:3]}{k}") for k in used for f in (f"sum(_{names[k]})", f"min({names[k]})", f"max({names[k]})")]
+    sums += [F.expr(f"sum(_{names[i]} * _{names[j]}) AS p{i}_{j}") for i, j in [*[(k, k) for k in used], *pairs]]
+    found = filled.groupBy("a", "b", "pattern").agg(*sums)
+    cell = lambda i, j: (
+        f"struct({i} AS i, {j} AS j, n, sum{i} AS x, sum{j} AS y, p{i}_{i} AS xx, p{j}_{j} AS yy, p{i}_{j} AS xy, "
+        f"min{i} AS x0, max{i} AS x1, min{j} AS y0, max{j} AS y1, pattern & {1 << i | 1 << j} AS gaps)"
+    )
+    each = found.selectExpr("a", "b", f"inline(array({', '.join(cell(i, j) for i, j in pairs)}))").where("gaps = 0")
+    whole = each.groupBy("a", "b", "i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")], *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")]
+    )
+    spread = "sqrt(greatest(xx - x * x / n, 0D)) * sqrt(greatest(yy - y * y / n, 0D))"
+    r = f"CASE WHEN x0 < x1 AND y0 < y1 AND {spread} > 0 THEN greatest(-1D, least(1D, (xy - x * y / n) / ({spread}))) END"
+    return whole.selectExpr("a", "b", "i", "j", f"{r} AS _r")
+
+
 def correlation(df: DataFrame, col_a: str, col_b: str) -> DataFrame:
     """One row (corr); 0.0 where the correlation is undefined."""
     require_numeric(df, [col_a, col_b])
@@ -115,23 +141,31 @@ def correlation(df: DataFrame, col_a: str, col_b: str) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
     """Long matrix (row, col, r) over the named columns, by default all numeric ones, from one scan.
 
-    Every row gives, for each column, a cell with the columns after it, a block of them at a time. The cells are
-    aggregated by column and block before the shuffle: the aggregates are those of one block, whatever the width
-    of the table. `limit` keeps the first columns only.
+    Columns are taken in groups of MATRIX_WIDTH, and each two groups are a block of pairs. A table of one group is aggregated as it
+    is; of a wider one a row gives a cell for each block, so that the number of aggregates is that of a block, whatever the width.
+    A block's rows are summed up by which of its columns are null, as plain sums, squares and products; a pair's moments are those
+    of all patterns in which it has both values. `limit` keeps the first columns only.
+
+    Values are taken from about their middle, so that the products do not cancel out; a job of a few rows finds out where that is.
     """
     numeric = [c for c in df.columns if is_numeric_type(df.schema[c].dataType)] if columns is None else list(columns)
     names = numeric if limit is None else numeric[:limit]
     require_numeric(df, names)
     values = df.selectExpr(*[f"CAST({number_sql(df, n)} AS DOUBLE) AS x{i}" for i, n in enumerate(names)])
-    # A single column has no pair; its cell with itself keeps the frame's shape.
-    blocks = [(i, list(range(at, min(at + MATRIX_WIDTH, len(names))))) for i in range(len(names)) for at in range(i + 1, len(names), MATRIX_WIDTH)]
-    blocks = blocks or [(0, [0])]
-    width = max(len(js) for _, js in blocks)
-    slots = lambda js: {f"y{k}": f"x{js[k]}" if k < len(js) else "CAST(NULL AS DOUBLE)" for k in range(width)}
-    cells = values.select(inline_rows([{"i": str(i), "j": str(js[0]), "x": f"x{i}", **slots(js)} for i, js in blocks]))
-    both = lambda k: (F.when(F.col(f"y{k}").isNotNull(), F.col("x")), F.when(F.col("x").isNotNull(), F.col(f"y{k}")))
-    found = cells.groupBy("i", "j").agg(F.array(*[_pearson(*both(k)) for k in range(width)]).alias("rs"))
-    pairs = found.select("i", F.col("j").alias("first"), F.posexplode("rs").alias("k", "_r")).select("i", (F.col("first") + F.col("k")).alias("j"), "_r")
+    first = values.limit(MATRIX_LOOK).collect() if names else []
+    middles = [median([v for v in column if v is not None and isfinite(v)] or [0.0]) for column in zip(*first)] or [0.0] * len(names)
+    values = values.selectExpr(*[f"x{i} - ({middle!r}D) AS x{i}" for i, middle in enumerate(middles)])
+    starts = range(0, max(len(names), 1), MATRIX_WIDTH)
+    of = lambda at, side: {f"{side}{k}": f"x{at + k}" if at + k < len(names) else "CAST(NULL AS DOUBLE)" for k in range(MATRIX_WIDTH)}
+    if len(starts) == 1:
+        cells = values.selectExpr("0 AS a", "0 AS b", *[f"{value} AS {name}" for name, value in of(0, "x").items()])
+        sums = _block_moments(cells, [f"x{k}" for k in range(MATRIX_WIDTH)], [(i, j) for i in range(MATRIX_WIDTH) for j in range(i + 1, MATRIX_WIDTH)])
+        pairs = sums.selectExpr("i", "j", "_r")
+    else:
+        cells = values.select(inline_rows([{"a": str(a), "b": str(b), **of(a, "x"), **of(b, "y")} for a in starts for b in starts if a <= b]))
+        sides = [f"{side}{k}" for side in "xy" for k in range(MATRIX_WIDTH)]
+        sums = _block_moments(cells, sides, [(i, MATRIX_WIDTH + j) for i in range(MATRIX_WIDTH) for j in range(MATRIX_WIDTH)])
+        pairs = sums.selectExpr("a + i AS i", f"b + j - {MATRIX_WIDTH} AS j", "_r").where("i < j")
     r = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.coalesce("_r", F.lit(0.0)))
     wanted = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     triangle = _with_every(pairs, "i j", wanted).select("i", "j", r.alias("r"))

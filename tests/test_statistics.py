@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +193,29 @@ def test_auto_profile_keeps_roles_exact(spark):
     assert found.categorical == ["few"]
     assert found.column("few").n_unique == 50 and abs(found.column("id").n_unique - 30_000) < 3_000
     assert not math.isnan(found.n_rows)
+
+
+def plain_pearson(a, b):
+    both = [(x, y) for x, y in zip(a, b) if x is not None and y is not None]
+    if len({x for x, _ in both}) < 2 or len({y for _, y in both}) < 2:
+        return 0.0
+    mx, my = (sum(v) / len(both) for v in zip(*both))
+    xy, xx, yy = (sum(f(x - mx, y - my) for x, y in both) for f in (lambda x, y: x * y, lambda x, y: x * x, lambda x, y: y * y))
+    return xy / (xx * yy) ** 0.5
+
+
+@pytest.mark.parametrize("width", [1, 2, 7, 8, 9, 40])
+def test_matrix_of_any_width_with_gaps(spark, width):
+    random.seed(width)
+    columns = [[None if random.random() < (0.3 if k % 3 else 0) else random.gauss(10.0**k if k < 9 else 0, 1) + (i if k % 2 else -i) * 0.01 for i in range(150)] for k in range(width)]
+    if width > 6:
+        columns[3] = [5.1 if i % 2 else None for i in range(150)]  # does not vary
+        columns[4] = [float(i) if i % 2 == 0 else None for i in range(150)]  # no row with the one before
+        columns[5] = [None] * 150
+    frame = spark.createDataFrame(list(zip(*columns)), ", ".join(f"c{k} double" for k in range(width))).repartition(3)
+    found = {(r["row"], r["col"]): r["r"] for r in stats.correlation_matrix(frame).collect()}
+    assert len(found) == width * width
+    for i in range(width):
+        for j in range(width):
+            expected = 1.0 if i == j else plain_pearson(columns[i], columns[j])
+            assert found[f"c{i}", f"c{j}"] == pytest.approx(expected, abs=1e-7)
