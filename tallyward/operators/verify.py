@@ -105,6 +105,17 @@ def delivered_check(delivered: DataFrame, rows: DataFrame, value_col: str) -> Da
     return both.withColumn("ok", (F.col("expected_total") == 0) | close)
 
 
+def fingerprint(rows: DataFrame) -> list[Column]:
+    """Aggregates (rows, fingerprint) that tell one result from another, whatever the order of its rows."""
+    each = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)]))).cast("decimal(38,0)")
+    return [F.count("*").alias("rows"), F.coalesce(F.sum(each), F.lit(0)).cast("string").alias("fingerprint")]
+
+
+def as_checked(delivered: DataFrame, check: Mapping[str, object]) -> bool:
+    """Are the rows still those that a check of `PlanRun.deliver` was made on? Runs the frame once."""
+    return delivered.agg(*fingerprint(delivered)).first().asDict() == {name: check[name] for name in ("rows", "fingerprint")}
+
+
 def result_flags(results: DataFrame) -> DataFrame:
     """Adds `flags` to step results (target, value, source_rows, breakdown_sum, expected_total, truncated).
 

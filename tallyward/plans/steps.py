@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyward.dataset import Dataset
+from tallyward.frames import small_frame
 from tallyward.operators import stats, verify
 from tallyward.operators.guards import allowed_filters, cap_rows, cap_steps, column_ref
 from tallyward.operators.masking import scrub_result
@@ -142,25 +143,81 @@ def expected_total(target: Dataset, step: Step, metrics: Mapping[str, MetricDefi
     return None
 
 
+Sink = Callable[[int, Step, DataFrame], object]
+
+
+@dataclass(frozen=True)
+class Delivery:
+    """What the sink made of each result, in order, and the checks on exactly the rows it was given: a row per step, with `rows` and
+    `fingerprint` of the result."""
+
+    results: tuple[object, ...]
+    checks: DataFrame
+
+
+@dataclass(frozen=True)
+class _Part:
+    """A step's result before scrubbing, with what its check needs."""
+
+    step: Step
+    result: DataFrame
+    target: Dataset
+    total: DataFrame | None
+    notes: str
+
+
 @dataclass(frozen=True)
 class PlanRun:
-    """A plan's lazy results in order, one row of checks per step, and what was left out."""
+    """A plan's lazy results in order, one row of checks per step, and what was left out.
+
+    `checks` is lazy as well, and runs the results once more, for a look at them before they are handed out. `deliver` hands them
+    out and takes the checks from the rows on their way.
+    """
 
     results: tuple[tuple[Step, DataFrame], ...]
     checks: DataFrame
     left_out: tuple[Step, ...]
+    plan_type: str = "stats_tool"
+    parts: tuple[_Part, ...] = ()
+
+    def deliver(self, sink: Sink) -> Delivery:
+        """Give each result to `sink(number, step, frame)`, which runs it by one action, such as a write or a collect.
+
+        Sums, counts and the fingerprint are observed while that action runs, so that they are of the rows as delivered, and no
+        result is run twice. The table's rows and total are counted from the table by themselves.
+        """
+        made, rows = [], []
+        for number, part in enumerate(self.parts):
+            numbers, whole = Observation(), Observation()
+            observed = part.result.observe(numbers, *_measures(part.result, part.total is not None))
+            delivered = scrub_result(observed)
+            made.append(sink(number, part.step, delivered.observe(whole, *verify.fingerprint(delivered))))
+            table = part.target.df.agg(F.count("*").alias("n")).first()["n"]
+            total = None if part.total is None else part.total.first()[0]
+            seen = numbers.get | whole.get
+            rows.append({
+                "step": number, "target": part.step.target, "plan_type": self.plan_type, "value": seen["value"], "source_rows": table,
+                "breakdown_sum": seen["breakdown_sum"], "expected_total": total, "truncated": bool(seen["truncated"]), "rows": seen["rows"],
+                "fingerprint": seen["fingerprint"],
+                "lineage": {"metrics_or_tools_used": [part.step.target], "filters_applied": {k: str(v) for k, v in part.step.filters.items()}, "notes": part.notes},
+            })
+        checks = small_frame(self.checks.sparkSession, rows, f"{CHECKS}, rows bigint, fingerprint string")
+        return Delivery(tuple(made), verify.with_confidence(verify.result_flags(checks)))
+
+
+def _measures(delivered: DataFrame, has_total: bool) -> list[Column]:
+    """The scalar value, the sum of the parts and the cut of a result, as aggregates of its rows."""
+    scalar = "value" in delivered.columns and "key" not in delivered.columns and "period" not in delivered.columns
+    # Whether the scalar is a number is known from its type; a sum of parts is only asked for where a total is.
+    value = F.max(F.col("value").cast("double")) if scalar and not has_total else F.max(F.lit(None).cast("double"))
+    parts = F.sum(F.col("value").cast("double")) if has_total else F.max(F.lit(None).cast("double"))
+    return [value.alias("value"), parts.alias("breakdown_sum"), F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("truncated")]
 
 
 def step_check(number: int, step: Step, delivered: DataFrame, target: Dataset, total: DataFrame | None, plan_type: str, notes: str) -> DataFrame:
     """One row about a delivered result: its scalar value, whether it was cut, the sum of its parts next to the total
     of the table, the table's rows, and the lineage."""
-    scalar = "value" in delivered.columns and "key" not in delivered.columns and "period" not in delivered.columns
-    # Whether the scalar is a number is known from its type; a sum of parts is only asked for where a total is.
-    value = F.max(F.col("value").cast("double")) if scalar and total is None else F.lit(None).cast("double")
-    parts = F.sum(F.col("value").cast("double")) if total is not None else F.lit(None).cast("double")
-    row = delivered.agg(
-        value.alias("value"), parts.alias("breakdown_sum"), F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("truncated")
-    )
+    row = delivered.agg(*_measures(delivered, total is not None))
     row = row.withColumns({
         "step": F.lit(number), "target": F.lit(step.target), "plan_type": F.lit(plan_type),
         "source_rows": target.df.agg(F.count("*")).scalar(),
@@ -188,17 +245,18 @@ def run_plan(
     known = dataset.metrics if metrics is None else metrics
     plan = check_steps(steps, known, policies or {}, dataset.profile.filterable, max_steps)
     plan_type = "multi_step" if len(plan.steps) > 1 else "single_metric" if plan.steps and plan.steps[0].action == RUN_METRIC else "stats_tool"
-    results, checks = [], []
+    parts, checks = [], []
     for number, (step, dropped) in enumerate(zip(plan.steps, plan.dropped_filters)):
         target = step_source(dataset, step, registry, policies)
         own = target.metrics if step.action == RUN_METRIC and step.join_policy else known
         result = _run(target, step, own)
         delivered = cap_rows(result, max_rows, result_order(result))
         notes = f"filters not allowed: {', '.join(dropped)}" if dropped else ""
-        checks.append(step_check(number, step, delivered, target, expected_total(target, step, own), plan_type, notes))
-        results.append((step, scrub_result(delivered)))
+        parts.append(_Part(step, delivered, target, expected_total(target, step, own), notes))
+        checks.append(step_check(number, step, delivered, target, parts[-1].total, plan_type, notes))
     every = reduce(DataFrame.unionByName, checks) if checks else dataset.df.sparkSession.createDataFrame([], CHECKS)
-    return PlanRun(tuple(results), verify.with_confidence(verify.result_flags(every)), plan.left_out)
+    results = tuple((part.step, scrub_result(part.result)) for part in parts)
+    return PlanRun(results, verify.with_confidence(verify.result_flags(every)), plan.left_out, plan_type, tuple(parts))
 
 
 CHECKS = (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyward import Dataset
 from tallyward.errors import QuotaExceededError, ResourceLimitError, TenantContextError
-from tallyward.operators import audit, evaluation, guards, topn, usage
+from tallyward.operators import audit, evaluation, guards, topn, usage, verify
 from tallyward.plans import catalog, steps
 from tallyward.plans.catalog import JoinPolicy, generate_metrics
 from tallyward.sources import sinks
@@ -409,3 +409,47 @@ def test_steps_over_a_join(spark, orders):
     names = steps.Step("value_counts", "run_stats", args={"column": "customer_name"}, join_policy="oc")
     shown = values(steps.run_plan(data, [names], None, registry, policies).results[0][1], "value")
     assert len(shown) == 1 and "alice" not in str(shown)
+
+
+# ---- results as delivered -----------------------------------------------------------------------------
+
+
+def test_checks_are_of_the_rows_delivered(spark, folder, orders):
+    data = Dataset("data", orders)
+    wanted = [steps.Step("revenue_by_region"), steps.Step("total_revenue", filters={"region": "North"}), steps.Step("describe", "run_stats")]
+    run = steps.run_plan(data, wanted, max_rows=3)
+    given = []
+
+    def sink(number, step, frame):
+        given.append((number, step.target))
+        frame.write.parquet(f"{folder}/{number}")
+        return spark.read.parquet(f"{folder}/{number}")
+
+    done = run.deliver(sink)
+    checks = done.checks.orderBy("step").collect()
+    assert given == [(0, "revenue_by_region"), (1, "total_revenue"), (2, "describe")]
+    before = run.checks.orderBy("step").collect()
+    for name in before[0].asDict():
+        assert [r[name] for r in checks] == [r[name] for r in before], name
+    assert checks[0]["truncated"] and "breakdown_total_mismatch:revenue_by_region" in checks[0]["flags"] and checks[1]["value"] == 400.0
+    assert [r["rows"] for r in checks] == [f.count() for f in done.results]
+    for check, frame in zip(checks, done.results):
+        assert verify.as_checked(frame, check.asDict())
+        altered = frame.limit(0) if "value" not in frame.columns else frame.withColumn("value", F.col("value") + 0.01)
+        assert not verify.as_checked(altered, check.asDict())
+
+
+def test_a_result_is_run_once(spark):
+    """Every run of this table gives other numbers, so that a check on a second run would not fit."""
+    rows = spark.range(1000).select(F.concat(F.lit("k"), F.col("id") % 5).alias("kind"), (F.unix_micros(F.current_timestamp()) % 100_003 + F.col("id") / 7).alias("amount"))
+    run = steps.run_plan(Dataset("data", rows), [steps.Step("amount_by_kind")])
+    done = run.deliver(lambda number, step, frame: frame.collect())
+    (check,) = done.checks.collect()
+    assert check["breakdown_sum"] == pytest.approx(sum(r["value"] for r in done.results[0]), rel=1e-12)
+    assert check["flags"] == ["breakdown_total_mismatch:amount_by_kind"] and check["confidence"] == "low"
+    assert run.deliver(lambda *_: _[2].collect()).checks.first()["fingerprint"] != check["fingerprint"]
+
+
+def test_an_empty_plan_delivers_nothing(spark, orders):
+    done = steps.run_plan(Dataset("data", orders), []).deliver(lambda *_: None)
+    assert done.results == () and done.checks.count() == 0
