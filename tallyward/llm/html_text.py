@@ -10,6 +10,7 @@ its class says.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -32,7 +33,9 @@ BLOCKS = frozenset(
     "h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 #: Elements that hold no article text, whatever their attributes.
-NEVER = frozenset("aside button datalist dialog fieldset footer head iframe label menu nav noscript object option select svg template textarea".split())
+NEVER = frozenset("aside dialog fieldset footer head menu nav".split())
+#: Such elements inside a line: what they hold is left out, the line around them goes on.
+SKIPPED = frozenset("button datalist iframe noscript object option select svg template textarea".split())
 #: Elements whose text the parser gives out as data, but which is none.
 RAW = frozenset(["script", "style"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,39 +44,47 @@ MAIN = frozenset(["article", "main"])
 PAGE = MAIN | {"html", "body"}
 #: Elements that are text or lists of it, no containers of an article.
 PIECES = frozenset("address blockquote caption dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr legend li ol p pre summary ul".split())
-#: Words in class, id or role that mark an element that is never content, unless it is around the page.
+#: Text and headings, which no class or id marks.
+TEXTS = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 legend p pre summary".split())
+#: A class, id or role marks an element that is never content, unless it is around the page, if all its words are of these two lists
+#: and one is of the first: sidebar, cookie-notice, share-buttons, but not ad-hoc, related-work or has-sidebar.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent "
     "contentinfo cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice overlay pagination "
     "popup promo promoted recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe toolbar widget".split()
 )
+NEUTRAL = frozenset(
+    "area articles bar block bottom box buttons content container form global group icons inner item items left link links list main media "
+    "message outer panel posts primary right row secondary section site slot sticky stories thread top unit wrap wrapper".split()
+)
 #: Of these, what may be longer than the article.
 COMMENTS = frozenset("comment comments disqus replies respond".split())
-#: Words that make a class tell what a page has or which state it is in: has-sidebar, page-with-sidebar, comments-open, search-page.
-HAVING = frozenset("has have no not with without".split())
-STATES = frozenset("active closed disabled enabled hidden layout off on open opened page template visible".split())
 _WORD = re.compile(r"[a-z]+")
 
 
 @dataclass
 class Line:
-    """The text of a block, the tags met in it, whether it can be content, and the open containers around it."""
+    """The text of a block, the tags met in it, whether it can be content, and the innermost container around it."""
 
     text: str
     tags: int
     content: bool
-    around: tuple[int, ...]
+    owner: int | None
 
 
 @dataclass
 class Element:
     """A tracked element: its name, the words of MARKS that mark it (a form is marked by its name), the place of the one around it,
-    and what its lines hold in all: characters, those of list items, lines with a main heading or in `main`, lines in MAIN."""
+    whether NEVER, a main heading or `main`, or MAIN is around or itself, and what its lines hold in all: characters, those of list
+    items, lines with a main heading or in `main`, lines in MAIN."""
 
     tag: str
     marks: frozenset[str]
     parent: int | None
+    never: bool = False
+    head: bool = False
+    main: bool = False
     held: int = 0
     items: int = 0
     heads: int = 0
@@ -81,7 +92,10 @@ class Element:
 
 
 class Lines(HTMLParser):
-    """Turns parser events into lines. Only block elements are tracked; an end tag without its start is passed over."""
+    """Turns parser events into lines. Only block elements are tracked; an end tag without its start is passed over.
+
+    An element has a larger number than the one around it, so that sums go up and flags go down in one pass, however deep a page is.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -89,17 +103,28 @@ class Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = 0
         self.elements: list[Element] = []
-        self.open: list[tuple[str, int]] = []  # (name, place in elements)
+        self.open: list[tuple[str, int, int]] = []  # (name, place in elements, skipped elements open then)
+        self.named: Counter[str] = Counter()  # open elements by name
         self.main: set[int] = set()
         self.raw = 0
+        self.skipped: list[str] = []
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text.clear()
         if text:
-            self.lines.append(Line(text, max(1, self.tags), True, tuple(n for _, n in self.open)))
+            self.lines.append(Line(text, max(1, self.tags), True, self.open[-1][1] if self.open else None))
             self.tags = 0
 
+    def _close(self, at: int) -> None:
+        """Ends the open elements from a place on; what is skipped and was not closed in a block ends with it."""
+        if at == len(self.open):
+            return
+        for name in [*(name for name, *_ in self.open[at:]), *self.skipped[self.open[at][2] :]]:
+            self.named[name] -= 1
+        del self.skipped[self.open[at][2] :]
+        del self.open[at:]
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in RAW:
@@ -108,32 +133,47 @@ class Lines(HTMLParser):
         if tag == "br":
             self.text.append(" ")
             return
-        marks = _marks(tag, attrs)
-        if tag not in BLOCKS and tag not in NEVER and not marks or tag in VOID:
+        if tag in SKIPPED:
+            self.skipped.append(tag)
+            self.named[tag] += 1
+            return
+        if tag not in BLOCKS or tag in VOID:
             return
         self._end_line()
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and self.open and self.open[-1][0] == tag:
-            self.open.pop()  # these end where the next one starts
+        if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and self.open and self.open[-1][0] == tag:
+            self._close(len(self.open) - 1)  # these end where the next one starts
         if tag == "body":
-            self.open.clear()
-        self.elements.append(Element(tag, marks, self.open[-1][1] if self.open else None))
-        self.open.append((tag, len(self.elements) - 1))
+            self._close(0)
+            while self.skipped:
+                self.named[self.skipped.pop()] -= 1
+        parent = self.open[-1][1] if self.open else None
+        around = self.elements[parent] if parent is not None else Element("", frozenset(), None)
+        marks = _marks(tag, attrs, around.main)
+        self.elements.append(Element(tag, marks, parent, around.never or tag in NEVER, around.head or tag in ("h1", "main"), around.main or tag in MAIN))
+        self.open.append((tag, len(self.elements) - 1, len(self.skipped)))
+        self.named[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in RAW:
             self.raw = 0
-            return
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                self._end_line()
-                del self.open[at:]
-                return
-        if tag in BLOCKS:
+        elif tag in SKIPPED:
+            while self.named[tag]:
+                name = self.skipped.pop()
+                self.named[name] -= 1
+                if name == tag:
+                    break
+        elif self.named[tag]:
+            at = len(self.open) - 1
+            while self.open[at][0] != tag:
+                at -= 1
+            self._end_line()
+            self._close(at)
+        elif tag in BLOCKS:
             self._end_line()
 
     def handle_data(self, data: str) -> None:
-        if not self.raw:
+        if not self.raw and not self.skipped:
             self.text.append(data)
 
     def finish(self) -> list[Line]:
@@ -143,7 +183,7 @@ class Lines(HTMLParser):
         return self.lines
 
     def _judge(self) -> None:
-        """Says which lines can be content, and which containers of the article are met. An element comes after the one around it."""
+        """Says which lines can be content, and which containers of the article are met."""
         page = self._count()
         dropped: set[int | None] = set()
         outer: dict[int | None, int] = {}  # the outermost of MAIN around an element or itself
@@ -161,25 +201,26 @@ class Lines(HTMLParser):
             if element.parent in outer or element.tag in MAIN:
                 outer[number] = outer.get(element.parent, number)
         for line in self.lines:
-            line.content = not line.around or line.around[-1] not in dropped
+            line.content = line.owner not in dropped
 
     def _count(self) -> Element:
         """Counts what the elements hold, and returns the page's counts. What is never content does not count, nor do comments in
         what is around them."""
         page = Element("", frozenset(), None)
         for line in self.lines:
-            around = [self.elements[n] for n in line.around]
-            tags = {x.tag for x in around}
-            if not NEVER.isdisjoint(tags):
-                continue
-            item = len(line.text) if around and around[-1].tag in ("li", "dt", "dd") else 0
-            for x in [*reversed(around), page]:
+            x = page if line.owner is None else self.elements[line.owner]
+            if not x.never:
                 x.held += len(line.text)
-                x.items += item
-                x.heads += not tags.isdisjoint(("h1", "main"))
-                x.mains += not tags.isdisjoint(MAIN)
-                if not x.marks.isdisjoint(COMMENTS):
-                    break
+                x.items += len(line.text) if x.tag in ("li", "dt", "dd") else 0
+                x.heads += x.head
+                x.mains += x.main
+        for x in reversed(self.elements):
+            if x.marks.isdisjoint(COMMENTS):
+                around = page if x.parent is None else self.elements[x.parent]
+                around.held += x.held
+                around.items += x.items
+                around.heads += x.heads
+                around.mains += x.mains
         return page
 
 
@@ -195,16 +236,19 @@ def _around_page(element: Element, main: Element | None, page: Element) -> bool:
     return not comments and 2 * element.items < element.held and 5 * element.held >= 4 * whole
 
 
-def _marks(tag: str, attrs: list[tuple[str, str | None]]) -> frozenset[str]:
-    """The words of MARKS in class, id or role, or the name of a form. A class that tells what a page has is no mark."""
-    if tag in PAGE:
+def _marks(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> frozenset[str]:
+    """The words of MARKS in class, id or role, or the name of a form. Inside an article an id is often a heading made into a name:
+    there it has to be of two words or about comments."""
+    if tag in PAGE or tag in TEXTS:
         return frozenset()
     found = {"form"} if tag == "form" else set()
     for name, value in attrs:
-        if name in ("class", "id", "role") and value and not MARKS.isdisjoint(_WORD.findall(value.lower())):
+        if name in ("class", "id", "role") and value:
             for words in map(_WORD.findall, value.lower().split()):
-                if HAVING.isdisjoint(words) and not (len(words) > 1 and words[-1] in STATES):
-                    found |= MARKS.intersection(words)
+                own = MARKS.intersection(words)
+                if own and all(w in MARKS or w in NEUTRAL or len(w) == 1 for w in words):
+                    if name != "id" or not inside or len(words) > 1 or own & COMMENTS:
+                        found |= own
     return frozenset(found)
 
 
@@ -216,8 +260,8 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full / np.convolve(np.ones(len(ratios)), kernel)[reach : reach + len(ratios)]
 
 
-def content_lines(lines: list[Line], main: set[int], pieces: set[int], sigma: float = SIGMA, threshold: float = THRESHOLD) -> list[Line]:
-    """The lines of the content regions, in page order. `main` are the containers of an article, `pieces` those elements that are none."""
+def content_lines(lines: list[Line], elements: list[Element], main: set[int], sigma: float = SIGMA, threshold: float = THRESHOLD) -> list[Line]:
+    """The lines of the content regions, in page order. `main` are the containers of an article."""
     if not lines:
         return []
     ratios = np.array([len(x.text) / x.tags if x.content else 0.0 for x in lines])
@@ -225,21 +269,34 @@ def content_lines(lines: list[Line], main: set[int], pieces: set[int], sigma: fl
     chosen = np.flatnonzero((level >= threshold * level.std()) & np.array([x.content for x in lines]))
     if not len(chosen):
         return []
-    weight: dict[int, float] = {}
+    weight = [0] * len(elements)
     for at in chosen:
-        for number in lines[at].around:
-            weight[number] = weight.get(number, 0.0) + len(lines[at].text)
-    marked = [n for n in weight if n in main]
+        if lines[at].owner is not None:
+            weight[lines[at].owner] += len(lines[at].text)
+    for number in range(len(elements) - 1, -1, -1):
+        if elements[number].parent is not None:
+            weight[elements[number].parent] += weight[number]
+    marked = [n for n in main if weight[n]]
     if marked:
         heaviest = max(marked, key=lambda n: (weight[n], -n))
         # A page may have its text in several articles beside each other; teasers are much shorter.
-        homes = {n for n in marked if weight[n] >= 0.2 * weight[heaviest]}
-        return [x for x in lines if x.content and not homes.isdisjoint(x.around)]
+        within = _within(elements, {n for n in marked if weight[n] >= 0.2 * weight[heaviest]})
+        return [x for x in lines if x.content and x.owner is not None and within[x.owner]]
     # Without a marked container: the innermost one that holds most of the chosen text, else the page.
     whole = sum(len(lines[at].text) for at in chosen)
-    home = max((n for n in weight if weight[n] >= 0.75 * whole and n not in pieces), default=None)
-    picked = set(chosen.tolist())
-    return [x for i, x in enumerate(lines) if x.content and (i in picked or home is None or home in x.around)]
+    home = max((n for n, w in enumerate(weight) if w and w >= 0.75 * whole and elements[n].tag not in PIECES), default=None)
+    if home is None:
+        return [x for x in lines if x.content]
+    within, picked = _within(elements, {home}), set(chosen.tolist())
+    return [x for i, x in enumerate(lines) if x.content and (i in picked or x.owner is not None and within[x.owner])]
+
+
+def _within(elements: list[Element], homes: set[int]) -> list[bool]:
+    """Which elements are among the homes or inside one."""
+    out: list[bool] = []
+    for number, element in enumerate(elements):
+        out.append(number in homes or element.parent is not None and out[element.parent])
+    return out
 
 
 _OPEN_TAG = re.compile(r"<[A-Za-z/!][^<>]*\Z")
@@ -250,8 +307,7 @@ def main_text(html: str, sigma: float = SIGMA, threshold: float = THRESHOLD) ->
     parser = Lines()
     parser.feed(_OPEN_TAG.sub("", html))
     lines = parser.finish()
-    pieces = {n for n, element in enumerate(parser.elements) if element.tag in PIECES}
-    return "\n".join(x.text for x in content_lines(lines, parser.main, pieces, sigma, threshold))
+    return "\n".join(x.text for x in content_lines(lines, parser.elements, parser.main, sigma, threshold))
 
 
 def extract(frame: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url"), sigma: float = SIGMA,

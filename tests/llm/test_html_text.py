@@ -1,6 +1,11 @@
 """Articles out of pages with known parts, and pages that are broken."""
 
+import random
+import time
+from html.parser import HTMLParser
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tallyward.llm import html_text
@@ -113,3 +118,174 @@ def test_edges_of_a_page_without_an_article_element():
         assert html_text.main_text(whole).split("\n") == expected
     long = "<p>" + "one very long paragraph " * 99 + "</p>"
     assert html_text.main_text(f"<body><div><h1>Head</h1>{long}<p>End</p></div>").split("\n")[::2] == ["Head", "End"]
+
+
+KEPT = [
+    "<h2 id='search-algorithms'>Kept</h2>", "<h2 id='social-history'>Kept</h2>", "<p class='ad-hoc'>Kept</p>", "<p class='share-price'>Kept</p>",
+    "<section id='related-work'><p>Kept</p></section>", "<h3 class='comment'>Kept</h3>", "<section id='search'><p>Kept</p></section>", "<p id='menu'>Kept</p>",
+    "<ul><li class='share-holder'>Kept</li></ul>", "<p><span class='comment'>Kept</span></p>", "<p>Ke<svg><text>no</text></svg>pt</p>", "<p><label>Kept</label></p>",
+    "<p>Kept<button>no</button></p>", "<noscript><p>no</p><p>no</p></noscript><p>Kept</p>", "<p>Kept<object><div>no</div> no</object></p>",
+    "<p><svg>no</p><p>Kept</p>", "<p>Kept</p></svg></object>",
+]
+
+
+@pytest.mark.parametrize("part", KEPT)
+def test_parts_of_an_article_stay(part):
+    """What only looks like a menu or a notice by a word of its class or id, and what stands around something skipped."""
+    page = f"<body>{ARTICLE.replace('</article>', part + '<p>' + BODY[1] + '</p></article>')}"
+    assert html_text.main_text(page).split("\n") == [*EXPECTED.split("\n"), "Kept", BODY[1]]
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot", "cookie-notice", "comment-list", "share-buttons", "main-nav x", "x sidebar_left", "related-posts", "ad-x"])
+def test_marked_parts_go(name):
+    part = f"<div class='{name}'><p>A line of words that is no part of what the article says.</p></div>"
+    assert html_text.main_text(f"<body>{ARTICLE.replace('</article>', part + '</article>')}") == EXPECTED
+
+
+def test_deep_pages_take_linear_time():
+    began = time.process_time()
+    assert len(html_text.main_text("<div>x" * 50_000)) == 2 * 50_000 - 1
+    html_text.main_text("<div>" * 50_000 + "</b></section>" * 50_000)
+    html_text.main_text("<p>" + "<svg>" * 50_000 + "</object></svg>" * 50_000 + "<div class='menu'><form>" * 20_000)
+    assert time.process_time() - began < 6
+
+
+class Node:
+    """An element of the whole tree; text is that of its lines, in the order of the page."""
+
+    def __init__(self, tag, attrs, up):
+        self.tag, self.attrs, self.up, self.lines = tag, attrs, up, []
+
+    def chain(self):
+        return [self, *(self.up.chain() if self.up else [])]
+
+
+class Tree(HTMLParser):
+    """The page as a tree, with the lines in order: [text, tags, node]."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.root = self.at = Node("", [], None)
+        self.nodes, self.lines, self.text, self.tags, self.raw = [], [], "", 0, False
+        self.feed(html_text._OPEN_TAG.sub("", html))
+        self.close()
+        self.line()
+
+    def line(self):
+        if self.text.split():
+            self.lines.append((" ".join(self.text.split()), max(1, self.tags), self.block()))
+            self.tags = 0
+        self.text = ""
+
+    def block(self):
+        return next(n for n in self.at.chain() if n.tag not in html_text.SKIPPED)
+
+    def handle_starttag(self, tag, attrs):
+        self.tags += 1
+        if tag in html_text.RAW:
+            self.raw = True
+        elif tag == "br":
+            self.text += " "
+        elif tag in html_text.SKIPPED:
+            self.at = Node(tag, attrs, self.at)
+        elif tag in html_text.BLOCKS and tag not in html_text.VOID:
+            self.line()
+            if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and self.block().tag == tag:
+                self.at = self.block().up
+            self.at = Node(tag, attrs, self.root if tag == "body" else self.at)
+            self.nodes.append(self.at)
+
+    def handle_endtag(self, tag):
+        self.tags += 1
+        if tag in html_text.RAW:
+            self.raw = False
+            return
+        open_ = [n for n in self.at.chain() if n.tag == tag]
+        if tag in html_text.BLOCKS:
+            self.line()
+        if open_ and tag in html_text.SKIPPED:
+            # Blocks inside stay open: they hang on what is around the skipped element.
+            node = self.at
+            inside = []
+            while node is not open_[0]:
+                inside.append(node)
+                node = node.up
+            blocks = [n for n in inside if n.tag not in html_text.SKIPPED]
+            if blocks:
+                blocks[-1].up = open_[0].up
+                self.at = blocks[0]
+                for below, above in zip(blocks, blocks[1:]):
+                    below.up = above
+            else:
+                self.at = open_[0].up
+        elif open_:
+            self.at = open_[0].up
+
+    def handle_data(self, data):
+        if not self.raw and not any(n.tag in html_text.SKIPPED for n in self.at.chain()):
+            self.text += data
+
+
+def plain_text(html):
+    """The rules once more, each answered by walking the tree."""
+    tree = Tree(html)
+    tags = lambda n: {x.tag for x in n.chain()}
+    main_tags, number = ("article", "main"), {id(n): i for i, n in enumerate(tree.nodes)}
+    marks = {id(n): html_text._marks(n.tag, n.attrs, bool(n.up and tags(n.up) & {*main_tags})) for n in [*tree.nodes, tree.root]}
+    comments = lambda n: bool(marks[id(n)] & html_text.COMMENTS)
+
+    def counted(n):
+        """The lines that count for an element: not those of comments inside it, nor what is never content."""
+        for text, _, owner in tree.lines:
+            chain = owner.chain()
+            if n in chain and not tags(owner) & html_text.NEVER and not any(comments(x) for x in chain[: chain.index(n)]):
+                yield text, owner
+
+    def sums(n):
+        own = list(counted(n))
+        return [sum(len(t) for t, _ in own), sum(len(t) for t, o in own if o.tag in ("li", "dt", "dd")), sum(bool(tags(o) & {"h1", "main"}) for _, o in own), sum(bool(tags(o) & {*main_tags}) for _, o in own)]
+
+    def element(n):
+        return html_text.Element(n.tag, marks[id(n)], None, False, False, False, *sums(n))
+
+    page, dropped, main = element(tree.root), set(), []
+    for n in tree.nodes:
+        around = [x for x in n.up.chain() if x.tag in main_tags]
+        header = n.tag == "header" and not any(x in main for x in n.up.chain())
+        marked = marks[id(n)] and not html_text._around_page(element(n), element(around[-1]) if around else None, page)
+        if n.up in dropped or n.tag in html_text.NEVER or header or marked:
+            dropped.add(n)
+        elif n.tag in main_tags:
+            main.append(n)
+    content = [owner not in dropped for _, _, owner in tree.lines]
+    if not tree.lines:
+        return ""
+    level = html_text.smoothed(np.array([len(t) / k if c else 0.0 for (t, k, _), c in zip(tree.lines, content)]))
+    chosen = [c and v >= html_text.THRESHOLD * level.std() for c, v in zip(content, level)]
+    weight = lambda n: sum(len(t) for (t, _, owner), c in zip(tree.lines, chosen) if c and n in owner.chain())
+    if not any(chosen):
+        return ""
+    best = max(map(weight, main), default=0)
+    if best:
+        homes = [n for n in main if weight(n) >= 0.2 * best]
+        return "\n".join(t for (t, _, owner), c in zip(tree.lines, content) if c and any(h in owner.chain() for h in homes))
+    homes = [n for n in tree.nodes if n.tag not in html_text.PIECES and weight(n) >= 0.75 * weight(tree.root)]
+    home = max(homes, key=lambda n: number[id(n)], default=tree.root)
+    return "\n".join(t for (t, _, owner), c, p in zip(tree.lines, content, chosen) if c and (p or home in owner.chain()))
+
+
+def test_all_pages_against_the_plain_version():
+    pages = [h for sf in ("sf0.001", "sf0.01") for h in pq.read_table(f"/root/testdata/{sf}/pages.parquet")["html"].to_pylist()]
+    assert len(pages) == 300
+    for page in pages:
+        assert html_text.main_text(page or "") == plain_text(page or "")
+
+
+def test_random_pages_against_the_plain_version():
+    random.seed(8)
+    parts = [*AROUND.values(), ARTICLE, *KEPT, "<div>", "</div>", "<p>", "</p>", "<section class='comments'>", "</section>", "<main>", "</main>", "<li>", "<ul class='menu'>",
+             "</ul>", "<form>", "</form>", "<header>", "</header>", "<body class='x'>", "</body>", "<svg>", "</svg>", "<noscript>", "</noscript>", "some text of a few words", "x", "<br>",
+             "<article>", "</article>", "<div class='ad-slot'>", "<div id='search'>", "<script>", "</script>", "long text " * 30]
+    for _ in range(1500):
+        page = "".join(random.choices(parts, k=random.randrange(1, 25)))
+        assert html_text.main_text(page) == plain_text(page), page
