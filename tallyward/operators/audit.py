@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.operators.guards import require_tenant, tenant_scope
-from tallyward.operators.topn import newest_page
+from tallyward.operators.topn import newest_page, page_after
 
 # ---- Fixed values ---------------------------------------------------------------------------------------
 ACTION_TYPES = (
@@ -61,6 +61,11 @@ def page(rows: DataFrame, limit: int = PAGE_ROWS, offset: int = 0) -> DataFrame:
     return newest_page(rows, [F.desc("id")], limit, offset)
 
 
+def page_before(rows: DataFrame, last_id: object | None, limit: int = PAGE_ROWS) -> DataFrame:
+    """The page of a newest-first listing that follows the row of an id, the first one without it. Deep pages cost what the first does."""
+    return page_after(rows, [("id", True)], None if last_id is None else [last_id], limit)
+
+
 def since(rows: DataFrame, now: Column, days: int, ts_col: str = "timestamp") -> DataFrame:
     """Rows of the last `days` days before `now`; both ends are plain values, so the filter reaches the scan."""
     return rows.where(F.col(ts_col) >= now - F.make_dt_interval(F.lit(days)))

@@ -61,3 +61,29 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> Data
 def newest_page(df: DataFrame, order: Sequence[Column], limit: int = 50, offset: int = 0) -> DataFrame:
     """One page of a newest-first listing."""
     return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def page_after(df: DataFrame, order: Sequence[tuple[str, bool]], after: Sequence[object] | None, limit: int = 50) -> DataFrame:
+    """The page of a listing that follows a place in it, by a filter instead of an offset: what comes before is never sorted.
+
+    `order` is (column, descending) with a unique last column, `after` the values of the last row seen, None for the first page; a
+    value may also be a Column without rows of its own, such as a scalar subquery. Nulls come last.
+    """
+    rows = df
+    if after is not None:
+        later, same = F.lit(False), F.lit(True)
+        for (name, descending), value in zip(order, after, strict=True):
+            column = F.col(name)
+            if value is None:
+                same = same & column.isNull()
+                continue
+            beyond = column < value if descending else column > value
+            later = later | (same & (F.coalesce(beyond, F.lit(True)) if df.schema[name].nullable else beyond))
+            same = same & (column == value)
+        # The first column alone bounds what is read.
+        name, descending = order[0]
+        if after[0] is not None:
+            first = F.col(name) <= after[0] if descending else F.col(name) >= after[0]
+            rows = rows.where(first | F.col(name).isNull() if df.schema[name].nullable else first)
+        rows = rows.where(F.coalesce(later, F.lit(False)))
+    return rows.orderBy(*[F.desc_nulls_last(n) if descending else F.asc_nulls_last(n) for n, descending in order]).limit(limit)

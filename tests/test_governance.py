@@ -453,3 +453,25 @@ def test_a_result_is_run_once(spark):
 def test_an_empty_plan_delivers_nothing(spark, orders):
     done = steps.run_plan(Dataset("data", orders), []).deliver(lambda *_: None)
     assert done.results == () and done.checks.count() == 0
+
+
+# ---- pages --------------------------------------------------------------------------------------------
+
+
+def test_pages_after_a_place_equal_offsets(spark):
+    random.seed(2)
+    rows = [(random.choice([None, 1, 2, 3]), random.choice([None, "a", "b"]), i) for i in range(60)]
+    frame = spark.createDataFrame(rows, "x int, y string, id int").repartition(3)
+    for order in ([("x", True), ("y", False), ("id", True)], [("id", True)], [("y", True), ("id", False)]):
+        sort = [F.desc_nulls_last(n) if d else F.asc_nulls_last(n) for n, d in order]
+        after, got = None, []
+        while page := values(topn.page_after(frame, order, after, 7)):
+            got += page
+            after = [dict(zip(frame.columns, page[-1]))[n] for n, _ in order]
+        assert got == values(frame.orderBy(*sort)) and len(got) == 60
+
+
+def test_a_deep_page_reads_what_the_filter_leaves(spark, folder):
+    spark.range(1000).write.parquet(f"{folder}/t")
+    text = audit.page_before(spark.read.parquet(f"{folder}/t"), 20)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(id,20)" in text and "TakeOrderedAndProject" in text

@@ -140,12 +140,18 @@ def _grade_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graded(spark, sf_dir).select("id", F.concat_ws("; ", "reasons").alias("reasons"), "pass")
 
 
+def _seen(spark: SparkSession, sf_dir: str, rows: int):
+    """The id of the last of the newest rows, as a reader of the pages before would know it."""
+    return audit.page(_audit(spark, sf_dir), rows).agg(F.min("id")).scalar()
+
+
 QUERIES = {
     "audit_sanitize": _sanitize,
     "audit_search": lambda s, d: audit.search(_audit(s, d), username="user-7", action_type="QUERY").select("id", "timestamp", "username", "action_type", "tenant_id"),
     "audit_lookback": lambda s, d: audit.since(_audit(s, d), _now(), 7).select("id", "timestamp", "username"),
     "audit_export": lambda s, d: audit.export(_audit(s, d), "tenant-7", _now(), 10),
     "audit_page": lambda s, d: audit.page(_audit(s, d), 50, 100).select("id", "timestamp", "username", "action_type"),
+    "audit_page_before": lambda s, d: audit.page_before(_audit(s, d), _seen(s, d, 100)).select("id", "timestamp", "username", "action_type"),
     "audit_stats": lambda s, d: audit.stats(_audit(s, d)),
     "details_json": _details,
     "tenant_scope": lambda s, d: guards.tenant_scope(_audit(s, d), " tenant-7 ").select("id", "tenant_id", "username"),
@@ -175,6 +181,7 @@ ORACLES = {
     "audit_search": oracle("SELECT id, timestamp, username, action_type, tenant_id FROM a WHERE username = 'user-7' AND action_type = 'QUERY'", a=AUDIT),
     "audit_lookback": oracle(f"SELECT id, timestamp, username FROM a WHERE timestamp >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY", a=AUDIT),
     "audit_export": oracle(f"SELECT * FROM a WHERE tenant_id = 'tenant-7' AND timestamp >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY", a=AUDIT),
+    "audit_page_before": oracle("SELECT id, timestamp, username, action_type FROM a ORDER BY id DESC LIMIT 50 OFFSET 100", a=AUDIT),
     "audit_page": oracle("SELECT id, timestamp, username, action_type FROM a ORDER BY id DESC LIMIT 50 OFFSET 100", a=AUDIT),
     "audit_stats": oracle(
         """SELECT 'total' AS section, CAST(NULL AS VARCHAR) AS key, count(*) AS n FROM a

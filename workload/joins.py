@@ -58,10 +58,11 @@ def _known_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part descriptions that hold the name of a part of odd key: more names than a short list."""
+    """How many names of parts each part's description holds: more names than a short list."""
     parts = table(spark, sf_dir, "part")
     texts = parts.select("p_partkey", F.concat_ws(" ", "p_type", F.upper("p_name"), "p_brand").alias("text"))
-    return containment.texts_containing(texts, "p_partkey", "text", parts.where("p_partkey % 2 = 1"), "p_name").select("p_partkey")
+    pairs = containment.matching_pairs(texts, "p_partkey", "text", containment.known_values(parts, "p_name"))
+    return pairs.groupBy("p_partkey").agg(F.count("*").alias("names"))
 
 
 QUERIES = {
@@ -91,8 +92,9 @@ ORACLES = {
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
     "leak_known_values": """SELECT doc_id, source FROM documents d
         WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(lower(d.text), lower(b.text)))""",
-    "leak_known_names": """WITH w AS (SELECT DISTINCT lower(p_name) AS name FROM part WHERE p_partkey % 2 = 1)
-        SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM w WHERE contains(lower(concat_ws(' ', p_type, upper(p_name), p_brand)), name))""",
+    "leak_known_names": """WITH w AS (SELECT DISTINCT lower(p_name) AS name FROM part),
+        t AS (SELECT p_partkey, lower(concat_ws(' ', p_type, upper(p_name), p_brand)) AS text FROM part)
+        SELECT p_partkey, count(*) AS names FROM t JOIN w ON contains(text, name) GROUP BY p_partkey""",
     "leak_known_words": """WITH w AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS word FROM part)
         SELECT page_id, url FROM pages WHERE EXISTS (SELECT 1 FROM w WHERE contains(lower(html), word))""",
 }
