@@ -302,6 +302,7 @@ def round_trip(frame: DataFrame, path: str | None = None, pattern: str = public_
     """Per document the number of ids, the digest of the ids as decimal text, and the digest of what they decode to.
 
     Encodes and decodes as `encode` and `decode` do, in one pass, so that the ids of a corpus are not moved about for a digest.
+    A null or empty text has no ids; repeated rows and null ids are kept as they are; an empty table gives an empty result.
     `max_pieces` and `max_states` bound the memory of a worker; results do not depend on them.
     """
     data = frame.sparkSession.sparkContext.broadcast(load_ranks(path or public_tokenizers.path(VOCABULARY)))

@@ -17,7 +17,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import documents, held, resident, text_bytes
+from tallyward.llm.common import documents, held, resident, slices, text_bytes
 
 WINDOW = 13
 #: Words in the windows of one automaton, some 50 bytes each in a task. More windows make further automata, used in turn.
@@ -140,7 +140,7 @@ def _step(key: str, block: Broadcast, last: bool = False):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(key, block)
-        for batch in batches:
+        for batch in slices(batches, 1024, 1):
             runs, items, counts, hits, spans = [], [], [], [], []
             before = zip(batch.column(2), batch.column(3))
             for text, (old_runs, old_items) in zip(text_bytes(batch.column(1)), before):

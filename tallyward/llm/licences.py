@@ -162,7 +162,7 @@ def scan(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     distinct licences in the order of the rules, and `unmatched`, the known sentences that no rule took.
 
     A null text has no sentence, an empty one neither. No row is dropped; rows are independent, so repeated ids do not matter.
-    Other columns are ignored.
+    Other columns are ignored. An empty table gives an empty result.
     """
     rows = documents(frame, id_column, text_column)
     marks = "".join(_MARKS.values())

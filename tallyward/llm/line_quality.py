@@ -139,7 +139,7 @@ def quality(frame: DataFrame, id_column: str = "doc_id", host_column: str = "sou
     where that is too small, else null.
 
     A null or empty text has no words and fails the base rules. Null hosts are one host. Repeated rows and rows with the
-    same id are judged each by its own text. Other columns are ignored.
+    same id are judged each by its own text. Other columns are ignored. An empty table gives an empty result.
     """
     lines = host_lines(frame, host_column, text_column)
     lost = depleted(lines, boilerplate(lines, max_documents, max_share), min_left)

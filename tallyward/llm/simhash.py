@@ -216,7 +216,8 @@ def near_duplicates(frame: DataFrame, id_column: str = "doc_id", text_column: st
     """Per row the id, the fingerprint `bits`, and `component`, the smallest id of those that links lead to, its own included.
 
     Null and empty texts have fingerprint 0 and are linked like any other. Rows with a null id take part and get the
-    component's smallest id, null if there is none. Repeated rows are each returned. Other columns are ignored.
+    component's smallest id, null if there is none. Repeated rows are each returned. Other columns are ignored. An empty
+    table gives an empty result.
     """
     found = held(fingerprints(frame, id_column, text_column, shingle), "fingerprints")
     own = found.groupBy("bits").agg(F.min(id_column).alias("least"))

@@ -282,7 +282,7 @@ def dedup(frame: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_column: st
 
     Strings are judged on the input, all occurrences are removed. A null text is empty and stays; texts under `length` bytes stay
     whole. Copies of a row repeat each other. Rows are told apart by their text only, so null or repeated ids do not matter.
-    Other columns are ignored; kept columns may not have the names of the results.
+    Other columns are ignored; kept columns may not have the names of the results. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
     keyed = frame.select(*text_key(text), text.alias("text"))
