@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from tallyward import Dataset
 from tallyward.operators import containment
-from tallyward.operators.joins import join_view
-from tallyward.plans.catalog import JoinPolicy
+from tallyward.operators.joins import join_view, joined_metric
+from tallyward.operators.metrics import run_metric
+from tallyward.plans.catalog import JoinPolicy, MetricDefinition
 from tallyward.sources.registry import DatasetRegistry
 from tests.conftest import values
 
@@ -93,3 +94,32 @@ def test_hot_key_join_keeps_every_row(spark):
     right = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     joined = join_view(left, right, policy("k", "k"))
     assert joined.count() == sum(1 for i in range(3000) if (7 if i % 3 == 0 else i) < 50)
+
+
+@pytest.mark.parametrize("join_type", ["inner", "left"])
+@pytest.mark.parametrize("null_safe", [True, False])
+def test_metrics_below_the_join(spark, join_type, null_safe):
+    random.seed(f"{join_type}{null_safe}")
+    some = lambda *options: random.choice([None, *options])
+    left = spark.createDataFrame([(some(1, 2, 3, 4), some("a", "b"), some(1.5, -2.0, 8.0), i) for i in range(60)], "k int, g string, x double, n long").repartition(3)
+    right = spark.createDataFrame([(some(1, 2, 3, 9), some("p", "q"), some(0.5, 7.0), some("a", "c")) for _ in range(40)], "k int, h string, y double, g string").repartition(2)
+    columns = {"sum": "x", "mean": "y", "max": "y", "min": "n", "count": "x", "nunique": "y"}
+    wanted = [(names, agg, group) for names in ("k", "key") for agg in columns for group in (None, "g", "h", "g_joined", "k")]
+    for name, agg, group in random.sample(wanted, 12):
+        other, how = right.withColumnRenamed("k", name), policy("k", name, join_type)
+        filters = random.choice([None, {"g": "a"}, {"h": "p"}, {"g": "b", "g_joined": "c"}])
+        metric = MetricDefinition("m", columns[agg], agg, group)
+        plain = run_metric(join_view(left, other, how, null_safe), metric, filters)
+        found = joined_metric(left, other, how, metric, filters, null_safe)
+        assert found.schema.simpleString() == plain.schema.simpleString(), metric
+        got, expected = ({r.asDict().get("key"): r["value"] for r in f.collect()} for f in (found, plain))
+        assert got == pytest.approx(expected), (name, metric, filters)
+
+
+def test_null_keys_are_no_product(spark):
+    """A million joined rows of null keys, from a thousand on each side, are one pair of rows."""
+    left = spark.range(1000).select(F.lit(None).cast("int").alias("k"), F.lit(2.0).alias("x"))
+    right = spark.range(1000).select(F.lit(None).cast("int").alias("k"), F.lit("a").alias("g"))
+    assert values(joined_metric(left, right, policy("k", "k"), MetricDefinition("m", "x", "sum", "g"))) == [("a", 2_000_000.0)]
+    with pytest.raises(ValueError):
+        joined_metric(left, right, policy("k", "k"), MetricDefinition("m", "nope", "sum", "g"))

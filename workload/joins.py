@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.operators import containment, joins, metrics, stats
+from tallyward.operators import containment, joins
 from tallyward.plans.catalog import JoinPolicy, MetricDefinition
 from workload.inputs import table
 
@@ -35,14 +35,16 @@ def _null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.join_view(events, kinds, _policy("kind", "kind"))
 
 
+def _joined(spark: SparkSession, sf_dir: str, metric: MetricDefinition) -> DataFrame:
+    return joins.joined_metric(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), _policy("o_custkey", "c_custkey"), metric)
+
+
 def _metric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metric = MetricDefinition("m", "o_totalprice", "sum", "c_mktsegment")
-    return metrics.run_metric(_orders_customers(spark, sf_dir), metric).withColumn("value", F.round("value", 2))
+    return _joined(spark, sf_dir, MetricDefinition("m", "o_totalprice", "sum", "c_mktsegment")).withColumn("value", F.round("value", 2))
 
 
 def _compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = stats.group_compare(_orders_customers(spark, sf_dir), "o_totalprice", "c_nationkey", "mean")
-    return result.withColumn("value", F.round("value", 4))
+    return _joined(spark, sf_dir, MetricDefinition("m", "o_totalprice", "mean", "c_nationkey")).withColumn("value", F.round("value", 4))
 
 
 def _known_values(spark: SparkSession, sf_dir: str) -> DataFrame:
