@@ -45,6 +45,8 @@ def joined_metric(
     Each side is first summed up by its key, and by the group where that is its column; a pair of such rows stands for as many joined
     rows as the product of their numbers. A key that many rows of both sides have, null among them, so costs one row a group instead
     of the product. Filters are applied below the join. A distinct count can not be put together from parts: it runs on the view.
+
+    Where the right table is small and has each key once there is no product, and the view is cheaper: it needs no sums by key.
     """
     if metric.agg == "nunique":
         return run_metric(join_view(left, right, policy, null_safe), metric, filters)
