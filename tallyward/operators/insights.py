@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyward.frames import small_frame
 from tallyward.functions.numbers import correlation_strength, grouped_number
 from tallyward.operators import stats
+from tallyward.operators.guards import additive_sql, column_ref, identifier, inline_rows, is_numeric_type, number_sql, require_columns, require_numeric, text_literal
 from tallyward.operators.metrics import run_metric
-from tallyward.operators.profile import TableProfile
+from tallyward.operators.profile import TableProfile, value_cell
 from tallyward.plans.catalog import MetricDefinition
 
 # ---- Fixed values: thresholds, caps and wording ---------------------------------------------------------
@@ -27,6 +29,10 @@ MISSING_TITLE, MISSING_DETAIL = "%s has missing values", "%.1f%% of rows are mis
 CORRELATION_TITLE, CORRELATION_DETAIL = "%s and %s are correlated", "Correlation of %.2f."
 # ---------------------------------------------------------------------------------------------------------
 
+# Kinds of the cells of a report, and its sections of which only the first lines are told.
+ROWS, COLUMN, GROUP, PERIOD = range(4)
+RANKED = ("distribution", "top segment")
+
 
 def _insight(frame: DataFrame, severity: str, check_no: int, kind: str, title: Column, detail: Column, position: Column | None = None) -> DataFrame:
     return frame.select(
@@ -46,7 +52,10 @@ def outlier_insight(df: DataFrame, column: str) -> DataFrame:
 def trend_insight(df: DataFrame, date_col: str, column: str) -> DataFrame:
     """At most one row: there is a daily series to look at."""
     # Text in a column called a date may not be one; such a row is no reason to fail the whole list.
-    series = stats.trend(df, date_col, column, "D", lenient=True).limit(1)
+    # One dated row is enough to know; the scan ends with it.
+    require_columns(df, [date_col, column])
+    require_numeric(df, [column])
+    series = df.where(stats.period_of(df, date_col, "D", lenient=True).isNotNull()).select(column_ref(date_col)).limit(1)
     title = F.lit(TREND_TITLE.format(column=column, date=date_col))
     return _insight(series, "info", 2, "trend", title, F.lit(TREND_DETAIL))
 
@@ -119,51 +128,102 @@ def _two_decimals(value: Column) -> Column:
     return F.when(value.isNotNull(), F.format_string("%.2f", value.cast("double")))
 
 
+def _report_cells(df: DataFrame, profile: TableProfile) -> DataFrame:
+    """The cells of a report, aggregated by what they are about, from one scan.
+
+    `kind` is ROWS (once a row, with the first two numeric columns as x and y), COLUMN (a cell for each column: x of a numeric
+    one, the value of another in the slot of its type, see `profile.value_cell`), GROUP (the first grouping column's value in
+    `key`) or PERIOD (the month); `v` is what a group or a month sums up.
+    """
+    numeric, temporal, groups = profile.numeric, profile.temporal, profile.categorical
+    key = identifier(groups[0]) if groups else "CAST(NULL AS STRING)"
+    key_type = df.schema[groups[0]].dataType.simpleString() if groups else "string"
+    v = additive_sql(df, numeric[0]) if numeric else "CAST(NULL AS DOUBLE)"
+    none = {
+        "kind": "-1", "place": "0", "key": f"CAST(NULL AS {key_type})", "period": "CAST(NULL AS DATE)", "whole": "CAST(NULL AS BIGINT)",
+        "fraction": "CAST(NULL AS DOUBLE)", "text": "CAST(NULL AS STRING)", "x": "CAST(NULL AS DOUBLE)", "y": "CAST(NULL AS DOUBLE)",
+        "v": f"IF(false, {v}, NULL)",
+    }
+    as_double = lambda name: f"CAST({number_sql(df, name)} AS DOUBLE)"
+    pair = {}
+    if len(numeric) >= 2:
+        a, b = map(as_double, numeric[:2])
+        pair = {"x": f"IF({b} IS NULL, NULL, {a})", "y": f"IF({a} IS NULL, NULL, {b})"}
+    cells = [{**none, "kind": str(ROWS), **pair}]
+    for place, name in enumerate(df.columns, 1):
+        value = {"x": as_double(name)} if is_numeric_type(df.schema[name].dataType) else value_cell(df, name)
+        cells.append({**none, "kind": str(COLUMN), "place": str(place), **value})
+    if groups:
+        cells.append({**none, "kind": str(GROUP), "key": key, **({"v": v} if numeric else {})})
+    if numeric and temporal:
+        # Text in a column called a date may not be one; such a row has no month and is left out below.
+        month = f"trunc(try_cast({identifier(temporal[0])} AS DATE), '{stats.PERIODS['M']}')"
+        cells.append({**none, "kind": str(PERIOD), "period": month, "v": v})
+    rows = df.select(inline_rows(cells)).where(f"kind != {PERIOD} OR period IS NOT NULL")
+    sums = rows.groupBy("kind", "place", "key", "period", "whole", "fraction", "text").agg(
+        F.count("*").alias("n"), F.count("x").alias("nx"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
+        F.max("x").alias("max"), F.stddev_samp("y").alias("std_y"), F.covar_samp("x", "y").alias("covar"), F.sum("v").alias("v"),
+    )
+    # A row that counts nothing for the table and each column, so that an empty table has them too.
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sums.schema)
+    every = [{"kind": ROWS, "place": 0}, *({"kind": COLUMN, "place": i} for i in range(1, len(df.columns) + 1))]
+    padded = sums.unionByName(small_frame(df.sparkSession, [{**e, "n": 0, "nx": 0} for e in every], shape))
+    missing = F.col("whole").isNull() & F.col("fraction").isNull() & F.col("text").isNull()
+    return padded.groupBy("kind", "place", "key", "period").agg(
+        F.sum("n").alias("n"), F.sum("nx").alias("nx"), F.count_if(~missing).alias("n_unique"),
+        F.sum(F.when(missing, F.col("n")).otherwise(F.lit(0))).alias("n_missing"),
+        *[F.max(c).alias(c) for c in ("mean", "std", "min", "max", "std_y", "covar", "v")],
+    )
+
+
 def baseline_report(df: DataFrame, profile: TableProfile) -> DataFrame:
     """(section, position, label, value): overview, key findings, statistics, gaps, top values, monthly trend.
 
-    Within a section rows are ordered by position, then label.
+    Within a section rows are ordered by position, then label. All of it is one aggregation over one scan but for the count of
+    outliers, which has to know the mean first.
     """
     numeric, temporal, groups = profile.numeric, profile.temporal, profile.categorical
-    parts = []
-
-    def add(frame: DataFrame, section: str, position: Column, label: Column, value: Column) -> None:
-        parts.append(
-            frame.select(
-                F.lit(section).alias("section"), position.cast("int").alias("position"),
-                label.cast("string").alias("label"), value.cast("string").alias("value"),
-            )
+    nothing, number_of = F.lit(None), lambda c: F.col(c).cast("string")
+    key_type, v_type = (lambda t: (t["key"].dataType, t["v"].dataType))((cells := _report_cells(df, profile)).schema)
+
+    def line(section: str, position: Column, label: Column, value: Column, keep: Column = F.lit(True), best: Column = nothing, most: Column = nothing) -> Column:
+        ranked = section in RANKED
+        return F.struct(
+            F.lit(section).alias("section"), position.cast("int").alias("position"), label.cast("string").alias("label"),
+            value.cast("string").alias("value"), keep.alias("keep"), F.lit(ranked).alias("ranked"),
+            (F.col("key") if ranked else nothing).cast(key_type).alias("key"), best.cast(v_type).alias("best"), most.cast("long").alias("most"),
         )
 
-    # The overview is known from the profile; hanging it on a one-row count keeps it part of the same frame.
-    rows = df.agg(F.count("*").alias("n"))
-    add(rows, "overview", F.lit(0), F.lit("rows"), F.col("n"))
-    add(rows.select(F.lit(profile.n_cols).alias("n")), "overview", F.lit(1), F.lit("columns"), F.col("n"))
-    if numeric and groups:
-        top = leader(stats.group_compare(df, numeric[0], groups[0], "sum"))
-        add(top, "top segment", F.lit(0), F.col("key"), grouped_number(F.col("value")))
+    table = [line("overview", F.lit(0), F.lit("rows"), F.col("n")), line("overview", F.lit(1), F.lit("columns"), F.lit(profile.n_cols))]
     if len(numeric) >= 2:
-        r = stats.correlation(df, numeric[0], numeric[1])
-        add(r, "correlation", F.lit(0), correlation_strength(F.col("corr")), F.format_string("%+.2f", "corr"))
+        spread = F.col("std") * F.col("std_y")
+        r = F.when(spread > 0, F.col("covar") / spread).otherwise(F.lit(0.0))
+        table.append(line("correlation", F.lit(0), correlation_strength(r), F.format_string("%+.2f", r)))
+    is_number = F.expr(f"get(array({', '.join(str(is_numeric_type(f.dataType)).lower() for f in df.schema)}), place - 1)")
+    name = F.expr(f"get(array({', '.join(map(text_literal, df.columns))}), place - 1)")
+    nulls = F.when(is_number, F.col("n") - F.col("nx")).otherwise(F.col("n_missing"))
+    facts = {
+        "count": (F.col("n") - nulls).cast("string"), "nulls": nulls.cast("string"),
+        "n_unique": F.when(~is_number, number_of("n_unique")), **{m: _two_decimals(F.col(m)) for m in ("mean", "std", "min", "max")},
+    }
+    column = [line("statistics", F.col("place"), F.concat_ws(".", name, F.lit(f)), x, x.isNotNull()) for f, x in facts.items()]
+    column.append(line("missing", F.col("place"), name, nulls, nulls > 0))
+    group = [line("distribution", F.lit(0), F.col("key"), F.col("n"), most=F.col("n"))]
     if numeric:
-        found = stats.outlier_scores(df, numeric[0]).agg(F.count("*").alias("n")).where("n > 0")
-        add(found, "outliers", F.lit(0), F.lit(numeric[0]), F.col("n"))
-    summary = stats.describe(df)
-    counts, measures = ("count", "nulls", "n_unique"), ("mean", "std", "min", "max")
-    cells = F.array(
-        *[F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v")) for f in counts],
-        *[F.struct(F.lit(f).alias("f"), _two_decimals(F.col(f)).alias("v")) for f in measures],
+        group.append(line("top segment", F.lit(0), F.col("key"), grouped_number(F.col("v")), F.col("v").isNotNull(), best=F.col("v")))
+    lines = F.when(F.col("kind") == ROWS, F.array(*table)).when(F.col("kind") == COLUMN, F.array(*column)).when(F.col("kind") == GROUP, F.array(*group))
+    lines = lines.otherwise(F.array(line("trend", F.lit(0), F.col("period"), _two_decimals(F.col("v")))))
+    said = cells.select(F.inline(lines)).where("keep")
+    # Only the two ranked sections are put in order; every other line is first of its own.
+    own = F.when(~F.col("ranked"), F.concat_ws("\0", F.col("position").cast("string"), "label"))
+    order = Window.partitionBy("section", own).orderBy(F.desc("best"), F.desc("most"), F.asc_nulls_last("key"))
+    placed = said.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= REPORT_VALUES)
+    placed = placed.where((F.col("section") != "top segment") | (F.col("rank") == 1))
+    position = F.when(F.col("section") == "distribution", F.col("rank")).otherwise(F.col("position"))
+    report = placed.select("section", position.alias("position"), "label", "value")
+    if not numeric:
+        return report
+    found = stats.outlier_scores(df, numeric[0]).agg(F.count("*").alias("n")).where("n > 0")
+    return report.unionByName(
+        found.select(F.lit("outliers").alias("section"), F.lit(0).alias("position"), F.lit(numeric[0]).alias("label"), number_of("n").alias("value"))
     )
-    place = F.array_position(F.array(*[F.lit(c) for c in df.columns]), F.col("column"))
-    long = summary.select("column", place.alias("place"), F.inline(cells)).where("v is not null")
-    add(long, "statistics", F.col("place"), F.concat_ws(".", "column", "f"), F.col("v"))
-    gaps = stats.missingness(df).where("nulls > 0")
-    add(gaps, "missing", place, F.col("column"), F.col("nulls"))
-    if groups:
-        counts = stats.value_counts(df, groups[0], REPORT_VALUES)
-        rank = F.row_number().over(Window.orderBy(F.desc("count"), F.asc_nulls_last("value")))  # of eight rows
-        add(counts.withColumn("rank", rank), "distribution", F.col("rank"), F.col("value"), F.col("count"))
-    if numeric and temporal:
-        series = stats.trend(df, temporal[0], numeric[0], "M", lenient=True)
-        add(series, "trend", F.lit(0), F.col("period"), _two_decimals(F.col("value")))
-    return reduce(DataFrame.unionByName, parts)

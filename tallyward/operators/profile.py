@@ -88,8 +88,8 @@ class TableProfile:
 # ---- counts ---------------------------------------------------------------------------------------------
 
 
-def _cell(df: DataFrame, ordinal: int, name: str) -> dict[str, str]:
-    """One cell with the value in the slot of its type, ready to be counted across columns."""
+def value_cell(df: DataFrame, name: str) -> dict[str, str]:
+    """A column's value in the slot of its type, ready to be counted across columns."""
     data_type, column = df.schema[name].dataType, identifier(name)
     whole, fraction, text = "CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS STRING)"
     if isinstance(data_type, (T.IntegralType, T.BooleanType)):
@@ -103,7 +103,7 @@ def _cell(df: DataFrame, ordinal: int, name: str) -> dict[str, str]:
     else:
         text = f"to_json({column})" if isinstance(data_type, NESTED) else f"CAST({column} AS STRING)"
         text = f"CASE WHEN length({text}) > {LONG_TEXT} THEN sha2({text}, 256) ELSE {text} END"
-    return {"ordinal": str(ordinal), "whole": whole, "fraction": fraction, "text": text}
+    return {"whole": whole, "fraction": fraction, "text": text}
 
 
 def column_counts(df: DataFrame, columns: Sequence[str] | None = None, distinct: str = "exact") -> DataFrame:
@@ -126,7 +126,7 @@ def column_counts(df: DataFrame, columns: Sequence[str] | None = None, distinct:
 
 
 def _exact_counts(df: DataFrame, places: Sequence[tuple[int, str]]) -> DataFrame:
-    cells = df.select(inline_rows([_cell(df, i, c) for i, c in places]))
+    cells = df.select(inline_rows([{"ordinal": str(i), **value_cell(df, c)} for i, c in places]))
     per_value = cells.groupBy("ordinal", "whole", "fraction", "text").agg(F.count("*").alias("n"))
     # A row that counts nothing for each column, so that an empty table still has its columns.
     schema = "ordinal int, whole bigint, fraction double, text string, n bigint"

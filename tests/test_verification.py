@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tallyward.frames import small_frame
 from tallyward.operators import charts, insights, profile, stats, verify
 from tallyward.plans.catalog import generate_metrics
-from tests.conftest import values
+from tests.conftest import scans, values
 
 SCHEMA = "i int, target string, value double, source_rows bigint, breakdown_sum double, expected_total double, truncated boolean, plan_type string, error string, parse_failed boolean"
 
@@ -105,6 +105,36 @@ def test_report(orders):
     assert next(r["value"] for r in rows if r["label"] == "revenue.mean") == "233.33"
 
 
+def test_report_is_one_scan_beside_the_outliers(spark, folder):
+    days = F.expr("date_add(date'2024-01-01', CAST(id % 90 AS INT))")
+    spark.range(1000).select("id", (F.col("id") % 7).cast("string").alias("g"), days.alias("day"), (F.col("id") * -2.0).alias("x")).write.parquet(f"{folder}/t")
+    df = spark.read.parquet(f"{folder}/t")
+    report = insights.baseline_report(df, profile.build_profile(df))
+    outlier_pass = scans(stats.outlier_scores(df, "id").agg(F.count("*")))
+    assert scans(report) == 1 + outlier_pass
+    rows = {(r["section"], r["position"], r["label"]): r["value"] for r in report.collect()}
+    assert rows["correlation", 0, "strong"] == "-1.00" and rows["statistics", 2, "g.n_unique"] == "7"
+    assert rows["distribution", 1, "0"] == "143" and rows["distribution", 7, "6"] == "142" and ("distribution", 8, "7") not in rows
+    assert [k[2] for k in sorted(rows) if k[0] == "trend"] == ["2024-01-01", "2024-02-01", "2024-03-01"]
+    assert not any(k[0] in ("missing", "outliers") for k in rows)
+
+
+def test_report_of_odd_tables(spark):
+    """Text that is no date, NaN, nulls, a column named like a slot, and a table without rows or numbers."""
+    rows = [(None, 1.5, "2024-01-05"), ("x", float("nan"), "no date"), ("x", None, None), ("y", 4.5, "2024-02-01")] * 10
+    df = spark.createDataFrame(rows, "g string, v double, date string")
+    known = profile.build_profile(df)
+    report = lambda frame, found=known: {(r["section"], r["label"]): (r["position"], r["value"]) for r in insights.baseline_report(frame, found).collect()}
+    got = report(df)
+    assert got["missing", "v"] == (2, "20") and got["missing", "g"] == (1, "10") and got["statistics", "v.mean"] == (2, "3.00")
+    assert got["top segment", "y"] == (0, "45.00") and got["distribution", "x"] == (1, "20") and got["distribution", None] == (3, "10")
+    assert (got["trend", "2024-01-01"], got["trend", "2024-02-01"]) == ((0, "15.00"), (0, "45.00")) and got["overview", "rows"] == (0, "40")
+    empty = report(df.limit(0))
+    assert empty["overview", "rows"] == (0, "0") and empty["statistics", "v.nulls"] == (2, "0") and not any(k[0] in ("trend", "distribution") for k in empty)
+    words = df.select("g", F.col("date").alias("note"))
+    assert report(words, profile.build_profile(words))["overview", "columns"] == (1, "2")
+
+
 @pytest.mark.parametrize("n", [3, 50, 60])
 def test_charts(spark, n):
     bars = charts.bar_data(spark.range(n).select(F.col("id").alias("key"), F.col("id").cast("double").alias("value"))).collect()
