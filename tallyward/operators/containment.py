@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 SMALL_VALUES = 300
 SMALL_VALUE_CHARS = 1_000_000
 RUN = 8
+# Words of 64 bits in the map of run digests that texts are held against: 1 MB, whatever the list. A full map lets more
+# through to the join and loses none.
+MAP_WORDS = 1 << 17
 
 
 def known_values(values: DataFrame, value_col: str) -> DataFrame:
@@ -39,16 +42,31 @@ def matching_pairs(texts: DataFrame, key: str, text_col: str, values: DataFrame)
     """(key, value) for every text that contains a value of `known_values`; an equi-join, then a check.
 
     A value is looked up under its rarest run of RUN characters, which any text containing it must have too;
-    a shorter value is its own run. Only run digests and keys take part in the first join, so texts are shuffled
-    once, for the check, and only those with a candidate are compared.
+    a shorter value is its own run. Only run digests and keys take part in the first join, and of them only those
+    that the anchors' map has, so texts are shuffled once, for the check, and only those with a candidate are compared.
     """
     anchors = _anchors(values)
-    lengths = [r[0] for r in anchors.select("length").distinct().collect()]  # at most RUN distinct lengths
     folded = texts.select(F.col(key), F.lower(F.col(text_col)).alias("_text"))
+    candidates = mapped_runs(folded, key, anchors).join(anchors.select("run", "value"), "run").select(key, "value").distinct()
+    return candidates.join(folded, key).where(F.col("_text").contains(F.col("value"))).select(key, "value")
+
+
+def mapped_runs(folded: DataFrame, key: str, anchors: DataFrame) -> DataFrame:
+    """(key, run): digests of the runs of each `_text` that may be an anchor; the others end in the task that made them."""
+    lengths = [r[0] for r in anchors.select("length").distinct().collect()]  # at most RUN distinct lengths
     every = F.concat(*[_runs(F.col("_text"), n) for n in lengths]) if lengths else F.array().cast("array<string>")
     runs = folded.select(key, F.explode(F.array_distinct(every)).alias("run")).select(key, F.xxhash64("run").alias("run"))
-    candidates = runs.join(anchors.select("run", "value"), "run").select(key, "value").distinct()
-    return candidates.join(folded, key).where(F.col("_text").contains(F.col("value"))).select(key, "value")
+    bits = F.get(_digest_map(anchors).scalar(), F.expr(f"CAST(shiftright(run, 6) & {MAP_WORDS - 1} AS INT)"))
+    return runs.where(F.getbit(bits, F.expr("CAST(run & 63 AS INT)")) == 1)
+
+
+def _digest_map(anchors: DataFrame) -> DataFrame:
+    """One row: MAP_WORDS words, with a bit set for each anchor's digest."""
+    word, bit = f"CAST(shiftright(run, 6) & {MAP_WORDS - 1} AS INT) AS word", "shiftleft(1L, CAST(run & 63 AS INT)) AS bits"
+    none = anchors.sparkSession.range(0, MAP_WORDS, 1, 1).selectExpr("CAST(id AS INT) AS word", "0L AS bits")
+    words = anchors.selectExpr(word, bit).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    whole = words.unionByName(none).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return whole.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words")).select("words.bits")
 
 
 def _runs(text: Column, length: int) -> Column:

@@ -89,6 +89,19 @@ def test_containment_without_values(spark):
     assert containment.texts_containing(df, "id", "text", none, "v", small=-1).count() == 0
 
 
+def test_runs_without_an_anchor_are_not_shuffled(spark, monkeypatch):
+    texts = spark.range(300).select("id", F.concat(F.sha2(F.col("id").cast("string"), 512), F.lit("needle in "), F.col("id").cast("string")).alias("_text"))
+    vals = containment.known_values(spark.range(0, 600, 3).select(F.concat(F.lit("needle in "), F.col("id").cast("string")).alias("v")), "v")
+    anchors = containment._anchors(vals)
+    every = texts.agg(F.sum(F.length("_text") - containment.RUN + 1)).first()[0]
+    wanted = values(texts.join(vals, F.col("_text").contains(F.col("value"))).select("id", "value"))
+    assert containment.mapped_runs(texts, "id", anchors).count() < every / 40
+    assert sorted(values(containment.matching_pairs(texts, "id", "_text", vals))) == sorted(wanted)
+    monkeypatch.setattr(containment, "MAP_WORDS", 1)  # a full map
+    assert containment.mapped_runs(texts, "id", anchors).count() > every / 2
+    assert sorted(values(containment.matching_pairs(texts, "id", "_text", vals))) == sorted(wanted)
+
+
 def test_hot_key_join_keeps_every_row(spark):
     left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
     right = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
