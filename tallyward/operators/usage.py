@@ -22,6 +22,10 @@ TURNS_PER_SESSION = 5
 
 QUERIES_PER_DAY = DEFAULT_LIMITS["max_queries_per_day"]
 QUERY, LLM_CALL, UPLOAD = "query", "llm_call", "upload"
+MINUTE = ("tenant_id", "day", "_minute")
+# Minutes of a tenant with more rows are put in order in parts: at most MAX_SLOTS, cut at each FENCE_STEPS-th chosen row.
+GROUP_ROWS = 500_000
+MAX_SLOTS, FENCE_STEPS = 256, 8
 
 
 def recent_events(
@@ -71,28 +75,57 @@ def day_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 
 
-def _numbered(requests: DataFrame, limits: DataFrame | None, default_limit: int, ts_col: str, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows of minutes that begin below the quota, numbered in `request_no`; rows of minutes that begin with it used up).
+def _begun(requests: DataFrame, limits: DataFrame | None, default_limit: int, ts_col: str, id_col: str, group_rows: int) -> DataFrame:
+    """The rows with the `_minute` and `_slot` they fall in, the number of requests `_before` these and the `daily_limit`.
 
     A tenant's day is never sorted whole, whatever its limit: requests are counted per minute, the counts, at most
-    1,440 a day, give each minute the number it starts from, and only the rows of a minute are put in order.
+    1,440 a day, give each minute the number it starts from, and only the rows of a minute are put in order. Minutes of over
+    `group_rows` rows are cut into slots first; a job that counts the minutes finds out whether there are any.
     """
     timed = requests.withColumns({"day": F.to_date(ts_col), "_minute": F.date_trunc("minute", F.col(ts_col))})
-    counts = timed.groupBy("tenant_id", "day", "_minute").agg(F.count("*").alias("_n"))
+    crowded = timed.groupBy(*MINUTE).agg(F.count("*").alias("_n")).where(F.col("_n") > group_rows)
+    if crowded.isEmpty():
+        timed = timed.withColumn("_slot", F.lit(0))
+    else:
+        timed = _with_slots(timed, crowded, ts_col, id_col, group_rows)
+    counts = timed.groupBy(*MINUTE, "_slot").agg(F.count("*").alias("_n"))
     if limits is None:
         counts = counts.withColumn("daily_limit", F.lit(default_limit).cast("bigint"))
     else:
         counts = _with_limit(counts, limits, default_limit)
-    before = Window.partitionBy("tenant_id", "day").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("tenant_id", "day").orderBy("_minute", "_slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    keys = ["tenant_id", "day", "_minute"]
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    joined = timed.alias("r").join(starts.alias("s"), same).select("r.*", "s._before", "s.daily_limit")
-    within = Window.partitionBy(*keys).orderBy(F.asc(ts_col), F.asc(id_col))
-    open_ = joined.where(F.col("_before") < F.col("daily_limit")).withColumn(
-        "request_no", (F.col("_before") + F.row_number().over(within)).cast("bigint")
+    return timed.alias("r").join(starts.alias("s"), _same("r", "s", *MINUTE, "_slot")).select("r.*", "s._before", "s.daily_limit")
+
+
+def _same(left: str, right: str, *keys: str) -> list[Column]:
+    return [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
+
+
+def _with_slots(timed: DataFrame, crowded: DataFrame, ts_col: str, id_col: str, group_rows: int) -> DataFrame:
+    """Rows of crowded minutes get a `_slot` from 0 by time, then id; other minutes are one slot.
+
+    Slots are cut at fences: every FENCE_STEPS-th of the rows that a hash chooses, so that a slot has about a quarter of
+    `group_rows`, or one in MAX_SLOTS of a larger minute. The fences only decide which rows are put in order together; the
+    numbers do not depend on them. Rows at one instant are told apart by their id.
+    """
+    at = F.struct(F.col(f"r.{ts_col}").alias("ts"), F.col(f"r.{id_col}").alias("id"))
+    share = FENCE_STEPS * F.least(F.lit(float(MAX_SLOTS)), 4.0 * F.col("_n") / group_rows) / F.col("_n")
+    chance = F.pmod(F.xxhash64(f"r.{id_col}", f"r.{ts_col}"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = timed.alias("r").join(crowded.alias("c"), _same("r", "c", *MINUTE)).where(chance < share)
+    every = F.array_sort(F.collect_list("at"))
+    fences = chosen.select(*[f"c.{k}" for k in MINUTE], at.alias("at")).groupBy(*MINUTE).agg(
+        F.filter(every, lambda _, i: i % FENCE_STEPS == FENCE_STEPS - 1).alias("_fences")
     )
-    return open_.drop("_before", "_minute"), joined.where(F.col("_before") >= F.col("daily_limit")).drop("_before", "_minute")
+    joined = timed.alias("r").join(fences.alias("f"), _same("r", "f", *MINUTE), "left")
+    slot = F.when(F.col("_fences").isNotNull(), F.size(F.filter("_fences", lambda fence: fence <= at))).otherwise(F.lit(0))
+    return joined.select("r.*", slot.alias("_slot"))
+
+
+def _request_no(begun: DataFrame, ts_col: str, id_col: str) -> DataFrame:
+    within = Window.partitionBy(*MINUTE, "_slot").orderBy(F.asc(ts_col), F.asc(id_col))
+    number = (F.col("_before") + F.row_number().over(within)).cast("bigint")
+    return begun.withColumn("request_no", number).drop("_before", "_minute", "_slot")
 
 
 def accepted_requests(
@@ -101,13 +134,15 @@ def accepted_requests(
     default_limit: int = QUERIES_PER_DAY,
     ts_col: str = "timestamp",
     id_col: str = "id",
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """The requests a daily quota lets through, numbered from 1 per tenant and day in `request_no`.
 
-    `limits` (tenant_id, daily_limit) overrides the default. A refused request is not counted.
+    `limits` (tenant_id, daily_limit) overrides the default. A refused request is not counted. Minutes and slots that begin with
+    the quota used up are not put in order.
     """
-    first, _ = _numbered(requests, limits, default_limit, ts_col, id_col)
-    accepted = first.where(F.col("request_no") <= F.col("daily_limit"))
+    begun = _begun(requests, limits, default_limit, ts_col, id_col, group_rows).where(F.col("_before") < F.col("daily_limit"))
+    accepted = _request_no(begun, ts_col, id_col).where(F.col("request_no") <= F.col("daily_limit"))
     return accepted.drop("daily_limit") if limits is None else accepted
 
 
@@ -117,10 +152,11 @@ def refused_requests(
     default_limit: int = QUERIES_PER_DAY,
     ts_col: str = "timestamp",
     id_col: str = "id",
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """The requests over the daily quota: those that come after the last accepted one of their tenant and day."""
-    first, over = _numbered(requests, limits, default_limit, ts_col, id_col)
-    return first.where(F.col("request_no") > F.col("daily_limit")).drop("request_no").unionByName(over)
+    begun = _begun(requests, limits, default_limit, ts_col, id_col, group_rows)
+    return _request_no(begun, ts_col, id_col).where(F.col("request_no") > F.col("daily_limit")).drop("request_no")
 
 
 def _with_limit(rows: DataFrame, limits: DataFrame, default_limit: int) -> DataFrame:

@@ -6,6 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyward import Dataset
 from tallyward.errors import QuotaExceededError, ResourceLimitError, TenantContextError
@@ -52,7 +53,8 @@ def test_first_per_key_equals_brute_force(spark, skewed, n, threshold):
     assert got == sorted(expected)
 
 
-def test_quota_equals_brute_force(spark, skewed):
+@pytest.mark.parametrize("group_rows", [usage.GROUP_ROWS, 30, 1])
+def test_quota_equals_brute_force(spark, skewed, group_rows):
     df, rows = skewed
     limits = spark.createDataFrame([("hot", 100), ("t1", 0), ("t2", 3), ("t3", 5000)], "tenant_id string, daily_limit int")
     own = {"hot": 100, "t1": 0, "t2": 3, "t3": 5000}
@@ -64,9 +66,10 @@ def test_quota_equals_brute_force(spark, skewed):
             accepted.add((i, used[key]))
         else:
             refused.add(i)
-    assert set(values(usage.accepted_requests(df, limits, 10), "id", "request_no")) == accepted
-    assert {r[0] for r in values(usage.refused_requests(df, limits, 10), "id")} == refused
-    assert usage.refused_requests(df, limits, 10).count() == len(refused)
+    got = values(usage.accepted_requests(df, limits, 10, group_rows=group_rows), "id", "request_no")
+    assert set(got) == accepted and len(got) == len(accepted)
+    over = values(usage.refused_requests(df, limits, 10, group_rows=group_rows), "id")
+    assert {r[0] for r in over} == refused and len(over) == len(refused)
     status = usage.quota_status(df, limits, 10).agg(F.sum("accepted"), F.sum("refused")).first()
     assert tuple(status) == (len(accepted), len(refused))
 
@@ -82,6 +85,28 @@ def test_large_quota_of_one_tenant(spark):
     assert usage.refused_requests(rows, limits, 2).count() == 498
 
 
+@pytest.mark.parametrize("spread", ["CAST(id % 59 AS DECIMAL(18,6))", "0"])
+def test_one_minute_of_one_tenant_is_put_in_order_in_parts(spark, spread):
+    """A million rows, over the minute or at one instant; no part has three times the rows of the middle one."""
+    rows = spark.range(0, 1_000_000, 1, 8).selectExpr(f"timestamp'2024-01-01' + make_dt_interval(0, 0, 0, {spread}) AS timestamp", "id", "'a' AS tenant_id")
+    begun = usage._begun(rows, None, 10**9, "timestamp", "id", 100_000)
+    sizes = sorted(r["count"] for r in begun.groupBy("_slot").count().collect())
+    assert sum(sizes) == 1_000_000 and len(sizes) > 25 and sizes[-1] < 3 * sizes[len(sizes) // 2] and sizes[-1] < 100_000
+    taken = usage.accepted_requests(rows, None, 10**9, group_rows=100_000)
+    lag = Window.orderBy("request_no")
+    assert taken.agg(F.count_distinct("request_no"), F.min("request_no"), F.max("request_no")).first() == (1_000_000, 1, 1_000_000)
+    wrong = taken.select("id", "timestamp", F.lag("timestamp").over(lag).alias("t"), F.lag("id").over(lag).alias("i"))
+    assert wrong.where("t > timestamp OR t = timestamp AND i >= id").count() == 0
+
+
+def test_slots_of_rows_without_id_or_tenant(spark):
+    rows = spark.range(1000).selectExpr("timestamp'2024-01-01' AS timestamp", "IF(id % 3 = 0, NULL, id) AS id", "IF(id % 2 = 0, NULL, 'a') AS tenant_id")
+    got = usage.accepted_requests(rows, None, 400, group_rows=50)
+    assert sorted(values(got.groupBy("tenant_id").agg(F.count_distinct("request_no").alias("n"), F.max("request_no").alias("m")), "n", "m")) == [(400, 400)] * 2
+    assert got.where("id IS NULL").count() == 334  # they come first
+    assert usage.refused_requests(rows, None, 400, group_rows=50).count() == 200
+
+
 def test_map_inside_a_struct(spark):
     df = spark.range(40).select((F.col("id") % 3).alias("k"), F.struct(F.create_map(F.lit("a"), F.col("id")).alias("m")).alias("s"), "id")
     spark.conf.set(topn.GROUP_LIMIT_SETTING, 1)
