@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tallyward.dataset import Dataset
 from tallyward.frames import small_frame
 from tallyward.operators import stats, verify
-from tallyward.operators.guards import allowed_filters, cap_rows, cap_steps, column_ref
+from tallyward.operators.guards import allowed_filters, cap_rows, cap_steps, column_ref, run_with_timeout
+from tallyward.operators.limits import TenantLimits
 from tallyward.operators.masking import scrub_result
 from tallyward.operators.metrics import equality_filter, merge_filters, run_metric
 from tallyward.plans.catalog import JoinPolicy, MetricDefinition
@@ -179,19 +180,22 @@ class PlanRun:
     left_out: tuple[Step, ...]
     plan_type: str = "stats_tool"
     parts: tuple[_Part, ...] = ()
+    seconds: float = 0
 
     def deliver(self, sink: Sink) -> Delivery:
         """Give each result to `sink(number, step, frame)`, which runs it by one action, such as a write or a collect.
 
         Sums, counts and the fingerprint are observed while that action runs, so that they are of the rows as delivered, and no
-        result is run twice. The table's rows and total are counted from the table by themselves.
+        result is run twice. The table's rows and total are counted from the table by themselves. Under a tenant's limits a step
+        that takes too long is cancelled and raises.
         """
         made, rows = [], []
         for number, part in enumerate(self.parts):
             numbers, whole = Observation(), Observation()
             observed = part.result.observe(numbers, *_measures(part.result, part.total is not None))
             delivered = scrub_result(observed)
-            made.append(sink(number, part.step, delivered.observe(whole, *verify.fingerprint(delivered))))
+            frame = delivered.observe(whole, *verify.fingerprint(delivered))
+            made.append(run_with_timeout(frame.sparkSession, partial(sink, number, part.step, frame), self.seconds))
             table = part.target.df.agg(F.count("*").alias("n")).first()["n"]
             total = None if part.total is None else part.total.first()[0]
             seen = numbers.get | whole.get
@@ -235,13 +239,18 @@ def run_plan(
     policies: Mapping[str, JoinPolicy] | None = None,
     max_steps: int | None = None,
     max_rows: int | None = None,
+    limits: TenantLimits | None = None,
 ) -> PlanRun:
     """Check a whole plan, then give each step's lazy result, capped and scrubbed, and the checks on all of them.
 
     A single bad step refuses the plan. A result has a `truncated` column that tells whether the row cap cut it.
     `checks` has a row per step with the flags, the confidence that follows from them and the lineage; a
-    breakdown is held against a total of its own, so a result that lost a part is flagged.
+    breakdown is held against a total of its own, so a result that lost a part is flagged. `limits`, a tenant's own, give the
+    steps, the rows and the seconds of a step where these are not named.
     """
+    if limits is not None:
+        max_steps = limits.max_plan_steps if max_steps is None else max_steps
+        max_rows = limits.max_rows_per_query if max_rows is None else max_rows
     known = dataset.metrics if metrics is None else metrics
     plan = check_steps(steps, known, policies or {}, dataset.profile.filterable, max_steps)
     plan_type = "multi_step" if len(plan.steps) > 1 else "single_metric" if plan.steps and plan.steps[0].action == RUN_METRIC else "stats_tool"
@@ -256,7 +265,7 @@ def run_plan(
         checks.append(step_check(number, step, delivered, target, parts[-1].total, plan_type, notes))
     every = reduce(DataFrame.unionByName, checks) if checks else dataset.df.sparkSession.createDataFrame([], CHECKS)
     results = tuple((part.step, scrub_result(part.result)) for part in parts)
-    return PlanRun(results, verify.with_confidence(verify.result_flags(every)), plan.left_out, plan_type, tuple(parts))
+    return PlanRun(results, verify.with_confidence(verify.result_flags(every)), plan.left_out, plan_type, tuple(parts), limits.query_timeout_seconds if limits else 0)
 
 
 CHECKS = (

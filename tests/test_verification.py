@@ -143,6 +143,17 @@ def test_charts(spark, n):
     assert line.first()["date"] == "2024-01-01" and line.count() == min(n, 50)
 
 
+def test_breakdown_is_a_line_if_its_largest_groups_look_like_dates(spark):
+    made = lambda *keys: spark.createDataFrame([(k, float(i)) for i, k in enumerate(keys)], "key string, value double")
+    found = lambda frame, n=50: values(charts.breakdown_data(frame, n), "kind", "category", "truncated")
+    days = [f"2024-{m:02d}" for m in (3, 1, 2, 6, 5, 4)]
+    assert found(made("other", *days)) == [("line", k, False) for k in sorted([*days, "other"])]
+    assert found(made(*days), 2) == [("line", "2024-01", True), ("line", "2024-02", True)]
+    assert found(made(*days, "other")) == [("bar", k, False) for k in ["other", *reversed(days)]]
+    assert found(made(*days, None))[0] == ("bar", None, False) and found(made()) == []
+    assert found(spark.createDataFrame([(2024, 1.0)], "key int, value double")) == [("bar", "2024", False)]
+
+
 def test_heatmap(orders):
     assert charts.heatmap_data(stats.correlation_matrix(orders)).columns == ["row", "col", "value"]
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.frames import small_frame
-from tallyward.operators import audit, evaluation, guards, usage
+from tallyward.operators import audit, evaluation, guards, limits, usage
 from tallyward.plans import catalog, steps
 from tallyward.operators.stats import TOOLS
-from workload.inputs import AUDIT, LIMITS, USAGE, oracle, view
+from workload.inputs import AUDIT, LIMITED_RUNS, LIMITS, TENANT_LIMITS, USAGE, oracle, view
 from workload.profiling import generated
 
 NOW = "2024-01-20 12:00:00"
@@ -162,6 +162,7 @@ QUERIES = {
     "quota_exceeded": _quota,
     "quota_accepted": _accepted,
     "quota_refused": _refused,
+    "limit_breaches": lambda s, d: limits.limit_breaches(view(s, d, LIMITED_RUNS), view(s, d, TENANT_LIMITS)),
     "catalog_counts": lambda s, d: catalog.status_counts(view(s, d, CATALOG_ROWS)),
     "steps_validate": _steps,
     "grade_cases": _grade_cases,
@@ -211,6 +212,14 @@ ORACLES = {
     ),
     "quota_accepted": oracle(f"SELECT id, tenant_id, day, request_no, daily_limit FROM ({LIMITED}) WHERE request_no <= daily_limit", u=USAGE, l=LIMITS),
     "quota_refused": oracle(f"SELECT id, tenant_id, day, daily_limit FROM ({LIMITED}) WHERE request_no > daily_limit", u=USAGE, l=LIMITS),
+    "limit_breaches": oracle(
+        """SELECT r.tenant_id, id, name AS limit, used, allowed FROM r LEFT JOIN t ON r.tenant_id = t.tenant_id, LATERAL (
+             SELECT 'max_rows_per_query' AS name, CAST(rows AS DOUBLE) AS used, CAST(coalesce(max_rows_per_query, 100000) AS DOUBLE) AS allowed
+             UNION ALL SELECT 'max_plan_steps', CAST(plan_steps AS DOUBLE), 3.0
+             UNION ALL SELECT 'query_timeout_seconds', CAST(seconds AS DOUBLE), CAST(coalesce(query_timeout_seconds, 30) AS DOUBLE)
+           ) WHERE used > allowed AND (allowed > 0 OR name = 'max_plan_steps')""",
+        r=LIMITED_RUNS, t=TENANT_LIMITS,
+    ),
     "catalog_counts": oracle(
         """SELECT tenant_id, count(*) FILTER (status = 'approved') AS approved_count, count(*) FILTER (status = 'pending') AS pending_count
            FROM c GROUP BY 1""",

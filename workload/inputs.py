@@ -34,6 +34,18 @@ SELECT concat('tenant-', user_id) AS tenant_id, CAST(floor(min(event_id) / 1000.
 FROM {events} WHERE value > 90 GROUP BY user_id
 """
 
+# Events as runs of plans, and limits of some tenants, not all of them for both.
+LIMITED_RUNS = """
+SELECT event_id AS id, concat('tenant-', user_id) AS tenant_id, CAST(substring(props, 7, length(props) - 7) AS BIGINT) * 5000 AS rows,
+       value AS seconds, CAST(event_id % 6 AS INT) AS plan_steps
+FROM {events}
+"""
+TENANT_LIMITS = """
+SELECT concat('tenant-', user_id) AS tenant_id, CAST(min(event_id) AS BIGINT) * 10 AS max_rows_per_query,
+       CASE WHEN count(*) > 3 THEN 60 END AS query_timeout_seconds
+FROM {events} WHERE value > 40 GROUP BY user_id
+"""
+
 # A question per event.
 QUESTIONS = """
 SELECT event_id AS question_id, user_id,

@@ -103,6 +103,16 @@ def _line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.line_data(daily).withColumn("value", F.round("value", 2))
 
 
+def _breakdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by day, which is a line, and by priority, which is not."""
+    orders = table(spark, sf_dir, "orders")
+    made = [
+        charts.breakdown_data(metrics.run_metric(orders, MetricDefinition("m", "o_totalprice", "max", group))).withColumn("by", F.lit(group))
+        for group in ("o_orderdate", "o_orderpriority")
+    ]
+    return made[0].unionByName(made[1]).withColumn("value", F.round("value", 2))
+
+
 PRIORITY_SUMS = MetricDefinition("price_by_priority", "o_totalprice", "sum", "o_orderpriority")
 DAILY = Step("trend", "run_stats", args={"date_col": "o_orderdate", "value_col": "o_totalprice", "freq": "D"})
 
@@ -159,6 +169,7 @@ QUERIES = {
     "baseline_report": _report,
     "chart_bar": _bar,
     "chart_line": _line,
+    "chart_breakdown": _breakdowns,
     "chart_heatmap": lambda s, d: charts.heatmap_data(stats.correlation_matrix(table(s, d, "lineitem"))).withColumn("value", F.round("value", 6)),
 }
 
@@ -250,6 +261,9 @@ ORACLES = {
         ORDER BY abs(r) DESC, list_position({LINE_MATRIX}, row), list_position({LINE_MATRIX}, col) LIMIT 1)""",
     "chart_bar": """SELECT CAST(l_suppkey AS VARCHAR) AS category, count(*) AS value,
         (SELECT count(DISTINCT l_suppkey) FROM lineitem) > 50 AS truncated FROM lineitem GROUP BY l_suppkey ORDER BY 2 DESC, 1 LIMIT 50""",
+    "chart_breakdown": """WITH d AS (SELECT o_orderdate AS k, max(o_totalprice) AS v FROM orders GROUP BY 1)
+        (SELECT 'line' AS kind, CAST(k AS VARCHAR) AS category, round(v, 2) AS value, (SELECT count(*) FROM d) > 50 AS truncated, 'o_orderdate' AS by
+        FROM d ORDER BY k LIMIT 50) UNION ALL SELECT 'bar', o_orderpriority, round(max(o_totalprice), 2), false, 'o_orderpriority' FROM orders GROUP BY 2""",
     "chart_line": """SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, round(sum(o_totalprice), 2) AS value,
         (SELECT count(DISTINCT CAST(o_orderdate AS DATE)) FROM orders) > 50 AS truncated FROM orders GROUP BY 1 ORDER BY 1 LIMIT 50""",
     "chart_heatmap": f"SELECT row, col, r AS value FROM ({matrix_sql('lineitem', LINE_MATRIX)})",
