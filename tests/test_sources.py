@@ -100,6 +100,38 @@ def test_jdbc_options():
     assert split["dbtable"] == "(SELECT 1 AS id) AS source" and split["numPartitions"] == "8" and "query" not in split
 
 
+def test_reads_are_split_by_a_key(spark, monkeypatch):
+    asked, bounds = [], {}
+
+    def load(session, options, extra):
+        asked.append({**options, **extra})
+        return spark.sql(f"SELECT {bounds['lower']} AS lower_key, {bounds['upper']} AS upper_key")
+
+    monkeypatch.setattr(jdbc, "_load", load)
+
+    def options(lower, upper, source="orders", **more):
+        bounds.update(lower=lower, upper=upper)
+        asked.clear()
+        jdbc.read_database(spark, "postgres://h/db", source, key="id", **more)
+        return asked[-1]
+
+    read = options("5", "905", connections=4, driver="d")
+    assert asked[0]["query"] == "SELECT MIN(id) AS lower_key, MAX(id) AS upper_key FROM orders" and "READ ONLY" in asked[0]["sessionInitStatement"]
+    assert (read["partitionColumn"], read["lowerBound"], read["upperBound"], read["numPartitions"]) == ("id", "5", "905", "4")
+    assert read["dbtable"] == "orders" and asked[0]["driver"] == read["driver"] == "d"
+    assert options("date'2024-01-01'", "date'2024-06-01'")["upperBound"] == "2024-06-01"
+    assert options("timestamp_ntz'2024-01-01 00:00:00'", "timestamp_ntz'2024-01-01 10:00:00.5'")["upperBound"] == "2024-01-01 10:00:00.500000"
+    assert options("-1.5", "7.25")["lowerBound"] == "-2" and options("-1.5", "7.25")["upperBound"] == "8"
+    query = options("1", "9", "SELECT * FROM t;")
+    assert asked[0]["query"].endswith("FROM (SELECT * FROM t) AS source") and query["dbtable"] == "(SELECT * FROM t) AS source"
+    for same in (("CAST(NULL AS INT)", "CAST(NULL AS INT)"), ("3", "3")):
+        assert "partitionColumn" not in options(*same)
+    with pytest.raises(ValueError):
+        options("'a'", "'b'")
+    with pytest.raises(ValueError):
+        jdbc.read_database(spark, "postgres://h/db", "orders", key="id; DROP TABLE orders")
+
+
 def test_refresh_modes(spark, monkeypatch):
     reads, now = [], [0.0]
 
