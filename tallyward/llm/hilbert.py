@@ -20,6 +20,8 @@ SHARDS = 16
 BITS = 4
 #: A part holds about this share of all rows at most. Cells and parts together are 2 ** (BITS * dimensions) + PARTS rows at most.
 PARTS = 4096
+#: Columns that `place` makes, the last seven for itself.
+PLACED = ("curve", "shard", "slot", "_n", "_all", "_parts", "_part", "_start", "_number", "_rank")
 
 
 def curve_index(point: Sequence[int], bits: int) -> int:
@@ -72,13 +74,20 @@ def place(frame: DataFrame, dimensions: dict[str, Column], key: Sequence[str], s
 
     `dimensions` gives the level of each row in each dimension, 0 to 2 ** bits - 1. Shards are runs along the curve whose row
     counts are at most one apart, slots number a shard's rows without gaps from 0. Rows of a cell are ordered by part, then by
-    the key columns, nulls first; rows equal in all of them are interchangeable. An empty frame gives no rows.
+    the key columns, nulls first; rows equal in all of them are interchangeable. An empty frame gives no rows. Columns of the frame
+    that are named as a result (`curve`, `shard`, `slot`) or as a column in between (`PLACED`) give way and are not returned; one
+    named as a dimension is replaced by its level. ValueError if such a column is a key.
     """
+    taken = [k for k in key if k in PLACED]
+    if taken:
+        raise ValueError(f"keys are named as results: {taken}")
     table = F.expr(f"array({','.join(map(str, curve_table(len(dimensions), bits)))})")
     cell = F.lit(0)
     for name in dimensions:
         cell = cell * (1 << bits) + F.col(name)
-    rows = frame.withColumns(dimensions).withColumn("curve", F.element_at(table, (cell + 1).cast("int")))
+    levelled = frame.withColumns(dimensions).drop(*PLACED)
+    own = [f"`{c}`" for c in levelled.columns if c not in dimensions]
+    rows = levelled.withColumn("curve", F.element_at(table, (cell + 1).cast("int")))
 
     whole = Window.partitionBy()
     cells = rows.groupBy("curve").agg(F.count("*").alias("_n")).withColumn("_all", F.sum("_n").over(whole))
@@ -94,7 +103,7 @@ def place(frame: DataFrame, dimensions: dict[str, Column], key: Sequence[str], s
     ranked = numbered.withColumn("_rank", F.col("_start") + F.col("_number") - 1)
     cut = ranked.withColumn("shard", F.expr(f"CAST((_rank * {shards}) div _all AS INT)"))
     first = F.expr(f"(shard * _all + {shards - 1}) div {shards}")
-    return cut.withColumn("slot", (F.col("_rank") - first).cast("long")).select(*frame.columns, *dimensions, "curve", "shard", "slot")
+    return cut.withColumn("slot", (F.col("_rank") - first).cast("long")).select(*own, *dimensions, "curve", "shard", "slot")
 
 
 def manifest(placed: DataFrame, dimensions: Sequence[str]) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import random
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyward.llm import hilbert
@@ -57,3 +58,17 @@ def test_pruning_and_files(spark, folder):
     back = spark.read.parquet(f"{folder}/out")
     assert back.where("a = 3 AND b = 9 AND c = 14").select("shard").distinct().where(~F.col("shard").isin(found)).count() == 0
     assert back.count() == 4000
+
+
+def test_place_with_clashing_columns(spark):
+    rows = spark.range(300).select("id", (F.col("id") % 16).alias("a"), (F.col("id") % 5).alias("curve"), F.lit("x").alias("a.b"), *[F.lit(9).alias(c) for c in hilbert.PLACED[1:]])
+    levels = {"a": F.col("a").cast("int"), "b": F.col("curve").cast("int")}
+    placed = hilbert.place(rows, levels, ["id"])
+    assert placed.columns == ["id", "a.b", "a", "b", "curve", "shard", "slot"]
+    got = {r["id"]: r for r in placed.collect()}
+    table = hilbert.curve_table(2)
+    assert len(got) == 300 and all(r["curve"] == table[i % 16 * 16 + i % 5] and (r["a"], r["b"], r["a.b"]) == (i % 16, i % 5, "x") for i, r in got.items())
+    assert sorted(r["shard"] for r in got.values()) == sorted(i * 16 // 300 for i in range(300))
+    assert hilbert.place(rows.limit(0), levels, ["id"]).count() == 0
+    with pytest.raises(ValueError):
+        hilbert.place(rows, levels, ["id", "slot"])
