@@ -61,6 +61,38 @@ SENTENCES = {
     ],
     "Mpl2": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0"],
     "AllRights": ["all rights reserved"],
+    "LgplFree": ["this library is free software"],
+    "Lgpl21OrLater": [
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version",
+    ],
+    "Lgpl3OrLater": [
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    ],
+    "Agpl3OrLater": [
+        "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    ],
+    "Gpl2Only": ["you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation"],
+    "Gpl2Short": ["licensed under the gnu general public license version 2", "licensed under the gnu general public license v2.0"],
+    "Gpl2Head": ["gnu general public license version 2 june 1991"],
+    "Gpl3Head": ["gnu general public license version 3 29 june 2007"],
+    "Lgpl21Head": ["gnu lesser general public license version 2.1 february 1999"],
+    "Lgpl3Head": ["gnu lesser general public license version 3 29 june 2007"],
+    "Agpl3Head": ["gnu affero general public license version 3 19 november 2007"],
+    "Apache2Head": ["apache license version 2.0 january 2004"],
+    "IscGrant": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    ],
+    "ZeroBsdGrant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "IscAsIs": [
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    ],
+    "Unlicense": ["this is free and unencumbered software released into the public domain"],
+    "ZlibAsIs": ["this software is provided as is without any express or implied warranty"],
+    "ZlibGrant": [
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    ],
+    "Epl2": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2.0"],
+    "Boost1": ["distributed under the boost software license version 1.0"],
 }
 
 # Further forms of the same sentences, normalised alike. A bar is where a form has a sentence end of its own.
@@ -68,27 +100,56 @@ FORMS = {
     "Apache2Copy": [f"you may obtain a copy of the license at {scheme} www.apache.org licenses license 2.0" for scheme in ("http", "https")],
     "Gpl3OrLater": [SENTENCES["Gpl3OrLater"][0].replace(" either ", " | either ")],
     "Gpl2OrLater": [SENTENCES["Gpl2OrLater"][0].replace(" either ", " | either ")],
+    "Lgpl21OrLater": [SENTENCES["Lgpl21OrLater"][0].replace(" either ", " | either ")],
+    "Lgpl3OrLater": [SENTENCES["Lgpl3OrLater"][0].replace(" either ", " | either ")],
+    "Agpl3OrLater": [SENTENCES["Agpl3OrLater"][0].replace(" either ", " | either ")],
+    "Mpl2": ["this source code form is subject to the terms of the mozilla public license v | 2.0"],
+    "Epl2": [f"{SENTENCES['Epl2'][0]} which is available at {scheme} www.eclipse.org legal epl 2.0" for scheme in ("http", "https")],
 }
 #: Every known sentence holds one of these, so that a text without them has none.
 KEYS = ("licens", "software", "warranty", "redistribution", "rights", "cc0")
 
-# Fixed order: longer sequences first, so that what a rule takes is not left for a weaker one. (licence, identifiers in order)
+# Fixed order: longer sequences first, so that what a rule takes is not left for a weaker one. (licence, identifiers in order,
+# a point for other sentences between them)
 RULES = [
     ("Apache-2.0", ("Apache2Grant", "Apache2Grant", "Apache2Copy", "Apache2AsIs", "Apache2See")),
     ("Apache-2.0", ("Apache2Grant", "Apache2Copy")),
+    ("LGPL-2.1-or-later", ("LgplFree", "Lgpl21OrLater")),
+    ("LGPL-3.0-or-later", ("LgplFree", "Lgpl3OrLater")),
+    ("LGPL-3.0-or-later", ("GplFree", "Lgpl3OrLater")),
+    ("AGPL-3.0-or-later", ("GplFree", "Agpl3OrLater", "GplHope")),
+    ("AGPL-3.0-or-later", ("GplFree", "Agpl3OrLater")),
+    ("GPL-2.0-only", ("GplFree", "Gpl2Only")),
     ("GPL-3.0-or-later", ("GplFree", "Gpl3OrLater", "GplHope")),
     ("GPL-3.0-or-later", ("GplFree", "Gpl3OrLater")),
     ("GPL-2.0-or-later", ("GplFree", "Gpl2OrLater", "GplHope")),
     ("GPL-2.0-or-later", ("GplFree", "Gpl2OrLater")),
+    # The reservation of rights in a copyright line is a part of these texts.
+    ("BSD-3-Clause", ("AllRights", "BsdRedistribution", "BsdSource", "BsdBinary", "BsdEndorse")),
+    ("BSD-2-Clause", ("AllRights", "BsdRedistribution", "BsdSource", "BsdBinary")),
     ("BSD-3-Clause", ("BsdRedistribution", "BsdSource", "BsdBinary", "BsdEndorse")),
     ("BSD-2-Clause", ("BsdRedistribution", "BsdSource", "BsdBinary")),
     ("MIT", ("MitTitle", "MitGrant", "MitNotice", "MitAsIs")),
     ("MIT", ("MitGrant", "MitNotice", "MitAsIs")),
     ("MIT", ("MitGrant", "MitNotice")),
+    ("ISC", ("IscGrant", "IscAsIs")),
+    ("ISC", ("IscGrant",)),
+    ("0BSD", ("ZeroBsdGrant", "IscAsIs")),
+    ("Zlib", ("ZlibAsIs", ".", "ZlibGrant")),
+    ("Unlicense", ("Unlicense",)),
+    ("Apache-2.0", ("Apache2Head",)),
+    ("GPL-2.0-only", ("Gpl2Head",)),
+    ("GPL-3.0-only", ("Gpl3Head",)),
+    ("LGPL-2.1-only", ("Lgpl21Head",)),
+    ("LGPL-3.0-only", ("Lgpl3Head",)),
+    ("AGPL-3.0-only", ("Agpl3Head",)),
     ("Apache-2.0", ("Apache2Short",)),
     ("Apache-2.0", ("Apache2Grant",)),
     ("MIT", ("MitShort",)),
     ("GPL-3.0-only", ("Gpl3Short",)),
+    ("GPL-2.0-only", ("Gpl2Short",)),
+    ("EPL-2.0", ("Epl2",)),
+    ("BSL-1.0", ("Boost1",)),
     ("CC-BY-NC-4.0", ("CcByNc4",)),
     ("CC-BY-SA-4.0", ("CcBySa4",)),
     ("CC-BY-4.0", ("CcBy4",)),
@@ -179,7 +240,7 @@ def scan(frame: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     left, hits = F.col("_taken"), []
     step = found.withColumn("_left", left)
     for at, (licence, names) in enumerate(RULES):
-        wanted = "".join(_MARKS[n] for n in names)
+        wanted = "".join(_MARKS.get(n, n) for n in names)
         hits.append(F.when(F.col(f"_hit{at}"), F.lit(licence)))
         step = step.withColumns({f"_hit{at}": F.contains("_left", F.lit(wanted)), "_left": F.replace("_left", F.lit(wanted), F.lit(_GAP))})
     names = F.create_map(*[F.lit(x) for name, mark in _MARKS.items() for x in (mark, name)])
@@ -207,7 +268,7 @@ def _oracle() -> str:
     names = ", ".join(f"('{mark}', '{name}')" for name, mark in _MARKS.items())
     steps, left = [], "seen"
     for at, (_, rule) in enumerate(RULES):
-        wanted = "".join(_MARKS[n] for n in rule)
+        wanted = "".join(_MARKS.get(n, n) for n in rule)
         steps.append(f"s{at} AS (SELECT *, contains(left{at}, '{wanted}') AS hit{at}, replace(left{at}, '{wanted}', '.') AS left{at + 1} FROM {f's{at - 1}' if at else 'seq'})")
     hits = ", ".join(f"CASE WHEN hit{at} THEN '{licence}' END" for at, (licence, _) in enumerate(RULES))
     marks = "[" + "".join(_MARKS.values()) + "]"
