@@ -37,6 +37,14 @@ def test_groups_and_total_share_a_shuffle(lines):
         assert "ReusedExchange" in final
 
 
+def test_upsert_sorts_nothing_before_its_shuffle(lines):
+    rows = lines.select("l_orderkey", "l_linenumber", "l_shipdate")
+    text = plan(topn.upsert(rows, rows.where("l_orderkey < 9"), ["l_orderkey", "l_linenumber"]))
+    assert text.count("Exchange hashpartitioning") == 1
+    above, below = text.split("Exchange hashpartitioning")
+    assert "Window" in above and "Sort" not in below and "WindowGroupLimit" not in below
+
+
 def test_filter_and_columns_reach_the_scan(lines):
     metric = MetricDefinition("m", "l_quantity", "sum", "l_linenumber")
     text = plan(metrics.run_metric(lines, metric, {"l_returnflag": "A"}))
