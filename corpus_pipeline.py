@@ -18,6 +18,8 @@ from tallyward.llm.queries import table
 
 #: The share of probability a document's language must have.
 MIN_LANGUAGE_SCORE = 0.5
+#: So many words in a row that are repeated are a passage, as are strings of suffix_dedup.LENGTH bytes.
+PASSAGE_WORDS = 50
 #: What a worker of the last stage remembers: pieces of text and states of the transducer.
 MAX_PIECES = 100_000
 MAX_STATES = 200_000
@@ -49,8 +51,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that are repeated anywhere; n_chars is that of the text left, which may be empty."""
-    left = suffix_dedup.dedup(_packed(docs, "text"), ("doc",), with_text=True)
+    """All documents, without the passages that are repeated anywhere; n_chars is that of the text left, which may be empty.
+
+    A passage is a string of 400 bytes or 50 words in a row: most passages of so many words have fewer bytes.
+    """
+    left = suffix_dedup.dedup(_packed(docs, "text"), ("doc",), with_text=True, words=PASSAGE_WORDS)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return left.select(*[new[c].alias(c) if c in new else F.col(f"doc.`{c}`") for c in docs.columns])
 

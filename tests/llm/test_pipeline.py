@@ -98,6 +98,20 @@ def test_repeated_passages(stages):
     assert sum(a[1] != b[1] for a, b in zip(after, before)) >= 4
 
 
+def test_passages_of_over_fifty_words(spark):
+    """They have fewer than 400 bytes and are removed wherever they are; of 49 words nothing is."""
+    random.seed(5)
+    make = lambda k: " ".join(random.choice(["on", "that", "these", "seven"]) + str(random.randrange(1000)) for _ in range(k))
+    passage, short = " ".join(f"w{i % 7}{i}" for i in range(53)), " ".join(f"v{i}" for i in range(49))
+    assert len(passage) < 400
+    own = [make(40), make(30), make(60), make(20)]
+    rows = [(1, f"{own[0]} {passage} {own[1]}"), (2, f"{own[2]}\n{passage}"), (3, f"{own[3]} {short}"), (4, f"{short} {own[1][:90]}"), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], COLUMNS)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    left = {1: f"{own[0]}  {own[1]}", 2: f"{own[2]}\n", 3: rows[2][1], 4: rows[3][1], 5: ""}
+    assert got == {i: (t, len(t)) for i, t in left.items()}
+
+
 def test_decontaminated(stages):
     before, after = stages[0][2:4]
     assert after == [r for r in before if not contamination(r[1], stages[1])[4]]

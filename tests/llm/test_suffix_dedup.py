@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -81,3 +82,44 @@ def test_text_left(spark):
     rows = suffix_dedup.dedup(frame, with_text=True).collect()
     assert sorted((r["doc_id"], r["kept"], r["n_removed"]) for r in rows) == [(1, "abc", 420), (2, "d", 420), (3, "", 0)]
     assert suffix_dedup.dedup(frame.limit(0)).count() == 0
+
+
+def brute_with_words(texts, length, words):
+    """(bytes, removed, spans, digest of the rest) by both rules."""
+    data = [(t or "").encode() for t in texts]
+    counts = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", d)] for d in data]
+    window = lambda d, p, i: tuple(d[a:b] for a, b in p[i : i + words])
+    again = Counter(window(d, p, i) for d, p in zip(data, places) for i in range(len(p) - words + 1))
+    out = []
+    for d, p in zip(data, places):
+        gone = [False] * len(d)
+        for i in range(len(d) - length + 1):
+            if counts[d[i : i + length]] > 1:
+                gone[i : i + length] = [True] * length
+        for i in range(len(p) - words + 1):
+            if again[window(d, p, i)] > 1:
+                a, b = p[i][0], p[i + words - 1][1]
+                gone[a:b] = [True] * (b - a)
+        spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
+        out.append((len(d), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(d, gone) if not g)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("shard", [300, 1 << 20])
+@pytest.mark.parametrize("words, length", [(3, 40), (10, 24), (12, 400)])
+def test_windows_of_words(spark, words, length, shard):
+    random.seed(words)
+    pick = lambda k: "".join(random.choice(["a", "be", "é", "seven77"]) + random.choice(["", "", str(random.randrange(30))]) + random.choice([" ", " ", "\n", "\t "]) for _ in range(k))
+    shared = [pick(random.randrange(words, 3 * words)) for _ in range(5)]
+    made = [None, "", " ", "x" * 60, "x " * 40, " \x1f" * 30, pick(2)]
+    for _ in range(40):
+        made.append("".join(random.choice([pick(random.randrange(8)), random.choice(shared)[random.randrange(9) :]]) for _ in range(5)))
+    made += [made[-1], " ".join(made[-2].split()), made[-3] + "é" * 100, "y" * 900 + " " + shared[0], shared[0] + "y" * 900, made[-4][:-1]]
+    frame = spark.createDataFrame([(i // 2, t) for i, t in enumerate(made)], "doc_id long, text string").repartition(4)
+    got = suffix_dedup.dedup(frame, length=length, gram=8, shard=shard, words=words)
+    got = got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    expected = brute_with_words(made, length, words)
+    assert sorted(tuple(r) for r in got) == sorted((i // 2, *x) for i, x in enumerate(expected))
+    assert sum(x[1] > 0 for x in expected) > 20
+    assert suffix_dedup.dedup(frame.limit(0), words=words).count() == 0
