@@ -5,7 +5,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tallyward.llm import suffix_dedup
 
@@ -123,3 +126,75 @@ def test_windows_of_words(spark, words, length, shard):
     assert sorted(tuple(r) for r in got) == sorted((i // 2, *x) for i, x in enumerate(expected))
     assert sum(x[1] > 0 for x in expected) > 20
     assert suffix_dedup.dedup(frame.limit(0), words=words).count() == 0
+
+
+def crowd(n, seed, pool=0):
+    """Texts that all have the one gram that is the mark of the windows around it, between random bytes or such out of a pool."""
+    random.seed(seed)
+    pick = lambda alphabet, k: "".join(random.choices(alphabet, k=k))
+    grams = [pick("abcdefgh", 8) for _ in range(5000)]
+    gram = grams[int(suffix_dedup.gram_hashes(np.frombuffer("".join(grams).encode(), np.uint8), 8)[::8].argmin())]
+    sides = [pick("ijklmnopq", 40) for _ in range(pool)] or None
+    side = lambda: random.choice(sides) if sides and random.random() < 0.8 else pick("ijklmnopq", 40)
+    return [side()[random.randrange(25) :] + gram + side()[: random.randrange(40)] for _ in range(n)]
+
+
+def runs_in(texts, length, gram):
+    """The contents of runs, as rows (mark, c1, c2, size, content), each once."""
+    out = {}
+    for text in map(str.encode, texts):
+        data = np.frombuffer(text, np.uint8)
+        marks, starts, sizes = suffix_dedup.runs_of(data, np.arange(len(data)) + length <= len(data), length, gram)
+        for mark, start, size in zip(suffix_dedup._of_words(marks, False).tolist(), starts.tolist(), sizes.tolist()):
+            content = text[start : start + size + length - 1]
+            c1, c2 = np.frombuffer(suffix_dedup.xxhash.xxh3_128_digest(content), np.int64).tolist()
+            out[content] = (mark, c1, c2, len(content), content)
+    return list(out.values())
+
+
+def test_a_crowded_mark_is_not_compared_in_all_pairs(spark):
+    def dealt(n):
+        rows = runs_in(crowd(n, 3), 24, 8)
+        frame = spark.createDataFrame(rows, "mark long, c1 long, c2 long, size long, content binary")
+        crowded = suffix_dedup.crowds(frame.drop("content"), 24, 600)
+        assert crowded.agg(F.max("blocks")).first()[0] > suffix_dedup.PAIRED
+        return suffix_dedup.dealt(frame.drop("size"), crowded, True, 24, 8, None).count() / len(rows)
+
+    # In pairs of blocks, a content would be dealt once for each block, which are eight times as many.
+    assert dealt(2400) < 1.5 * dealt(300)
+
+
+@pytest.mark.parametrize("pool", [0, 3, 12])
+def test_crowded_marks(spark, pool):
+    check(spark, crowd(300, pool, pool) + crowd(20, pool, pool), 24, 8, 100)
+
+
+@pytest.mark.parametrize("pool", [0, 3, 12])
+def test_pieces_of_a_crowded_mark(pool):
+    rows = runs_in(crowd(300, pool, pool), 24, 8)
+    text = {r[1:3]: r[4] for r in rows}
+    counts = Counter(t[i : i + 24] for t in text.values() for i in range(len(t) - 23))
+    columns = [[r[0] for r in rows], [9] * len(rows), [r[1] for r in rows], [r[2] for r in rows], [0] * len(rows), [r[4] for r in rows]]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    contents = pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["mark", "blocks", "c1", "c2", "first", "content"])
+    pieces = pa.Table.from_batches(suffix_dedup._split_step(24, 8, None)(iter([contents]))).sort_by([("mark", "ascending"), ("content", "ascending")])
+    whole = [(text[r["c1"], r["c2"]][r["first"] : r["first"] + len(r["content"])], r["content"]) for r in pieces.to_pylist()]
+    assert all(a == b for a, b in whole)
+    assert sum(len(b) - 23 for _, b in whole) == sum(len(t) - 23 for t in text.values())
+    block = pa.array([suffix_dedup._PIECE] * len(pieces), pa.int32())
+    sent = pa.table([pieces["mark"], block, block, block, *(pieces[c] for c in ("c1", "c2", "first", "content"))], ["mark", "block", "other", "own", "c1", "c2", "first", "content"])
+    found = [r for batch in suffix_dedup._shard_step(24, 60, None)(iter(sent.to_batches(50))) for r in batch.to_pylist()]
+    looked_up = Counter((r["w1"], r["w2"]) for r in found if r["w1"] is not None)
+    assert not pool or max(looked_up.values()) > 1
+    starts = {
+        (r["c1"], r["c2"], i) for r in found if r["w1"] is None or looked_up[r["w1"], r["w2"]] > 1 for i in range(r["first"], r["end"] - 23)
+    }
+    assert starts == {(*c, i) for c, t in text.items() for i in range(len(t) - 23) if counts[t[i : i + 24]] > 1}
+
+
+def test_string_hashes():
+    data = np.frombuffer(bytes(random.Random(1).choices(b"ab", k=300)), np.uint8)
+    for length in (1, 2, 3, 8, 13, 40, 300, 301):
+        strings = [data[i : i + length].tobytes() for i in range(len(data) - length + 1)]
+        hashes = suffix_dedup.string_hashes(data, length).tolist()
+        assert len(hashes) == len(strings) and len(set(hashes)) == len(set(strings)) == len(set(zip(hashes, strings)))
